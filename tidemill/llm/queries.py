@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, secrets, token_files
+from . import classifier, fingerprints, mixing, packing, quality_rules, secrets, token_files
 from .common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -37,5 +45,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_mixing, op5_quality_rules, op8_secrets, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_packing, op4_mixing, op5_quality_rules, op8_secrets, op9_token_files)}
 ORACLE_SQL = {"op4_mixing": mixing.MIX_SQL, "op5_quality_rules": quality_rules.RULES_SQL}
