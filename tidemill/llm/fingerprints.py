@@ -62,7 +62,7 @@ def _place(value) -> F.Column:
 
 def _filter_of(places: DataFrame) -> DataFrame:
     """A bitmap of the places in column at, in pieces of 4 kB: at most FILTER_BITS / 32768 rows."""
-    return places.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    return places.withColumn("nth", F.col("at") + 1).groupBy(F.bitmap_bucket_number("nth").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("nth")).alias("bits"))
 
 
 def _wanted(pieces: DataFrame, value) -> F.Column:
