@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, token_files
+from . import classifier, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, substring_dedup, token_files
 from .common import table
 
 
@@ -49,5 +49,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_packing, op4_mixing, op5_quality_rules, op6_jaccard_join, op8_secrets, op9_token_files)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_packing, op4_mixing, op5_quality_rules, op6_jaccard_join, op8_secrets, op9_token_files, op10_substring_dedup)}
 ORACLE_SQL = {"op4_mixing": mixing.MIX_SQL, "op5_quality_rules": quality_rules.RULES_SQL}
