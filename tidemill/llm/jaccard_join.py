@@ -5,10 +5,10 @@ the threshold. Documents with equal sets are one node. Tokens have one global or
 ones come last, and a node's prefix is its first n - ceil(t * n) + 1 tokens: linked nodes share a token
 of both prefixes.
 
-Rare tokens: nodes that share some are counted pair by pair, and a pair goes on to verification if the
+Counted tokens that few documents have: nodes that share some are counted pair by pair, and a pair goes on to verification if the
 shared prefix tokens together with all that could follow reach the overlap that a link needs.
 
-Frequent tokens: nodes whose prefix reaches them are mostly copies of one another with edits. Frequent
+Other tokens: nodes whose prefix reaches them are mostly copies of one another with edits. Frequent
 tokens met in one prefix form a family, and the nodes of a family and length class are cut into groups
 of bounded size. Each group has the union of its tokens, one row of the token-group matrix. A query's
 overlap with that union bounds its overlap with every member, and only groups whose bound reaches what a
@@ -28,8 +28,9 @@ from .common import drop_staged, staged
 from .hashing import Batch, mix64, slices
 
 SIZE, PERCENT = 5, 75
-#: A token of more documents than this is frequent.
-FREQUENT = 64
+#: A token of more documents than this is frequent. Only tokens with an even hash are counted; the others
+#: come last in the order with the frequent ones.
+FREQUENT = 16
 #: Bits of the filters of frequent tokens and of wanted nodes: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Documents per bucket of tokens, tokens held by a task before it hands them on, nodes of a group.
@@ -53,6 +54,10 @@ def set_keys(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         return mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(size + np.uint64(1))).view(np.int64)
 
 
+def counted(keys: np.ndarray) -> np.ndarray:
+    return keys & np.uint64(1) == 0
+
+
 def buckets_for(n_docs: int) -> int:
     return max(8, -(-n_docs // BUCKET_DOCS))
 
@@ -89,7 +94,7 @@ def inside(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of documents (bucket null: doc_id, n, node) and, per bucket, blobs of the lower halves of their tokens."""
+    """Rows of documents (bucket null: doc_id, n, node) and, per bucket, blobs of their counted tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -108,8 +113,7 @@ def _sets(docs: DataFrame, buckets: int) -> DataFrame:
             for at, texts in slices(batch.column(1)):
                 keys, cuts = Batch(texts, fold=True).shingles(SIZE)
                 n = np.diff(cuts)
-                place = np.arange(len(keys)) - np.repeat(cuts[:-1], n)
-                held.append(keys[place < np.repeat((n + 1) // 2, n)])
+                held.append(keys[counted(keys)])
                 total += len(held[-1])
                 size = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), batch.column(0).slice(at, size), pa.array(n), pa.array(set_keys(keys, cuts)), pa.nulls(size, pa.binary())], names=names)
@@ -171,7 +175,7 @@ def _prefixes(docs: DataFrame, frequent, buckets: int, percent: int) -> DataFram
                 keys, cuts = Batch(texts, fold=True).shingles(SIZE)
                 n, nodes = np.diff(cuts), set_keys(keys, cuts)
                 owner = np.repeat(np.arange(len(n)), n)
-                often = inside(bits, keys)
+                often = ~counted(keys) | inside(bits, keys)
                 order = np.lexsort((keys, often, owner))  # rare before frequent, then by hash
                 keys, often = keys[order], often[order]
                 place = np.arange(len(keys)) - cuts[:-1][owner]
@@ -239,12 +243,12 @@ def _pairs(prefixes: DataFrame, buckets: int, percent: int) -> DataFrame:
                 gap += 1
                 live = live[live + gap < end[live]]
                 if sum(map(len, left)) >= 2_000_000:
-                    yield counted(node, size, hot, np.concatenate(left), np.concatenate(right))
+                    yield tally(node, size, hot, np.concatenate(left), np.concatenate(right))
                     left, right = [], []
             if left:
-                yield counted(node, size, hot, np.concatenate(left), np.concatenate(right))
+                yield tally(node, size, hot, np.concatenate(left), np.concatenate(right))
 
-    def counted(node, size, hot, i, j) -> pa.RecordBatch:
+    def tally(node, size, hot, i, j) -> pa.RecordBatch:
         a, b = node[i], node[j]  # ascending within a token
         order = np.lexsort((b, a))
         i, j, a, b = i[order], j[order], a[order], b[order]
@@ -341,9 +345,10 @@ def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """Links among the nodes of each family, by pairs of groups of at most about GROUP_NODES nodes."""
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     placed = members.withColumn("level", level)
-    sizes = placed.groupBy("family", "level").agg(F.ceil(F.count("*") / GROUP_NODES).cast("int").alias("groups"))
+    sizes = placed.groupBy("family", "level").agg(F.ceil(F.count("*") / GROUP_NODES).cast("int").alias("groups"), F.count("*").alias("nodes"))
     near = sizes.alias("x").join(sizes.alias("y"), F.expr("x.family = y.family and y.level between x.level - 1 and x.level + 1")).groupBy("x.family", "x.level").agg(
         F.max(F.when(F.expr("y.level = x.level"), F.col("y.groups"))).alias("same"), F.max(F.when(F.expr("y.level = x.level - 1"), F.col("y.groups"))).alias("below"), F.max(F.when(F.expr("y.level = x.level + 1"), F.col("y.groups"))).alias("above"))
+    near = near.join(sizes.groupBy("family").agg(F.sum("nodes").alias("nodes")).where("nodes > 1"), "family", "left_semi")
     own = placed.join(near, ["family", "level"]).withColumn("g", F.pmod(F.xxhash64("node"), F.col("same")).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     key = lambda level, i, j, side: F.struct(level.alias("low"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"))
@@ -421,3 +426,20 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQ
     owner = heads.join(ids, "label").select("node", "component_id")
     out = rows.join(owner, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """One document of each component, all columns: that with the smallest doc_id.
+
+    Documents without words stay, as they link with nothing. Rows with a null doc_id stay where their
+    component has no doc_id, one of them for each text; of rows with equal doc_ids and texts, one stays.
+    """
+    linked = staged(link_documents(docs, percent, frequent).select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__to")).distinct(), "linked")
+    heads = linked.where((F.col("__n") == 0) | F.col("__id").eqNullSafe(F.col("__to"))).select("__id").distinct()
+    kept = docs.join(heads, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    twice = docs.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    twice = staged(twice, "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    same = kept.doc_id.eqNullSafe(twice["__id"])
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, words_of
 
 #: Weights by the place of a source in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -152,3 +152,24 @@ SELECT doc_id, size, source_size, target,
   (least(floor(each * (rank + 1) + u) - floor(each * rank + u), 3) * size)::BIGINT AS taken
 FROM placed
 """
+
+
+def repeat_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it (not at all, or up to most times).
+
+    Copies are found again by doc_id, source and size, which are read from the documents a second time;
+    rows that agree in all three are taken in turn.
+    """
+    chosen = mix_documents(docs, seed, weights, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.collect_list("copies").alias("copies"))
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.array_sort("copies").alias("__copies"))
+    size = F.size(words_of(F.col("text"))).cast("long")
+    keyed = docs.withColumn("__own", size)
+    same = keyed.doc_id.cast("long").eqNullSafe(F.col("__id")) & keyed.source.cast("string").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
+    joined = keyed.join(chosen, same)
+    many = chosen.where(F.size("__copies") > 1)
+    single = F.get("__copies", F.lit(0))
+    if not many.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text"))
+        joined, single = joined.withColumn("__nth", nth), F.coalesce(F.get("__copies", F.col("__nth") - 1), F.lit(0))
+    joined = joined.withColumn("__times", single.cast("int"))
+    return joined.select(*(F.col(c) for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__again")).drop("__again")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, jaccard_join, mixing, packing, quality_rules, secrets, substring_dedup, token_files
+from . import classifier, fingerprints, jaccard_join, licenses, mixing, packing, quality_rules, secrets, substring_dedup, token_files
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_packing, op4_mixing, op5_quality_rules, op6_jaccard_join, op8_secrets, op9_token_files, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_packing, op4_mixing, op5_quality_rules, op6_jaccard_join, op7_licenses, op8_secrets, op9_token_files, op10_substring_dedup)}
 ORACLE_SQL = {"op4_mixing": mixing.MIX_SQL, "op5_quality_rules": quality_rules.RULES_SQL}
