@@ -103,9 +103,14 @@ def ablations(rows: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The documents that the policy keeps, all columns; the rules read them in the same pass."""
-    rows = ledger(docs, F.struct(*(docs[c] for c in docs.columns)))
-    return judged(rows, policy).where("kept").select("carry.*")
+    """The documents that the policy keeps, all columns; the rules read them in the same pass.
+
+    The observed counts also keep the optimizer from moving the filter below the measurements, where it
+    would work each of them out again wherever it is mentioned.
+    """
+    rows = judged(ledger(docs, F.struct(*(docs[c] for c in docs.columns))), policy)
+    seen = rows.observe(f"quality_rules_{policy}", F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
+    return seen.where("kept").select("carry.*")
 
 
 #: The query's columns in DuckDB SQL.
