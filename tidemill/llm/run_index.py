@@ -24,18 +24,22 @@ def suffix_order(symbols: np.ndarray, n_ends: int) -> np.ndarray:
     n, top = len(symbols), np.int64(n_ends + 257)
     padded = np.concatenate([symbols + 1, np.zeros(2, np.int64)])
     key = (padded[:n] * top + padded[1 : n + 1]) * top + padded[2 : n + 2]
-    step = 3
+    order = np.argsort(key)
+    rank, step = np.empty(n, np.int64), 3
+    places, ordered, sub = np.arange(n), key[order], order
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        # Suffixes of one key form a group, ranked by its first place; groups of one are done.
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        rank[sub] = places[np.maximum.accumulate(np.where(new, np.arange(len(sub)), 0))]
+        open_ = ~(new & np.concatenate([new[1:], [True]]))
+        places, sub = places[open_], sub[open_]
+        if not len(sub):
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * np.int64(n + 1) + after
+        after = sub + step
+        key = rank[sub] * np.int64(n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        again = np.argsort(key)
+        ordered, sub = key[again], sub[again]
+        order[places] = sub
         step *= 2
 
 
@@ -70,6 +74,7 @@ class RunIndex:
         self.before[by_symbol] = total - base[group]
         counts = np.bincount(bwt, minlength=258)[:256]
         self.starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) + n_ends  # first row of each byte's suffixes
+        self.run_of = np.repeat(np.arange(len(first), dtype=np.int32), length)  # a rank directory for LF steps
         # Runs of each symbol in order, searchable by (symbol, run).
         self.keys = group * len(first) + by_symbol
         self.key_run, self.key_begin = by_symbol, begin
@@ -100,30 +105,30 @@ class RunIndex:
         return out[keep]
 
     def _back(self, row, at, symbol, place):
-        n_runs = len(self.run_first)
-        run = np.searchsorted(self.run_first, row, "right") - 1
-        here = (self.run_symbol[run] == symbol) & (at >= 0)
-        nth = np.searchsorted(self.keys, symbol * n_runs + run)
-        has_down = nth < self.key_begin[symbol + 1]
-        has_up = nth > self.key_begin[symbol]
-        new_row, new_at, to_run = row.copy(), at - 1, run.copy()
-        jump = ~here
-        if jump.any():
-            down = self.key_run[np.minimum(nth, n_runs - 1)]
-            up = self.key_run[np.maximum(nth - 1, 0)]
-            both = jump & has_down & has_up & (at >= 0)
+        """One LF step of every query; those whose byte differs from their row's jump to a run of it first."""
+        run = self.run_of[row].astype(np.int64)
+        jump = np.flatnonzero((self.run_symbol[run] != symbol) | (at < 0))
+        at = at - 1
+        lost = np.zeros(0, np.int64)
+        if len(jump):
+            n_runs, c, was = len(self.run_first), symbol[jump], at[jump] + 1
+            nth = np.searchsorted(self.keys, c * n_runs + run[jump])
+            has_down, has_up = nth < self.key_begin[c + 1], nth > self.key_begin[c]
+            down, up = self.key_run[np.minimum(nth, n_runs - 1)], self.key_run[np.maximum(nth - 1, 0)]
             take_down = has_down.copy()
-            if both.any():
-                i = np.flatnonzero(both)
-                take_down[i] = self._common(self.at_first[down[i]], place[i] + 1) > self._common(self.at_last[up[i]], place[i] + 1)
-            some = jump & (has_down | has_up)
-            d, u = some & take_down, some & ~take_down
-            to_run[d], to_run[u] = down[d], up[u]
-            new_row[d], new_row[u] = self.run_first[down[d]], self.run_last[up[u]]
-            new_at[d], new_at[u] = self.at_first[down[d]] - 1, self.at_last[up[u]] - 1
-        lost = jump & ~has_down & ~has_up
-        stepped = self.starts[symbol] + self.before[to_run] + (new_row - self.run_first[to_run])
-        return np.where(lost, 0, stepped), np.where(lost, -1, new_at)
+            i = np.flatnonzero(has_down & has_up & (was >= 0))
+            if len(i):
+                after = place[jump[i]] + 1
+                take_down[i] = self._common(self.at_first[down[i]], after) > self._common(self.at_last[up[i]], after)
+            to = np.where(take_down, down, up)
+            run[jump] = to
+            row = row.copy()
+            row[jump] = np.where(take_down, self.run_first[to], self.run_last[to])
+            at[jump] = np.where(take_down, self.at_first[to], self.at_last[to]) - 1
+            lost = jump[~(has_down | has_up)]
+        stepped = self.starts[symbol] + self.before[run] + (row - self.run_first[run])
+        stepped[lost], at[lost] = 0, -1
+        return stepped, at
 
     def _hash(self, flat: np.ndarray) -> None:
         every = np.concatenate([self.text, flat])

@@ -27,7 +27,7 @@ from .run_index import RunIndex
 
 LENGTH, GRAM = 100, 32
 #: Different stretches of an anchor that one index takes.
-BUSY = 200
+BUSY = 64
 #: Stretches that a task compares before it hands them on; bytes read at once; documents per bucket.
 HELD, SLICE_BYTES, BUCKET_DOCS = 1_000_000, 2_000_000, 4000
 #: Bytes of stretches that one index is built from, at most (but for one anchor's).
@@ -103,21 +103,22 @@ class Entries:
         return out
 
 
-_FOUND = "bucket int, blob binary, id long, tie long, start long, end long, kind int"
+_FOUND = "bucket int, blob binary, id long, tie long, start long, end long, kind int, anchor long"
 _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 #: Kinds of rows: removed bytes, stretches wanted for an index, stretches of a busy anchor.
 REMOVED, WANTED, SPLIT = 0, 1, 2
 
 
-def _rows(id_, tie, start, end, kind: int) -> pa.RecordBatch:
+def _rows(id_, tie, start, end, kind: int, anchor=None) -> pa.RecordBatch:
     n = len(id_)
-    columns = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array(np.asarray(x, np.int64)) for x in (id_, tie, start, end)), pa.array(np.full(n, kind, np.int32))]
+    anchors = pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))
+    columns = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array(np.asarray(x, np.int64)) for x in (id_, tie, start, end)), pa.array(np.full(n, kind, np.int32)), anchors]
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
 def _blobs(blobs: list[bytes]) -> pa.RecordBatch:
     n = len(blobs)
-    columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.int32())]
+    columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
@@ -189,7 +190,7 @@ def _meet(blobs: DataFrame, buckets: int, length: int, busy: int) -> DataFrame:
             count = np.repeat(np.diff(np.concatenate([head, [len(anchor)]])), np.diff(np.concatenate([head, [len(anchor)]])))
             for kind, some in ((WANTED, (count > 1) & (count <= busy)), (SPLIT, count > busy)):
                 if some.any():
-                    yield _rows(id_[some], tie[some], start[some], start[some] + n[some] + length - 1, kind)
+                    yield _rows(id_[some], tie[some], start[some], start[some] + n[some] + length - 1, kind, anchor[some])
 
     return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND).drop("bucket", "blob")
 
@@ -198,7 +199,7 @@ def _cut_out(both: DataFrame, buckets: int, length: int) -> DataFrame:
     """From documents and their wanted stretches: bytes of stretches per bucket, and the strings of busy anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "blob", "id", "tie", "start", "a", "b"]
+        names = ["bucket", "blob", "id", "tie", "start", "end"]
 
         def hand_on(held: list[tuple]) -> pa.RecordBatch:
             by: dict[int, list[tuple]] = {}
@@ -210,15 +211,22 @@ def _cut_out(both: DataFrame, buckets: int, length: int) -> DataFrame:
                 anchors = np.array([x[0] for x in rows], "<u8")
                 blobs.append(np.array([len(rows)], "<i8").tobytes() + anchors.tobytes() + head.tobytes() + b"".join(x[4] for x in rows))
             n = len(blobs)
-            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(5))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(4))], names=names)
 
-        def strings(split: list[np.ndarray]) -> pa.RecordBatch:
-            id_, tie, start, a, b = (np.concatenate(x) for x in zip(*split, strict=True))
-            order = np.lexsort((start, tie, id_, b, a))
-            id_, tie, start, a, b = id_[order], tie[order], start[order], a[order], b[order]
-            n = len(id_)
-            longs = (pa.array(x.view(np.int64)) for x in (id_, tie, start, a, b))
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *longs], names=names)
+        def strings(split: list[tuple]) -> Iterator[pa.RecordBatch]:
+            a, b, id_, tie, start = (np.concatenate(x) for x in zip(*split, strict=True))
+            columns = [a, b, id_, tie, start, np.ones(len(a), np.int64)]
+            order, first = _firsts(columns)
+            if not first.all():
+                gone = _removed([c[order[~first]] for c in columns], length)
+                n = gone.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(gone.column(i) for i in (2, 3, 4, 5))], names=names)
+            columns = [c[order[first]] for c in columns]
+            bucket = columns[0] % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            blobs = [Entries.pack([c[order[i:j]] for c in columns]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(buckets, dtype=np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(buckets, pa.int64()) for _ in range(4))], names=names)
 
         held, size, split, n_split = [], 0, [], 0
         for batch in batches:
@@ -228,30 +236,38 @@ def _cut_out(both: DataFrame, buckets: int, length: int) -> DataFrame:
                 for w in wanted:
                     begin, end = w["start"], w["end"]
                     if w["kind"] == WANTED:
-                        held.append((anchor_of(raw[begin:end], length), id_, tie, begin, text[begin:end]))
+                        held.append((w["anchor"] % (1 << 64), id_, tie, begin, text[begin:end]))
                         size += end - begin
                     else:
                         at = np.arange(begin, end - length + 1)
                         other = mix64(prefix.of(at, at + length // 2) ^ mix64(prefix.of(at + length // 2, at + length)))
-                        split.append((np.full(len(at), id_), np.full(len(at), tie), at, prefix.of(at, at + length), other))
+                        split.append((prefix.of(at, at + length), other, np.full(len(at), id_), np.full(len(at), tie), at))
                         n_split += len(at)
                 if size >= 8_000_000:
                     yield hand_on(held)
                     held, size = [], 0
                 if n_split >= 500_000:
-                    yield strings(split)
+                    yield from strings(split)
                     split, n_split = [], 0
         if held:
             yield hand_on(held)
         if split:
-            yield strings(split)
+            yield from strings(split)
+
+    return both.mapInArrow(run, "bucket int, blob binary, id long, tie long, start long, end long")
+
 
-    return both.mapInArrow(run, "bucket int, blob binary, id long, tie long, start long, a long, b long")
+def _later_strings(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
+    """Of the strings of busy anchors, all but the first of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in grouped(batches):
+            columns = [np.concatenate(x) for x in zip(*map(Entries.unpack, parts), strict=True)]
+            order, first = _firsts(columns)
+            if not first.all():
+                yield _removed([c[order[~first]] for c in columns], length)
 
-def anchor_of(raw: np.ndarray, length: int) -> int:
-    """The anchor hash of a stretch, from its first string."""
-    return int(stretches(raw[:length], np.array([0, length]), length)[0][0])
+    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND).select("id", "tie", "start", "end")
 
 
 def _index(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -337,13 +353,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, busy: int = BUSY) ->
         return may_hold(where)
 
     asked = met.where(f"kind > {REMOVED}")
-    wanted = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end", "kind")).alias("wanted"))
+    wanted = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end", "kind", "anchor")).alias("wanted"))
     both = plain.where(holding(asked)).join(wanted, ["id", "tie"]).select("id", "tie", "text", "wanted")
     parts = staged(_cut_out(both, buckets, length), "cut-out")
-    indexed = _index(parts.where("bucket is not null").select("bucket", "blob"), buckets, length)
-    strings = parts.where("bucket is null").select("id", "tie", "start", "a", "b")
-    least = strings.groupBy("a", "b").agg(F.min(F.struct("id", "tie", "start")).alias("least"))
-    later = strings.join(least, ["a", "b"]).where(F.struct("id", "tie", "start") != F.col("least")).select("id", "tie", "start", (F.col("start") + length).alias("end"))
+    blobs = parts.select("bucket", "blob")
+    indexed = _index(blobs.where("bucket >= 0"), buckets, length)
+    later = _later_strings(blobs.where("bucket < 0"), buckets, length).unionByName(parts.where("bucket is null").select("id", "tie", "start", "end"))
     spans = staged(removed.unionByName(met.where(f"kind = {REMOVED}").select("id", "tie", "start", "end")).unionByName(indexed).unionByName(later), "spans")
     for done in (removed, met, parts):
         drop_staged(done)
