@@ -120,3 +120,28 @@ def updated(companies: DataFrame, found: DataFrame) -> DataFrame:
     for f in fields:
         joined = joined.withColumn(f, F.when(F.col("__new").isNotNull(), F.col(f"__new.{f}")).otherwise(F.col(f)))
     return joined.withColumn("resolved_at", F.when(F.col("__new").isNotNull(), F.current_timestamp()).otherwise(F.col("resolved_at"))).select(*companies.columns)
+
+
+#: Vendors whose answer to a guessed slug is looked at, in this order for each slug.
+PROBES = ("greenhouse", "ashby", "lever", "personio", "smartrecruiters")
+
+
+def probe_ok(ats: Column, body: Column, name: Column) -> Column:
+    """Whether a captured answer to a guessed slug shows a board; two vendors' answers also name the company."""
+    at = lambda path: F.get_json_object(body, path)
+    whole, flag = at("$"), F.coalesce(at("$.error"), F.lit(""))
+    tests = {
+        "greenhouse": whole.startswith("{") & flag.isin("", "false", "0") & (at("$.jobs[0]").isNull() | names_match(text_of(at("$.jobs[0].company_name")), name)),
+        "ashby": at("$.jobs").startswith("["),
+        "lever": whole.startswith("["),
+        "personio": F.ltrim(text_of(body)).startswith("<?xml"),
+        "smartrecruiters": at("$.content[0]").isNotNull() & names_match(text_of(at("$.content[0].company.name")), name),
+    }
+    return F.coalesce(*(F.when(ats == k, t) for k, t in tests.items()), F.lit(False))
+
+
+def probes_of(companies: DataFrame, answers: DataFrame) -> DataFrame:
+    """name, slug_ord, probe_ord, ats, slug and ok of every captured answer (slug, ats, body) to a company's slugs."""
+    slugs = companies.select("name", F.posexplode(slug_candidates(F.col("url"), F.col("name"))).alias("slug_ord", "slug"))
+    order = F.array_position(F.array(*map(F.lit, PROBES)), F.col("ats")) - 1
+    return slugs.join(answers, "slug").where(F.col("ats").isin(*PROBES)).select("name", "slug_ord", order.alias("probe_ord"), "ats", "slug", probe_ok(F.col("ats"), F.col("body"), F.col("name")).alias("ok"))
