@@ -71,7 +71,7 @@ def ledger(docs: DataFrame, carry: Column | None = None) -> DataFrame:
         "repeated_trigrams": 100 * F.col("n_repeat_words") > 50 * n,
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n),
         "symbols": 10 * F.col("n_symbols") > 3 * n,
-        "duplicate_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+        "duplicate_lines": (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
         "no_letters": 2 * F.col("n_letters") < F.col("word_chars"),
         "few_distinct_words": (n >= 50) & (100 * F.col("n_distinct_words") < 5 * n) & (F.col("n_distinct_words") < 100),
         "table_bars": 10 * F.col("n_bars") > n,
@@ -134,7 +134,7 @@ m AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > 3 * n_words
-    OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_letters < word_chars
+    OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR 2 * n_letters < word_chars
     OR (n_words >= 50 AND 100 * n_distinct < 5 * n_words AND n_distinct < 100)
     OR 10 * n_bars > n_words OR 2 * n_upper > n_letters) AS kept
 FROM b
