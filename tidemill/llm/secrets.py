@@ -146,7 +146,8 @@ def scan(docs: DataFrame, carry: Column | None = None) -> DataFrame:
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
-    rows = [F.transform(k, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))) for i, k in enumerate(kinds)]
+    placed = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))
+    rows = [F.transform(k, placed(i)) for i, k in enumerate(kinds)]
     names = F.array(*map(F.lit, kinds))
     return F.array_join(F.transform(F.array_sort(F.concat(*rows)), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
