@@ -225,12 +225,14 @@ def _pairs(prefixes: DataFrame, buckets: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped(batches):
             token, node, size, hot = (np.concatenate(x) for x in zip(*map(unpack_postings, parts), strict=True))
+            if not len(token):
+                continue
             order = np.lexsort((node, token))
             token, node, size, hot = token[order], node[order], size[order].astype(np.int64), hot[order].astype(np.int64)
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             token, node, size, hot = token[new], node[new], size[new], hot[new]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             last = np.concatenate([first[1:], [len(token)]]).astype(np.int64)
             end = np.repeat(last, last - first)
             left, right, gap, at = [], [], 1, np.arange(len(token))
