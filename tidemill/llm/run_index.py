@@ -13,15 +13,13 @@ from collections.abc import Sequence
 
 import numpy as np
 
-_SYMBOL = np.random.default_rng(7).integers(1, 1 << 63, 260, np.uint64) | np.uint64(1)
 _RADIX = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
-_END, _QUERY_END = 256, 257
 
 
-def suffix_order(symbols: np.ndarray, n_ends: int) -> np.ndarray:
+def suffix_order(symbols: np.ndarray, n_ends: int, alphabet: int) -> np.ndarray:
     """The suffix array of symbols, where values below n_ends are distinct ends of strings, by doubling."""
-    n, top = len(symbols), np.int64(n_ends + 257)
+    n, top = len(symbols), np.int64(n_ends + alphabet + 1)
     padded = np.concatenate([symbols + 1, np.zeros(2, np.int64)])
     key = (padded[:n] * top + padded[1 : n + 1]) * top + padded[2 : n + 2]
     order = np.argsort(key)
@@ -44,8 +42,10 @@ def suffix_order(symbols: np.ndarray, n_ends: int) -> np.ndarray:
 
 
 class RunIndex:
-    def __init__(self, strings: Sequence[np.ndarray]) -> None:
-        """strings: uint8 arrays, none of them empty."""
+    def __init__(self, strings: Sequence[np.ndarray], classes: Sequence[int] | None = None) -> None:
+        """strings: uint8 arrays, none of them empty; those of different classes have no byte in common."""
+        kinds = np.zeros(len(strings), np.int64) if classes is None else np.asarray(classes, np.int64)
+        self.end = 256 * (int(kinds.max()) + 1)
         size = np.array([len(s) for s in strings])
         n_ends = len(strings)
         self.n = int(size.sum()) + n_ends
@@ -53,10 +53,10 @@ class RunIndex:
         symbols = np.zeros(self.n, np.int64)
         body = np.ones(self.n, bool)
         body[ends] = False
-        symbols[body] = np.concatenate(strings).astype(np.int64) + n_ends
+        symbols[body] = np.concatenate(strings).astype(np.int64) + 256 * np.repeat(kinds, size) + n_ends
         symbols[ends] = np.arange(n_ends)
-        order = suffix_order(symbols, n_ends)
-        self.text = np.full(self.n, _END, np.int64)
+        order = suffix_order(symbols, n_ends, self.end)
+        self.text = np.full(self.n, self.end, np.int64)
         self.text[body] = symbols[body] - n_ends
         bwt = self.text[order - 1]  # before position 0 stands an end
         first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
@@ -68,11 +68,11 @@ class RunIndex:
         by_symbol = np.argsort(self.run_symbol, kind="stable")
         total = np.cumsum(length[by_symbol]) - length[by_symbol]
         group = self.run_symbol[by_symbol]
-        begin = np.searchsorted(group, np.arange(258))
+        begin = np.searchsorted(group, np.arange(self.end + 2))
         base = np.concatenate([total, [self.n]])[begin]
         self.before = np.empty(len(first), np.int64)
         self.before[by_symbol] = total - base[group]
-        counts = np.bincount(bwt, minlength=258)[:256]
+        counts = np.bincount(bwt, minlength=self.end + 1)[: self.end]
         self.starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) + n_ends  # first row of each byte's suffixes
         self.run_of = np.repeat(np.arange(len(first), dtype=np.int32), length)  # a rank directory for LF steps
         # Runs of each symbol in order, searchable by (symbol, run).
@@ -82,14 +82,14 @@ class RunIndex:
     def runs(self) -> int:
         return len(self.run_first)
 
-    def pointers(self, queries: Sequence[np.ndarray]) -> np.ndarray:
+    def pointers(self, queries: Sequence[np.ndarray], classes: Sequence[int] | None = None) -> np.ndarray:
         """For each byte of the queries in a row, a text position where the longest match of what starts there starts."""
         size = np.array([len(q) for q in queries])
         cut = np.cumsum(size + 1) - (size + 1)
-        flat = np.full(int((size + 1).sum()), _QUERY_END, np.int64)
+        flat = np.full(int((size + 1).sum()), self.end + 1, np.int64)
         keep = np.ones(len(flat), bool)
         keep[cut + size] = False
-        flat[keep] = np.concatenate(queries)
+        flat[keep] = np.concatenate(queries) + (0 if classes is None else 256 * np.repeat(np.asarray(classes, np.int64), size))
         self._hash(flat)
         out = np.full(len(flat), -1, np.int64)
         order = np.argsort(-size, kind="stable")
@@ -135,9 +135,10 @@ class RunIndex:
         powers = np.full(len(every) + 1, _RADIX, np.uint64)
         downs = np.full(len(every) + 1, _INVERSE, np.uint64)
         powers[0] = downs[0] = 1
+        table = np.random.default_rng(7).integers(1, 1 << 63, self.end + 2, np.uint64) | np.uint64(1)
         with np.errstate(over="ignore"):
             powers, self._down = np.cumprod(powers, dtype=np.uint64), np.cumprod(downs, dtype=np.uint64)
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SYMBOL[every] * powers[:-1], dtype=np.uint64)])
+            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[every] * powers[:-1], dtype=np.uint64)])
 
     def _equal(self, text_at: np.ndarray, place: np.ndarray, length) -> np.ndarray:
         """Whether text and queries agree over that length; False where either is too short."""
@@ -157,9 +158,9 @@ class RunIndex:
             step >>= 1
         return out
 
-    def matches(self, queries: Sequence[np.ndarray], length: int) -> np.ndarray:
+    def matches(self, queries: Sequence[np.ndarray], length: int, classes: Sequence[int] | None = None) -> np.ndarray:
         """For each byte of the queries in a row, whether the string of that length there is in the text."""
         size = np.array([len(q) for q in queries])
-        found = self.pointers(queries)
+        found = self.pointers(queries, classes)
         place = np.arange(len(found)) + np.repeat(np.arange(len(size)), size)
         return self._equal(found, place, length)

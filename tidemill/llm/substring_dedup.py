@@ -297,22 +297,24 @@ def _index(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
                 yield from mark(groups, head, texts)
 
     def mark(groups: list[np.ndarray], head: np.ndarray, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Each group's later half is streamed over an index of its earlier half; then all earlier halves are groups, and all later ones.
+        """Each group's later half is streamed over an index of its earlier half; then both halves are groups.
 
-        The two are kept apart, as an index must not hold what comes after a query.
+        A group has a class, and its halves have classes of their own: strings of different classes never
+        match, so what comes after a query cannot answer it, and one index does for all groups of a round.
         """
-        if groups := [g for g in groups if len(g) > 1]:
-            early = np.concatenate([g[: len(g) // 2] for g in groups])
-            late = np.concatenate([g[len(g) // 2 :] for g in groups])
-            hit = RunIndex([texts[i] for i in early]).matches([texts[i] for i in late], length)
+        now = [(g, 0) for g in groups]
+        while now := [(g, c) for g, c in now if len(g) > 1]:
+            early = np.concatenate([g[: len(g) // 2] for g, _ in now])
+            late = np.concatenate([g[len(g) // 2 :] for g, _ in now])
+            index = RunIndex([texts[i] for i in early], np.repeat([c for _, c in now], [len(g) // 2 for g, _ in now]))
+            hit = index.matches([texts[i] for i in late], length, np.repeat([c for _, c in now], [len(g) - len(g) // 2 for g, _ in now]))
             size = head[late, 3]
             who = np.repeat(late, size)[hit]
             place = (np.arange(len(hit)) - np.repeat(np.cumsum(size) - size, size))[hit]
             if len(who):
                 which, start, end = merged(who, place, place + length)
                 yield _rows(head[which, 0], head[which, 1], start + head[which, 2], end + head[which, 2], REMOVED)
-            yield from mark([g[: len(g) // 2] for g in groups], head, texts)
-            yield from mark([g[len(g) // 2 :] for g in groups], head, texts)
+            now = [h for g, c in now for h in ((g[: len(g) // 2], 2 * c), (g[len(g) // 2 :], 2 * c + 1))]
 
     return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND).select("id", "tie", "start", "end")
 
