@@ -266,6 +266,20 @@ def test_secrets(spark):
     assert clean[0] == (None,) and clean[2] == ("é [SECRET]\" ñ",) and clean[7] == ("key [SECRET] end",)
 
 
+def test_keys_stay_whatever_the_table_holds(spark):
+    r = random.Random(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(signs) for _ in range(40)) for _ in range(50)]
+    words = [f"{'abcdefgh'[i % 8] * 9}{i:03d}{'value' * 6}" for i in range(200)]
+    found = []
+    for n in (0, 99, 100, 300, 600):  # runs of letters, which once set the rule
+        plain = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(n)]
+        rows = spark.createDataFrame(list(enumerate([*keys, *words, *plain])), "doc_id long, text string")
+        got = rows_of(secrets.find_secrets(rows), "n_random")
+        found.append([got[i][0] for i in range(len(keys) + len(words))])
+    assert all(f == found[0] for f in found) and sum(found[0][:50]) >= 48 and sum(found[0][50:]) == 0
+
+
 def test_tokens_are_those_of_whole_texts():
     from tokenizers import Tokenizer
 

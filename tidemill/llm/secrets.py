@@ -6,16 +6,19 @@ over the alphabet, runs of characters above and below the alphabet's middle, and
 neighbouring characters. Each test is a squared normal score, so the worst of the three is one number
 that is small for keys and large for text.
 
-False discovery. What that number looks like on ordinary text is read off the corpus itself: the runs of
-letters of one case and those that have a digit nowhere are text. Their histogram by length gives each
-candidate the chance that text of its length looks as random, and a Benjamini-Hochberg threshold per
-length class over all candidates says which are kept. Both are sums over a fixed grid, whatever the
-number of documents.
+False discovery. The worst of three normal scores has a known distribution for random strings, so each
+candidate has the chance that a key looks as little random as it does. A Benjamini-Hochberg threshold per
+length class over all candidates says which are dismissed as text. A key is dismissed with a chance of
+about RATE at most, whatever else the table holds (normal approximation; README has the measured shares).
+The others are reported, and short text that passes the tests is among them: the rate holds for what is
+dismissed, not for what is reported. Candidates are counted over a fixed grid.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import erfc, sqrt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Patterns of the base by kind, in the order of ties, with the least length of what counts.
@@ -94,7 +97,7 @@ def _tests(v: Column) -> Column:
 
 
 def keyish(found: Column) -> Column:
-    """A candidate with digits and letters may be a key; the others are what text of that length looks like."""
+    """A candidate with digits and letters may be a key."""
     return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
 
 
@@ -109,23 +112,34 @@ def length_class(found: Column) -> Column:
     return out
 
 
+def chance(score: float) -> float:
+    """The chance that a random string's worst squared score is score or more; only a high chi-squared counts."""
+    tail = erfc(sqrt(score / 2))
+    return tail * (2 - tail) + (1 - tail) ** 2 * tail / 2
+
+
+def most_of(counts: dict[int, int]) -> int:
+    """The largest bin of the score that is kept, for the number of a class's candidates by bin: those above are dismissed."""
+    total, above, most = sum(counts.values()), 0, BINS - 2
+    for at in range(BINS - 1, -1, -1):
+        above += counts.get(at, 0)
+        if chance(at * BIN_WIDTH) * total <= RATE * above:
+            most = min(most, at - 1)
+    return most
+
+
 def thresholds(docs: DataFrame) -> dict[int, int]:
-    """Per length class, the largest bin of the score that false-discovery control lets through, over all documents.
+    """Per length class, the largest bin of the score that false-discovery control keeps, over all documents.
 
-    At most len(LENGTHS) * BINS sums leave the aggregation, and len(LENGTHS) rows reach the driver.
+    At most len(LENGTHS) * BINS sums leave the aggregation and reach the driver.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike(CANDIDATE), F.filter(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), keyish)).otherwise(F.array().cast("array<string>"))
     each = docs.select(F.explode(found).alias("found"))
-    grid = each.groupBy(length_class(F.col("found")).alias("class"), score_bin(F.col("found")).alias("bin")).agg(F.count_if(keyish(F.col("found"))).alias("n"), F.count_if(~keyish(F.col("found"))).alias("n_text"))
-    to_here = Window.partitionBy("class").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("class")
-    chance = (F.sum("n_text").over(to_here) + 1) / (F.sum("n_text").over(whole) + 1)
-    passed = chance * F.sum("n").over(whole) <= RATE * F.sum("n").over(to_here)
-    few = F.sum("n_text").over(whole) < 1 / RATE  # too little text of that length to tell by: three sigma
-    kept = grid.withColumn("ok", F.when(few, F.col("bin") * BIN_WIDTH < 9).otherwise(passed & (F.col("bin") < BINS - 1)))
-    rows = kept.groupBy("class").agg(F.max(F.when(F.col("ok"), F.col("bin"))).alias("most")).collect()
-    return {r["class"]: r["most"] for r in rows if r["most"] is not None}
+    counts: dict[int, dict[int, int]] = {}
+    for r in each.groupBy(length_class(F.col("found")).alias("class"), score_bin(F.col("found")).alias("bin")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["class"], {})[r["bin"]] = r["n"]
+    return {c: most_of(n) for c, n in counts.items()}
 
 
 def _random(text: Column, most: dict[int, int]) -> Column:
