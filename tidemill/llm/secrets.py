@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a randomness test battery with false-discovery control.
 
-Battery. Every run of 20 or more characters that could be a key gets an encoding (hexadecimal, base32,
+Battery. Every run of 20 or more characters that could be a key, and every piece of it between slashes,
+underscores or hyphens (each choice of those), gets an encoding (hexadecimal, base32,
 base64) from its alphabet, and three tests against a random string in it: chi-squared of its characters
 over the alphabet, runs of characters above and below the alphabet's middle, and serial correlation of
 neighbouring characters. Each test is a squared normal score, so the worst of the three is one number
@@ -28,8 +29,10 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-#: What the battery looks at: it holds a digit and a letter, as keys do and words don't.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the battery looks at: it holds a digit and a letter, as keys do and words don't. '=' is only padding at its end.
+CANDIDATE = r"[A-Za-z0-9+/_-]{18,}+==(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{19,}+=(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{20,}+"
+#: Pieces of a candidate that are looked at as well: what stands between separators of each choice.
+PIECES = tuple(f"[^{s}]{{20,}}" for s in ("/", "_", "\\-", "/_", "/\\-", "_\\-", "/_\\-"))
 #: Bins of the worst score, classes of length, and the false-discovery rate.
 BINS, BIN_WIDTH, LENGTHS, RATE = 200, 0.25, (20, 24, 32, 48, 64), 0.01
 
@@ -64,6 +67,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pieces(s: Column) -> Column:
+    """A span, and where its text has separators, what stands between them: (start, end, found) each, none twice."""
+    within = lambda pattern: F.transform(spans_of(s["found"], pattern), lambda p: F.struct((s["start"] + p["start"]).alias("start"), (s["start"] + p["end"]).alias("end"), p["found"].alias("found")))
+    return F.when(s["found"].rlike("[/_-]"), F.array_distinct(F.concat(F.array(s), *map(within, PIECES)))).otherwise(F.array(s))
+
+
+def candidates(text: Column) -> Column:
+    """All that the battery tests in a text: runs that may be keys, whole and in pieces."""
+    return F.filter(F.flatten(F.transform(_scanned(text, "random"), pieces)), lambda p: keyish(p["found"]))
+
+
 def worst_score(found: Column) -> Column:
     """The worst squared normal score of a candidate under the three tests, for its inferred encoding."""
     hexes, sixty = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"
@@ -134,18 +148,22 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
     At most len(LENGTHS) * BINS sums leave the aggregation and reach the driver.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.when(text.rlike(CANDIDATE), F.filter(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), keyish)).otherwise(F.array().cast("array<string>"))
-    each = docs.select(F.explode(found).alias("found"))
+    each = docs.select(F.explode(candidates(text)["found"]).alias("found"))
     counts: dict[int, dict[int, int]] = {}
     for r in each.groupBy(length_class(F.col("found")).alias("class"), score_bin(F.col("found")).alias("bin")).agg(F.count("*").alias("n")).collect():
         counts.setdefault(r["class"], {})[r["bin"]] = r["n"]
     return {c: most_of(n) for c, n in counts.items()}
 
 
-def _random(text: Column, most: dict[int, int]) -> Column:
-    found = lambda s: s["found"]
+def _random(text: Column, base: Column, most: dict[int, int]) -> Column:
+    """The spans of candidates that pass and touch no base span; of those that overlap, the longest."""
     limit = lambda f: F.coalesce(*(F.when(length_class(f) == c, F.lit(b)) for c, b in sorted(most.items())), F.lit(-1))
-    return F.filter(_scanned(text, "random"), lambda s: F.when(keyish(found(s)), score_bin(found(s)) <= limit(found(s))).otherwise(F.lit(False)))
+    meets = lambda s: lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    good = F.filter(candidates(text), lambda s: F.when(~F.exists(base, meets(s)), score_bin(s["found"]) <= limit(s["found"])).otherwise(F.lit(False)))
+    longest = F.array_sort(F.transform(good, lambda s: F.struct((s["start"] - s["end"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    taken = F.aggregate(longest, none, lambda acc, s: F.when(F.exists(acc, meets(s)), acc).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))))))
+    return F.when(text.rlike(CANDIDATE), taken).otherwise(none)
 
 
 def scan(docs: DataFrame, carry: Column | None = None) -> DataFrame:
@@ -154,9 +172,8 @@ def scan(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     also = [] if carry is None else [carry.alias("carry")]
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *also)
-    held = held.select("*", *(_scanned(F.col("text"), k).alias(k) for k in KINDS[:3]), _random(F.col("text"), most).alias("random"))
-    apart = lambda s: ~F.exists(F.concat(*KINDS[:3]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return held.withColumn("random", F.when(F.size("random") > 0, F.filter("random", apart)).otherwise(F.col("random")))
+    held = held.select("*", *(_scanned(F.col("text"), k).alias(k) for k in KINDS[:3]))
+    return held.withColumn("random", _random(F.col("text"), F.concat(*KINDS[:3]), most))
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
