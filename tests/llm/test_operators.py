@@ -237,6 +237,20 @@ def test_licenses(spark):
     assert {k: v for k, (v,) in rows_of(licenses.find_licenses(rows), "families").items()} == dict(enumerate(cases.values()))
 
 
+def test_licenses_by_short_names(spark):
+    cases = {
+        "MIT License": "mit", "ISC License": "isc", "Apache License 2.0": "apache", "Mozilla Public License 2.0": "mpl", "BSD 3-Clause License": "bsd", "GNU GPL v3": "gpl", "The Unlicense": "unlicense",
+        "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache", "License: GPL-3.0-or-later": "gpl", "License: LGPL-2.1": "lgpl", "SPDX-License-Identifier: AGPL-3.0-only": "agpl",
+        "License: CC-BY-SA-4.0": "cc", "SPDX-License-Identifier: BSD-2-Clause": "bsd", "License: ISC": "isc", "Licensed under the GPL": "gpl", "MPL-2.0": "mpl", "# License\n\nMIT License\n\nApache-2.0": "apache,mit",
+        "a student at mit got a driving license": "", "the license of the apache helicopter": "", "the isc needs a license to fish": "", "unlicensed drivers": "", "see the mit campus map; copyright 2020": "",
+    }
+    cases |= {t: f for f, ts in licenses.TEMPLATES.items() for t in ts}
+    cases |= {f"{a}{n}": f for f, ns in licenses.NAMES.items() for n in ns for a in ("", "License: ")}
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = rows_of(licenses.find_licenses(rows), "families")
+    assert {t: got[i][0] for i, t in enumerate(cases) if got[i][0] != cases[t]} == {}
+
+
 def base_spans(t):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.ASCII):

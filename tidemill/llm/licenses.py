@@ -3,7 +3,8 @@
 A paragraph is a line of a text. Its word 1- to 3-grams feed a sparse multinomial logistic regression
 over licence families and one class for anything else, trained on the templates below: whole, in parts
 and in the usual statements. A temperature and the unknown class's bias are set on variants left out of
-the fit. A predicted family counts only if the paragraph also holds enough of one of its templates.
+the fit. A predicted family counts only if the paragraph also holds enough of one of its templates, or
+one of its short names: with "license", as an SPDX id, or an abbreviation called a licence.
 Training runs on these few fixed texts; scoring is one expression over built-in functions.
 """
 
@@ -29,6 +30,21 @@ TEMPLATES = {
     "cc": ["this work is licensed under the creative commons attribution 4.0 international license", "creative commons attribution sharealike license cc by-sa 4.0", "creative commons attribution 4.0", "cc by 4.0", "cc by-sa 4.0", "cc by-nc 4.0", "cc by-nc-sa 4.0"],
     "unlicense": ["this is free and unencumbered software released into the public domain", "the unlicense"],
 }
+#: Short names: what is confirmed wherever it stands (names with "license" and SPDX ids), and what only counts as it is called below.
+_GNU = {"gpl": ("1.0", "2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("1.0", "3.0")}
+_GNU_IDS = {f: [f"{f}{m}{v}{s}" for v in versions for m in ("-", "v") for s in ("", "-only", "-or-later", "+")] + [f"{f}{m}{v[0]}{s}" for v in versions if v.endswith(".0") for m in ("-", "v") for s in ("", "+")] for f, versions in _GNU.items()}
+NAMES = {
+    "mit": ["mit license", "mit-0"], "apache": ["apache license", "apache software license", "apache-2.0", "apache-1.1", "apache-1.0"],
+    "gpl": ["gnu general public license", "gnu gpl", *_GNU_IDS["gpl"]],
+    "lgpl": ["gnu lesser general public license", "lesser general public license", "gnu library general public license", "gnu lgpl", *_GNU_IDS["lgpl"]],
+    "agpl": ["gnu affero general public license", "affero general public license", "gnu agpl", *_GNU_IDS["agpl"]],
+    "bsd": ["bsd license", "bsd 2-clause", "bsd 3-clause", "2-clause bsd", "3-clause bsd", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd"],
+    "mpl": ["mozilla public license", "mpl-2.0", "mpl-1.1", "mpl-1.0"], "isc": ["isc license"],
+    "cc": ["creative commons license", "creative commons attribution", *(f"cc{m}by{k.replace('-', m, 1)}{m}{v}" for m in (" ", "-") for k in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd") for v in ("3.0", "4.0")), *(f"cc by{k} {v}" for k in ("-sa", "-nc", "-nd", "-nc-sa", "-nc-nd") for v in ("3.0", "4.0")), "cc0-1.0", "cc0 1.0"],
+    "unlicense": ["the unlicense"],
+}
+ABBREVIATIONS = {"mit": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "mpl": "mpl", "isc": "isc", "unlicense": "unlicense"}
+CALLED = ("{} license", "license {}", "license the {}", "licensed under {}", "licensed under the {}", "released under {}", "released under the {}", "spdx-license-identifier {}")
 STATEMENTS = ("licensed under {}", "released under {}", "this program is licensed under {}", "this project is distributed under the terms of {}", "see the file for {}", "{}")
 #: What mentions licences without being one.
 OTHERS = (
@@ -40,7 +56,7 @@ OTHERS = (
 )
 FAMILIES = (*TEMPLATES, "unknown")
 #: A paragraph without any of these words has no feature that speaks for a family.
-CUE = r"(?i)licen[cs]|copyright|gnu|redistribut|permission|creative commons|public domain|unencumbered|mozilla|apache"
+CUE = r"(?i)licen[cs]|copyright|gnu|redistribut|permission|creative commons|public domain|unencumbered|mozilla|apache|\b[al]?gpl|\bmpl-|\b0?bsd\b|\bmit-0|\bcc[ -]by|\bcc0"
 #: Features kept, the least probability of a family, and the least share of a template's 3-grams.
 MOST_FEATURES, LEAST_PROBABILITY, LEAST_SHARE = 600, 0.5, 0.5
 _WORD = r"[^a-z0-9.+-]+"
@@ -65,6 +81,10 @@ def examples() -> list[tuple[list[str], int]]:
             else:
                 out += [(words(s.format(template)), y) for s in STATEMENTS]
                 out += [(words(s.format("the " + template)), y) for s in STATEMENTS]
+        called = [c.format(ABBREVIATIONS[family]) for c in CALLED if family in ABBREVIATIONS]
+        # The ids of Creative Commons are so many that each weighs little by itself.
+        after = [f"license {n}" for n in NAMES[family] if family == "cc" and " " not in n]
+        out += [(words(t), y) for t in (*NAMES[family], *after, *called)]
     return out + [(words(t), len(TEMPLATES)) for t in OTHERS]
 
 
@@ -117,7 +137,7 @@ def _let(value: Column, body) -> Column:
 
 
 def classify(paragraph: Column) -> Column:
-    """struct(family, probability, share) of a paragraph: family by the classifier, share of its best template's 3-grams."""
+    """struct(family, probability, share) of a paragraph: family by the classifier, share of its best template's 3-grams, or 1 if it holds a short name."""
     weights, bias, temperature = train()
     table = F.create_map(*(x for g, w in sorted(weights.items()) for x in (F.lit(g), F.array(*map(F.lit, w)))))
     zeros = F.array(*[F.lit(0.0)] * len(FAMILIES))
@@ -131,14 +151,14 @@ def classify(paragraph: Column) -> Column:
         threes = F.array_distinct(F.transform(upto(3), lambda i: join(t, i, 3)))
         total = F.aggregate(F.transform(each, lambda g: F.coalesce(F.try_element_at(table, g), zeros)), zeros, lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
         scores = F.zip_with(total, F.array(*map(F.lit, bias)), lambda s, b: (s / F.sqrt(F.size(t).cast("double")) + b) / temperature)
-        return _let(F.struct(scores.alias("scores"), threes.alias("threes")), decide)
+        return _let(F.struct(scores.alias("scores"), threes.alias("threes"), F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).alias("line")), decide)
 
     def decide(v: Column) -> Column:
         top = F.array_max(v["scores"])
         total = F.aggregate(v["scores"], F.lit(0.0), lambda a, s: a + F.exp(s - top))
         family = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(v["scores"], top).cast("int"))
         shares = [
-            F.when(family == name, F.greatest(*(_share(v["threes"], t) for t in (*TEMPLATES[name], TEMPLATES[name][0]))))
+            F.when((family == name) & v["line"].rlike(named(name)), F.lit(1.0)).when(family == name, F.greatest(*(_share(v["threes"], t) for t in (*TEMPLATES[name], TEMPLATES[name][0]))))
             for name in TEMPLATES
         ]
         return F.struct(family.alias("family"), (1 / total).alias("probability"), F.coalesce(*shares, F.lit(0.0)).alias("share"))
@@ -146,6 +166,12 @@ def classify(paragraph: Column) -> Column:
     return _let(tokens, of_tokens)
 
 
+def named(family: str) -> str:
+    """A pattern for a line of words, in blanks, that holds a short name of the family."""
+    called = [c.format(ABBREVIATIONS[family]) for c in CALLED if family in ABBREVIATIONS]
+    return f" ({'|'.join(re.escape(n) for n in sorted({*NAMES[family], *called}))}) "
+
+
 def _share(threes: Column, template: str) -> Column:
     """The share of a template's 3-grams that a paragraph holds; of long templates, its share of the paragraph counts as well."""
     own = sorted(set(grams(template.split(), (min(3, len(template.split())),))))
