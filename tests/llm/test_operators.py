@@ -227,6 +227,16 @@ def test_keep_one(spark, docs, odd):
     assert jaccard_join.keep_one(odd).count() >= 3
 
 
+def test_keep_one_by_row(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = lambda k: texts[k] + " tail"
+    rows = [(3, texts["a"]), (7, near("a")), (7, texts["b"]), (None, near("a")), (None, texts["c"]), (None, near("c")), (9, texts["d"]), (9, near("d")), (9, texts["d"]), (5, ""), (5, ""), (6, ""), (None, None)]
+    out = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    one = lambda i, k: [r for r in out if r in ((i, texts[k]), (i, near(k)))]
+    assert [len(one(i, k)) for i, k in ((3, "a"), (7, "a"), (7, "b"), (None, "a"), (None, "c"), (9, "d"))] == [1, 0, 1, 0, 1, 1]
+    assert sorted(r[0] for r in out if r[1] == "") == [5, 6] and out.count((None, None)) == 1 and len(out) == 7
+
+
 def test_licenses(spark):
     cases = {
         "This work is licensed under the GNU General Public License, version 3.": "gpl", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache",

@@ -431,17 +431,22 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQ
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """One document of each component, all columns: that with the smallest doc_id.
+    """One row of each component, all columns: one with the smallest doc_id, null ids last.
 
-    Documents without words stay, as they link with nothing. Rows with a null doc_id stay where their
-    component has no doc_id, one of them for each text; of rows with equal doc_ids and texts, one stays.
+    Documents without words stay, as they link with nothing; of those with equal doc_ids and texts, one
+    stays. Where doc_ids repeat, rows are linked by a key of their own that follows the order of doc_ids.
     """
-    linked = staged(link_documents(docs, percent, frequent).select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__to")).distinct(), "linked")
-    heads = linked.where((F.col("__n") == 0) | F.col("__id").eqNullSafe(F.col("__to"))).select("__id").distinct()
-    kept = docs.join(heads, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    twice = docs.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    twice = staged(twice, "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    same = kept.doc_id.eqNullSafe(twice["__id"])
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    own = F.col("doc_id").cast("long")
+    repeated = not docs.groupBy(own.alias("__id")).count().where("count > 1").isEmpty()
+    if repeated:
+        placed = docs.withColumn("__at", F.monotonically_increasing_id()).orderBy(own.asc_nulls_last(), F.xxhash64("text"), "__at")
+        docs, columns = staged(placed.withColumn("__key", F.monotonically_increasing_id()).drop("__at"), "keyed"), docs.columns
+        linked = link_documents(docs.select(F.col("__key").alias("doc_id"), "text"), percent, frequent)
+    else:
+        linked = link_documents(docs, percent, frequent)
+    linked = staged(linked.select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__to")), "linked")
+    heads = linked.where((F.col("__n") == 0) | F.col("__id").eqNullSafe(F.col("__to"))).select("__id", "__n")
+    if not repeated:
+        return docs.join(heads, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    kept = docs.join(heads, docs["__key"] == heads["__id"])
+    return kept.where("__n > 0").unionByName(kept.where("__n = 0").dropDuplicates(["doc_id", "text"])).select(*columns)
