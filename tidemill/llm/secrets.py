@@ -22,6 +22,8 @@ from math import erfc, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import BLOCK, let, running
+
 #: Patterns of the base by kind, in the order of ties, with the least length of what counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -37,22 +39,28 @@ PIECES = tuple(f"[^{s}]{{20,}}" for s in ("/", "_", "\\-", "/_", "/\\-", "_\\-",
 BINS, BIN_WIDTH, LENGTHS, RATE = 200, 0.25, (20, 24, 32, 48, 64), 0.01
 
 
+_SPANS = "array<struct<start:int,end:int,found:string>>"
+
+
+def _none() -> Column:
+    return F.array().cast(_SPANS)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """(start, end, found) of every match, leftmost and non-overlapping, in code points."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    lens = F.transform(F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.length(g)).alias("gap"), found.alias("found")), lambda x: F.struct(x["gap"].alias("gap"), x["found"].alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
+    def placed(v: Column) -> Column:
+        sized = F.transform(F.slice(v["gaps"], 1, F.size(v["found"])), lambda g, i: F.length(g) + F.length(F.get(v["found"], i)))
+        ends = let(F.struct(v["found"].alias("found"), sized.alias("sized"), running(sized, lambda a, x: a + x).alias("before")), lambda w: F.transform(
+            w["found"], lambda f, i: F.struct((F.get(w["before"], i) + F.get(w["sized"], i) - F.length(f)).alias("start"), (F.get(w["before"], i) + F.get(w["sized"], i)).alias("end"), f.alias("found"))))
+        return ends
 
-    return F.aggregate(lens, start, step, lambda acc: acc["out"])
+    return let(F.struct(gaps.alias("gaps"), found.alias("found")), placed)
 
 
 def _scanned(text: Column, kind: str) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    none = _none()
     if kind == "assign":
         value = lambda s: F.length(F.regexp_extract(s["found"], "(?s)^" + ASSIGN + "$", 2)) >= ASSIGN_LEAST
         return F.when(text.rlike(ASSIGN), F.filter(spans_of(text, ASSIGN), value)).otherwise(none)
@@ -62,15 +70,11 @@ def _scanned(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), spans_of(text, pattern)).otherwise(none)
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def pieces(s: Column) -> Column:
     """A span, and where its text has separators, what stands between them: (start, end, found) each, none twice."""
     within = lambda pattern: F.transform(spans_of(s["found"], pattern), lambda p: F.struct((s["start"] + p["start"]).alias("start"), (s["start"] + p["end"]).alias("end"), p["found"].alias("found")))
-    return F.when(s["found"].rlike("[/_-]"), F.array_distinct(F.concat(F.array(s), *map(within, PIECES)))).otherwise(F.array(s))
+    once = lambda v: F.filter(v, lambda p, i: (i == 0) | ((p["start"] != F.get(v, i - 1)["start"]) | (p["end"] != F.get(v, i - 1)["end"])))
+    return F.when(s["found"].rlike("[/_-]"), let(F.sort_array(F.concat(F.array(s), *map(within, PIECES))), once)).otherwise(F.array(s))
 
 
 def candidates(text: Column) -> Column:
@@ -94,8 +98,10 @@ def worst_score(found: Column) -> Column:
 def _tests(v: Column) -> Column:
     codes, k = v["codes"], v["k"]
     n = F.size(codes).cast("double")
-    # A code equals another at as many places as its count, so equal pairs give the sum of squared counts.
-    squares = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.size(F.filter(codes, lambda d: d == c)))
+    # In order, equal codes are neighbours: the i-th of a run of them adds 2 i - 1, so a run of c adds c * c.
+    run = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("nth"), F.lit(0.0).alias("sum"))
+    nth = lambda a, c: F.when(a["last"] == c, a["nth"] + 1).otherwise(F.lit(1))
+    squares = F.aggregate(F.sort_array(codes), run, lambda a, c: F.struct(c.alias("last"), nth(a, c).alias("nth"), (a["sum"] + 2 * nth(a, c) - 1).alias("sum")), lambda a: a["sum"])
     chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
     high = F.size(F.filter(codes, lambda c: c >= k / 2)).cast("double")
     pairs = F.arrays_zip(F.slice(codes, 1, F.size(codes) - 1).alias("a"), F.slice(codes, 2, F.size(codes) - 1).alias("b"))
@@ -155,15 +161,36 @@ def thresholds(docs: DataFrame) -> dict[int, int]:
     return {c: most_of(n) for c, n in counts.items()}
 
 
+def _meets(s: Column):
+    return lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+
+
+def apart(spans: Column, own) -> Column:
+    """own(cluster) of each cluster of spans that overlap, one after the other; no span meets one of another cluster."""
+
+    def clustered(v: Column) -> Column:
+        reach = running(F.transform(v, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        firsts = let(reach, lambda r: F.filter(F.transform(v, lambda s, i: F.when(s["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
+        return let(firsts, lambda at: F.flatten(F.transform(at, lambda i, k: own(F.slice(v, i + 1, F.coalesce(F.get(at, k + 1), F.size(v)) - i)))))
+
+    return let(F.sort_array(spans), clustered)
+
+
 def _random(text: Column, base: Column, most: dict[int, int]) -> Column:
     """The spans of candidates that pass and touch no base span; of those that overlap, the longest."""
     limit = lambda f: F.coalesce(*(F.when(length_class(f) == c, F.lit(b)) for c, b in sorted(most.items())), F.lit(-1))
-    meets = lambda s: lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
-    good = F.filter(candidates(text), lambda s: F.when(~F.exists(base, meets(s)), score_bin(s["found"]) <= limit(s["found"])).otherwise(F.lit(False)))
-    longest = F.array_sort(F.transform(good, lambda s: F.struct((s["start"] - s["end"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))))
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    taken = F.aggregate(longest, none, lambda acc, s: F.when(F.exists(acc, meets(s)), acc).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))))))
-    return F.when(text.rlike(CANDIDATE), taken).otherwise(none)
+    # Where base spans are few, what meets them needs no test; the clusters see to it in any case.
+    free = lambda s, b: (F.size(b) > BLOCK) | ~F.exists(b, _meets(s))
+    good = lambda b: F.filter(candidates(text), lambda s: F.when(free(s, b), score_bin(s["found"]) <= limit(s["found"])).otherwise(F.lit(False)))
+    entry = lambda is_base: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(is_base).alias("base"), s["found"].alias("found"))
+
+    def longest(cluster: Column) -> Column:
+        mine = F.array_sort(F.transform(F.filter(cluster, lambda s: ~s["base"]), lambda s: F.struct((s["start"] - s["end"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["found"].alias("found"))))
+        taken = F.aggregate(mine, F.filter(cluster, lambda s: s["base"]), lambda acc, s: F.when(F.exists(acc, _meets(s)), acc).otherwise(F.concat(acc, F.array(entry(False)(s)))))
+        return F.transform(F.filter(taken, lambda s: ~s["base"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
+
+    every = let(base, lambda b: let(good(b), lambda g: F.when(F.size(g) > 0, apart(F.concat(F.transform(b, entry(True)), F.transform(g, entry(False))), longest)).otherwise(_none())))
+    return F.when(text.rlike(CANDIDATE), every).otherwise(_none())
 
 
 def scan(docs: DataFrame, carry: Column | None = None) -> DataFrame:
@@ -195,17 +222,32 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(KINDS[:3]).cast("binary"), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
 
 
+def _replaced(text: Column, spans: Column, mark: str) -> Column:
+    """text with each of these spans, in order and apart, replaced by mark.
+
+    A substring is found by counting from the start, so the text is first cut into stretches of BLOCK
+    spans, and these into what lies before each span.
+    """
+    blocks = F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK)), lambda i: F.slice(spans, i, BLOCK))).otherwise(F.array().cast("array<array<struct<start:int,end:int>>>"))
+
+    def stretch(all_: Column):
+        def cut(block: Column, k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.element_at(F.get(all_, k - 1), -1)["end"])
+            part = F.substring(text, begin + 1, F.element_at(block, -1)["start"] - begin)
+            gap = lambda p: lambda s, i: F.substring(p, F.when(i == 0, F.lit(0)).otherwise(F.get(block, i - 1)["end"] - begin) + 1, s["start"] - F.when(i == 0, begin).otherwise(F.get(block, i - 1)["end"]))
+            return let(part, lambda p: F.concat(F.array_join(F.transform(block, gap(p)), mark), F.lit(mark)))
+
+        return F.concat(F.array_join(F.transform(all_, cut), ""), F.substring(text, F.element_at(F.element_at(all_, -1), -1)["end"] + 1, F.length(text)))
+
+    return let(blocks, stretch)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents, all columns, with each stretch of secret characters replaced by mark; null text stays null."""
     found = scan(docs, F.struct(*(docs[c] for c in docs.columns)))
-    spans = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS)))
-    text = F.col("text")
-
-    def step(acc, s):
-        gap = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], gap).otherwise(F.lit(""))).alias("out"))
-
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    spans = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
+    union = apart(spans, lambda c: F.array(F.struct(F.get(c, 0)["start"].alias("start"), F.array_max(F.transform(c, lambda s: s["end"])).alias("end"))))
+    clean = let(union, lambda u: _replaced(F.col("text"), u, mark))
     n = sum((F.size(k) for k in KINDS), F.lit(0))
     found = found.withColumn("clean", F.when(n > 0, clean).otherwise(F.col("carry.text")))
     return found.select(*(F.col("clean").alias("text") if c == "text" else F.col("carry")[c].alias(c) for c in docs.columns))
