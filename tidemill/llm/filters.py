@@ -46,13 +46,13 @@ class Filter:
         return joined.withColumn(name, hit).drop("__place", "__piece", "__bits")
 
 
-def filter_of(keys: DataFrame, name: str = "filter") -> Filter:
+def filter_of(keys: DataFrame, name: str = "filter", outside: bool = False) -> Filter:
     """The filter of a table of one long column, which is read twice."""
     key = F.col(keys.columns[0])
     bits = size_for(keys.count())
     place = F.pmod(key, F.lit(bits)) + 1
     pieces = keys.select(place.alias("nth")).groupBy((F.bitmap_bucket_number("nth") - 1).cast("int").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("nth")).alias("bits"))
-    return Filter(bits, staged(pieces, name))
+    return Filter(bits, staged(pieces, name, outside))
 
 
 def inside(packed: np.ndarray, values: np.ndarray) -> np.ndarray:

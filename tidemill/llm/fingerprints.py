@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
+from .filters import Filter, filter_of
 
 #: Documents in an ordered run, and the number of runs beyond which runs grow instead.
 RUN_DOCS, MOST_RUNS = 1000, 20_000
-#: Bits of the filters that say which hashes or ids may be wanted: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
 _LOWEST = -(1 << 63)
 
 
@@ -50,45 +49,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     hashed = staged(plain.mapInArrow(run, "doc_id long, fingerprint string"), "fingerprints")
-    repeated = hashed.groupBy(F.col("fingerprint").alias("hash")).count().where("count > 1").select("hash")
-    forms = _forms(plain, _filter_of(repeated.select(_place(F.col("hash")).alias("at"))))
+    repeated = staged(hashed.groupBy(F.col("fingerprint").alias("hash")).count().where("count > 1").select("hash"), "repeated")
+    forms = _forms(plain, filter_of(repeated.select(F.xxhash64("hash").alias("at"))))
     return _told_apart(hashed.withColumn("hash", F.col("fingerprint")), forms, ["fingerprint"]).drop("hash")
 
 
-def _place(value) -> F.Column:
-    """Where a hash or an id stands in a filter."""
-    return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
-
-
-def _filter_of(places: DataFrame) -> DataFrame:
-    """A bitmap of the places in column at, in pieces of 4 kB: at most FILTER_BITS / 32768 rows."""
-    return places.withColumn("nth", F.col("at") + 1).groupBy(F.bitmap_bucket_number("nth").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("nth")).alias("bits"))
-
-
-def _wanted(pieces: DataFrame, value) -> F.Column:
-    """Whether a value may be in the filter; its size is fixed, so it goes to every task."""
-    known = {r["piece"]: bytes(r["bits"]) for r in pieces.collect()}
-    bits = np.zeros(FILTER_BITS, bool)
-    for piece, raw in known.items():
-        bits[(piece - 1) * 32768 : piece * 32768] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
-    packed = docs_broadcast(pieces, np.packbits(bits, bitorder="little"))
-
-    @F.pandas_udf("boolean")
-    def inside(at):
-        import pandas as pd
-
-        table = packed.value
-        places = at.to_numpy(np.int64)
-        return pd.Series((table[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool))
-
-    return inside(_place(value))
-
-
-def docs_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
-def _forms(plain: DataFrame, pieces: DataFrame) -> DataFrame:
+def _forms(plain: DataFrame, wanted: Filter) -> DataFrame:
     """doc_id, hash and canonical form of the documents whose hash may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +62,7 @@ def _forms(plain: DataFrame, pieces: DataFrame) -> DataFrame:
             forms = [canonical(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], names=["doc_id", "hash", "form"])
 
-    return plain.mapInArrow(run, "doc_id long, hash string, form binary").where(_wanted(pieces, F.col("hash")))
+    return wanted.marked(plain.mapInArrow(run, "doc_id long, hash string, form binary"), F.xxhash64("hash"), "wanted").where("wanted").drop("wanted")
 
 
 def _told_apart(rows: DataFrame, forms: DataFrame, columns: list[str]) -> DataFrame:
@@ -193,7 +159,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     own, other = F.col("fingerprint"), F.col("edited_fingerprint")
     hashes = rows.select(F.explode(F.when(own == other, F.array(own)).otherwise(F.array(own, other))).alias("hash"))
     repeated = staged(hashes.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
-    forms = _forms(plain.select("doc_id", "text"), _filter_of(repeated.select(_place(F.col("hash")).alias("at"))))
+    forms = _forms(plain.select("doc_id", "text"), filter_of(repeated.select(F.xxhash64("hash").alias("at"))))
     edits = rows.where(own != other).join(repeated, other == F.col("hash"), "left_semi").select("doc_id", "next_id", "edited_fingerprint")
     edits = staged(edits, "repeated-edits")
     if not edits.isEmpty():
@@ -203,8 +169,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
 def _edited_forms(plain: DataFrame, edits: DataFrame) -> DataFrame:
     """The canonical forms of edited texts whose hashes are repeated, made again from their two documents."""
-    ids = edits.select(F.explode(F.array("doc_id", "next_id")).alias("x")).select(_place(F.coalesce("x", F.lit(_LOWEST))).alias("at"))
-    texts = plain.where(_wanted(_filter_of(ids), F.col("id"))).select(F.col("id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = edits.select(F.explode(F.array("doc_id", "next_id")).alias("x")).select(F.xxhash64(F.coalesce("x", F.lit(_LOWEST))).alias("at"))
+    texts = filter_of(ids).marked(plain, F.xxhash64("id"), "wanted").where("wanted").select("id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = edits.withColumn("a", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("b", F.coalesce("next_id", F.lit(_LOWEST)))
     both = keyed.join(texts.withColumnRenamed("id", "a"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "following"), "b")
 
