@@ -2,12 +2,15 @@
 
 Every string of LENGTH bytes has an anchor: the least-hashed GRAM-byte string in it. Equal strings have
 equal anchors, so stretches of text, each the strings of one anchor occurrence, are dealt out by anchor.
-Stretches of equal content need no index: all but the first are removed, which is settled where they are
+Copies are pre-aggregated: of stretches of equal content all but the first are removed, where they are
 read as far as possible, so no group of copies gathers anywhere. The different stretches of an anchor go
 to an index: the earlier half of them is indexed by a run-compressed Burrows-Wheeler transform, the later
 half is streamed over it for matching statistics, every string matched over its whole length is marked,
-and each half is treated likewise. An anchor with more than BUSY different stretches (the edge of a
-passage that very many documents share) is dealt out again string by string.
+and each half, without what is marked at its edges, is treated likewise.
+
+An index is built in one task, so an anchor's stretches must fit one. Those of an anchor with more than
+BUSY of them (the edge of a passage that thousands of documents share), or with too many of them already
+where they are read, are dealt out string by string instead, and their copies are pre-aggregated again.
 """
 
 from __future__ import annotations
@@ -17,28 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, scope, staged
+from .filters import filter_of
 from .hashing import Prefix, mix64, raw_of, slices
-from .jaccard_join import FILTER_BITS, _bits, filter_of, grouped, inside
+from .jaccard_join import buckets_for, grouped
 from .run_index import RunIndex
 
 LENGTH, GRAM = 100, 32
-#: Different stretches of an anchor that one index takes.
-BUSY = 64
-#: Stretches that a task compares before it hands them on; bytes read at once; documents per bucket.
-HELD, SLICE_BYTES, BUCKET_DOCS = 1_000_000, 2_000_000, 4000
+#: Different stretches of an anchor that one index takes, and that one reading task hands on at least.
+BUSY, LEAST_BUSY = 4096, 8
+#: Stretches that a task compares before it hands them on; bytes read at once; bytes of text for a stretch, about.
+HELD, SLICE_BYTES, STRETCH_BYTES = 500_000, 1_500_000, 30
 #: Bytes of stretches that one index is built from, at most (but for one anchor's).
-INDEX_BYTES = 3_000_000
+INDEX_BYTES = 2_000_000
 _NO_ID = -(1 << 63)
 
 
-def buckets_for(n_docs: int) -> int:
-    return max(8, -(-n_docs // BUCKET_DOCS))
-
-
 def stretches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """anchor hash, content hash, document, first string's start and number of strings of every stretch, in order."""
     empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
@@ -116,9 +116,9 @@ def _rows(id_, tie, start, end, kind: int, anchor=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
-def _blobs(blobs: list[bytes]) -> pa.RecordBatch:
+def _blobs(buckets: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
     n = len(blobs)
-    columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+    columns = [pa.array(buckets.astype(np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
@@ -140,8 +140,20 @@ def _removed(columns: list[np.ndarray], length: int) -> pa.RecordBatch:
     return _rows(known[doc, 0], known[doc, 1], begin, end, REMOVED)
 
 
-def _read(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Stretches per bucket of anchors, one per content and task, and the removed bytes of the others."""
+def _packed(columns: list[np.ndarray], bucket: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The entries of each bucket that has some."""
+    order = np.argsort(bucket, kind="stable")
+    some, first = np.unique(bucket[order], return_index=True)
+    columns = [c[order] for c in columns]
+    return some, [Entries.pack([c[a:b] for c in columns]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+
+
+def _read(docs: DataFrame, buckets: int, length: int, most: int) -> DataFrame:
+    """Stretches per bucket of anchors, one per content and task, and the removed bytes of the others.
+
+    An anchor with more than most of them is marked in its bucket by an entry of no strings, and its
+    stretches go to buckets of contents, which are the negative ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -152,11 +164,17 @@ def _read(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             if not first.all():
                 yield _removed([c[order[~first]] for c in columns], length)
             columns = [c[order[first]] for c in columns]
-            bucket = (columns[0] >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            columns = [c[order] for c in columns]
-            yield _blobs([Entries.pack([c[a:b] for c in columns]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+            head = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+            each = np.diff(np.concatenate([head, [len(columns[0])]]))
+            hot = np.repeat(each > most, each)
+            if hot.any():
+                spread = mix64(columns[0] ^ mix64(columns[1]))[hot] % np.uint64(buckets)
+                yield _blobs(*_packed([c[hot] for c in columns], -1 - spread.astype(np.int64)))
+                keep = ~hot
+                keep[head[each > most]] = True
+                columns[5] = np.where(hot, 0, columns[5])
+                columns = [c[keep] for c in columns]
+            yield _blobs(*_packed(columns, ((columns[0] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)))
 
         for batch in batches:
             ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -177,8 +195,11 @@ def _meet(blobs: DataFrame, buckets: int, length: int, busy: int) -> DataFrame:
     """What can be told of each anchor's stretches by their contents, and which of them need an index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in grouped(batches):
+        for bucket, parts in grouped(batches):
             columns = [np.concatenate(x) for x in zip(*map(Entries.unpack, parts), strict=True)]
+            marked = np.unique(columns[0][columns[5] == 0])
+            if len(marked):
+                columns = [c[columns[5] > 0] for c in columns]
             if not len(columns[0]):
                 continue
             order, first = _firsts(columns)
@@ -187,8 +208,10 @@ def _meet(blobs: DataFrame, buckets: int, length: int, busy: int) -> DataFrame:
                 yield _removed([c[~first] for c in columns], length)
             anchor, _, id_, tie, start, n = (c[first] for c in columns)
             head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            count = np.repeat(np.diff(np.concatenate([head, [len(anchor)]])), np.diff(np.concatenate([head, [len(anchor)]])))
-            for kind, some in ((WANTED, (count > 1) & (count <= busy)), (SPLIT, count > busy)):
+            each = np.diff(np.concatenate([head, [len(anchor)]]))
+            count = np.repeat(each, each)
+            split = (count > busy) | np.isin(anchor, marked) if bucket >= 0 else np.ones(len(anchor), bool)
+            for kind, some in ((WANTED, (count > 1) & ~split), (SPLIT, split)):
                 if some.any():
                     yield _rows(id_[some], tie[some], start[some], start[some] + n[some] + length - 1, kind, anchor[some])
 
@@ -222,11 +245,8 @@ def _cut_out(both: DataFrame, buckets: int, length: int) -> DataFrame:
                 n = gone.num_rows
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(gone.column(i) for i in (2, 3, 4, 5))], names=names)
             columns = [c[order[first]] for c in columns]
-            bucket = columns[0] % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            blobs = [Entries.pack([c[order[i:j]] for c in columns]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(buckets, dtype=np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(buckets, pa.int64()) for _ in range(4))], names=names)
+            some, blobs = _packed(columns, (columns[0] % np.uint64(buckets)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype(np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(len(some), pa.int64()) for _ in range(4))], names=names)
 
         held, size, split, n_split = [], 0, [], 0
         for batch in batches:
@@ -246,7 +266,7 @@ def _cut_out(both: DataFrame, buckets: int, length: int) -> DataFrame:
                 if size >= 8_000_000:
                     yield hand_on(held)
                     held, size = [], 0
-                if n_split >= 500_000:
+                if n_split >= HELD:
                     yield from strings(split)
                     split, n_split = [], 0
         if held:
@@ -299,6 +319,9 @@ def _index(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
     def mark(groups: list[np.ndarray], head: np.ndarray, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Each group's later half is streamed over an index of its earlier half; then both halves are groups.
 
+        What is found needs no comparison any more, for what equals it is found in the earlier half as
+        well: later halves go on without their found ends.
+
         A group has a class, and its halves have classes of their own: strings of different classes never
         match, so what comes after a query cannot answer it, and one index does for all groups of a round.
         """
@@ -314,7 +337,18 @@ def _index(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
             if len(who):
                 which, start, end = merged(who, place, place + length)
                 yield _rows(head[which, 0], head[which, 1], start + head[which, 2], end + head[which, 2], REMOVED)
-            now = [h for g, c in now for h in ((g[: len(g) // 2], 2 * c), (g[len(g) // 2 :], 2 * c + 1))]
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            at = np.arange(len(hit)) - np.repeat(begin, size)
+            left = ~hit & (at <= np.repeat(size, size) - length)
+            first = np.minimum.reduceat(np.where(left, at, len(at)), begin)
+            last = np.maximum.reduceat(np.where(left, at, -1), begin)
+            for i, a, b in zip(late[last >= 0].tolist(), first[last >= 0].tolist(), (last[last >= 0] + length).tolist(), strict=True):
+                texts[i] = texts[i][a:b]
+                head[i, 2] += a
+                head[i, 3] = b - a
+            known = np.zeros(len(head), bool)
+            known[late[last < 0]] = True
+            now = [h for g, c in now for h in ((g[: len(g) // 2], 2 * c), (g[len(g) // 2 :][~known[g[len(g) // 2 :]]], 2 * c + 1))]
 
     return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND).select("id", "tie", "start", "end")
 
@@ -327,46 +361,18 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, busy: int = BUSY) ->
     order of a hash of their texts, and of repeated rows all but one count as later. Null text is empty;
     texts shorter than the length lose nothing; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
-    plain = keyed.select("id", "tie", "text")
-    buckets = buckets_for(plain.count())
-    twice = plain.groupBy("id", "tie").count().where("count > 1").select("id", "tie")
-    twice = staged(twice, "repeated-rows")
-    repeated = not twice.isEmpty()
-    if repeated:
-        plain = plain.join(twice, ["id", "tie"], "left_anti").unionAll(plain.join(twice, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"]))
-    first = staged(_read(plain, buckets, length), "stretches")
-    met = staged(_meet(first.where("bucket is not null").select("bucket", "blob"), buckets, length, busy), "met")
-    removed = staged(first.where("bucket is null").select("id", "tie", "start", "end"), "removed")
-    drop_staged(first)
-    where = F.pmod(F.xxhash64("id", "tie"), F.lit(FILTER_BITS))
-
-    def holding(rows: DataFrame):
-        bits = spark.sparkContext.broadcast(_bits(spark, filter_of(rows.select(where.alias("at")).distinct())))
-
-        @F.pandas_udf("boolean")
-        def may_hold(at):
-            import pandas as pd
-
-            return pd.Series(inside(bits.value, at.to_numpy(np.int64)))
-
-        return may_hold(where)
-
-    asked = met.where(f"kind > {REMOVED}")
-    wanted = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end", "kind", "anchor")).alias("wanted"))
-    both = plain.where(holding(asked)).join(wanted, ["id", "tie"]).select("id", "tie", "text", "wanted")
-    parts = staged(_cut_out(both, buckets, length), "cut-out")
-    blobs = parts.select("bucket", "blob")
-    indexed = _index(blobs.where("bucket >= 0"), buckets, length)
-    later = _later_strings(blobs.where("bucket < 0"), buckets, length).unionByName(parts.where("bucket is null").select("id", "tie", "start", "end"))
-    spans = staged(removed.unionByName(met.where(f"kind = {REMOVED}").select("id", "tie", "start", "end")).unionByName(indexed).unionByName(later), "spans")
-    for done in (removed, met, parts):
-        drop_staged(done)
-    by_doc = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    touched = holding(spans)
-    marked = keyed.withColumn("touched", touched)
+    with scope(docs.sparkSession):
+        twice = staged(keyed.groupBy("id", "tie").count().where("count > 1").select("id", "tie"), "repeated-rows", outside=True)
+        repeated = not twice.isEmpty()
+        plain = keyed.select("id", "tie", "text")
+        if repeated:
+            plain = plain.join(twice, ["id", "tie"], "left_anti").unionAll(plain.join(twice, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"]))
+        spans = _spans(plain, length, busy)
+        by_doc = staged(spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans-by-document", outside=True)
+        touched = filter_of(by_doc.select(F.xxhash64("id", "tie").alias("at")), outside=True)
+    marked = touched.marked(keyed, F.xxhash64("id", "tie"), "touched")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     hit = marked.where("touched").join(by_doc, ["id", "tie"], "left").select("doc_id", "id", "tie", "text", F.coalesce("spans", none).alias("spans"))
     rest = marked.where("not touched").select("doc_id", "id", "tie", "text", none.alias("spans"))
@@ -388,10 +394,35 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, busy: int = BUSY) ->
 
     out = hit.unionAll(rest).mapInArrow(clean, "doc_id long, id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if repeated:
-        nth = F.row_number().over(Window.partitionBy("id", "tie").orderBy("doc_id"))
-        gone = (F.col("nth") > 1) & (F.col("n_bytes") >= length)
-        out = out.withColumn("nth", nth)
-        out = out.select(
+        # Rows that agree in all have one first; a minimum finds it where they are, so they need not gather.
+        out = staged(out.withColumn("row", F.monotonically_increasing_id()), "cleaned")
+        first = staged(out.join(twice, ["id", "tie"], "left_semi").groupBy("id", "tie").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first")), "first-rows")
+        again = out.join(twice.withColumn("twice", F.lit(True)), ["id", "tie"], "left").join(first, "row", "left")
+        gone = F.col("twice").isNotNull() & F.col("first").isNull() & (F.col("n_bytes") >= length)
+        out = again.select(
             "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(gone, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
             F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(gone, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"))
     return out.drop("id", "tie")
+
+
+def _spans(plain: DataFrame, length: int, busy: int) -> DataFrame:
+    """id, tie, start and end of removed bytes, some of them more than once."""
+    sums = plain.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).first()
+    buckets = buckets_for(sums["n"])
+    # All that the reading tasks hand on of an anchor is about busy, or LEAST_BUSY times as many as they are.
+    turns = -(-(sums["bytes"] or 0) // (HELD * STRETCH_BYTES))
+    first = staged(_read(plain, buckets, length, min(busy, max(LEAST_BUSY, busy // max(1, turns)))), "stretches")
+    met = staged(_meet(first.where("bucket is not null").select("bucket", "blob"), buckets, length, busy), "met")
+    removed = staged(first.where("bucket is null").select("id", "tie", "start", "end"), "removed")
+    drop_staged(first)
+    asked = met.where(f"kind > {REMOVED}")
+    wanted = staged(asked.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end", "kind", "anchor")).alias("wanted")), "wanted")
+    holding = filter_of(wanted.select(F.xxhash64("id", "tie").alias("at")))
+    both = holding.marked(plain, F.xxhash64("id", "tie"), "holds").where("holds").join(wanted, ["id", "tie"]).select("id", "tie", "text", "wanted")
+    parts = staged(_cut_out(both, buckets, length), "cut-out")
+    removed_too = staged(met.where(f"kind = {REMOVED}").select("id", "tie", "start", "end"), "removed")
+    drop_staged(met)
+    blobs = parts.select("bucket", "blob")
+    indexed = _index(blobs.where("bucket >= 0"), buckets, length)
+    later = _later_strings(blobs.where("bucket < 0"), buckets, length).unionByName(parts.where("bucket is null").select("id", "tie", "start", "end"))
+    return removed.unionByName(removed_too).unionByName(indexed).unionByName(later)
