@@ -65,7 +65,7 @@ def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+def slices(texts: pa.Array, most: int = 1_500_000) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts of at most so many bytes (or one text), with the place of each run's first."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(size), 0

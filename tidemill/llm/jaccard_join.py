@@ -3,16 +3,18 @@
 A document is the set of its distinct 5-word shingles; two link when their Jaccard similarity reaches
 the threshold. Documents with equal sets are one node. Tokens have one global order, in which frequent
 ones come last, and a node's prefix is its first n - ceil(t * n) + 1 tokens: linked nodes share a token
-of both prefixes.
+of both prefixes. All tokens of all documents are counted.
 
-Counted tokens that few documents have: nodes that share some are counted pair by pair, and a pair goes on to verification if the
-shared prefix tokens together with all that could follow reach the overlap that a link needs.
+Rare tokens (of few documents): nodes that share some are counted pair by pair, and a pair goes on to
+verification if the shared prefix tokens together with all that could follow reach the overlap that a
+link needs.
 
-Other tokens: nodes whose prefix reaches them are mostly copies of one another with edits. Frequent
+Frequent tokens: nodes whose prefix reaches them are mostly copies of one another with edits. Frequent
 tokens met in one prefix form a family, and the nodes of a family and length class are cut into groups
 of bounded size. Each group has the union of its tokens, one row of the token-group matrix. A query's
 overlap with that union bounds its overlap with every member, and only groups whose bound reaches what a
-link needs are opened; members already connected to the query are passed over.
+link needs are opened; members already connected to the query are passed over. In families of several
+groups, all nodes are first compared with a few leaders; what these connect is not compared again.
 """
 
 from __future__ import annotations
@@ -21,20 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, scope, staged
+from .filters import filter_of, inside
 from .hashing import Batch, mix64, slices
 
 SIZE, PERCENT = 5, 75
-#: A token of more documents than this is frequent. Only tokens with an even hash are counted; the others
-#: come last in the order with the frequent ones.
+#: A token of more documents than this is frequent (at most 254, as counts are kept in bytes).
 FREQUENT = 16
-#: Bits of the filters of frequent tokens and of wanted nodes: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
-#: Documents per bucket of tokens, tokens held by a task before it hands them on, nodes of a group.
-BUCKET_DOCS, HELD_TOKENS, GROUP_NODES = 4000, 2_000_000, 160
+#: Documents per bucket of postings, the most buckets, tokens and postings held by a task before it hands them on.
+BUCKET_DOCS, MOST_BUCKETS, HELD_TOKENS, HELD_POSTINGS = 4000, 4096, 2_000_000, 500_000
+#: Slots that tokens are counted in: about one for 4 characters of text; bytes of a bucket's counts, while buckets last.
+SLOT_CHARS, BUCKET_SLOTS = 4, 1 << 22
+#: Postings of a bucket that are paired at once.
+PAIRED = 700_000
+#: Nodes of a group; leaders of a family of several groups, and the nodes they are chosen from.
+GROUP_NODES, LEADERS, CHOICE = 160, 4, 48
 
 
 def need(a, b, percent: int = PERCENT):
@@ -46,20 +52,26 @@ def prefix_size(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
-def set_keys(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def set_keys(keys: np.ndarray, cuts: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit key of each set of ascending tokens; equal sets have equal keys."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(keys ^ np.uint64(0xA5A5A5A55A5A5A5A)), dtype=np.uint64)])
+        salt = np.uint64(0xA5A5A5A55A5A5A5A) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(keys ^ salt), dtype=np.uint64)])
         size = np.diff(cuts).astype(np.uint64)
         return mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(size + np.uint64(1))).view(np.int64)
 
 
-def counted(keys: np.ndarray) -> np.ndarray:
-    return keys & np.uint64(1) == 0
+def buckets_for(n_docs: int) -> int:
+    return min(MOST_BUCKETS, max(8, -(-n_docs // BUCKET_DOCS)))
 
 
-def buckets_for(n_docs: int) -> int:
-    return max(8, -(-n_docs // BUCKET_DOCS))
+def slots_for(n_chars: int) -> int:
+    """A power of two: with as many slots as tokens, 17 rare tokens next to never meet in one."""
+    return 1 << min(48, max(20, (n_chars // SLOT_CHARS).bit_length()))
+
+
+def slot_of(tokens: np.ndarray, slots: int) -> np.ndarray:
+    return tokens >> np.uint64(64 - (slots.bit_length() - 1))
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -76,72 +88,77 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
         yield last, blobs
 
 
-def _bits(spark, pieces: DataFrame) -> np.ndarray:
-    """The packed filter of rows (piece, bits): at most FILTER_BITS / 32768 of them."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in pieces.collect():
-        bits[(r["piece"] - 1) * 4096 : r["piece"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return bits
-
+def pack_counts(at: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending slots of a bucket as gaps of a byte (255: a long one, of 4 or 8 bytes, follows at the end), and their counts."""
+    gap = np.diff(at, prepend=np.int64(0))
+    long = gap[gap >= 255]
+    return b"".join([np.array([len(at), len(long)], "<u4").tobytes(), np.minimum(gap, 255).astype("u1").tobytes(), count.astype("u1").tobytes(), long.astype("<i8").tobytes()])
 
-def filter_of(places: DataFrame) -> DataFrame:
-    return places.withColumn("nth", F.col("at") + 1).groupBy(F.bitmap_bucket_number("nth").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("nth")).alias("bits"))
 
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    gap, count = np.frombuffer(blob, "u1", n, 8).astype(np.int64), np.frombuffer(blob, "u1", n, 8 + n)
+    gap[gap == 255] = np.frombuffer(blob, "<i8", m, 8 + 2 * n)
+    return np.cumsum(gap), count
 
-def inside(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = (values.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-
-def _sets(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of documents (bucket null: doc_id, n, node) and, per bucket, blobs of their counted tokens."""
+def _sets(docs: DataFrame, slots: int, buckets: int, frequent: int, seed: int) -> DataFrame:
+    """Rows of documents (bucket null: doc_id, n, node and a second key) and, per bucket, blobs of token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, total, width = [], 0, slots // buckets
 
         def tokens() -> pa.RecordBatch:
-            every = np.concatenate(held)
-            bucket = (every >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            low, cut = every[order].astype("<u4"), np.searchsorted(bucket[order], np.arange(buckets + 1))
-            blobs = [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            none = pa.nulls(buckets, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), none, none, none, pa.array(blobs, pa.binary())], names=names)
-
-        names = ["bucket", "doc_id", "n", "node", "blob"]
+            at, count = np.unique(np.concatenate(held), return_counts=True)
+            bucket = np.minimum(at // np.uint64(width), np.uint64(buckets - 1)).astype(np.int64)
+            some, first = np.unique(bucket, return_index=True)
+            ends, at = [*first[1:].tolist(), len(at)], at.astype(np.int64)
+            blobs = [pack_counts(at[a:b] - k * width, np.minimum(count[a:b], frequent + 1)) for k, a, b in zip(some.tolist(), first.tolist(), ends, strict=True)]
+            none = pa.nulls(len(some), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), none, none, none, none, pa.array(blobs, pa.binary())], names=names)
+
+        names = ["bucket", "doc_id", "n", "node", "second", "blob"]
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 keys, cuts = Batch(texts, fold=True).shingles(SIZE)
                 n = np.diff(cuts)
-                held.append(keys[counted(keys)])
-                total += len(held[-1])
+                held.append(slot_of(keys, slots))
+                total += len(keys)
                 size = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), batch.column(0).slice(at, size), pa.array(n), pa.array(set_keys(keys, cuts)), pa.nulls(size, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), batch.column(0).slice(at, size), pa.array(n), pa.array(set_keys(keys, cuts, seed)), pa.array(set_keys(keys, cuts, ~seed & 0xFFFF)), pa.nulls(size, pa.binary())], names=names)
                 if total >= HELD_TOKENS:
                     yield tokens()
                     held, total = [], 0
         if total:
             yield tokens()
 
-    return docs.mapInArrow(run, "bucket int, doc_id long, n long, node long, blob binary")
+    return docs.mapInArrow(run, "bucket int, doc_id long, n long, node long, second long, blob binary")
 
 
-def _frequent(spark, blobs: DataFrame, buckets: int, frequent: int) -> np.ndarray:
-    """The filter of frequent tokens by their lower 26 bits; what else shares those bits counts as frequent too."""
+def _frequent(blobs: DataFrame, slots: int, buckets: int, frequent: int) -> DataFrame:
+    """The slots of frequent tokens. A task holds a byte for each slot of its bucket, and one blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in grouped(batches):
-            low = np.sort(np.frombuffer(b"".join(parts), "<u4"))
-            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
-            count = np.diff(np.concatenate([first, [len(low)]]))
-            hot = low[first[count > frequent]].astype(np.int64) % FILTER_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(hot)], names=["at"])
+        last, counts, width = None, np.zeros(0, "u1"), slots // buckets
 
-    rows = blobs.select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "at long")
-    return _bits(spark, filter_of(rows.distinct()))
+        def hot() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > frequent) + last * width)], names=["slot"])
 
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != last:
+                    if last is not None:
+                        yield hot()
+                    last, counts = bucket, np.zeros(width + (slots - width * buckets if bucket == buckets - 1 else 0), "u1")
+                at, count = unpack_counts(blob)
+                counts[at] = np.minimum(counts[at].astype(np.int64) + count, frequent + 1)
+        if last is not None:
+            yield hot()
 
-def _prefixes(docs: DataFrame, frequent, buckets: int, percent: int) -> DataFrame:
+    return blobs.select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "slot long")
+
+
+def _prefixes(docs: DataFrame, frequent, slots: int, buckets: int, percent: int, seed: int) -> DataFrame:
     """Per bucket, blobs of (node, size, frequent tokens in its prefix, rare prefix tokens); bucket -1: rows of nodes that reach frequent tokens.
 
     Documents with equal sets give one entry per blob, and what is left of them meets in their buckets.
@@ -160,9 +177,10 @@ def _prefixes(docs: DataFrame, frequent, buckets: int, percent: int) -> DataFram
             bucket = (token >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             token, node, size, hot = token[order].astype("<u4"), node[order], size[order].astype("<u4"), hot[order].astype("<u4")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            blobs = [pack_postings(token[a:b], node[a:b], size[a:b], hot[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return out(np.arange(buckets, dtype=np.int32), blobs, None, None, None)
+            some, first = np.unique(bucket[order], return_index=True)
+            ends = [*first[1:].tolist(), len(order)]
+            blobs = [pack_postings(token[a:b], node[a:b], size[a:b], hot[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
+            return out(some.astype(np.int32), blobs, None, None, None)
 
         def out(bucket, blobs, node, n, first) -> pa.RecordBatch:
             size = len(bucket)
@@ -173,9 +191,9 @@ def _prefixes(docs: DataFrame, frequent, buckets: int, percent: int) -> DataFram
         for batch in batches:
             for _, texts in slices(batch.column(0)):
                 keys, cuts = Batch(texts, fold=True).shingles(SIZE)
-                n, nodes = np.diff(cuts), set_keys(keys, cuts)
+                n, nodes = np.diff(cuts), set_keys(keys, cuts, seed)
                 owner = np.repeat(np.arange(len(n)), n)
-                often = ~counted(keys) | inside(bits, keys)
+                often = inside(bits, slot_of(keys, slots))
                 order = np.lexsort((keys, often, owner))  # rare before frequent, then by hash
                 keys, often = keys[order], often[order]
                 place = np.arange(len(keys)) - cuts[:-1][owner]
@@ -191,7 +209,7 @@ def _prefixes(docs: DataFrame, frequent, buckets: int, percent: int) -> DataFram
                     ends = np.cumsum(hot[reach])
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys[some].view(np.int64)))
                     yield out(np.full(len(reach), -1, np.int32), None, nodes[reach], n[reach], lists)
-                if total >= HELD_TOKENS:
+                if total >= HELD_POSTINGS:
                     yield postings()
                     held, total = [], 0
         if total:
@@ -202,8 +220,6 @@ def _prefixes(docs: DataFrame, frequent, buckets: int, percent: int) -> DataFram
 
 def pack_postings(token: np.ndarray, node: np.ndarray, size: np.ndarray, hot: np.ndarray) -> bytes:
     """Postings of one bucket, grouped by node: a node's facts are stored once."""
-    if not len(token):
-        return np.zeros(2, "<u4").tobytes()
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     count = np.diff(np.concatenate([first, [len(token)]])).astype("<u4")
     return b"".join([np.array([len(first), len(token)], "<u4").tobytes(), node[first].astype("<i8").tobytes(), size[first].tobytes(), hot[first].tobytes(), count.tobytes(), token.tobytes()])
@@ -224,9 +240,18 @@ def _pairs(prefixes: DataFrame, buckets: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped(batches):
-            token, node, size, hot = (np.concatenate(x) for x in zip(*map(unpack_postings, parts), strict=True))
-            if not len(token):
-                continue
+            passes = -(-sum(int(np.frombuffer(p, "<u4", 2)[1]) for p in parts) // PAIRED)
+            for turn in range(passes):
+                yield from paired(*(np.concatenate(x) for x in zip(*(share(p, turn, passes) for p in parts), strict=True)))
+
+    def share(blob: bytes, turn: int, passes: int) -> tuple[np.ndarray, ...]:
+        """The postings of every passes-th token, so that a task holds few of them unpacked."""
+        columns = unpack_postings(blob)
+        mine = columns[0] % passes == turn
+        return columns if passes == 1 else tuple(c[mine] for c in columns)
+
+    def paired(token, node, size, hot) -> Iterator[pa.RecordBatch]:
+        if len(token):
             order = np.lexsort((node, token))
             token, node, size, hot = token[order], node[order], size[order].astype(np.int64), hot[order].astype(np.int64)
             new = np.ones(len(token), bool)
@@ -244,7 +269,7 @@ def _pairs(prefixes: DataFrame, buckets: int, percent: int) -> DataFrame:
                 right.append(live[ok] + gap)
                 gap += 1
                 live = live[live + gap < end[live]]
-                if sum(map(len, left)) >= 2_000_000:
+                if sum(map(len, left)) >= PAIRED:
                     yield tally(node, size, hot, np.concatenate(left), np.concatenate(right))
                     left, right = [], []
             if left:
@@ -260,7 +285,8 @@ def _pairs(prefixes: DataFrame, buckets: int, percent: int) -> DataFrame:
         na, nb = size[i], size[j]
         # Of two prefixes, all tokens of the one that ends first are known; after it at most its rest can follow.
         rest = np.maximum(na - prefix_size(na, percent), nb - prefix_size(nb, percent))
-        least = np.maximum(1, need(na, nb, percent) - rest - np.minimum(hot[i], hot[j]))
+        # One less, as two tokens of a node may have met in the 32 bits of a posting.
+        least = np.maximum(1, need(na, nb, percent) - rest - np.minimum(hot[i], hot[j]) - 1)
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(shared.astype(np.int32)), pa.array(least.astype(np.int32))], names=["a", "b", "shared", "least"])
 
     rows = prefixes.where("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -268,7 +294,7 @@ def _pairs(prefixes: DataFrame, buckets: int, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
 
 
-def _node_sets(docs: DataFrame, wanted) -> DataFrame:
+def _node_sets(docs: DataFrame, wanted, seed: int) -> DataFrame:
     """node and tokens of the nodes in the filter (and of a few others), once per task that reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +302,7 @@ def _node_sets(docs: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             for _, texts in slices(batch.column(0)):
                 keys, cuts = Batch(texts, fold=True).shingles(SIZE)
-                nodes = set_keys(keys, cuts)
+                nodes = set_keys(keys, cuts, seed)
                 hit = np.flatnonzero(inside(bits, nodes) & (np.diff(cuts) > 0))
                 if len(known) > 200_000:
                     known.clear()
@@ -343,23 +369,82 @@ def group_links(tokens: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, p
     return links
 
 
-def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the nodes of each family, by pairs of groups of at most about GROUP_NODES nodes."""
-    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    placed = members.withColumn("level", level)
-    sizes = placed.groupBy("family", "level").agg(F.ceil(F.count("*") / GROUP_NODES).cast("int").alias("groups"), F.count("*").alias("nodes"))
-    near = sizes.alias("x").join(sizes.alias("y"), F.expr("x.family = y.family and y.level between x.level - 1 and x.level + 1")).groupBy("x.family", "x.level").agg(
-        F.max(F.when(F.expr("y.level = x.level"), F.col("y.groups"))).alias("same"), F.max(F.when(F.expr("y.level = x.level - 1"), F.col("y.groups"))).alias("below"), F.max(F.when(F.expr("y.level = x.level + 1"), F.col("y.groups"))).alias("above"))
-    near = near.join(sizes.groupBy("family").agg(F.sum("nodes").alias("nodes")).where("nodes > 1"), "family", "left_semi")
-    own = placed.join(near, ["family", "level"]).withColumn("g", F.pmod(F.xxhash64("node"), F.col("same")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    key = lambda level, i, j, side: F.struct(level.alias("low"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"))
+def leaders_of(tokens: list[np.ndarray], percent: int = PERCENT, most: int = LEADERS) -> list[int]:
+    """Places of the sets that others link to most: the best of all, then the best of those it leaves, and so on."""
+    size = np.array([len(t) for t in tokens])
+    every, code = np.unique(np.concatenate(tokens), return_inverse=True)
+    cut, mark = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(every), bool)
+    near = np.zeros((len(tokens), len(tokens)), bool)
+    for q in range(len(tokens)):
+        mine = code[cut[q] : cut[q + 1]]
+        mark[mine] = True
+        near[q] = np.add.reduceat(mark[code], cut[:-1], dtype=np.int64) >= need(size[q], size, percent)
+        mark[mine] = False
+    left, out = np.ones(len(tokens), bool), []
+    while left.any() and len(out) < most:
+        best = int(np.argmax(near[:, left].sum(axis=1)))
+        out.append(best)
+        left &= ~near[best]
+        left[best] = False
+    return out
+
+
+def _leader_links(placed: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the nodes of large families and their leaders, of which there are a few in each.
+
+    Which nodes become leaders only decides how much is left to compare, never what is found.
+    """
+    nodes = placed.join(large, "family", "left_semi").select("family", "node")
+    nth = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("node"), "node"))
+    some = nodes.withColumn("nth", nth).where(F.col("nth") <= CHOICE).join(sets, "node")
+
+    def choose(pdf):
+        pdf = pdf.sort_values("nth").reset_index(drop=True)
+        return pdf.loc[leaders_of([np.asarray(t, np.int64) for t in pdf["tokens"]], percent), ["family", "node", "tokens"]]
+
+    leaders = staged(some.groupBy("family").applyInPandas(choose, "family long, node long, tokens array<long>"), "leaders")
+    both = nodes.join(sets, "node").join(leaders.select("family", F.col("node").alias("a"), F.col("tokens").alias("x")), "family").where("a <> node")
+    shared = F.size(F.array_intersect("x", "tokens"))
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("tokens") - shared)).select("a", F.col("node").alias("b"))
+
+
+def _main_labels(placed: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of each large family's largest class so far: they are connected, and not compared with one another."""
+    known = placed.join(large, "family", "left_semi").select("family", "node").join(labels, "node")
+    counts = known.groupBy("family", "label").agg(F.count("*").alias("n"))
+    main = staged(counts.groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("main")), "main")
+    return known.join(main, "family").where("label = main").select("node")
+
+
+def _family_links(placed: DataFrame, connected: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes of each family, by pairs of groups of at most about GROUP_NODES nodes.
+
+    connected: nodes of which all in one family are connected; a group holds only such nodes or only
+    others, and two groups of such nodes are not compared.
+    """
+    flag = F.lit(False) if connected is None else F.col("flag").isNotNull()
+    if connected is not None:
+        placed = placed.join(connected.withColumn("flag", F.lit(True)), "node", "left")
+    placed = placed.withColumn("inner", flag)
+    sizes = placed.groupBy("family", "level", "inner").agg(F.ceil(F.count("*") / GROUP_NODES).cast("int").alias("groups"), F.count("*").alias("nodes"))
+    sizes = sizes.join(sizes.groupBy("family").agg(F.sum("nodes").alias("all")).where("all > 1"), "family", "left_semi")
+    told = sizes.select("family", "inner", "groups", F.explode(F.array(*(F.struct((F.col("level") + by).alias("level"), F.lit(kind).alias("kind")) for by, kind in ((0, "same"), (1, "below"), (-1, "above"))))).alias("to")).select("family", "inner", "groups", "to.*")
+    count = lambda kind, inner: F.coalesce(F.max(F.when((F.col("kind") == kind) & (F.col("inner") == inner), F.col("groups"))), F.lit(0)).alias(f"{kind}_{'in' if inner else 'out'}")
+    near = staged(told.groupBy("family", "level").agg(*(count(k, i) for k in ("same", "below", "above") for i in (False, True))), "near")
+    groups = F.greatest(F.when(F.col("inner"), F.col("same_in")).otherwise(F.col("same_out")), F.lit(1))
+    own = placed.join(near, ["family", "level"]).withColumn("g", F.pmod(F.xxhash64("node"), groups).cast("int"))
+    upto = lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0), F.col(name) - 1)).otherwise(F.array().cast("array<int>"))
     g, lv = F.col("g"), F.col("level")
-    same = F.transform(upto(F.col("same")), lambda k: key(lv * 2, F.least(k, g), F.greatest(k, g), F.when(k < g, F.lit(1)).otherwise(F.lit(0))))
-    above = F.transform(upto(F.coalesce("above", F.lit(0))), lambda k: key(lv * 2 + 1, g, k, F.lit(0)))
-    below = F.transform(upto(F.coalesce("below", F.lit(0))), lambda k: key(lv * 2 - 1, k, g, F.lit(1)))
-    keyed = own.select("node", "family", F.explode(F.concat(same, above, below)).alias("k")).select("node", "family", "k.*")
-    rows = keyed.join(sets, "node").select("family", "low", "i", "j", "side", "node", "tokens")
+
+    def keys(name: str, low, pair: int, first: bool):
+        """This node's group with each of those: pair says which of the two are inner, first whether this node is of the first."""
+        return F.transform(upto(name), lambda k: F.struct(low.alias("low"), F.lit(pair).alias("pair"), (g if first else k).cast("int").alias("i"), (k if first else g).cast("int").alias("j"), F.lit(0 if first else 1).alias("side")))
+
+    within = F.transform(upto("same_out"), lambda k: F.struct((lv * 2).alias("low"), F.lit(0).alias("pair"), F.least(k, g).alias("i"), F.greatest(k, g).alias("j"), F.when(k < g, F.lit(1)).otherwise(F.lit(0)).alias("side")))
+    outer = F.concat(within, keys("same_in", lv * 2, 1, True), keys("above_out", lv * 2 + 1, 0, True), keys("above_in", lv * 2 + 1, 1, True), keys("below_out", lv * 2 - 1, 0, False), keys("below_in", lv * 2 - 1, 2, False))
+    inner = F.concat(keys("same_out", lv * 2, 1, False), keys("above_out", lv * 2 + 1, 2, True), keys("below_out", lv * 2 - 1, 1, False))
+    keyed = own.select("node", "family", F.explode(F.when(F.col("inner"), inner).otherwise(outer)).alias("k")).select("node", "family", "k.*")
+    rows = keyed.join(sets, "node").select("family", "low", "pair", "i", "j", "side", "node", "tokens")
 
     def open_groups(pdf):
         import pandas as pd
@@ -367,67 +452,91 @@ def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         links = group_links([np.asarray(t, np.int64) for t in pdf["tokens"]], pdf["node"].to_numpy(np.int64), pdf["side"].to_numpy(np.int64), percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
-    return rows.groupBy("family", "low", "i", "j").applyInPandas(open_groups, "a long, b long")
+    return rows.groupBy("family", "low", "pair", "i", "j").applyInPandas(open_groups, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) of every node in edges (a, b), by alternating stars.
 
     Every round hangs each node's neighbours on its smallest, from above and from below, until nothing
-    moves; a round is two aggregations and joins whatever the components' shapes.
+    moves; a round is two aggregations and joins whatever the components' shapes. The smallest neighbours
+    are written before they are joined, so that Spark can split a hub's many edges over tasks.
     """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = staged(small, "edges")
-        done = new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty()
+    spark = edges.sparkSession
+
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = staged(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), name, outside=True)
+        return out, (seen.get["n"], seen.get["x"])
+
+    now, was = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while was[0]:
+        with scope(spark):
+            both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+            large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+            low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            hung = F.when(F.col("v") == F.col("m"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+            new, is_ = written(large.join(low, "u").select(F.explode(hung).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
         drop_staged(now)
-        now = new
-        if done:
+        now, was, last = new, is_, was
+        if was == last:
             break
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return pairs.unionByName(pairs.select(F.col("label").alias("node"), "label").distinct())
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, seed: int = 0) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
 
     Documents without words, or with null text, have no shingles and link with nothing. Null doc_ids and
     repeated rows get a row each; a component without any doc_id has a null id. An empty table gives no
     rows; columns besides doc_id and text are not read.
     """
+    with scope(docs.sparkSession):
+        return _linked(docs, percent, min(frequent, 254), seed)
+
+
+def _linked(docs: DataFrame, percent: int, frequent: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    buckets = buckets_for(plain.count())
-    first = staged(_sets(plain, buckets), "sets")
-    rows = first.where("bucket is null").select("doc_id", "n", "node")
-    often = spark.sparkContext.broadcast(_frequent(spark, first.where("bucket is not null"), buckets, frequent))
-    rows = staged(rows, "nodes")
+    sums = plain.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("chars")).first()
+    buckets, slots = buckets_for(sums["n"]), slots_for(sums["chars"] or 0)
+    counters = min(MOST_BUCKETS, max(8, slots // BUCKET_SLOTS))
+    first = staged(_sets(plain, slots, counters, frequent, seed), "sets")
+    rows = staged(first.where("bucket is null").select("doc_id", "n", "node", "second"), "nodes")
+    often = filter_of(staged(_frequent(first.where("bucket is not null"), slots, counters, frequent), "frequent"))
     drop_staged(first)
-    prefixes = staged(_prefixes(plain, often, buckets, percent), "prefixes")
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("low"), F.max("second").alias("high"))
+    classes = staged(classes, "classes")
+    if not classes.where("low <> high").isEmpty():  # two sets have one key: another seed tells them apart
+        return _linked(docs, percent, frequent, seed + 1)
+    prefixes = staged(_prefixes(plain, spark.sparkContext.broadcast(often.packed()), slots, buckets, percent, seed), "prefixes")
     pairs = staged(_pairs(prefixes, buckets, percent), "pairs")
-    members = staged(families(prefixes.where("bucket = -1").select("node", "n", "hot")), "families")
+    members = families(prefixes.where("bucket = -1").select("node", "n", "hot"))
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    placed = staged(members.withColumn("level", level), "families")
     drop_staged(prefixes)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node"))
-    place = F.pmod("node", F.lit(FILTER_BITS))
-    bits = spark.sparkContext.broadcast(_bits(spark, filter_of(wanted.select(place.alias("at")).distinct())))
-    sets = staged(_node_sets(plain, bits), "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(placed.select("node")).distinct()
+    bits = spark.sparkContext.broadcast(filter_of(staged(wanted, "wanted")).packed())
+    sets = staged(_node_sets(plain, bits, seed), "node-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    links = both.where(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
-    links = links.unionByName(_family_links(members, sets, percent))
-    labels = staged(components(links), "labels")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    links = staged(both.where(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b"), "links")
+    large = staged(placed.groupBy("family").count().where(F.col("count") > GROUP_NODES).select("family"), "large-families")
+    connected = None
+    if not large.isEmpty():
+        labels = components(links.unionByName(_leader_links(placed, large, sets, percent)))
+        links = staged(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")), "connected")
+        connected = staged(_main_labels(placed, large, labels), "main-nodes")
+    labels = components(links.unionByName(_family_links(placed, connected, sets, percent)))
     heads = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    ids = heads.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    owner = heads.join(ids, "label").select("node", "component_id")
+    heads = staged(heads, "heads")
+    ids = staged(heads.groupBy("label").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    owner = staged(heads.join(ids, "label").select("node", "component_id"), "owners")
     out = rows.join(owner, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return staged(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "linked", outside=True)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
@@ -435,18 +544,29 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT)
 
     Documents without words stay, as they link with nothing; of those with equal doc_ids and texts, one
     stays. Where doc_ids repeat, rows are linked by a key of their own that follows the order of doc_ids.
+
+    The documents that go are few; a filter of their ids lets the others pass where they are read, and
+    only those that may be among them are compared by id.
     """
     own = F.col("doc_id").cast("long")
     repeated = not docs.groupBy(own.alias("__id")).count().where("count > 1").isEmpty()
+    columns, spark = docs.columns, docs.sparkSession
     if repeated:
         placed = docs.withColumn("__at", F.monotonically_increasing_id()).orderBy(own.asc_nulls_last(), F.xxhash64("text"), "__at")
-        docs, columns = staged(placed.withColumn("__key", F.monotonically_increasing_id()).drop("__at"), "keyed"), docs.columns
+        docs = staged(placed.withColumn("__key", F.monotonically_increasing_id()).drop("__at"), "keyed")
+        own = F.col("__key")
         linked = link_documents(docs.select(F.col("__key").alias("doc_id"), "text"), percent, frequent)
+        # Of equal rows without words the first stays.
+        empty = docs.join(linked.where("n_shingles = 0").select(F.col("doc_id").alias("__key")), "__key").groupBy("doc_id", "text").agg(F.collect_list("__key").alias("keys"))
+        again = empty.select(F.explode(F.slice(F.sort_array("keys"), 2, F.lit(1 << 30))).alias("gone"))
     else:
-        linked = link_documents(docs, percent, frequent)
-    linked = staged(linked.select(F.col("doc_id").alias("__id"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__to")), "linked")
-    heads = linked.where((F.col("__n") == 0) | F.col("__id").eqNullSafe(F.col("__to"))).select("__id", "__n")
-    if not repeated:
-        return docs.join(heads, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    kept = docs.join(heads, docs["__key"] == heads["__id"])
-    return kept.where("__n > 0").unionByName(kept.where("__n = 0").dropDuplicates(["doc_id", "text"])).select(*columns)
+        linked, again = link_documents(docs, percent, frequent), None
+    gone = linked.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+    with scope(spark):
+        gone = staged(gone if again is None else gone.unionByName(again), "gone", outside=True)
+        marks = filter_of(gone.select(F.xxhash64("gone").alias("at")), outside=True)
+    drop_staged(linked)
+    marked = marks.marked(docs, F.xxhash64(own), "__maybe")
+    stays = marked.where("not __maybe").select(*columns)
+    asked = marked.where("__maybe").join(gone, own.eqNullSafe(F.col("gone")), "left_anti").select(*columns)
+    return stays.unionAll(asked)

@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept per Python worker; when full, only those of the texts at hand stay.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 300_000
 #: Bytes of text handled at once.
-CHUNK_CHARS = 10_000_000
+CHUNK_CHARS = 4_000_000
 
 _CUT = "\x01"
 #: White space other than single blanks and line feeds, doubled white space, and special-token marks.
