@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import jaccard_join, mixing, packing, quality_rules, secrets
-from tidemill.llm.common import staged
+from tidemill.llm.common import drop_staged, scope, staged
 from tidemill.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -45,8 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result; what each stage returns is written and read again."""
+    """The last stage's result; what each stage returns is written and read again, and goes when the next has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope(spark):
+            kept = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"), outside=True)
+        if name != STAGES[0][0]:
+            drop_staged(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
