@@ -1,10 +1,12 @@
 """Packing by vector bin packing.
 
-Every sequence has three limits at once: tokens, segments and loss-bearing tokens. Items are placed by
+Every sequence has three limits at once: tokens, segments and loss-bearing tokens. A document's first
+sentence or line is its prompt, which bears no loss, if something follows it. Items are placed by
 the dot-product heuristic: among the items that fit, the one whose demand vector has the largest dot
 product with the open sequence's residual vector goes in. An item may be cut: when nothing fits whole,
-the best item's head fills the sequence and its tail goes back to the pool. What a block cannot fill is
-cut into sequences whose lengths are powers of two, which need no padding.
+the head of an item that fills the sequence goes in and its tail goes back to the pool. A sequence that
+can hold no more loss is padded if it is all but full. What a block cannot fill is cut into sequences
+whose lengths are powers of two, which need no padding.
 
 Blocks of a bounded number of documents are packed where they are read, so there is no shuffle, and no
 key, source or group of copies can gather in one task.
@@ -14,26 +16,37 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .tokens import encoder
 
 #: Documents packed together at most, and tokens after which a block is closed.
-BLOCK_DOCS, BLOCK_TOKENS = 8192, 8_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 8192, 4_000_000
+#: What a document's prompt is: its first sentence or line, and its end must be followed by something.
+PROMPT = r"^(?P<prompt>[^.!?\n]*[.!?\n])[\x20\n]*[^\x20\n]"
+#: Classes of waiting items that are looked through for a head that fills a sequence.
+LOOKED = 64
 
 
 @dataclass(frozen=True)
 class Limits:
+    """loss_tokens: the middle of one document alone reaches it, and is padded; prompts make sequences full."""
+
     tokens: int = 2048
     segments: int = 128
-    loss_tokens: int = 2047
+    loss_tokens: int = 2032
+
+
+#: A head of no more tokens goes in only if it fills the sequence, and no more tokens than this are padded.
+SCRAP = 16
 
 
 def loss_of(start: int, length: int, prompt: int) -> int:
@@ -52,34 +65,31 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
     done: list[list[tuple[int, int, int]]] = []
     #: Waiting pieces by class (length, loss); each class a heap by (item, start).
     pool: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    classes: list[tuple[int, int]] = []  # in order
 
     def put(item: int, start: int, length: int) -> None:
         key = (length, loss_of(start, length, prompts[item]))
         if key not in pool:
             pool[key] = []
-            nonlocal stale
-            stale = True
+            insort(classes, key)
         heapq.heappush(pool[key], (item, start))
 
-    stale = True
     for item, n in enumerate(lengths):
         start = 0
-        while n - start >= cap and loss_of(start, cap, prompts[item]) <= limits.loss_tokens:
-            done.append([(item, start, cap)])
-            start += cap
-        while n - start > cap:  # a loss limit under the token limit
-            put(item, start, cap)
-            start += cap
+        # What is longer than a sequence fills some by itself, as far as its loss allows.
+        while n - start >= (most := min(cap, max(1, prompts[item] - start) + limits.loss_tokens)) and n - start > SCRAP:
+            if cap - most <= SCRAP:
+                done.append([(item, start, most)])
+            else:
+                put(item, start, most)
+            start += most
         if n > start:
             put(item, start, n - start)
 
-    classes: list[tuple[int, int]] = []
     while pool:
         rest, slots, loss = cap, limits.segments, limits.loss_tokens
         open_: list[tuple[int, int, int]] = []
         while rest and slots and pool:
-            if stale:
-                classes, stale = sorted(pool), False
             # A demand vector is (length / cap, 1 / segments, loss / loss limit). Its dot product with the
             # residual grows with length, then loss: from the longest that fits, the first whose loss fits.
             scale_t, scale_l = rest / cap**2, loss / limits.loss_tokens**2
@@ -92,29 +102,32 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
                     best, best_dot = classes[at], dot
                 at -= 1
             if best is None:
-                length, lost = classes[-1] if classes[-1][0] > rest else classes[0]
-                item, start = pool[length, lost][0]
-                take = min(rest, length)
-                while take and loss_of(start, take, prompts[item]) > loss:
-                    take = min(take - 1, max(start + 1, prompts[item]) - start + loss)
-                if take <= 0:
-                    break
-                head = (item, start, take)
-                key = (length, lost)
+                # Of the longest and the shortest classes, the first whose head fills the sequence, or else fills most of it.
+                some, take, key = [*reversed(classes[-LOOKED:]), *classes[: max(0, min(LOOKED, len(classes) - LOOKED))]], 0, None
+                for length, lost in some:
+                    item, start = pool[length, lost][0]
+                    most = min(rest, length, max(1, prompts[item] - start) + loss)
+                    if most > take:
+                        take, key = most, (length, lost)
+                    if take == rest:
+                        break
+                if rest - take and open_ and take <= SCRAP:
+                    break  # rather shorter sequences than scraps of documents
+                head = (*pool[key][0], take)
             else:
                 key = best
                 head = (*pool[key][0], key[0])
             item, start = heapq.heappop(pool[key])
             if not pool[key]:
                 del pool[key]
-                stale = True
+                del classes[bisect_left(classes, key)]
             if head[2] < key[0]:
                 put(item, start + head[2], key[0] - head[2])
             open_.append(head)
             rest -= head[2]
             slots -= 1
             loss -= loss_of(start, head[2], prompts[item])
-        done += powers(open_) if rest else [open_]
+        done += powers(open_) if rest > min(SCRAP, cap - limits.loss_tokens) else [open_]
     return done
 
 
@@ -136,23 +149,30 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word", limits: Limits = Limits()) -> DataFrame:
-    """One row per piece of each document's ids followed by end_id.
+def prompt_texts(texts: pa.Array, pattern: str) -> pa.Array:
+    """The prompts of texts, empty where a text has none."""
+    return pc.fill_null(pc.struct_field(pc.extract_regex(texts, pattern), "prompt"), "")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word", limits: Limits = Limits(), prompt: str | None = PROMPT) -> DataFrame:
+    """One row per piece of each document's ids followed by end_id; loss_tokens counts those past its prompt.
+
+    prompt: a pattern of what bears no loss, at a text's start; a document's first id never bears any.
 
     Null text is empty (its ids: end_id alone); null doc_ids and repeated rows are packed as they are;
     empty tables give no rows; other columns are not read. sequence_id is unique over the result and,
     for the same files, the same in every run and every retry of a task.
     """
 
-    def block(sequence: int, doc_ids: list, ids: np.ndarray, cut: np.ndarray) -> tuple[pa.RecordBatch, int]:
+    def block(sequence: int, doc_ids: list, ids: np.ndarray, cut: np.ndarray, prompts: list[int]) -> tuple[pa.RecordBatch, int]:
         size = np.diff(cut)
         rows: list[list] = [[] for _ in range(8)]
         raw = memoryview(ids.tobytes())
-        for row in pack_items(size.tolist(), limits=limits):
+        for row in pack_items(size.tolist(), prompts, limits):
             offset = 0
             for item, start, length in row:
                 at = 4 * (int(cut[item]) + start)
-                values = (doc_ids[item], start, length, zlib.crc32(raw[at : at + 4 * length]), int(size[item]), sequence, offset, loss_of(start, length, 1))
+                values = (doc_ids[item], start, length, zlib.crc32(raw[at : at + 4 * length]), int(size[item]), sequence, offset, loss_of(start, length, prompts[item]))
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
                 offset += length
@@ -162,22 +182,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str =
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, kind)
         sequence = TaskContext.get().partitionId() << 40
-        doc_ids, parts, sizes, tokens = [], [], [], 0
+        doc_ids, parts, sizes, prompts, tokens = [], [], [], [], 0
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 some = batch.slice(low, 2048)
                 ids, cut = enc.encode(some.column(1))
                 ids, cut = np.insert(ids, cut[1:], end_id), cut + np.arange(len(cut))
                 doc_ids += some.column(0).to_pylist()
+                free = np.diff(enc.encode(prompt_texts(some.column(1), prompt))[1]) if prompt else np.zeros(some.num_rows, np.int64)
+                prompts += np.maximum(1, free).tolist()
                 parts.append(ids)
                 sizes.append(np.diff(cut))
                 tokens += len(ids)
                 if len(doc_ids) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
-                    out, sequence = block(sequence, doc_ids, np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+                    out, sequence = block(sequence, doc_ids, np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), prompts)
                     yield out
-                    doc_ids, parts, sizes, tokens = [], [], [], 0
+                    doc_ids, parts, sizes, prompts, tokens = [], [], [], [], 0
         if doc_ids:
-            yield block(sequence, doc_ids, np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))[0]
+            yield block(sequence, doc_ids, np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), prompts)[0]
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(pack, schema)
