@@ -6,6 +6,9 @@ keys left into a bit array and keeps those alone in their bit; a key's slot is t
 before its own. A slot stores a 32-bit fingerprint of its key and the document's place, so a lookup
 costs one probe per level and one comparison, and foreign keys are refused but for one in 2**32.
 
+Shards are in the order of their keys, and each row says which doc_ids its shard holds (and Parquet keeps
+the range of every row group), so a keyed read opens the shard that has the key and no other.
+
 Shards are rows of a Parquet table: Spark's committer writes them, so a lost executor's shards are
 written again, and any store that Spark reaches will do.
 """
@@ -93,6 +96,8 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 def write_shard(doc_ids: np.ndarray, null: np.ndarray, ids: np.ndarray, offsets: np.ndarray, width: int) -> bytes:
     """A shard of documents in order; offsets has one more entry than doc_ids."""
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"an id needs more than {width} bytes")
     nth = occurrences(doc_ids, null)
     keys = keys_of(doc_ids, nth, null)
     index = PerfectHash.build(keys)
@@ -148,9 +153,9 @@ class Shard:
         known[known] = self.prints[slot[known]] == fingerprints(keys[known])
         return np.where(known, self.place[np.where(known, slot, 0)].astype(np.int64) if len(self.place) else -1, -1)
 
-    def get(self, doc_id: int, nth: int = 0) -> np.ndarray | None:
-        """The ids of a document by its key."""
-        at = self.find(keys_of(np.array([doc_id]), np.array([nth]), np.array([False])))[0]
+    def get(self, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
+        """The ids of a document by its key (None: the null one)."""
+        at = self.find(keys_of(np.array([doc_id or 0]), np.array([nth]), np.array([doc_id is None])))[0]
         return None if at < 0 else self.ids[self.offsets[at] : self.offsets[at + 1]]
 
 
@@ -169,7 +174,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             nonlocal held, before
             doc_ids, null, ids, size = (np.concatenate(x) for x in zip(*held, strict=True))
             raw = write_shard(doc_ids, null, ids, np.concatenate([[0], np.cumsum(size)]), width)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([raw], pa.binary())], names=["part", "before", "n_ids", "n_docs", "shard"])
+            known = doc_ids[~null]
+            longs = [before, len(ids), len(doc_ids), int(null.sum()), int(known[0]) if len(known) else None, int(known[-1]) if len(known) else None]
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.int64()) for x in longs), pa.array([raw], pa.binary())], names=["part", "before", "n_ids", "n_docs", "n_null", "first_id", "last_id", "shard"])
             held, before = [], before + len(ids)
             return out
 
@@ -192,11 +199,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     (
         plain.repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(write, "part int, before long, n_ids long, n_docs long, shard binary")
+        .mapInArrow(write, "part int, before long, n_ids long, n_docs long, n_null long, first_id long, last_id long, shard binary")
         .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     )
 
 
+def find_document(spark, path: str, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
+    """The ids of the nth document (from 0) with a doc_id in the shards under path; None if there is none.
+
+    The range of doc_ids is pushed down to the scan, so of all shards those that may hold the key are
+    read: one, or those over which a doc_id's repeated rows spread.
+    """
+    held = F.col("n_null") > 0 if doc_id is None else (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
+    for row in spark.read.parquet(path).where(held).select("part", "before", "shard").orderBy("part", "before").toLocalIterator():
+        shard = Shard(bytes(row["shard"]))
+        if (ids := shard.get(doc_id, nth)) is not None:
+            return ids
+        nth -= int(np.count_nonzero(shard.null if doc_id is None else (shard.doc_ids == doc_id) & ~shard.null))
+    return None
+
+
 def read_token_files(spark, path: str) -> DataFrame:
     """One row per document of the shards under path: each is looked up by its key in its shard's index."""
     shards = spark.read.parquet(path)
