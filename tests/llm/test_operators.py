@@ -166,7 +166,9 @@ def test_quality_rules(spark, docs):
     assert 5 in kept and not {0, 1, 3, 10} & kept
     filtered = quality_rules.filter_documents(docs)
     assert set(rows_of(filtered, "text")) == kept and filtered.columns == docs.columns
+    lone = Counter(v for (v,) in rows_of(quality_rules.lone_rule(rows), "lone_rule").values())
     table = {(r["policy"], r["rule"]): r for r in quality_rules.ablations(rows).collect()}
+    assert all(table["v2", rule]["n_only_this"] == lone[rule] for rule in quality_rules.RULES) and sum(lone.values()) - lone[None] > 3
     assert table["v2", "few_words"]["n_failed"] == sum(g[0] < 50 for g in got.values())
 
 
@@ -353,6 +355,27 @@ def test_shards():
     assert sorted(token_files.PerfectHash.build(keys).slots(keys)) == list(range(20_000))
 
 
+def test_keyed_access_over_shards(spark, docs, odd, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    path = token_files.scratch_path(spark, "keyed")
+    token_files.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), path)
+    for i in (0, 7, len(corpus()) - 1):
+        assert token_files.find_document(spark, path, i).tolist() == ids(corpus()[i])
+    assert token_files.find_document(spark, path, 10_000) is None and token_files.find_document(spark, path, None) is None
+    held = spark.read.parquet(path).where("first_id <= 7 and last_id >= 7")
+    assert held.count() == 1 and "LessThanOrEqual(first_id,7)" in held._jdf.queryExecution().toString()
+    path = token_files.scratch_path(spark, "keyed")
+    token_files.write_token_files(odd, tokenizer_path("byte_bpe_50k.json"), path)
+    texts = sorted((r["text"] or "" for r in odd.where("doc_id = 1").collect()))
+    assert [token_files.find_document(spark, path, 1, n).tolist() for n in range(3)] == [ids(t) for t in texts] and token_files.find_document(spark, path, 1, 3) is None
+    assert token_files.find_document(spark, path, None).tolist() == [2]
+    with pytest.raises(ValueError, match="2 bytes"):
+        token_files.write_shard(np.array([1]), np.array([False]), np.array([70_000]), np.array([0, 1]), 2)
+
+
 def plain_dedup(texts, length=100):
     seen, out = set(), {}
     for i, t in enumerate(texts):

@@ -90,6 +90,12 @@ def judged(rows: DataFrame, policy: str = "v2") -> DataFrame:
     return rows.withColumn("base_failed", base).withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(policy) | mask("base"))) == 0)
 
 
+def lone_rule(rows: DataFrame, policy: str = "v2") -> DataFrame:
+    """rows with the one rule of the policy for which a document goes (null: kept, or rejected by several)."""
+    failed = F.col("failed").bitwiseAND(F.lit(mask(policy)))
+    return rows.withColumn("lone_rule", F.when(F.bit_count(failed) == 1, F.element_at(F.array(*map(F.lit, RULES)), F.bit_count(failed - 1) + 1)))
+
+
 def ablations(rows: DataFrame) -> DataFrame:
     """For every policy and rule in it: documents that fail the rule, and those kept again if it alone is dropped."""
     failed, sums = F.col("failed"), []
@@ -131,11 +137,14 @@ m AS (
     length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN c USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > 3 * n_words
-    OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR 2 * n_letters < word_chars
-    OR (n_words >= 50 AND 100 * n_distinct < 5 * n_words AND n_distinct < 100)
-    OR 10 * n_bars > n_words OR 2 * n_upper > n_letters) AS kept
-FROM b
+f AS (
+  SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, word_chars < 2 * n_words OR word_chars > 14 * n_words, 10 * n_symbols > 3 * n_words,
+    n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines, 2 * n_letters < word_chars,
+    n_words >= 50 AND 100 * n_distinct < 5 * n_words AND n_distinct < 100, 10 * n_bars > n_words, 2 * n_upper > n_letters] AS rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, rules[1] OR rules[2] AS base_failed,
+  NOT list_contains(rules, true) AS kept,
+  list_sum([CASE WHEN rules[i] THEN 1 << (i - 1) ELSE 0 END for i in range(1, 10)])::BIGINT AS failed,
+  CASE WHEN len(list_filter(rules, lambda r: r)) = 1 THEN
+    ['few_words', 'repeated_trigrams', 'word_length', 'symbols', 'duplicate_lines', 'no_letters', 'few_distinct_words', 'table_bars', 'shouting'][list_position(rules, true)] END AS lone_rule
+FROM f
 """

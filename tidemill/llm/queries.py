@@ -33,8 +33,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.judged(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = quality_rules.lone_rule(quality_rules.judged(quality_rules.ledger(table(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "lone_rule")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
