@@ -14,8 +14,8 @@ def plain_pack(lengths, prompts, limits):
     waiting, done = [], []
     for i, n in enumerate(lengths):
         s = 0
-        while n - s >= (most := min(limits.tokens, max(1, prompts[i] - s) + limits.loss_tokens)) and n - s > packing.SCRAP:
-            if limits.tokens - most <= packing.SCRAP:
+        while n - s >= (most := min(limits.tokens, max(1, prompts[i] - s) + limits.loss_tokens)) > 1:
+            if most == limits.tokens:
                 done.append([(i, s, most)])
             else:
                 waiting.append((i, s, most))
@@ -37,15 +37,13 @@ def plain_pack(lengths, prompts, limits):
                 heads = [min(p for p in waiting if key(p) == k) for k in sorted({key(p) for p in waiting}, reverse=True)]
                 room = [min(rest, n, max(1, prompts[i] - s) + loss) for i, s, n in heads]
                 take = max(room)
-                if rest - take and row and take <= packing.SCRAP:
-                    break
                 p = heads[room.index(take)]
             waiting.remove(p)
             row.append((p[0], p[1], take))
             if take < p[2]:
                 waiting.append((p[0], p[1] + take, p[2] - take))
             rest, slots, loss = rest - take, slots - 1, loss - loss_of(p[0], p[1], take)
-        done += packing.powers(row) if rest > min(packing.SCRAP, limits.tokens - limits.loss_tokens) else [row]
+        done += packing.powers(row) if rest else [row]
     return done
 
 
@@ -59,7 +57,7 @@ def test_choices_are_those_of_a_plain_packer():
 
 
 def test_the_loss_limit_binds_in_production():
-    """The middle of a document reaches the limit; next to nothing is padded, and most sequences are all but full."""
+    """The middle of a document reaches the limit; nothing is padded, and next to all sequences are full."""
     r = random.Random(3)
     lengths = [min(30_000, int(r.lognormvariate(6.5, 1.0)) + 1) for _ in range(2000)]
     prompts = [r.randrange(3, 30) for _ in lengths]
@@ -67,8 +65,8 @@ def test_the_loss_limit_binds_in_production():
     loss = [sum(packing.loss_of(s, n, prompts[i]) for i, s, n in row) for row in rows]
     total = [sum(n for *_, n in row) for row in rows]
     assert max(loss) <= 2032 and sum(x == 2032 for x in loss) > len(rows) / 10
-    padded = sum(2048 - n for n in total if n & (n - 1))
-    assert padded < 0.005 * sum(total) and sum(n for n in total if n > 2030) > 0.97 * sum(total)
+    assert not any(n & (n - 1) for n in total) and sum(n for n in total if n == 2048) > 0.97 * sum(total)
+    assert len([p for row in rows for p in row]) < 1.5 * (len(lengths) + sum(lengths) / 2048)
     seen = defaultdict(int)
     for i, _, n in (p for row in rows for p in row):
         seen[i] += n

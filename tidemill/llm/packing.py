@@ -4,9 +4,9 @@ Every sequence has three limits at once: tokens, segments and loss-bearing token
 sentence or line is its prompt, which bears no loss, if something follows it. Items are placed by
 the dot-product heuristic: among the items that fit, the one whose demand vector has the largest dot
 product with the open sequence's residual vector goes in. An item may be cut: when nothing fits whole,
-the head of an item that fills the sequence goes in and its tail goes back to the pool. A sequence that
-can hold no more loss is padded if it is all but full. What a block cannot fill is cut into sequences
-whose lengths are powers of two, which need no padding.
+the head of an item that fills the sequence goes in and its tail goes back to the pool; where no more
+loss fits, that is a part of a prompt. What a block cannot fill is cut into sequences whose lengths are
+powers of two, which need no padding.
 
 Blocks of a bounded number of documents are packed where they are read, so there is no shuffle, and no
 key, source or group of copies can gather in one task.
@@ -38,17 +38,13 @@ LOOKED = 64
 
 @dataclass(frozen=True)
 class Limits:
-    """loss_tokens: the middle of one document alone reaches it, and is padded; prompts make sequences full."""
+    """loss_tokens: the middle of one document reaches it before its sequence is full; prompts fill the rest."""
 
     tokens: int = 2048
     segments: int = 128
     loss_tokens: int = 2032
 
 
-#: A head of no more tokens goes in only if it fills the sequence, and no more tokens than this are padded.
-SCRAP = 16
-
-
 def loss_of(start: int, length: int, prompt: int) -> int:
     """Loss-bearing tokens of a piece: those past the item's prompt, but never a piece's first token."""
     return max(0, start + length - max(start + 1, prompt))
@@ -76,9 +72,9 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
 
     for item, n in enumerate(lengths):
         start = 0
-        # What is longer than a sequence fills some by itself, as far as its loss allows.
-        while n - start >= (most := min(cap, max(1, prompts[item] - start) + limits.loss_tokens)) and n - start > SCRAP:
-            if cap - most <= SCRAP:
+        # What is longer than a sequence fills some by itself, or all but fills them with its loss.
+        while n - start >= (most := min(cap, max(1, prompts[item] - start) + limits.loss_tokens)) > 1:
+            if most == cap:
                 done.append([(item, start, most)])
             else:
                 put(item, start, most)
@@ -111,8 +107,6 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
                         take, key = most, (length, lost)
                     if take == rest:
                         break
-                if rest - take and open_ and take <= SCRAP:
-                    break  # rather shorter sequences than scraps of documents
                 head = (*pool[key][0], take)
             else:
                 key = best
@@ -127,7 +121,7 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
             rest -= head[2]
             slots -= 1
             loss -= loss_of(start, head[2], prompts[item])
-        done += powers(open_) if rest > min(SCRAP, cap - limits.loss_tokens) else [open_]
+        done += powers(open_) if rest else [open_]
     return done
 
 
