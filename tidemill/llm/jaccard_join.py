@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .buckets import MOST_BUCKETS, buckets_for, dealt, grouped
 from .common import drop_staged, scope, staged
 from .filters import filter_of, inside
 from .hashing import Batch, mix64, slices
@@ -33,8 +34,8 @@ from .hashing import Batch, mix64, slices
 SIZE, PERCENT = 5, 75
 #: A token of more documents than this is frequent (at most 254, as counts are kept in bytes).
 FREQUENT = 16
-#: Documents per bucket of postings, the most buckets, tokens and postings held by a task before it hands them on.
-BUCKET_DOCS, MOST_BUCKETS, HELD_TOKENS, HELD_POSTINGS = 4000, 4096, 2_000_000, 500_000
+#: Tokens and postings held by a task before it hands them on.
+HELD_TOKENS, HELD_POSTINGS = 2_000_000, 500_000
 #: Slots that tokens are counted in: about one for 4 characters of text; bytes of a bucket's counts, while buckets last.
 SLOT_CHARS, BUCKET_SLOTS = 4, 1 << 22
 #: Postings of a bucket that are paired at once.
@@ -61,10 +62,6 @@ def set_keys(keys: np.ndarray, cuts: np.ndarray, seed: int = 0) -> np.ndarray:
         return mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(size + np.uint64(1))).view(np.int64)
 
 
-def buckets_for(n_docs: int) -> int:
-    return min(MOST_BUCKETS, max(8, -(-n_docs // BUCKET_DOCS)))
-
-
 def slots_for(n_chars: int) -> int:
     """A power of two: with as many slots as tokens, 17 rare tokens next to never meet in one."""
     return 1 << min(48, max(20, (n_chars // SLOT_CHARS).bit_length()))
@@ -74,20 +71,6 @@ def slot_of(tokens: np.ndarray, slots: int) -> np.ndarray:
     return tokens >> np.uint64(64 - (slots.bit_length() - 1))
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs of each bucket, of batches sorted by bucket."""
-    last, blobs = None, []
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != last and blobs:
-                yield last, blobs
-                blobs = []
-            last = bucket
-            blobs.append(blob)
-    if blobs:
-        yield last, blobs
-
-
 def pack_counts(at: np.ndarray, count: np.ndarray) -> bytes:
     """Ascending slots of a bucket as gaps of a byte (255: a long one, of 4 or 8 bytes, follows at the end), and their counts."""
     gap = np.diff(at, prepend=np.int64(0))
@@ -155,7 +138,7 @@ def _frequent(blobs: DataFrame, slots: int, buckets: int, frequent: int) -> Data
         if last is not None:
             yield hot()
 
-    return blobs.select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "slot long")
+    return dealt(blobs.select("bucket", "blob"), F.col("bucket"), buckets).mapInArrow(run, "slot long")
 
 
 def _prefixes(docs: DataFrame, frequent, slots: int, buckets: int, percent: int, seed: int) -> DataFrame:
@@ -289,8 +272,7 @@ def _pairs(prefixes: DataFrame, buckets: int, percent: int) -> DataFrame:
         least = np.maximum(1, need(na, nb, percent) - rest - np.minimum(hot[i], hot[j]) - 1)
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(shared.astype(np.int32)), pa.array(least.astype(np.int32))], names=["a", "b", "shared", "least"])
 
-    rows = prefixes.where("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = rows.mapInArrow(run, "a long, b long, shared int, least int")
+    found = dealt(prefixes.where("bucket >= 0").select("bucket", "blob"), F.col("bucket"), buckets).mapInArrow(run, "a long, b long, shared int, least int")
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
 
 

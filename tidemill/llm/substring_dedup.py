@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import buckets_for, dealt, grouped
 from .common import drop_staged, scope, staged
 from .filters import filter_of
 from .hashing import Prefix, mix64, raw_of, slices
-from .jaccard_join import buckets_for, grouped
 from .run_index import RunIndex
 
 LENGTH, GRAM = 100, 32
@@ -215,7 +215,8 @@ def _meet(blobs: DataFrame, buckets: int, length: int, busy: int) -> DataFrame:
                 if some.any():
                     yield _rows(id_[some], tie[some], start[some], start[some] + n[some] + length - 1, kind, anchor[some])
 
-    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND).drop("bucket", "blob")
+    at = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
+    return dealt(blobs, at, buckets).mapInArrow(run, _FOUND).drop("bucket", "blob")
 
 
 def _cut_out(both: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -287,7 +288,40 @@ def _later_strings(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
             if not first.all():
                 yield _removed([c[order[~first]] for c in columns], length)
 
-    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND).select("id", "tie", "start", "end")
+    return dealt(blobs, -1 - F.col("bucket"), buckets).mapInArrow(run, _FOUND).select("id", "tie", "start", "end")
+
+
+def likely(groups: list[np.ndarray], head: np.ndarray, texts: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """The groups without what can match nothing: strings whose hash no other string of their group has.
+
+    Stretches are cut down, in head and texts, to what lies between their first and last other string, or
+    left out. The hash only prunes; what matches is for the index to say.
+    """
+    every = np.concatenate(groups)
+    size = head[every, 3]
+    begin = np.cumsum(size) - size
+    flat = np.concatenate([texts[i] for i in every])
+    at = np.arange(len(flat)) - np.repeat(begin, size)
+    fits = np.flatnonzero(at <= np.repeat(size, size) - length)
+    group = np.repeat(np.repeat(np.arange(len(groups)), [len(g) for g in groups]), size)[fits].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        hashes = mix64(Prefix(flat).windows(length)[fits] + group * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(fits), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    mark = np.zeros(len(flat), bool)
+    mark[fits[twice]] = True
+    first = np.minimum.reduceat(np.where(mark, at, len(flat)), begin)
+    last = np.maximum.reduceat(np.where(mark, at, -1), begin)
+    keep = np.zeros(len(head), bool)
+    for i, a, b in zip(every.tolist(), first.tolist(), (last + length).tolist(), strict=True):
+        if b >= length:
+            keep[i] = True
+            texts[i] = texts[i][a:b]
+            head[i, 2] += a
+            head[i, 3] = b - a
+    return [g[keep[g]] for g in groups]
 
 
 def _index(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -325,7 +359,7 @@ def _index(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
         A group has a class, and its halves have classes of their own: strings of different classes never
         match, so what comes after a query cannot answer it, and one index does for all groups of a round.
         """
-        now = [(g, 0) for g in groups]
+        now = [(g, 0) for g in likely(groups, head, texts, length)]
         while now := [(g, c) for g, c in now if len(g) > 1]:
             early = np.concatenate([g[: len(g) // 2] for g, _ in now])
             late = np.concatenate([g[len(g) // 2 :] for g, _ in now])
@@ -350,7 +384,7 @@ def _index(blobs: DataFrame, buckets: int, length: int) -> DataFrame:
             known[late[last < 0]] = True
             now = [h for g, c in now for h in ((g[: len(g) // 2], 2 * c), (g[len(g) // 2 :][~known[g[len(g) // 2 :]]], 2 * c + 1))]
 
-    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND).select("id", "tie", "start", "end")
+    return dealt(blobs, F.col("bucket"), buckets).mapInArrow(run, _FOUND).select("id", "tie", "start", "end")
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, busy: int = BUSY) -> DataFrame:
