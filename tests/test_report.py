@@ -88,8 +88,9 @@ def test_stream(spark, postings, tmp_path):
 
 
 def test_resolution_summary(spark):
-    rows = spark.createDataFrame([("a", "lever", 0), ("b", "", 1), ("c", "custom", 2), ("d", "lever", 3), ("e", None, 4), ("f", "ashby", 5)], "name string, ats string, ord long")
+    rows = [("a", "lever", 0), ("b", "", 1), ("c", "custom", 2), ("d", "lever", 3), ("e", None, 4), ("f", "ashby", 5)]
+    rows = spark.createDataFrame([(n, f"https://{n}.test", a, "https://c.test/jobs" if n == "c" else None, i) for n, a, i in rows], "name string, url string, ats string, careers_url string, ord long")
     text = report.resolution_summary(rows).first()[0]
-    assert "- total: 6" in text and "- resolved: 3 (50.0%)" in text and "- new: 2 (33.3%)" in text
-    assert "- lever: 2\n- ashby: 1" in text and "## Custom\n- c" in text and "## Unresolved\n(none)" in text
+    assert "Total companies: 6" in text and "- Resolved (real vendor): 3 (50.0%)" in text and "- New (never attempted): 2 (33.3%)" in text
+    assert "- lever: 2\n- ashby: 1" in text and "scraper)\n\n- c — https://c.test/jobs\n" in text and "found nothing)\n\n(none)\n" in text and text.endswith("- b — https://b.test\n- e — https://e.test\n")
     assert report.shares(report.bucket_counts(rows.limit(0), "ats")).first()["resolved_percent"] == 0.0

@@ -45,22 +45,22 @@ def test_links(spark):
 
 
 def test_resolved(spark):
-    companies = spark.createDataFrame([(n, f"https://{n}.test", None, None, None, None, None, None, i) for i, n in enumerate("abcdef")], COMPANY)
+    companies = spark.createDataFrame([(n, f"https://{n}.test", None, None, None, None, None, None, i) for i, n in enumerate("abcdefgh")], COMPANY)
     pages = spark.createDataFrame([
         ("a", 0, 0, 0, "https://a.test", "jobs.lever.co/a"), ("a", 1, 0, 0, "https://a.test/jobs", "jobs.ashbyhq.com/a"),
         ("b", 0, 0, 0, "https://b.test", ""), ("b", 1, 1, 1, "https://b.test/list", "jobs.ashbyhq.com/b"), ("b", 1, 0, 0, "https://b.test/jobs", "x"),
-        ("c", 1, 0, 0, "https://c.test/jobs", "none"), ("d", 0, 0, 0, "https://d.test", None), ("e", 0, 0, 0, "https://e.test", "x"),
+        ("c", 1, 0, 0, "https://c.test/jobs", "jobs.lever.co/c"), ("g", 0, 0, 0, "https://g.test", ""), ("g", 1, 0, 0, "https://g.test/jobs", "none"), ("h", 0, 0, 0, "https://h.test", ""), ("h", 1, 2, 0, "https://h.test/jobs", "none"), ("d", 0, 0, 0, "https://d.test", None), ("e", 0, 0, 0, "https://e.test", "x"),
     ], "name string, stage int, cand_ord int, hop_ord int, url string, body string")
-    probes = spark.createDataFrame([("c", 0, 0, "lever", "c", False), ("e", 1, 0, "greenhouse", "e2", True), ("e", 0, 1, "ashby", "e", True)], "name string, slug_ord int, probe_ord int, ats string, slug string, ok boolean")
+    probes = spark.createDataFrame([("c", 0, 0, "lever", "c", False), ("g", 0, 0, "lever", "g", True), ("e", 1, 0, "greenhouse", "e2", True), ("e", 0, 1, "ashby", "e", True)], "name string, slug_ord int, probe_ord int, ats string, slug string, ok boolean")
     found = resolve.resolved(companies, pages, probes)
     rows = {r["name"]: (r["ats"], r["identifier"], r["careers_url"], r["match_method"]) for r in found.collect()}
     assert rows == {
-        "a": ("lever", "a", "https://a.test", "page_scan"), "b": ("ashby", "b", "https://b.test/list", "page_scan"), "c": ("custom", None, "https://c.test/jobs", None),
+        "a": ("lever", "a", "https://a.test", "page_scan"), "b": ("ashby", "b", "https://b.test/list", "page_scan"), "c": ("unresolved", None, None, None), "g": ("lever", "g", None, "api_probe"), "h": ("custom", None, "https://h.test/jobs", None),
         "d": ("unresolved", None, None, None), "e": ("ashby", "e", None, "api_probe"), "f": ("unresolved", None, None, None),
     }
     after = resolve.updated(companies, found.where("name = 'a'"))
     assert sorted((r["name"], r["ats"]) for r in after.collect())[:2] == [("a", "lever"), ("b", None)]
-    assert resolve.pending(after).count() == 5 and resolve.pending(after, "all").count() == 6
+    assert resolve.pending(after).count() == 7 and resolve.pending(after, "all").count() == 8
 
 
 def test_probes(spark):
@@ -71,3 +71,40 @@ def test_probes(spark):
     ]
     frame = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, a string, b string").select("i", resolve.probe_ok(F.col("a"), F.col("b"), F.lit("Acme"))).orderBy("i")
     assert [r[1] for r in frame.collect()] == [c[2] for c in cases]
+
+
+def test_crawl(spark):
+    companies = spark.createDataFrame([(n, f"https://{n}.test", None, None, None, None, None, None, i) for i, n in enumerate("abcd")], COMPANY)
+    link = lambda href, text="x": f'<a href="{href}">{text}</a>'
+    got = {
+        "https://a.test": link("/zweitjob", "Blog") + link("karriere/", "Karriere") + link("/jobs"),
+        "https://a.test/zweitjob": "nothing", "https://a.test/karriere/": link("/list", "See our open roles") + link("/jobs", "open positions") + link("/list", "open roles"),
+        "https://a.test/list": "jobs.ashbyhq.com/a", "https://a.test/jobs": link("/list2", "open roles"), "https://a.test/list2": "x",
+        "https://b.test": "", "https://b.test/careers": "b", "https://c.test/careers": "jobs.lever.co/c", "https://d.test": "<div>" * 3000 + link("http://[bad", "jobs") + link("/jobs"), "https://d.test/jobs": None,
+    }
+    pages = spark.createDataFrame([(u, u, b) for u, b in got.items()], "request_url string, url string, body string")
+    rows = sorted((r["name"], r["stage"], r["cand_ord"], r["hop_ord"], r["url"].split(".test")[1]) for r in resolve.crawl(companies, pages).collect())
+    assert rows == [
+        ("a", 0, 0, 0, ""), ("a", 1, 0, 0, "/zweitjob"), ("a", 1, 1, 0, "/karriere/"), ("a", 1, 1, 1, "/list"), ("a", 1, 1, 2, "/jobs"),  # /jobs is no candidate after that, so /list2 is not reached
+        ("b", 0, 0, 0, ""), ("b", 1, 0, 0, "/careers"), ("d", 0, 0, 0, ""),
+    ]
+    answers = spark.createDataFrame([("d", "lever", "[]")], "slug string, ats string, body string")
+    found = {r["name"]: (r["ats"], r["identifier"], r["careers_url"], r["match_method"]) for r in resolve.resolve(companies, pages, answers).collect()}
+    assert found == {"a": ("ashby", "a", "https://a.test/list", "page_scan"), "b": ("custom", None, "https://b.test/careers", None), "c": ("unresolved", None, None, None), "d": ("lever", "d", None, "api_probe")}
+
+
+def test_write_back_and_report(spark, tmp_path):
+    from tidemill.operators.report import resolution_summary
+    from tidemill.plans.scan import CompaniesTable
+
+    table = CompaniesTable(spark, str(tmp_path / "companies"))
+    table.write(spark.createDataFrame([("A", "https://a.test", None, None, None, None, None, None, 0), ("B", "https://b.test", "custom", None, None, "https://b.test/jobs", None, None, 1), ("C", "https://c.test", "unresolved", None, None, None, None, None, 2)], COMPANY))
+    pages = spark.createDataFrame([("https://a.test", "https://a.test", "jobs.lever.co/a")], "request_url string, url string, body string")
+    answers = spark.createDataFrame([], "slug string, ats string, body string")
+    assert [r["name"] for r in table.resolve(pages, answers).collect()] == ["A"] and table.version() == 2
+    assert table.resolve(pages, answers).count() == 0 and table.version() == 2
+    assert resolution_summary(table.read()).first()[0] == (
+        "# ATS resolution report\n\nTotal companies: 3\n\n## Bucket summary\n\n- Resolved (real vendor): 1 (33.3%)\n- Custom (careers page found, no recognized vendor): 1 (33.3%)\n"
+        "- Unresolved (attempted, no careers page found): 1 (33.3%)\n- New (never attempted): 0 (0.0%)\n\n## Resolved by vendor\n\n- lever: 1\n\n## Unresolved companies (attempted, found nothing)\n\n- C — https://c.test\n\n"
+        "## Custom (candidate for a future generic scraper)\n\n- B — https://b.test/jobs\n\n## New (never attempted)\n\n(none)\n")
+    assert table.resolve(pages, answers, "needs").count() == 2 and table.version() == 3

@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def until_empty(pages: DataFrame, key: list[str], page: str, empty: Column, cap: int) -> DataFrame:
-    """Pages before their key's first empty or missing one, and at most cap of them; pages count from 1."""
-    own = Window.partitionBy(*key)
+def until_empty(pages: DataFrame, key: list[str], page: str, empty: Column, cap: int | Column, paged: Column | None = None) -> DataFrame:
+    """Pages before their key's first empty or missing one, and at most cap of them; pages count from 1.
+
+    paged: of which rows this holds; the others all stay.
+    """
+    own, end = Window.partitionBy(*key), (F.lit(cap) if isinstance(cap, int) else cap) + 1
     bad = F.min(F.when(empty, F.col(page))).over(own)
     gap = F.min(F.when(F.col("__want") != F.col(page), F.col("__want"))).over(own)
     ranked = pages.withColumn("__want", F.row_number().over(own.orderBy(page)))
-    return ranked.withColumn("__stop", F.least(F.coalesce(bad, F.lit(cap + 1)), F.coalesce(gap, F.lit(cap + 1)), F.lit(cap + 1))).where(F.col(page) < F.col("__stop")).drop("__want", "__stop")
+    stays = F.col(page) < F.col("__stop")
+    return ranked.withColumn("__stop", F.least(F.coalesce(bad, end), F.coalesce(gap, end), end)).where(stays if paged is None else stays | ~paged).drop("__want", "__stop")
+
+
+def below_total(page: Column, total: Column, size: int, cap: int | Column) -> Column:
+    return (page <= cap) & ((page == 1) | ((page - 1) * size < total))
 
 
 def until_total(pages: DataFrame, page: str, total: str, size: int, cap: int) -> DataFrame:
     """Pages (from 1) whose offset lies below the total, and at most cap of them; the first is always taken."""
-    return pages.where((F.col(page) <= cap) & ((F.col(page) == 1) | ((F.col(page) - 1) * size < F.col(total))))
+    return pages.where(below_total(F.col(page), F.col(total), size, cap))
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:

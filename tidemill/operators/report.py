@@ -92,16 +92,43 @@ def shares(counts: DataFrame, apart: Iterable[str] = ("custom", "unresolved", "n
     return once.select("total", *(x for k in columns for x in (F.col(k), percent(k).alias(f"{k}_percent"))))
 
 
-def resolution_summary(companies: DataFrame) -> DataFrame:
-    """The summary of company resolution as one Markdown text: totals, vendors by count, companies by bucket."""
+#: The headings and lines of the resolution report.
+REPORT_TITLE, REPORT_TOTAL = "# ATS resolution report", "Total companies: %d"
+REPORT_BUCKETS = {
+    "resolved": "- Resolved (real vendor): %d (%.1f%%)", "custom": "- Custom (careers page found, no recognized vendor): %d (%.1f%%)",
+    "unresolved": "- Unresolved (attempted, no careers page found): %d (%.1f%%)", "new": "- New (never attempted): %d (%.1f%%)",
+}
+REPORT_SECTIONS = {
+    "summary": "## Bucket summary", "vendors": "## Resolved by vendor", "unresolved": "## Unresolved companies (attempted, found nothing)",
+    "custom": "## Custom (candidate for a future generic scraper)", "new": "## New (never attempted)",
+}
+
+
+def resolution_lines(companies: DataFrame) -> DataFrame:
+    """The resolution report's lines with their place (section, rank, ord): totals, vendors by count, companies by bucket.
+
+    Lines stay rows, so a report of any number of companies needs no array of them.
+    """
     rows = companies.withColumn("bucket", F.coalesce(F.nullif("ats", F.lit("")), F.lit("new")))
+    place = lambda section, rank, ord_: F.struct(F.lit(section).alias("section"), rank.cast("long").alias("rank"), ord_.cast("long").alias("ord")).alias("place")
+    text = lambda section, ord_, line: F.struct(place(section, F.lit(0), F.lit(ord_)), line.alias("text"))
+    line = lambda k: F.format_string(REPORT_BUCKETS[k], F.col(k), F.col(f"{k}_percent"))
+    top = [F.lit(REPORT_TITLE), F.lit(""), F.format_string(REPORT_TOTAL, "total"), F.lit(""), F.lit(REPORT_SECTIONS["summary"]), F.lit(""), *(line(k) for k in REPORT_BUCKETS), F.lit(""), F.lit(REPORT_SECTIONS["vendors"]), F.lit("")]
     share = shares(bucket_counts(rows, "ats"))
-    line = lambda name, k: F.format_string(f"- {name}: %d (%.1f%%)", F.col(k), F.col(f"{k}_percent"))
-    totals = share.select(F.concat_ws("\n", F.lit("# Resolution"), F.lit(""), F.format_string("- total: %d", "total"), line("resolved", "resolved"), line("custom", "custom"), line("unresolved", "unresolved"), line("new", "new")).alias("totals"))
-    vendors = rows.where(~F.col("bucket").isin("custom", "unresolved", "new")).groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("ord").alias("first"))
-    vendors = vendors.agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "first", "bucket"))).alias("v")).select(F.when(F.size("v") == 0, F.lit("(none)")).otherwise(F.array_join(F.transform("v", lambda x: F.concat(F.lit("- "), x["bucket"], F.lit(": "), (-x["k"]).cast("string"))), "\n")).alias("vendors"))
-    section = lambda b: F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("ord", "name"))))
-    lists = rows.agg(*(section(b).alias(b) for b in ("custom", "unresolved")))
-    listed = lambda c: F.when(F.size(c) == 0, F.lit("(none)")).otherwise(F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x["name"])), "\n"))
-    whole = totals.crossJoin(vendors).crossJoin(lists.select(listed("custom").alias("custom"), listed("unresolved").alias("unresolved")))  # of one row each
-    return whole.select(F.concat_ws("\n\n", "totals", F.concat_ws("\n", F.lit("## Vendors"), "vendors"), F.concat_ws("\n", F.lit("## Custom"), "custom"), F.concat_ws("\n", F.lit("## Unresolved"), "unresolved")).alias("text"))
+    out = share.select(F.explode(F.array(*(text(0, i, x) for i, x in enumerate(top)))).alias("x")).select("x.*")
+    named = ["custom", "unresolved", "new"]
+    vendors = rows.where(~F.col("bucket").isin(named)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    out = out.unionByName(vendors.select(place(1, -F.col("n"), F.col("first")), F.concat(F.lit("- "), "bucket", F.lit(": "), F.col("n").cast("string")).alias("text")))
+    for i, bucket in enumerate(("unresolved", "custom", "new"), 1):
+        head = share.select(F.explode(F.array(*(text(2 * i, k, x) for k, x in enumerate((F.lit(""), F.lit(REPORT_SECTIONS[bucket]), F.lit(""))))).alias("x")).alias("x")).select("x.*")
+        none = share.where(F.col(bucket) == 0).select(place(2 * i + 1, F.lit(0), F.lit(0)), F.lit("(none)").alias("text"))
+        at = F.coalesce(F.nullif("careers_url", F.lit("")), F.col("url")) if bucket == "custom" else F.col("url")
+        listed = rows.where(F.col("bucket") == bucket).select(place(2 * i + 1, F.lit(0), F.col("ord")), F.concat(F.lit("- "), "name", F.lit(" — "), at).alias("text"))
+        out = out.unionByName(head).unionByName(none).unionByName(listed)
+    return out
+
+
+def resolution_summary(companies: DataFrame) -> DataFrame:
+    """The report as one text. One row holds it, so this is for a configuration's companies; resolution_lines() has no such bound."""
+    lines = resolution_lines(companies).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("lines"))
+    return lines.select(F.concat(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), F.lit("\n")).alias("text"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import UNICODE, names_match, text_of
 
-IDENTIFIER = "struct<identifier:string,identifier_workday:struct<tenant:string,wd_host:string,site:string>>"
-
-
 def page_text(url: Column, body: Column) -> Column:
     """What signatures are looked for in: escaped slashes of embedded JSON count as slashes."""
     return F.replace(F.replace(F.concat(text_of(url), F.lit("\n"), text_of(body)), F.lit("\\u002F"), F.lit("/")), F.lit("\\/"), F.lit("/"))
@@ -80,21 +80,75 @@ def career_urls(company_url: Column, links: Column) -> Column:
     return F.array_distinct(F.concat(matching_links(links, rules.CAREER_LINK), guesses))
 
 
+_LINKS = "array<struct<href:string,text:string,url:string>>"
+
+
+def page_links(url: Column, body: Column) -> Column:
+    """Every link of a page in order: its href, its text, and the url it leads to."""
+
+    @F.pandas_udf(_LINKS)
+    def read(urls: pd.Series, bodies: pd.Series) -> pd.Series:
+        from ..sources.html import parse
+
+        def links(url: str | None, body: str | None) -> list[dict]:
+            out = []
+            for a in parse(body).select("a[href]"):
+                try:
+                    out.append({"href": a.get("href"), "text": a.text(), "url": urljoin(url or "", a.get("href"))})
+                except ValueError:  # an href that is no url
+                    continue
+            return out
+
+        return pd.Series([links(u, b) for u, b in zip(urls, bodies, strict=True)])
+
+    return read(url, body)
+
+
+def crawl(companies: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages looked at for each company, in order, out of captured ones.
+
+    pages: request_url, url (where it led), body (null: not reached). Returned: name, stage (0 the home
+    page, 1 career pages and what they link to), cand_ord, hop_ord (0 the career page, from 1 the listings
+    it links to), url, body. No page is looked at twice: what an earlier page led to is no career page any
+    more. Without a home page there is nothing else.
+    """
+    got = pages.where("body is not null").select(F.col("request_url").alias("asked"), F.coalesce("url", "request_url").alias("url"), "body")
+    # Career pages are read for their links to listings, home pages for those to career pages: once each.
+    linked = got.withColumn("links", page_links(F.col("url"), F.col("body")))
+    home = companies.select("name", F.col("url").alias("company_url")).join(linked.withColumnRenamed("asked", "company_url"), "company_url")
+    candidates = home.select("name", F.col("url").alias("home"), F.posexplode(career_urls(F.col("company_url"), F.col("links"))).alias("cand_ord", "asked"))
+    deeper = linked.select("asked", matching_links(F.col("links"), rules.LISTING_LINK).alias("deeper"))
+    each = candidates.join(deeper, "asked", "left").groupBy("name", "home").agg(F.array_sort(F.collect_list(F.struct("cand_ord", "asked", "deeper"))).alias("candidates"))
+    visit = "array<struct<cand_ord:int,hop_ord:int,asked:string>>"
+    start = F.struct(F.array("home").alias("seen"), F.array().cast(visit).alias("visits"))
+
+    def step(acc: Column, c: Column) -> Column:
+        new = F.array_except(F.coalesce(c["deeper"], F.array().cast("array<string>")), F.concat(acc["seen"], F.array(c["asked"])))
+        hops = F.transform(new, lambda u, i: F.struct(c["cand_ord"].alias("cand_ord"), (i + 1).alias("hop_ord"), u.alias("asked")))
+        visits = F.concat(acc["visits"], F.array(F.struct(c["cand_ord"].alias("cand_ord"), F.lit(0).alias("hop_ord"), c["asked"].alias("asked"))).cast(visit), hops.cast(visit))
+        return F.when(F.array_contains(acc["seen"], c["asked"]), acc).otherwise(F.struct(F.concat(acc["seen"], F.array(c["asked"]), new).alias("seen"), visits.alias("visits")))
+
+    visits = each.select("name", F.explode(F.aggregate("candidates", start, step, lambda acc: acc["visits"])).alias("v")).select("name", "v.*")
+    found = visits.join(got, "asked").select("name", F.lit(1).alias("stage"), "cand_ord", "hop_ord", "url", "body")
+    return home.select("name", F.lit(0).alias("stage"), F.lit(0).alias("cand_ord"), F.lit(0).alias("hop_ord"), "url", "body").unionByName(found)
+
+
 def resolved(companies: DataFrame, pages: DataFrame, probes: DataFrame) -> DataFrame:
     """name with ats, identifier, identifier_workday, careers_url and match_method, by the best evidence captured.
 
-    pages: name, stage (0 the home page, 1 career pages), cand_ord, hop_ord (0 the page, more: listings it
-    links to), url, body (null: not reached). probes: name, slug_ord, probe_ord, ats, slug, ok. Pages
-    come before probes, each in order; without a vendor, a career page that was reached makes a company
-    custom; else it is unresolved.
+    pages: as crawl() returns them. probes: name, slug_ord, probe_ord, ats, slug, ok. Pages come before
+    probes, each in order, and career pages count only if the home page was reached. A probe tells no
+    careers_url. Without a vendor, a career page that was reached makes a company custom; else it is
+    unresolved.
     """
     read = pages.join(companies.select("name"), "name").where("body is not null").withColumn("m", scan_page(F.col("url"), F.col("body"), F.col("name")))
     order = F.struct("stage", "cand_ord", "hop_ord")
-    hit = F.col("m").isNotNull()
+    hit, career = F.col("m").isNotNull(), (F.col("stage") > 0) & (F.col("hop_ord") == 0)
     by_page = read.groupBy("name").agg(
         F.min_by(F.when(hit, F.struct("m", "url")), F.when(hit, order)).alias("page"),
-        F.min_by(F.when(F.col("stage") > 0, F.col("url")), F.when(F.col("stage") > 0, order)).alias("reached"),
+        F.min_by(F.when(career, F.col("url")), F.when(career, order)).alias("reached"), F.bool_or(F.col("stage") == 0).alias("home"),
     )
+    by_page = by_page.where("home").drop("home")
     by_probe = probes.where("ok").groupBy("name").agg(F.min_by(F.struct("ats", "slug"), F.struct("slug_ord", "probe_ord")).alias("probe"))
     both = companies.select("name").join(by_page, "name", "left").join(by_probe, "name", "left")
     page, probe = F.col("page.m"), F.col("probe")
@@ -102,10 +156,15 @@ def resolved(companies: DataFrame, pages: DataFrame, probes: DataFrame) -> DataF
     method = F.coalesce(page["match_method"], F.when(probe.isNotNull(), F.lit("api_probe")))
     return both.select(
         "name", ats.alias("ats"), F.when(page.isNotNull(), page["identifier"]).otherwise(probe["slug"]).alias("identifier"), page["identifier_workday"].alias("identifier_workday"),
-        F.when(page.isNotNull(), F.col("page.url")).otherwise(F.col("reached")).alias("careers_url"), method.alias("match_method"),
+        F.when(page.isNotNull(), F.col("page.url")).when(probe.isNull(), F.col("reached")).alias("careers_url"), method.alias("match_method"),
     )
 
 
+def resolve(companies: DataFrame, pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """resolved() from captured pages (request_url, url, body) and answers to guessed slugs (slug, ats, body)."""
+    return resolved(companies, crawl(companies, pages), probes_of(companies, answers))
+
+
 def pending(companies: DataFrame, force: str = "new") -> DataFrame:
     """The companies to resolve: new ones, those that need it (needs), or all."""
     test = {"new": is_new_entry(F.col("ats")), "needs": needs_resolution(F.col("ats"), F.coalesce(F.col("identifier"), F.col("identifier_workday.tenant"))), "all": F.lit(True)}[force]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import report as messages
@@ -12,19 +12,37 @@ from ..operators.dedup import SeenTable, job_id, last_value_first_position, unse
 from ..operators.predicates import german_required, in_scope_city, in_scope_remote, title_matches
 
 
-def build_report(postings: DataFrame, seen: DataFrame, terms: list[str] | None = None) -> DataFrame:
+def _counts(stage: str) -> dict[str, Column]:
+    """What is counted at each stage of a run."""
+    n = F.count(F.lit(1))
+    return {
+        "scanned": {"n_scanned": n, "n_city": F.count_if(F.col("__scopes")[0]), "n_remote": F.count_if(F.col("__scopes")[1])},
+        "matched": {"n_matched": n}, "new": {"n_new": n, "n_german": F.count_if("german"), "n_english": F.count_if(~F.col("german"))},
+    }[stage]
+
+
+def build_report(postings: DataFrame, seen: DataFrame, terms: list[str] | None = None, metrics: dict[str, Observation] | None = None) -> DataFrame:
     """New postings in scope whose title matches, with job_id, german and ord.
 
     postings: source_id, title, company, url, location, description, ord. Rows of both scopes come as
     (0, ord) for the city, then (1, ord) for remote; of equal urls the last row counts, at the place of
-    the first. The scopes are worked out once per row.
+    the first. The scopes are worked out once per row. metrics: gets an observation for each stage, which
+    the next action over the report fills in passing.
     """
+
+    def counted(rows: DataFrame, stage: str) -> DataFrame:
+        if metrics is None:
+            return rows
+        metrics[stage] = Observation()
+        return rows.observe(metrics[stage], *(c.alias(k) for k, c in _counts(stage).items()))
+
     flagged = postings.withColumn("__scopes", F.array(in_scope_city(F.col("location"), F.col("description")), in_scope_remote(F.col("location"), F.col("description"))))
-    placed = flagged.select("*", F.posexplode("__scopes").alias("__scope", "__in")).where("__in")
+    placed = counted(flagged, "scanned").select("*", F.posexplode("__scopes").alias("__scope", "__in")).where("__in")
     placed = placed.withColumn("pos", F.struct(F.col("__scope").alias("scope"), F.col("ord").alias("ord"))).drop("__scopes", "__scope", "__in", "ord")
     merged = last_value_first_position(placed, ["url"], "pos")
     matched = merged.where(title_matches(F.col("title"), terms)).withColumn("job_id", job_id(F.col("source_id"), F.col("url")))
-    return unseen(matched, seen).withColumn("german", german_required(F.col("description"))).withColumnRenamed("pos", "ord")
+    new = unseen(counted(matched, "matched"), seen).withColumn("german", german_required(F.col("description"))).withColumnRenamed("pos", "ord")
+    return counted(new, "new")
 
 
 def run(postings: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False) -> list[str]:

@@ -11,17 +11,17 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import TITLE_TERMS
 from ..operators import dedup, lookups, paging
 from ..operators.predicates import title_matches, with_url
 from .html import Node, parse
+from .schema import packed_ord
 
 Row = tuple[str, str, str, str, str]  # title, company, url, location, description
 _UMLAUTS = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss"})
@@ -147,15 +147,39 @@ def get_in_it(body: str) -> Iterator[Row]:
         yield job.get("title") or "", dig(job, "company", "title") or "", url and "https://www.get-in-it.de" + url, named(job.get("locations"), "name"), ""
 
 
-def instaffo_urls(sitemap: str, terms: list[str]) -> list[str]:
-    """The sitemap's English job pages whose slug holds one of the terms, umlauts written plainly."""
+#: The sitemap's namespace, where its English pages start, and the id at a slug's end.
+SITEMAP = "{http://www.sitemaps.org/schemas/sitemap/0.9}loc"
+SITEMAP_PAGES = "https://jobs.instaffo.com/en/job/"
+SLUG_ID = "-[0-9a-f]{12}$"
+
+
+def sitemap_urls(body: str | None) -> list[str]:
+    """A sitemap's English job pages, in order; none if it can't be read."""
     try:
-        root = ElementTree.fromstring(sitemap)
+        root = ElementTree.fromstring(body or "")
     except ElementTree.ParseError:
         return []
-    urls = [u.text for u in root.iter("{http://www.sitemaps.org/schemas/sitemap/0.9}loc") if u.text]
-    slug = lambda u: re.sub(r"-[0-9a-f]{12}$", "", u.rsplit("/", 1)[-1]).replace("-", " ").translate(_UMLAUTS).lower()
-    return [u for u in urls if u.startswith("https://jobs.instaffo.com/en/job/") and any(t.lower().translate(_UMLAUTS) in slug(u) for t in terms)]
+    return [u.text for u in root.iter(SITEMAP) if u.text and u.text.startswith(SITEMAP_PAGES)]
+
+
+def plain_letters(text: Column) -> Column:
+    """Lower case, umlauts written plainly."""
+    return F.lower(F.replace(F.translate(text, "äöü", "aou"), F.lit("ß"), F.lit("ss")))
+
+
+def slug_matches(url: Column, terms: list[str]) -> Column:
+    """Whether the words of a url's last part hold one of the terms, umlauts written plainly."""
+    words = plain_letters(F.replace(F.regexp_replace(F.substring_index(url, "/", -1), SLUG_ID, ""), F.lit("-"), F.lit(" ")))
+    out = F.lit(False)
+    for term in terms:
+        out = out | F.contains(words, F.lit(term.lower().translate(_UMLAUTS)))
+    return out
+
+
+def instaffo_urls(sitemap: str, terms: list[str]) -> list[str]:
+    """The sitemap's English job pages whose slug holds one of the terms; slug_matches() in plain Python."""
+    slug = lambda u: re.sub(SLUG_ID, "", u.rsplit("/", 1)[-1]).replace("-", " ").translate(_UMLAUTS).lower()
+    return [u for u in sitemap_urls(sitemap) if any(t.lower().translate(_UMLAUTS) in slug(u) for t in terms)]
 
 
 def instaffo(body: str) -> Iterator[Row]:
@@ -254,17 +278,16 @@ class Board:
     total: Callable[[str], int] | None = None  # offset paging by the response's own total
     details_of: str = ""  # only urls that start so have details
     own_url: bool = False  # a listing response is one posting's page
-    slug: Callable[[str], str] = quote  # a search term as the source's request key
 
 
 BOARDS = {
     "arbeitnow": Board(arbeitnow, picked('[itemprop="description"]'), overwrite=True),
     "germantechjobs": Board(rss),
-    "stepstone": Board(stepstone, picked('[data-at="job-ad-content"]'), slug=lambda t: quote(t.replace(" ", "-"))),
+    "stepstone": Board(stepstone, picked('[data-at="job-ad-content"]')),
     "devjobs": Board(devjobs, picked('div[class*="md:-mt-2"]'), page_cap=30),
     "testdevjobs": Board(testdevjobs, picked('[itemprop="description"]'), page_cap=10),
     "wearedevelopers": Board(wearedevelopers, markdown_detail),
-    "englishjobs": Board(englishjobs, slug=lambda t: t.replace(" ", "_")),
+    "englishjobs": Board(englishjobs),
     "builtin": Board(builtin, picked("div.job-post-item"), page_cap=10),
     "xing": Board(xing, xing_detail, details_of="https://www.xing.com/jobs/"),
     "get_in_it": Board(get_in_it, get_in_it_detail),
@@ -274,65 +297,120 @@ BOARDS = {
     "munich_startup": Board(munich_startup, picked(".pinboard-prose"), overwrite=True),
     "stellenanzeigen": Board(stellenanzeigen, stellenanzeigen_detail, overwrite=True),
 }
+#: Adapter names of a sources table that are not the board's name here.
+ADAPTERS = {
+    "arbeitnow_api": "arbeitnow", "html_scrape": "germantechjobs", "englishjobsde": "englishjobs", "xing_jobs": "xing",
+    "ferchau_jobs": "ferchau", "munich_startup_jobs": "munich_startup", "stellenanzeigende": "stellenanzeigen",
+}
 _ROWS = "array<struct<title:string,company:string,url:string,location:string,description:string>>"
+_FIELDS = ("title", "company", "url", "location", "description")
 FERCHAU_PAGE = 25
 
 
-def _listings(payloads: DataFrame, board: Board) -> DataFrame:
-    @F.pandas_udf(f"struct<rows:{_ROWS},total:int>")
-    def read(bodies: pd.Series) -> pd.DataFrame:
-        rows, totals = [], []
-        for body in bodies:
-            try:
-                found = [dict(zip(("title", "company", "url", "location", "description"), map(str, r), strict=True)) for r in board.listing(body or "")]
-                totals.append(board.total(body or "") if board.total else 0)
-            except (TypeError, ValueError, KeyError, AttributeError):  # a response of another shape has no rows
-                found = []
-                totals.append(0)
-            rows.append(found)
-        return pd.DataFrame({"rows": rows, "total": totals})
-
-    good = payloads.where("kind = 'listing' and status = 200").withColumn("read", read("body")).select("*", "read.rows", "read.total")
-    if board.total:
-        good = paging.until_total(good, "page", "total", FERCHAU_PAGE, board.page_cap)
-    elif board.page_cap:
-        good = paging.until_empty(good, ["source_id", "request_key"], "page", F.size("rows") == 0, board.page_cap)
-    each = good.select("source_id", F.col("url").alias("page_url"), F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r")).select("*", "r.*")
-    url = F.when(F.lit(board.own_url), F.col("page_url")).otherwise(F.col("url"))
-    return each.select("source_id", "title", "company", url.alias("url"), "location", "description", F.struct("req", "i").alias("ord"))
+def board_of(adapter: Column) -> Column:
+    return F.coalesce(*(F.when(adapter == k, F.lit(v)) for k, v in ADAPTERS.items()), adapter)
 
 
-def scan_board(payloads: DataFrame, name: str, terms: list[str] | None = None) -> DataFrame:
-    """One board's postings with ord (struct of request and place) from its captured responses."""
+def request_key(board: Column, term: Column) -> Column:
+    """A search term as the board's requests write it."""
+    quoted = lambda t: F.replace(F.replace(F.url_encode(t), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    return F.when(board == "stepstone", quoted(F.replace(term, F.lit(" "), F.lit("-")))).when(board == "englishjobs", F.replace(term, F.lit(" "), F.lit("_"))).otherwise(quoted(term))
+
+
+def requests(sources: DataFrame, terms: list[str]) -> DataFrame:
+    """source_id, adapter, term, request_key and ord of what is to be asked: every source with every term."""
+    each = sources.select(F.col("id").alias("source_id"), "adapter", F.posexplode(F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")).alias("ord", "term"))
+    return each.select("source_id", "adapter", "term", request_key(board_of(F.col("adapter")), F.col("term")).alias("request_key"), "ord")
+
+
+def read_listing(name: str, body: str | None) -> tuple[list[dict], int]:
+    """A response's rows and its total; a response of another shape has none, whatever is wrong with it."""
     board = BOARDS[name]
-    rows = with_url(dedup.last_value_first_position(_listings(payloads, board), ["source_id", "url"], "ord"))
-    if board.detail is None:
-        return rows
+    try:
+        rows = [dict(zip(_FIELDS, map(str, r), strict=True)) for r in board.listing(body or "")]
+        return rows, int(board.total(body or "")) if board.total else 0
+    except Exception:  # noqa: BLE001  one bad response costs its own rows only
+        return [], 0
+
 
-    @F.pandas_udf("struct<description:string,country:string>")
-    def read(bodies: pd.Series) -> pd.DataFrame:
-        found = [board.detail(b or "") for b in bodies]
-        return pd.DataFrame({"description": [f[0] for f in found], "country": [str(f[1]) for f in found]})
+def read_detail(name: str, body: str | None) -> tuple[str, str]:
+    """A detail page's description and country; of a page of another shape, none."""
+    try:
+        description, country = BOARDS[name].detail(body or "")
+        return str(description), str(country)
+    except Exception:  # noqa: BLE001
+        return "", ""
+
+
+def _boards(spark) -> DataFrame:
+    """What differs between boards, a row each."""
+    rows = [(k, b.detail is not None, b.overwrite, b.page_cap, b.total is not None, b.details_of, b.own_url) for k, b in BOARDS.items()]
+    return F.broadcast(spark.createDataFrame(rows, "board string, has_detail boolean, overwrite boolean, page_cap int, by_total boolean, details_of string, own_url boolean"))
+
+
+def _read(payloads: DataFrame, kind: str) -> DataFrame:
+    @F.pandas_udf(f"struct<rows:{_ROWS},total:int,description:string,country:string>")
+    def read(names: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        if kind == "detail":
+            found = [read_detail(n, b) for n, b in zip(names, bodies, strict=True)]
+            return pd.DataFrame({"rows": [[] for _ in found], "total": 0, "description": [f[0] for f in found], "country": [f[1] for f in found]})
+        found = [read_listing(n, b) for n, b in zip(names, bodies, strict=True)]
+        return pd.DataFrame({"rows": [f[0] for f in found], "total": [f[1] for f in found], "description": "", "country": ""})
+
+    return payloads.where((F.col("kind") == kind) & (F.col("status") == 200)).withColumn("read", read("board", "body"))
+
+
+def _scan(payloads: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of payloads with board and rank: one pass over the listings, and one over the details."""
+    mine = payloads.join(_boards(payloads.sparkSession), "board")
+    pages = _read(mine, "listing").select("*", "read.rows", "read.total").drop("read", "body")
+    paged, cap = (F.col("page_cap") > 0) & ~F.col("by_total"), F.col("page_cap")
+    pages = paging.until_empty(pages, ["source_id", "request_key"], "page", F.size("rows") == 0, cap, paged)
+    pages = pages.where(~F.col("by_total") | paging.below_total(F.col("page"), F.col("total"), FERCHAU_PAGE, cap))
+    each = pages.select("source_id", "board", "rank", "has_detail", "overwrite", "details_of", "own_url", F.col("url").alias("page_url"), F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r"))
+    url = F.when(F.col("own_url"), F.col("page_url")).otherwise(F.col("r.url"))
+    rows = each.select(
+        "source_id", F.col("r.title").alias("title"), F.col("r.company").alias("company"), url.alias("url"), F.col("r.location").alias("location"), F.col("r.description").alias("description"),
+        "board", "has_detail", "overwrite", "details_of", packed_ord(0, F.col("rank"), F.col("req"), F.col("i")).alias("ord"),
+    )
+    rows = with_url(_of_sitemaps(rows, mine, terms))
+    rows = dedup.last_value_first_position(rows, ["source_id", "url"], "ord")
+    pages = dedup.first_wins(mine.where((F.col("kind") == "detail") & (F.col("status") == 200) & F.col("has_detail")).select("source_id", "url", "board", "kind", "status", "body", "ord"), ["source_id", "url"], "ord")
+    details = _read(pages, "detail").select("source_id", "url", "read.description", "read.country")
+    asked = F.col("has_detail") & title_matches(F.col("title"), terms) & F.col("url").startswith(F.col("details_of"))
+    other = details.select(F.col("source_id").alias("__s"), F.col("url").alias("__u"), F.col("description").alias("__detail"), F.col("country").alias("__country"))
+    both = rows.withColumn("asked", asked).join(other, F.col("asked") & (F.col("source_id") == F.col("__s")) & (F.col("url") == F.col("__u")), "left")
+    use = F.col("__s").isNotNull() & (F.col("overwrite") | (F.col("__detail") != ""))
+    both = both.withColumn("description", F.when(use, F.col("__detail")).otherwise(F.col("description")))
+    # What a detail places abroad goes.
+    return both.where(F.coalesce("__country", F.lit("")).isin("", "DE")).select("source_id", *_FIELDS, "ord")
+
+
+def _of_sitemaps(rows: DataFrame, payloads: DataFrame, terms: list[str]) -> DataFrame:
+    """Where a source's sitemap was captured, only its pages whose slug holds a term."""
+
+    @F.pandas_udf("array<string>")
+    def read(bodies: pd.Series) -> pd.Series:
+        return bodies.map(sitemap_urls)
+
+    maps = payloads.where("kind = 'sitemap' and status = 200").select("source_id", F.explode_outer(read("body")).alias("url"))
+    sources = maps.select(F.col("source_id").alias("__m")).distinct()
+    wanted = maps.where(slug_matches(F.col("url"), terms)).select(F.col("source_id").alias("__s"), F.col("url").alias("__u")).distinct()
+    both = rows.join(sources, F.col("source_id") == F.col("__m"), "left").join(wanted, (F.col("source_id") == F.col("__s")) & (F.col("url") == F.col("__u")), "left")
+    return both.where("__m is null or __s is not null").drop("__m", "__s", "__u")
 
-    pages = payloads.where("kind = 'detail' and status = 200")
-    details = dedup.first_wins(pages.select("source_id", "url", "body", "ord"), ["source_id", "url"], "ord").withColumn("d", read("body")).select("source_id", "url", "d.*")
-    asked = title_matches(F.col("title"), TITLE_TERMS if terms is None else terms) & F.col("url").startswith(board.details_of)
-    foreign = details.where("country <> '' and country <> 'DE'")
-    matched = rows.where(asked).join(foreign.select("source_id", "url"), ["source_id", "url"], "left_semi")
-    filled = lookups.filled(rows, details, ["source_id", "url"], "description", asked, board.overwrite)
-    return lookups.without_foreign(filled, matched, ["source_id", "url"])
+
+def scan_board(payloads: DataFrame, name: str, terms: list[str] | None = None) -> DataFrame:
+    """One board's postings with ord from its captured responses."""
+    return _scan(payloads.withColumn("board", F.lit(name)).withColumn("rank", F.lit(0)), TITLE_TERMS if terms is None else terms)
 
 
 def scan_boards(payloads: DataFrame, sources: DataFrame, active: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """All active sources' postings in the order of their ids, then as they came; ord counts from 1.
+    """All active sources' postings; ord follows the order of the sources' ids, then of the responses.
 
     active: id. Sources without a board of that adapter, and ids without a source, have no rows; a bad
     response costs its own rows only.
     """
-    known = lookups.looked_up(active.select("id"), sources.select("id", "adapter"), ["id"]).select(F.col("id").alias("source_id"), "adapter")
-    mine = payloads.join(known, "source_id")
-    parts = [scan_board(mine.where(F.col("adapter") == name).drop("adapter"), name, terms) for name in BOARDS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("ord", F.struct("source_id", "ord"))
+    known = lookups.looked_up(active.select("id").distinct(), sources.select("id", "adapter"), ["id"])
+    known = known.select(F.col("id").alias("source_id"), board_of(F.col("adapter")).alias("board"), (F.row_number().over(Window.orderBy("id")) - 1).alias("rank"))  # a configuration's rows
+    return _scan(payloads.join(known, "source_id"), TITLE_TERMS if terms is None else terms)

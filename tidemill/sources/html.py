@@ -16,23 +16,31 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
+        self.every: list[Node] = parent.every if parent else []  # of the document, in order
+        self.place = len(self.every)
+        self.every.append(self)
 
     def get(self, name: str, default: str = "") -> str:
         return self.attrs.get(name, default)
 
     def walk(self) -> Iterator[Node]:
         """Every node below, in document order."""
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+        return (x for x in self._below() if isinstance(x, Node))
 
     def strings(self) -> Iterator[str]:
-        for child in self.children:
+        return (x for x in self._below() if not isinstance(x, Node))
+
+    def _below(self) -> Iterator[Node | str]:
+        """All below, in document order; however deep the markup is, without recursion."""
+        open_ = [iter(self.children)]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+                continue
+            yield child
             if isinstance(child, Node):
-                yield from child.strings()
-            else:
-                yield child
+                open_.append(iter(child.children))
 
     def text(self) -> str:
         return "".join(self.strings())
@@ -43,13 +51,20 @@ class Node:
 
     def inner(self) -> str:
         """The markup below."""
-        out = []
-        for child in self.children:
-            if not isinstance(child, Node):
-                out.append(child if self.tag in _RAW else html.escape(child, quote=False))
-                continue
-            attrs = "".join(f' {k}="{html.escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in child.attrs.items())
-            out.append(f"<{child.tag}{attrs}/>" if child.tag in _VOID else f"<{child.tag}{attrs}>{child.inner()}</{child.tag}>")
+        out, open_ = [], [(self, iter(self.children))]
+        while open_:
+            node, rest = open_[-1]
+            child = next(rest, None)
+            if child is None:
+                open_.pop()
+                out.append(f"</{node.tag}>" if open_ else "")
+            elif not isinstance(child, Node):
+                out.append(child if node.tag in _RAW else html.escape(child, quote=False))
+            else:
+                attrs = "".join(f' {k}="{html.escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in child.attrs.items())
+                out.append(f"<{child.tag}{attrs}/>" if child.tag in _VOID else f"<{child.tag}{attrs}>")
+                if child.tag not in _VOID:
+                    open_.append((child, iter(child.children)))
         return "".join(out)
 
     def fits(self, compound: str) -> bool:
@@ -89,16 +104,11 @@ class Node:
             at = at.parent
         return at
 
-    def root(self) -> Node:
-        return self if self.parent is None else self.parent.root()
-
     def following(self, selector: str) -> Node | None:
         """The first fitting node after this one's start tag in the document."""
-        seen = False
-        for node in self.root().walk():
-            if seen and node.fits(selector):
-                return node
-            seen = seen or node is self
+        for place in range(self.place + 1, len(self.every)):
+            if self.every[place].fits(selector):
+                return self.every[place]
         return None
 
     def sibling(self, selector: str) -> Node | None:

@@ -20,6 +20,7 @@ from ..functions.text import join_filled, strip, text_of
 from ..operators import dedup, lookups, paging
 from ..operators.predicates import CountryPolicy, maybe_in_germany, surely_in_germany, title_matches, with_url
 from .html import parse
+from .schema import packed_ord
 
 def late_udf(schema: str):
     """A pandas UDF made where it is used, as its type needs a session to be read."""
@@ -56,7 +57,7 @@ class Vendor:
     source_id: Callable[[Column], Column] | None = None  # default: vendor:identifier
     detail: Callable[[Column], Column] | None = None
     detail_for_titles: bool = False  # only title-matched rows have details
-    overwrite: bool = True
+    escaped: bool = False  # descriptions are HTML written as text
 
 
 def _json(schema: str, path: str = "") -> Callable[[Column], Column]:
@@ -150,7 +151,7 @@ VENDORS = {
     "greenhouse": Vendor(
         _json("jobs array<struct<title:string,company_name:string,absolute_url:string,location:struct<name:string>,content:string>>", "jobs"),
         lambda r: _text(r["title"]), lambda r: text_of(r["absolute_url"]), lambda r: _text(r["location"]["name"]), lambda r: maybe_in_germany(_text(r["location"]["name"])),
-        lambda r: unescaped(text_of(r["content"])), lambda r: or_else(r["company_name"], F.col("company")),
+        lambda r: text_of(r["content"]), lambda r: or_else(r["company_name"], F.col("company")), escaped=True,
     ),
     "lever": Vendor(
         _json("array<struct<text:string,hostedUrl:string,categories:struct<location:string>,description:string,country:string>>"),
@@ -224,15 +225,15 @@ def workday_facets(payloads: DataFrame) -> DataFrame:
 def scan_workday(payloads: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """Workday postings; companies without a facet in Germany have none, and what a detail places elsewhere goes."""
     here = workday_facets(payloads).select("source_id")
-    known = companies.where("ats = 'workday'").select(F.col("name").alias("source_id"), F.col("identifier_workday").alias("w"))
+    known = companies.where("ats = 'workday'").select(F.col("name").alias("source_id"), F.col("identifier_workday").alias("w"), F.col("ord").alias("rank"))
     mine = payloads.join(here, "source_id", "left_semi").join(known, "source_id").where("status = 200")
     pages = mine.where("kind = 'listing'").withColumn("found", F.from_json("body", _FOUND)).withColumn("total", F.coalesce("found.total", F.lit(0)))
     pages = paging.until_total(pages, "page", "total", WORKDAY_PAGE, WORKDAY_PAGES)
-    each = pages.select("source_id", "w", F.col("ord").alias("req"), F.posexplode("found.jobPostings").alias("i", "r"))
+    each = pages.select("source_id", "w", "rank", F.col("ord").alias("req"), F.posexplode("found.jobPostings").alias("i", "r"))
     base = F.concat(F.lit("https://"), F.col("w.tenant"), F.lit("."), F.col("w.wd_host"), F.lit(".myworkdayjobs.com/"), F.col("w.site"))
     rows = each.where((text_of(F.col("r.externalPath")) != "") & (_text(F.col("r.title")) != "")).select(
         F.concat(F.lit("workday:"), "w.tenant", F.lit("/"), "w.site").alias("source_id"), _text(F.col("r.title")).alias("title"), F.col("source_id").alias("company"),
-        F.concat(base, F.col("r.externalPath")).alias("url"), text_of(F.col("r.locationsText")).alias("location"), F.lit("").alias("description"), F.struct("req", "i").alias("ord"),
+        F.concat(base, F.col("r.externalPath")).alias("url"), text_of(F.col("r.locationsText")).alias("location"), F.lit("").alias("description"), packed_ord(1, F.col("rank"), F.col("req"), F.col("i")).alias("ord"),
     )
     rows = dedup.last_value_first_position(rows, ["source_id", "url"], "ord")
     asked = title_matches(F.col("title"), TITLE_TERMS if terms is None else terms)
@@ -244,32 +245,47 @@ def scan_workday(payloads: DataFrame, companies: DataFrame, terms: list[str] | N
     return lookups.without_foreign(filled, matched, ["url"]).where(maybe_in_germany(F.col("location")))
 
 
-def scan_vendor(payloads: DataFrame, companies: DataFrame, name: str, terms: list[str] | None = None) -> DataFrame:
-    """One vendor's postings with ord (struct of request and place), of the companies whose ats it is."""
+_ROW = "array<struct<source_id:string,title:string,company:string,url:string,location:string,description:string>>"
+
+
+def _rows_of(name: str) -> Column:
+    """A vendor's postings in a response; what its rules drop is left out. Other vendors' bodies are not parsed."""
     vendor = VENDORS[name]
-    known = companies.where(F.col("ats") == name).select(F.col("name").alias("company"), "identifier")
+    source = vendor.source_id or (lambda r: F.concat(F.lit(f"{name}:"), _id()))
+    row = lambda r: F.struct(source(r).alias("source_id"), vendor.title(r).alias("title"), vendor.company(r).alias("company"), vendor.url(r).alias("url"), vendor.location(r).alias("location"), vendor.description(r).alias("description"))
+    return F.transform(F.filter(vendor.rows(F.when(F.col("ats") == name, F.col("body"))), vendor.keep), row).cast(_ROW)
+
+
+def _scan(payloads: DataFrame, companies: DataFrame, names: list[str], terms: list[str]) -> DataFrame:
+    """Postings of some vendors: one pass over the listings, and one over the details."""
+    known = companies.where(F.col("ats").isin(names)).select(F.col("name").alias("company"), "ats", "identifier", F.col("ord").alias("rank"))
     mine = payloads.join(known, payloads.source_id == F.col("company")).where("status = 200")
-    found = mine.where("kind = 'listing'").withColumnRenamed("url", "page_url").withColumn("rows", vendor.rows(F.col("body")))
-    each = found.select("company", "identifier", F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r"))
-    r = F.col("r")
-    rows = each.where(vendor.keep(r)).select(
-        (vendor.source_id(r) if vendor.source_id else F.concat(F.lit(f"{name}:"), _id())).alias("source_id"),
-        vendor.title(r).alias("title"), vendor.company(r).alias("company"), vendor.url(r).alias("url"), vendor.location(r).alias("location"), vendor.description(r).alias("description"),
-        F.struct("req", "i").alias("ord"),
-    )
+    listings = mine.where("kind = 'listing'").withColumnRenamed("url", "page_url").withColumn("rows", F.coalesce(*(F.when(F.col("ats") == n, _rows_of(n)) for n in names)))
+    each = listings.select("ats", F.col("company").alias("asked_of"), "rank", F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r"))
+    rows = each.select("ats", "asked_of", "r.*", packed_ord(1, F.col("rank"), F.col("req"), F.col("i")).alias("ord"))
+    if any(VENDORS[n].escaped for n in names):
+        is_ = F.col("ats").isin([n for n in names if VENDORS[n].escaped])
+        rows = rows.withColumn("description", F.when(is_, unescaped(F.when(is_, F.col("description")))).otherwise(F.col("description")))
     rows = with_url(rows)
-    if name == "softgarden" and terms:  # without terms it keeps all
-        rows = rows.where(title_matches(F.col("title"), terms))
-    if vendor.detail is None:
-        return rows
-    details = dedup.first_wins(mine.where("kind = 'detail'").select("url", "body", "ord"), ["url"], "ord").select("url", vendor.detail(F.col("body")).alias("description"))
-    asked = title_matches(F.col("title"), TITLE_TERMS if terms is None else terms) if vendor.detail_for_titles else F.lit(True)
-    return lookups.filled(rows, details, ["url"], "description", asked, vendor.overwrite)
+    if "softgarden" in names and terms:  # without terms it keeps all
+        rows = rows.where((F.col("ats") != "softgarden") | title_matches(F.col("title"), terms))
+    columns = ["source_id", "title", "company", "url", "location", "description", "ord"]
+    detailed = [n for n in names if VENDORS[n].detail]
+    if not detailed:
+        return rows.select(*columns)
+    pages = dedup.first_wins(mine.where(F.col("ats").isin(detailed) & (F.col("kind") == "detail")).select(F.col("company").alias("asked_of"), "url", "ats", "body", "ord"), ["asked_of", "url"], "ord")
+    of = F.coalesce(*(F.when(F.col("ats") == n, VENDORS[n].detail(F.when(F.col("ats") == n, F.col("body")))) for n in detailed))
+    details = pages.select("asked_of", "url", of.alias("description"))
+    for_titles = F.col("ats").isin([n for n in detailed if VENDORS[n].detail_for_titles])
+    asked = F.col("ats").isin(detailed) & (~for_titles | title_matches(F.col("title"), terms))
+    return lookups.filled(rows, details, ["asked_of", "url"], "description", asked, overwrite=True).select(*columns)
+
+
+def scan_vendor(payloads: DataFrame, companies: DataFrame, name: str, terms: list[str] | None = None) -> DataFrame:
+    """One vendor's postings with ord, of the companies whose ats it is."""
+    return _scan(payloads, companies, [name], TITLE_TERMS if terms is None else terms)
 
 
 def scan_companies(payloads: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """All companies' postings; those of an unregistered vendor have none. ord follows the companies' order."""
-    out = scan_workday(payloads, companies, terms)
-    for name in VENDORS:
-        out = out.unionByName(scan_vendor(payloads, companies, name, terms))
-    return out
+    """All companies' postings; those of an unregistered vendor have none. ord follows the companies' order, after all boards."""
+    return _scan(payloads, companies, list(VENDORS), TITLE_TERMS if terms is None else terms).unionByName(scan_workday(payloads, companies, terms))
