@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import UNICODE, any_term, phrase_not_waived, phrase_without, prose_words, strip, text_of, words_among
+from ..functions.text import UNICODE, any_term, phrase_not_waived, phrase_without, prose, strip, text_of, words_among
 
 
 def title_matches(title: Column, terms: list[str] | None = None) -> Column:
@@ -50,8 +50,8 @@ def states_german(description: Column) -> Column:
 
 def mostly_german(description: Column) -> Column:
     """German function words are many enough, and enough of the German and English ones."""
-    words = prose_words(text_of(description))
-    counts = F.transform(F.array(words), lambda w: F.struct(words_among(w, rules.GERMAN_WORDS).alias("de"), words_among(w, rules.ENGLISH_WORDS).alias("en")))
+    text = prose(text_of(description))
+    counts = F.transform(F.array(text), lambda t: F.struct(words_among(t, rules.GERMAN_WORDS).alias("de"), words_among(t, rules.ENGLISH_WORDS).alias("en")))
     ratio = lambda c: F.try_divide(c["de"].cast("double"), c["de"] + c["en"])
     return F.exists(counts, lambda c: (c["de"] >= rules.MIN_GERMAN_WORDS) & (F.coalesce(ratio(c), F.lit(0.0)) >= rules.MIN_GERMAN_RATIO))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.rules import EMPTY_REPORT, MESSAGE_LIMIT
 
@@ -41,24 +43,32 @@ def blocks(report: DataFrame, day: Column) -> DataFrame:
     return top.unionByName(heads).unionByName(entries)
 
 
-def packed(lengths: Column, limit: int = MESSAGE_LIMIT, gap: int = len(GAP)) -> Column:
-    """The chunk (from 0) of each block, by an array of lengths in order: a block opens a chunk if it would pass the limit and the open one isn't empty."""
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+def packed(rows: DataFrame, length: str, order: list[str], limit: int = MESSAGE_LIMIT, gap: int = len(GAP)) -> DataFrame:
+    """rows with i (from 0) and the chunk of each: one opens a chunk if it would pass the limit and the open one isn't empty.
 
-    def step(acc, length):
-        new = (acc["chunk"] < 0) | (acc["used"] + length + gap > limit)
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        used = F.when(new, length + gap).otherwise(acc["used"] + length + gap)
-        return F.struct(chunk.alias("chunk"), used.cast("long").alias("used"), F.concat(acc["out"], F.array(chunk)).alias("out"))
+    Where a chunk starts depends on all before it, so one task streams over the sorted rows; it holds none
+    of them.
+    """
+    schema = StructType([*rows.schema.fields, StructField("i", LongType()), StructField("chunk", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, used, i = -1, 0, 0
+        for batch in batches:
+            out = []
+            for size in batch.column(length).to_pylist():
+                new = chunk < 0 or used + size + gap > limit
+                chunk, used = chunk + new, size + gap if new else used + size + gap
+                out.append(chunk)
+            places = pa.array(range(i, i + len(out)), pa.int64())
+            i += len(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, places, pa.array(out, pa.int32())], names=[*batch.schema.names, "i", "chunk"])
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def chunks(parts: DataFrame, limit: int = MESSAGE_LIMIT) -> DataFrame:
-    """(chunk, text, job_ids, oversize) of a report's blocks. A report is one message's worth of rows, so one array holds it."""
-    whole = parts.agg(F.array_sort(F.collect_list(F.struct("place", "text", "job_id"))).alias("blocks"))
-    placed = whole.select("blocks", packed(F.transform("blocks", lambda b: F.length(b["text"]).cast("long")), limit).alias("chunk"))
-    rows = placed.select(F.posexplode(F.arrays_zip("blocks", "chunk")).alias("i", "x")).select("i", "x.blocks.*", "x.chunk")
+    """(chunk, text, job_ids, oversize) of a report's blocks."""
+    rows = packed(parts.withColumn("length", F.length("text").cast("long")), "length", ["place"], limit)
     held = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("i", "text", "job_id"))).alias("b"))
     text = F.array_join(F.transform("b", lambda x: x["text"]), GAP)
     ids = F.filter(F.transform("b", lambda x: x["job_id"]), lambda x: x.isNotNull())
@@ -82,6 +92,12 @@ def bucket_counts(rows: DataFrame, bucket: str, default: str = "new") -> DataFra
     return rows.groupBy(F.coalesce(F.nullif(F.col(bucket), F.lit("")), F.lit(default)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked(rows: DataFrame, bucket: str, order: str) -> DataFrame:
+    """bucket, n and place (from 1): buckets by their number of rows, ties in order of first appearance."""
+    counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__first"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "__first"))).drop("__first")  # of buckets, not of rows
+
+
 def shares(counts: DataFrame, apart: Iterable[str] = ("custom", "unresolved", "new")) -> DataFrame:
     """total, resolved and the named buckets' counts, each with its percentage to one decimal (0.0 of nothing)."""
     total = F.coalesce(F.sum("n"), F.lit(0))

@@ -116,16 +116,16 @@ def q_split_report(spark, sf_dir):
     return report.numbered(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS k, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations WHERE conv_id < 200),
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS k, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations),
 r AS (SELECT i, conv_id, turn, 0 AS chunk, k + 2 AS used FROM o WHERE i = 1 UNION ALL
   SELECT o.i, o.conv_id, o.turn, CASE WHEN r.used + o.k + 2 > 4096 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.used + o.k + 2 > 4096 THEN o.k + 2 ELSE r.used + o.k + 2 END
   FROM r JOIN o ON o.i = r.i + 1)
-SELECT chunk::INTEGER AS chunk, count(*) AS n_blocks, min(i) - 1 AS first_block FROM r GROUP BY chunk""".replace(" WHERE conv_id < 200", ""))
+SELECT chunk::INTEGER AS chunk, count(*) AS n_blocks, min(i) - 1 AS first_block FROM r GROUP BY chunk""")
 def q_pack_chunks(spark, sf_dir):
     """C4, K6: blocks in order, greedily packed under a length limit."""
-    turns = table(spark, sf_dir, "conversations").agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", F.length("text").cast("long").alias("k")))).alias("b"))
-    rows = turns.select(F.posexplode(report.packed(F.transform("b", lambda x: x["k"]))).alias("i", "chunk"))
-    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_blocks"), F.min(F.col("i").cast("long")).alias("first_block"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("k"))
+    rows = report.packed(turns, "k", ["conv_id", "turn"])
+    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_blocks"), F.min("i").alias("first_block"))
 
 
 @query("""WITH c AS (SELECT coalesce(nullif(CASE source WHEN 'src0' THEN '' WHEN 'src1' THEN 'custom' WHEN 'src2' THEN 'unresolved' ELSE source END, ''), 'new') AS bucket FROM documents),
@@ -143,10 +143,7 @@ def q_bucket_summary(spark, sf_dir):
 @query("SELECT lang, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) ::INTEGER AS place FROM documents GROUP BY lang")
 def q_ranked_counts(spark, sf_dir):
     """Buckets by count, ties by first appearance."""
-    from pyspark.sql import Window
-
-    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    return counts.select("lang", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("place"))
+    return report.ranked(table(spark, sf_dir, "documents"), "lang", "doc_id")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -204,11 +201,10 @@ def q_lookup_inner(spark, sf_dir):
     return lookups.looked_up(rows, table(spark, sf_dir, "nation"), ["n_nationkey"]).groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_lookup_missing(spark, sf_dir):
     """Keys that the other side lacks."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return lookups.missing(table(spark, sf_dir, "customer").select("c_custkey"), orders, ["c_custkey"])
+    return lookups.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("""SELECT d.doc_id, CASE WHEN d.lang = 'en' AND l.quality = 1 THEN 'good' ELSE d.source END AS source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
