@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import UNICODE, names_match, text_of
+from ..functions.text import UNICODE, names_match, strip, text_of
 
 def page_text(url: Column, body: Column) -> Column:
     """What signatures are looked for in: escaped slashes of embedded JSON count as slashes."""
@@ -193,7 +193,7 @@ def probe_ok(ats: Column, body: Column, name: Column) -> Column:
         "greenhouse": whole.startswith("{") & flag.isin("", "false", "0") & (at("$.jobs[0]").isNull() | names_match(text_of(at("$.jobs[0].company_name")), name)),
         "ashby": at("$.jobs").startswith("["),
         "lever": whole.startswith("["),
-        "personio": F.ltrim(text_of(body)).startswith("<?xml"),
+        "personio": strip(text_of(body)).startswith("<?xml"),
         "smartrecruiters": at("$.content[0]").isNotNull() & names_match(text_of(at("$.content[0].company.name")), name),
     }
     return F.coalesce(*(F.when(ats == k, t) for k, t in tests.items()), F.lit(False))

@@ -163,8 +163,8 @@ def q_page_title(spark, sf_dir):
 @query(r"""SELECT page_id, array_to_string(list_transform(list_filter(regexp_extract_all(html, '<a[^>]+href="([^"]*)"', 1), lambda x: regexp_matches(x, '[0-9]')), lambda x: x), ' ') AS links FROM pages""")
 def q_links(spark, sf_dir):
     """The links of a page that match a pattern, in order."""
-    found = F.regexp_extract_all("html", F.lit('<a[^>]+href="([^"]*)"'), 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.filter(found, lambda x: x.rlike("[0-9]")), " ").alias("links"))
+    pages = table(spark, sf_dir, "pages").select("page_id", resolve.page_links(F.col("url"), F.col("html")).alias("links"))
+    return pages.select("page_id", F.array_join(F.transform(F.filter("links", lambda x: x["href"].rlike("[0-9]")), lambda x: x["href"]), " ").alias("links"))
 
 
 @query(r"""SELECT page_id, regexp_extract(regexp_replace(regexp_extract(url, '^[^/?#]*://([^/?#]*)', 1), '^((www|de|en|eu|careers|jobs|m)(\.|$))*', ''), '^[^.]*') AS slug FROM pages""")
