@@ -1,7 +1,7 @@
 """Quality classifier: Naive Bayes support vectors.
 
-A document is the set of its n-grams: of bytes, of word shapes, of repeated words, and of the binned
-shares of a few character kinds, hashed to a fixed number of features. Each indicator is scaled by the
+A document is the set of its n-grams: of bytes, of word shapes and of repeated words, hashed to a fixed
+number of features. Each indicator is scaled by the
 log-count ratio of the two classes, and a linear hinge-loss model is fitted on the scaled indicators by
 dual coordinate descent. A logistic curve fitted on rows left out of the fit turns margins into scores.
 """
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .hashing import Batch, slices
 
-#: Features in all: bytes' n-grams, then words', then bins.
-BYTE_FEATURES, WORD_FEATURES, BIN_FEATURES = 1 << 15, 1 << 13, 256
-FEATURES = BYTE_FEATURES + WORD_FEATURES + BIN_FEATURES
+#: Features in all: bytes' n-grams, then words'.
+BYTE_FEATURES, WORD_FEATURES = 1 << 15, 1 << 13
+FEATURES = BYTE_FEATURES + WORD_FEATURES
 #: Labelled rows of each class that the fit reads at most, those of the smallest hashed doc_ids.
 FIT_ROWS = 1500
 THRESHOLD = 0.3
@@ -30,19 +30,13 @@ _KIND[ord("a") : ord("z") + 1], _KIND[ord("A") : ord("Z") + 1], _KIND[ord("0") :
 _KIND[list(b"#*$%&|<>=+~^@\\_{}[]")], _KIND[list(b".,;:!?'\"()-")] = 4, 5
 
 
-def _bins(share: np.ndarray) -> np.ndarray:
-    """Shares in [0, 1] to 16 bins, finer near 0."""
-    return np.minimum(15, (np.sqrt(np.clip(share, 0, 1)) * 16).astype(np.int64))
-
-
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The distinct features of each text in turn (null: none but those of an empty text)."""
+    """The distinct features of each text in turn (null and empty texts: none)."""
     batch = Batch(texts)
     raw = batch.raw.astype(np.uint32)
-    tri = np.zeros(len(raw), np.uint32)
-    if len(raw) > 2:
-        tri[:-2] = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    bi = tri & 0xFFFF
+    after = np.concatenate([raw, np.zeros(2, np.uint32)])
+    bi = raw | after[1:-1] << 8
+    tri = bi | after[2:] << 16
     with np.errstate(over="ignore"):
         tri = (tri * np.uint32(0x9E3779B1)) >> np.uint32(17)
         bi = (bi * np.uint32(0x85EBCA6B)) >> np.uint32(17)
@@ -57,7 +51,6 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
     if len(hashes) > 2:
         equal[1:] += hashes[1:] == hashes[:-1]
         equal[2:] += 2 * (hashes[2:] == hashes[:-2])
-    kinds = [np.concatenate([[0], np.cumsum(kind == k)]) for k in range(7)]
     mark = np.zeros(FEATURES, bool)
     for i in range(batch.n):
         a, b = batch.offsets[i], batch.offsets[i + 1]
@@ -72,11 +65,6 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
             e = e[2:]
             mark[base + 6144 + e] = True
             mark[base + 6148 + e[:-1] * 4 + e[1:]] = True
-        total, words = max(1, b - a), max(1, v - u)
-        base += WORD_FEATURES
-        shares = [(kinds[k][b] - kinds[k][a]) / total for k in range(7)]
-        shares += [len(np.unique(hashes[u:v])) / words, np.count_nonzero(e == 1) / words, min(1.0, total / words / 32), min(1.0, np.log1p(v - u) / 12)]
-        mark[base + 16 * np.arange(len(shares)) + _bins(np.array(shares))] = True
         found = np.flatnonzero(mark)
         mark[found] = False
         yield found
@@ -193,8 +181,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [f.astype("<i4").tobytes() for f in features(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "quality", "features"])
+            for at, texts in slices(batch.column(2)):
+                rows = [f.astype("<i4").tobytes() for f in features(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(rows, pa.binary())], names=["doc_id", "quality", "features"])
 
     training = plain.join(chosen, "doc_id").select("doc_id", "quality", "text").mapInArrow(read, "doc_id long, quality int, features binary")
     seen = {r["doc_id"]: r for r in training.dropDuplicates(["doc_id"]).collect()}
