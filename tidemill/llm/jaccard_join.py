@@ -530,25 +530,32 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT)
     The documents that go are few; a filter of their ids lets the others pass where they are read, and
     only those that may be among them are compared by id.
     """
-    own = F.col("doc_id").cast("long")
-    repeated = not docs.groupBy(own.alias("__id")).count().where("count > 1").isEmpty()
     columns, spark = docs.columns, docs.sparkSession
-    if repeated:
-        placed = docs.withColumn("__at", F.monotonically_increasing_id()).orderBy(own.asc_nulls_last(), F.xxhash64("text"), "__at")
-        docs = staged(placed.withColumn("__key", F.monotonically_increasing_id()).drop("__at"), "keyed")
-        own = F.col("__key")
-        linked = link_documents(docs.select(F.col("__key").alias("doc_id"), "text"), percent, frequent)
+    whole = F.struct(*(docs[c] for c in columns)).alias("row")  # so that no name clashes
+    held = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"), whole)
+    key = F.col("id")
+    if has_repeated_ids(held.select("id")):
+        placed = held.withColumn("at", F.monotonically_increasing_id()).orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"), "at")
+        held = staged(placed.withColumn("key", F.monotonically_increasing_id()).drop("at"), "keyed")
+        key = F.col("key")
+        linked = link_documents(held.select(F.col("key").alias("doc_id"), "text"), percent, frequent)
         # Of equal rows without words the first stays.
-        empty = docs.join(linked.where("n_shingles = 0").select(F.col("doc_id").alias("__key")), "__key").groupBy("doc_id", "text").agg(F.collect_list("__key").alias("keys"))
-        again = empty.select(F.explode(F.slice(F.sort_array("keys"), 2, F.lit(1 << 30))).alias("gone"))
+        empty = held.join(linked.where("n_shingles = 0").select(F.col("doc_id").alias("key")), "key").groupBy("id", "text").agg(F.min("key").alias("first"))
+        later = held.join(linked.where("n_shingles = 0").select(F.col("doc_id").alias("key")), "key").select("key")
+        again = later.join(empty.select(F.col("first").alias("key")), "key", "left_anti").select(F.col("key").alias("gone"))
     else:
-        linked, again = link_documents(docs, percent, frequent), None
+        linked, again = link_documents(docs.select("doc_id", "text"), percent, frequent), None
     gone = linked.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
     with scope(spark):
         gone = staged(gone if again is None else gone.unionByName(again), "gone", outside=True)
         marks = filter_of(gone.select(F.xxhash64("gone").alias("at")), outside=True)
     drop_staged(linked)
-    marked = marks.marked(docs, F.xxhash64(own), "__maybe")
-    stays = marked.where("not __maybe").select(*columns)
-    asked = marked.where("__maybe").join(gone, own.eqNullSafe(F.col("gone")), "left_anti").select(*columns)
-    return stays.unionAll(asked)
+    marked = marks.marked(held, F.xxhash64(key), "maybe")
+    stays = marked.where("not maybe").select("row")
+    asked = marked.where("maybe").join(gone, key.eqNullSafe(F.col("gone")), "left_anti").select("row")
+    return stays.unionAll(asked).select(*(F.col("row")[c].alias(c) for c in columns))
+
+
+def has_repeated_ids(ids: DataFrame) -> bool:
+    """Whether a value of its one column, null included, is found twice."""
+    return not ids.groupBy(*ids.columns).count().where("count > 1").isEmpty()

@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, words_of
+from .common import staged
+from .jaccard_join import has_repeated_ids
 
 #: Weights by the place of a source in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -45,14 +46,16 @@ def count_words(texts: pa.Array) -> np.ndarray:
     return counts[offsets[1:]] - counts[offsets[:-1]]
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size of every document."""
+def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, source, size and key (0 without one) of every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_words(batch.column(2)))], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_words(batch.column(2))), batch.column(3)], names=["doc_id", "source", "size", "key"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(source as string) source", "cast(text as binary) text").mapInArrow(count, "doc_id long, source string, size long")
+    own = F.lit(0).cast("long") if key is None else F.col(key)
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("binary"), own.alias("key"))
+    return plain.mapInArrow(count, "doc_id long, source string, size long, key long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -84,14 +87,16 @@ def offset_of(source, seed: int):
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(source, F.lit("\x00")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def mix_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies and taken (copies * size).
+def mix_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, key: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (copies * size) and key.
+
+    key: a column of longs that tells rows of one doc_id apart; it goes along (0 without one).
 
     Null text has size 0; null sources form one source, ordered last; null doc_ids rank first. Repeated
     rows are documents of their own: of equal ones it doesn't matter which is taken. A source without
     words has target 0 and no copies. Empty tables give no rows.
     """
-    sized = staged(sizes(docs), "sizes")
+    sized = staged(sizes(docs, key), "sizes")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, done = TaskContext.get().partitionId(), (), 0
@@ -106,10 +111,10 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEI
             if last == (source[0].as_py(),):
                 ranks[: new[1] if len(new) > 1 else n] += done
             last, done = (source[n - 1].as_py(),), int(ranks[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(ranks)], names=["doc_id", "source", "size", "part", "rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(ranks)], names=["doc_id", "source", "size", "key", "part", "rank"])
 
-    order = [F.col("source").asc_nulls_last(), "size", "doc_id"]
-    ranked = staged(sized.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(rank, "doc_id long, source string, size long, part int, rank long"), "ranks")
+    order = [F.col("source").asc_nulls_last(), "size", "doc_id", "key"]
+    ranked = staged(sized.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(rank, "doc_id long, source string, size long, key long, part int, rank long"), "ranks")
     #: A row per range partition and source in it: at most one more than partitions and sources together.
     runs = ranked.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -121,7 +126,7 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEI
     place = F.col("rank") + F.col("before")
     u = offset_of(F.col("source"), seed)
     copies = F.least(F.floor(each * (place + 1) + u) - F.floor(each * place + u), F.lit(most)).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key")
 
 
 #: The same mix in DuckDB SQL, seed 0.
@@ -157,19 +162,17 @@ FROM placed
 def repeat_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it (not at all, or up to most times).
 
-    Copies are found again by doc_id, source and size, which are read from the documents a second time;
-    rows that agree in all three are taken in turn.
+    The copies find their documents by doc_id. Where doc_ids repeat (null ones included), rows get a key of
+    their own first, so that rows alike in all need not gather anywhere.
     """
-    chosen = mix_documents(docs, seed, weights, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.collect_list("copies").alias("copies"))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.array_sort("copies").alias("__copies"))
-    size = F.size(words_of(F.col("text"))).cast("long")
-    keyed = docs.withColumn("__own", size)
-    same = keyed.doc_id.cast("long").eqNullSafe(F.col("__id")) & keyed.source.cast("string").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
-    joined = keyed.join(chosen, same)
-    many = chosen.where(F.size("__copies") > 1)
-    single = F.get("__copies", F.lit(0))
-    if not many.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text"))
-        joined, single = joined.withColumn("__nth", nth), F.coalesce(F.get("__copies", F.col("__nth") - 1), F.lit(0))
-    joined = joined.withColumn("__times", single.cast("int"))
-    return joined.select(*(F.col(c) for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__again")).drop("__again")
+    columns = docs.columns
+    whole = F.struct(*(docs[c] for c in columns)).alias("row")  # so that no name clashes
+    held = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["text"].alias("text"), whole)
+    key = "doc_id"
+    if has_repeated_ids(held.select("doc_id")):
+        held, key = staged(held.withColumn("key", F.monotonically_increasing_id()), "keyed"), "key"
+    chosen = mix_documents(held, seed, weights, most, None if key == "doc_id" else key).where("copies > 0")
+    chosen = chosen.select(F.col(key).alias("of"), F.col("copies").cast("int").alias("copies"))
+    joined = held.select(key, "row").join(chosen, F.col(key).eqNullSafe(F.col("of")))
+    times = joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("again"))
+    return times.select(*(F.col("row")[c].alias(c) for c in columns))
