@@ -166,6 +166,8 @@ def test_quality_rules(spark, docs):
     assert 5 in kept and not {0, 1, 3, 10} & kept
     filtered = quality_rules.filter_documents(docs)
     assert set(rows_of(filtered, "text")) == kept and filtered.columns == docs.columns
+    stored = quality_rules.write_ledger(docs, token_files.scratch_path(spark, "ledger"))
+    assert {k for k, (v,) in rows_of(quality_rules.judged(stored), "kept").items() if v} == kept and "text" not in stored.columns
     lone = Counter(v for (v,) in rows_of(quality_rules.lone_rule(rows), "lone_rule").values())
     table = {(r["policy"], r["rule"]): r for r in quality_rules.ablations(rows).collect()}
     assert all(table["v2", rule]["n_only_this"] == lone[rule] for rule in quality_rules.RULES) and sum(lone.values()) - lone[None] > 3

@@ -76,3 +76,21 @@ def test_the_loss_limit_binds_in_production():
 def test_prompts():
     texts = ["Sum it up. The rest", "one sentence only.", "A title\n\nand text", "", None, "no end", "?!x", "Ends here.\n \n"]
     assert packing.prompt_texts(pa.array(texts), packing.PROMPT).to_pylist() == ["Sum it up.", "", "A title\n", "", "", "", "?", ""]
+
+
+def test_conversations_bear_loss_on_their_last_answer(spark):
+    from tokenizers import Tokenizer
+
+    from tidemill.llm.queries import tokenizer_path
+
+    turns = [(1, 0, "user", "what is the river like"), (1, 1, "assistant", "wide and cold"), (1, 2, "user", "thanks a lot"), (2, 0, "assistant", "hello there"), (3, 0, "user", "no answer"), (3, 1, "user", None), (4, 1, "assistant", "second words"), (4, 0, "user", "first")]
+    rows = packing.pack_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), tokenizer_path("word_bpe_49k.json")).collect()
+    size = lambda text: len(Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids)
+    total, loss = defaultdict(int), defaultdict(int)
+    for r in rows:
+        total[r["doc_id"]] += r["length"]
+        loss[r["doc_id"]] += r["loss_tokens"]
+    whole = {1: "what is the river like\nwide and cold\nthanks a lot", 2: "hello there", 3: "no answer\n", 4: "first\nsecond words"}
+    assert dict(total) == {k: size(t) + 1 for k, t in whole.items()}
+    most = {1: size(whole[1]) + 1 - size("what is the river like"), 2: size("hello there"), 3: 1, 4: size("second words") + 1}
+    assert all(0 < loss[k] <= most[k] for k in whole) and loss[3] <= 1

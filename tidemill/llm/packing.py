@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tokens import encoder
 
@@ -148,10 +149,11 @@ def prompt_texts(texts: pa.Array, pattern: str) -> pa.Array:
     return pc.fill_null(pc.struct_field(pc.extract_regex(texts, pattern), "prompt"), "")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word", limits: Limits = Limits(), prompt: str | None = PROMPT) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word", limits: Limits = Limits(), prompt: str | None = PROMPT, prompt_column: str | None = None) -> DataFrame:
     """One row per piece of each document's ids followed by end_id; loss_tokens counts those past its prompt.
 
-    prompt: a pattern of what bears no loss, at a text's start; a document's first id never bears any.
+    prompt: a pattern of what bears no loss, at a text's start, or prompt_column: a column that has that
+    part of the text. A document's first id never bears any.
 
     Null text is empty (its ids: end_id alone); null doc_ids and repeated rows are packed as they are;
     empty tables give no rows; other columns are not read. sequence_id is unique over the result and,
@@ -183,7 +185,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str =
                 ids, cut = enc.encode(some.column(1))
                 ids, cut = np.insert(ids, cut[1:], end_id), cut + np.arange(len(cut))
                 doc_ids += some.column(0).to_pylist()
-                free = np.diff(enc.encode(prompt_texts(some.column(1), prompt))[1]) if prompt else np.zeros(some.num_rows, np.int64)
+                starts = some.column(2) if prompt_column else prompt_texts(some.column(1), prompt) if prompt else pa.array([""] * some.num_rows)
+                free = np.diff(enc.encode(starts)[1])
                 prompts += np.maximum(1, free).tolist()
                 parts.append(ids)
                 sizes.append(np.diff(cut))
@@ -196,4 +199,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str =
             yield block(sequence, doc_ids, np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), prompts)[0]
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(pack, schema)
+    own = [F.col(prompt_column).cast("string").alias("prompt")] if prompt_column else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *own).mapInArrow(pack, schema)
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word", limits: Limits = Limits()) -> DataFrame:
+    """pack_documents() of conversations (conv_id, turn, role, text) as examples: their last answer bears loss, what leads to it is the prompt.
+
+    doc_id is the conv_id. A conversation without an answer is all prompt; null texts are empty.
+    """
+    rows = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    last = F.aggregate("t", F.struct(F.lit(0).alias("i"), F.lit(0).alias("last")), lambda a, x: F.struct((a["i"] + 1).alias("i"), F.when(x["role"] == "assistant", a["i"] + 1).otherwise(a["last"]).alias("last")), lambda a: a["last"])
+    rows = rows.withColumn("last", last)
+    joined = lambda part: F.array_join(F.transform(part, lambda x: x["text"]), "\n")
+    prompt = F.when(F.col("last") > 1, F.concat(joined(F.slice("t", 1, F.col("last") - 1)), F.lit("\n"))).when(F.col("last") == 1, F.lit("")).otherwise(joined(F.col("t")))
+    return pack_documents(rows.select("doc_id", joined(F.col("t")).alias("text"), prompt.alias("prompt")), tokenizer, end_id, kind, limits, prompt_column="prompt")

@@ -108,6 +108,13 @@ def ablations(rows: DataFrame) -> DataFrame:
     return once.select(F.explode(F.array(*entries)).alias("x")).select("x.*")
 
 
+def write_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the ledger of all documents and reads it back: judged(), lone_rule() and ablations() of any policy need no text any more."""
+    rows = ledger(docs)
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def filter_documents(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The documents that the policy keeps, all columns; the rules read them in the same pass.
 

@@ -163,7 +163,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Writes all documents' ids, each followed by end_id, in ascending doc_id order (null first), as shards under path.
 
     width: bytes an id (2 for vocabularies under 65,536). Documents with the same doc_id come in the
-    order of their texts; null text is empty; an empty table writes no shard.
+    order of their texts, and may be spread over shards; null text is empty; an empty table writes no
+    shard.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     (
-        plain.repartitionByRange(F.col("doc_id").asc_nulls_first())
+        plain.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(32)))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(write, "part int, before long, n_ids long, n_docs long, n_null long, first_id long, last_id long, shard binary")
         .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
