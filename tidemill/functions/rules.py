@@ -52,6 +52,7 @@ ENGLISH_WORDS = [
     "the", "and", "with", "for", "is", "are", "you", "your", "we", "our", "this", "that", "will", "from", "have", "has", "of", "to", "in", "as",
     "be", "or", "an", "by", "about", "team", "work", "company", "join", "who", "what", "when", "where", "why", "how", "if",
 ]
+#: From how many German words, and from which share of both languages' words, prose is German.
 MIN_GERMAN_WORDS, MIN_GERMAN_RATIO = 15, 0.6
 
 #: Place names for and against a location in Germany.
@@ -85,6 +86,7 @@ SIGNATURES = [
     ("bamboohr", [r"([a-z0-9-]+)\.bamboohr\.com"]),
     ("jazzhr", [r"jazzhr\.com"]),
 ]
+#: Attributes of embedded boards whose value is an identifier.
 DATA_ATTRIBUTES = [
     ("greenhouse", r"data-board-token=[\"']([a-z0-9_-]+)[\"']"),
     ("personio", r"data-personio-(?:id|client)=[\"']([a-z0-9_-]+)[\"']"),
@@ -97,7 +99,9 @@ LISTING_LINK = (
     r"open\s*(?:role|position|vacanc\w*)s?|current\s*openings?|job\s*openings?|view\s*(?:all\s*)?jobs|"
     r"see\s*(?:all\s*)?(?:our\s*)?(?:jobs|roles)|offene\s*stellen|alle\s*stellen"
 )
+#: Host labels that are no company's name, and vendors without identifiers.
 NOISE_LABELS = ["www", "de", "en", "eu", "careers", "jobs", "m"]
 NO_SLUG_VENDORS = ["rexx", "dvinci", "jazzhr"]
+#: The text of a report of nothing, and the most characters of a message.
 EMPTY_REPORT = "No new QA jobs today."
 MESSAGE_LIMIT = 4096

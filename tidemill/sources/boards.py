@@ -24,7 +24,12 @@ from .html import Node, parse
 from .schema import packed_ord
 
 Row = tuple[str, str, str, str, str]  # title, company, url, location, description
+#: Umlauts as slugs write them; a feed's title, its company and tag; what a board adds to places; a title in a description.
 _UMLAUTS = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss"})
+TITLE_AT_COMPANY = r"^(.+?)\s*@\s*(.+?)(?:\s*\[.*\])?$"
+MORE_PLACES = r"\s*\+\s*\d+\s*weitere\s*$"
+TITLE_IN_TEXT = r"^html\s*<title>.*?</title>\s*"
+JSON_LD = r'<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>'
 
 
 def tight(node: Node | None) -> str:
@@ -79,7 +84,7 @@ def rss(body: str) -> Iterator[Row]:
         return
     for item in root.findall("./channel/item"):
         raw = (item.findtext("title") or "").strip()
-        split = re.match(r"^(.+?)\s*@\s*(.+?)(?:\s*\[.*\])?$", raw)
+        split = re.match(TITLE_AT_COMPANY, raw)
         title, company = (split[1].strip(), split[2].strip()) if split else (raw, "Unknown")
         yield title, company, (item.findtext("link") or "").strip(), "Germany", item.findtext("description") or ""
 
@@ -137,7 +142,7 @@ def xing(body: str) -> Iterator[Row]:
     for card in parse(body).select('article[data-testid="job-search-result"]'):
         link, place = card.first("a[href]"), card.first('div[class*="multi-location-display-styles__Container"]')
         href = link.get("href") if link else ""
-        where = re.sub(r"\s*\+\s*\d+\s*weitere\s*$", "", place.tight(" ")).strip() if place else ""
+        where = re.sub(MORE_PLACES, "", place.tight(" ")).strip() if place else ""
         yield tight(card.first('[data-testid="job-teaser-list-title"]')), tight(card.first('p[class*="Company"]')), href if href.startswith("http") else href and "https://www.xing.com" + href, where, ""
 
 
@@ -262,11 +267,11 @@ def agency_detail(body: str) -> tuple[str, str]:
 
 
 def stellenanzeigen_detail(body: str) -> tuple[str, str]:
-    found = re.search(r'<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>', body, re.DOTALL)
+    found = re.search(JSON_LD, body, re.DOTALL)
     data = json_of(found[1] if found else None)
     places = data.get("jobLocation")
     country = (dig(places[0], "address", "addressCountry") or "").strip().upper() if isinstance(places, list) and places else ""
-    return re.sub(r"^html\s*<title>.*?</title>\s*", "", data.get("description") or "", flags=re.DOTALL), country
+    return re.sub(TITLE_IN_TEXT, "", data.get("description") or "", flags=re.DOTALL), country
 
 
 @dataclass(frozen=True)
