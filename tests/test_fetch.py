@@ -44,6 +44,23 @@ def test_tokens_are_hidden(spark):
     assert [r[0] for r in rows.select(fetch.redacted(rows.u)).collect()] == ["https://x.test/bot***REDACTED***/send", "https://x.test/robots/1"]
 
 
+def test_messages_are_posted():
+    import json
+
+    seen = []
+
+    def open_url(method, url, timeout, data):
+        seen.append((method, url, json.loads(data)))
+        return (500 if len(seen) > 1 else 200), url, ""
+
+    send = fetch.message_sender("1:a", "7", open_url=open_url, sleep=lambda s: None)
+    send("hello")
+    assert seen == [("POST", "https://api.telegram.org/bot1:a/sendMessage", {"chat_id": "7", "text": "hello", "disable_web_page_preview": True})]
+    with pytest.raises(OSError, match="REDACTED"):
+        send("again")
+    assert len(seen) == 3
+
+
 def test_capture(spark):
     fake = lambda method, url, timeout: ((404 if "gone" in url else 200), url, f"page {url[-1]}")
     wanted = [("s", "k", i, "listing", f"https://h{i % 2}.test/{'gone' if i == 3 else ''}{i}", 0, "", i) for i in range(6)]

@@ -37,12 +37,12 @@ def redacted_text(url: str) -> str:
     return re.sub(TOKEN, rf"\1{HIDDEN}\2", url)
 
 
-def open_with_urllib(method: str, url: str, timeout: float) -> Answer:
+def open_with_urllib(method: str, url: str, timeout: float, data: bytes | None = None) -> Answer:
     from urllib.error import HTTPError
     from urllib.request import Request, urlopen
 
     try:
-        with urlopen(Request(url, method=method), timeout=timeout) as answer:  # noqa: S310
+        with urlopen(Request(url, data, {"Content-Type": "application/json"} if data else {}, method=method), timeout=timeout) as answer:  # noqa: S310
             return answer.status, answer.url, answer.read().decode("utf-8", "replace")
     except HTTPError as error:
         return error.code, url, error.read().decode("utf-8", "replace")
@@ -67,6 +67,17 @@ def request(url: str, method: str = "GET", open_url: Callable[[str, str, float],
     raise AssertionError
 
 
+def message_sender(token: str, chat: str, host: str = "https://api.telegram.org", open_url: Callable[..., Answer] = open_with_urllib, **how) -> Callable[[str], None]:
+    """What sends a message's text to a chat of a bot; the token is in no error and no log."""
+    import json
+
+    def send(text: str) -> None:
+        data = json.dumps({"chat_id": chat, "text": text, "disable_web_page_preview": True}).encode()
+        request(f"{host}/bot{token}/sendMessage", "POST", lambda method, url, timeout: open_url(method, url, timeout, data), **how)
+
+    return send
+
+
 def fetch_each[T, R](items: Iterable[T], fetch: Callable[[T], R], workers: int = 1, delay: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[T, R]]:
     """(item, result) in the items' order, without those that fail; by one worker spaced by delay, by more at once."""
 
