@@ -121,8 +121,8 @@ WINDOW, MOST_FEATURES, LEAST_PROBABILITY, LEAST_SHARE = 24, 2500, 0.5, 0.5
 _WORD = r"[^a-z0-9.+-]+"
 #: Words that stand anywhere, never cues.
 _COMMON = frozenset("including without following subject provided particular whether otherwise should received purpose either version option under about other which where there their person persons anyone".split())
-#: Cues of the short names.
-_NAME_CUES = r"licen[cs]|released under|\bgnu\b|\b[al]?gpl|\bmpl-|\bepl-|\bzlib-|\b0?bsd\b|\bmit-0|\bapache-|creative commons|\bcc[ -]by|\bcc0"
+#: Cues of the short names, as words start.
+_NAME_CUES = ("licens", "licenc", "unlicens", "released under", "gnu", "gpl", "agpl", "lgpl", "mpl-", "epl-", "zlib-", "bsd", "0bsd", "mit-0", "apache-", "creative commons", "cc by", "cc-by", "cc0")
 
 
 def words(text: str) -> list[str]:
@@ -151,7 +151,8 @@ def cue_words() -> tuple[str, ...]:
 
 
 def cue() -> str:
-    return f"(?i){_NAME_CUES}|{'|'.join(cue_words())}"
+    """A pattern for lower-case text: looked for where words start only, as there are many cues and long texts."""
+    return f"(?<![a-z0-9]){one_of((*_NAME_CUES, *cue_words()))}"
 
 
 def examples() -> list[tuple[list[str], int, int]]:
@@ -243,10 +244,14 @@ def classify(paragraph: Column) -> Column:
     weights, bias, temperature = train()
     table = F.create_map(*(x for g, w in sorted(weights.items()) for x in (F.lit(g), F.array(*map(F.lit, w)))))
     zeros = F.array(*[F.lit(0.0)] * len(FAMILIES))
-    tokens = F.filter(F.transform(F.split(F.lower(paragraph), _WORD), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+    # Words that no n-gram, template or name holds become one mark for each run of them: what is left is short.
+    clean = F.regexp_replace(F.regexp_replace(F.lower(paragraph), _WORD, " "), r"(?<![^ ])\.+|\.+(?![^ ])", "")
+    known = F.regexp_replace(F.regexp_replace(clean, f"(?<![^ ])(?!{one_of(known_words())}(?![^ ]))[^ ]+", "~"), "~(?: +~)+", "~")
+    given = F.struct(F.filter(F.split(known, " +"), lambda w: w != "").alias("tokens"), F.greatest(F.regexp_count(clean, F.lit("[^ ]+")), F.lit(1)).alias("n"))
     join = lambda t, i, n: F.array_join(F.slice(t, i, n), " ")
 
-    def of_tokens(t: Column) -> Column:
+    def of_tokens(v: Column) -> Column:
+        t = v["tokens"]
         upto = lambda n: F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
         of_size = lambda n: F.transform(upto(n), lambda i: join(t, i, n))
         each = F.array_distinct(F.concat(*map(of_size, (1, 2, 3))))
@@ -254,7 +259,7 @@ def classify(paragraph: Column) -> Column:
         # An intersection hashes, a map is searched from end to end.
         each = F.array_intersect(each, F.array(*map(F.lit, sorted(weights))))
         total = F.aggregate(F.transform(each, lambda g: F.coalesce(F.try_element_at(table, g), zeros)), zeros, lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
-        scores = F.zip_with(total, F.array(*map(F.lit, bias)), lambda s, b: (s / F.sqrt(F.size(t).cast("double")) + b) / temperature)
+        scores = F.zip_with(total, F.array(*map(F.lit, bias)), lambda s, b: (s / F.sqrt(v["n"].cast("double")) + b) / temperature)
         return let(F.struct(scores.alias("scores"), threes.alias("threes"), F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).alias("line")), decide)
 
     def decide(v: Column) -> Column:
@@ -267,7 +272,33 @@ def classify(paragraph: Column) -> Column:
         ]
         return F.struct(family.alias("family"), (1 / total).alias("probability"), F.coalesce(*shares, F.lit(0.0)).alias("share"))
 
-    return let(tokens, of_tokens)
+    return let(given, of_tokens)
+
+
+@lru_cache(maxsize=1)
+def known_words() -> tuple[str, ...]:
+    """Every word of the n-grams kept, the templates and the short names."""
+    called = [c.format(a) for a in ABBREVIATIONS.values() for c in CALLED]
+    texts = [*train()[0], *(t for ts in TEMPLATES.values() for t in ts), *(n for ns in NAMES.values() for n in ns), *called]
+    return tuple(sorted({w for t in texts for w in t.split()}))
+
+
+def one_of(words: tuple[str, ...]) -> str:
+    """A pattern for one of the words that shares their beginnings, so that a text is read about once."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        parts = [re.escape(c) + written(rest) for c, rest in at.items() if c]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)}){'?' if '' in at else ''}"
+
+    return written(tree)
 
 
 def named(family: str) -> str:
@@ -287,8 +318,8 @@ def paragraphs(text: Column) -> Column:
     some = cue()
     starts = lambda n: F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))).otherwise(F.array().cast("array<int>"))
     windows = lambda lines: F.transform(starts(F.size(lines)), lambda i: F.array_join(F.slice(lines, i, WINDOW), " "))
-    both = let(F.split(text, "\n"), lambda lines: F.concat(F.filter(lines, lambda x: x.rlike(some)), F.filter(windows(lines), lambda x: x.rlike(some))))
-    return F.when(text.rlike(some), both).otherwise(F.array().cast("array<string>"))
+    both = let(F.split(F.lower(text), "\n"), lambda lines: F.concat(F.filter(lines, lambda x: x.rlike(some)), F.filter(windows(lines), lambda x: x.rlike(some))))
+    return F.when(F.lower(text).rlike(some), both).otherwise(F.array().cast("array<string>"))
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
