@@ -50,10 +50,14 @@ BOARD_CASES = {
 }
 
 
-def test_every_board_reads_its_listing(payloads):
+def test_every_board_reads_its_listing(spark, payloads):
     assert set(BOARD_CASES) == set(boards.BOARDS)
-    for name, (body, expected) in BOARD_CASES.items():
-        assert scanned(boards.scan_board(payloads({"body": body}, {"body": "{broken", "page": 2}), name)) == [expected], name
+    rows = payloads(*(r | {"source_id": name} for name, (body, _) in BOARD_CASES.items() for r in ({"body": body}, {"body": "{broken", "page": 2})))
+    names = spark.createDataFrame([(n, n) for n in BOARD_CASES], "id string, adapter string")
+    found = boards.scan_boards(rows, names, names).orderBy("ord").collect()
+    assert [(r["source_id"], r["title"], r["company"], r["url"], r["location"], r["description"]) for r in found] == [(n, *BOARD_CASES[n][1]) for n in sorted(BOARD_CASES)]
+    body, expected = BOARD_CASES["stepstone"]
+    assert scanned(boards.scan_board(payloads({"body": body}), "stepstone")) == [expected]
 
 
 def test_details(payloads):
@@ -109,11 +113,14 @@ def company(spark):
     return lambda ats, workday=None: spark.createDataFrame([("Acme", "https://acme.test", ats, "acme", workday, None, None, None, 0)], COMPANY)
 
 
-def test_every_vendor_reads_its_listing(payloads, company):
+def test_every_vendor_reads_its_listing(spark, payloads, company):
     assert set(VENDOR_CASES) == set(vendors.VENDORS)
-    for name, (body, expected) in VENDOR_CASES.items():
-        rows = vendors.scan_vendor(payloads({"source_id": "Acme", "body": body}, {"source_id": "Acme", "body": "{broken"}, {"source_id": "Other", "body": body}), company(name), name)
-        assert scanned(rows) == [expected], name
+    rows = payloads(*({"source_id": source, "body": body} for name, (own, _) in VENDOR_CASES.items() for source, body in ((name, own), (name, "{broken"), ("Other", own))))
+    companies = spark.createDataFrame([(n, "https://acme.test", n, "acme", None, None, None, None, i) for i, n in enumerate(VENDOR_CASES)], COMPANY)
+    # The company's name stands in for Acme's, where a vendor's answer names none.
+    assert scanned(vendors.scan_companies(rows, companies)) == [tuple(name if v == "Acme" else v for v in expected) for name, (_, expected) in VENDOR_CASES.items()]
+    body, expected = VENDOR_CASES["lever"]
+    assert scanned(vendors.scan_vendor(payloads({"source_id": "Acme", "body": body}), company("lever"), "lever")) == [expected]
 
 
 def test_vendor_details(payloads, company):
@@ -131,3 +138,24 @@ def test_workday(payloads, company):
     assert [(r[2][-1], r[4]) for r in scanned(vendors.scan_workday(rows, who))] == [("0", "d0"), ("2", "")]
     assert vendors.workday_facets(rows).first()["lists"] == {"loc": ["1"]}
     assert vendors.scan_workday(rows.where(F.col("kind") != "facets"), who).count() == 0
+
+
+def test_a_bad_response_costs_its_own_rows_only():
+    odd = LD % json.dumps({"description": "d", "jobLocation": [{"address": {"addressCountry": 49}}]})
+    deep = "<div>" * 20_000
+    for name, board in boards.BOARDS.items():
+        for body in (odd, deep, None, "{", "[]", '{"data": 3, "ergebnisliste": 4}', NEXT % '{"props": {"initialState": {"jobSearchJobs": {"jobs": 5}}}}', "<rss>", "App.Data = {"):
+            assert boards.read_listing(name, body)[0] in ([], [{"title": "", "company": "", "url": "", "location": "Germany", "description": ""}]) or name == "instaffo"
+            if board.detail:
+                assert len(boards.read_detail(name, body)) == 2
+    assert boards.read_detail("stellenanzeigen", odd) == ("", "") and parse(deep + "x" + "</div>").first("div").inner().startswith("<div>")
+
+
+def test_requests_and_sitemaps(spark, payloads):
+    sources = spark.createDataFrame([("s", "stepstone"), ("e", "englishjobsde"), ("b", "bundesagentur")], "id string, adapter string")
+    rows = {(r["source_id"], r["ord"]): r["request_key"] for r in boards.requests(sources, ["QA Engineer", "C/C++"]).collect()}
+    assert rows == {("s", 0): "QA-Engineer", ("s", 1): "C/C%2B%2B", ("e", 0): "QA_Engineer", ("e", 1): "C/C++", ("b", 0): "QA%20Engineer", ("b", 1): "C/C%2B%2B"}
+    page = lambda slug: {"url": f"https://jobs.instaffo.com/en/job/{slug}", "body": BOARD_CASES["instaffo"][0]}
+    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">%s</urlset>' % "".join(f"<url><loc>https://jobs.instaffo.com/en/job/{s}</loc></url>" for s in ("sdet-0123456789ab", "baker-0123456789ab"))
+    found = boards.scan_board(payloads({"kind": "sitemap", "body": xml}, page("sdet-0123456789ab"), page("baker-0123456789ab"), page("sdet-of-another-map")), "instaffo")
+    assert [r[2].rsplit("/", 1)[1] for r in scanned(found)] == ["sdet-0123456789ab"]
