@@ -203,8 +203,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str =
         sequence = TaskContext.get().partitionId() << 40
         doc_ids, parts, sizes, prompts, tokens = [], [], [], [], 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                some = batch.slice(low, 2048)
+            for low in range(0, batch.num_rows, 4096):
+                some = batch.slice(low, 4096)
                 ids, cut = enc.encode(some.column(1))
                 ids, cut = np.insert(ids, cut[1:], end_id), cut + np.arange(len(cut))
                 doc_ids += some.column(0).to_pylist()

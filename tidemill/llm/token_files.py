@@ -183,22 +183,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
         docs_held = ids_held = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                some = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 4096):
+                some = batch.slice(low, 4096)
                 ids, cut = enc.encode(some.column(1))
                 ids, cut = np.insert(ids, cut[1:], end_id), cut + np.arange(len(cut))
                 null = some.column(0).is_null().to_numpy(zero_copy_only=False)
-                held.append((some.column(0).fill_null(0).to_numpy(zero_copy_only=False), null, ids, np.diff(cut)))
-                docs_held, ids_held = docs_held + some.num_rows, ids_held + len(ids)
-                if docs_held >= SHARD_DOCS or ids_held >= SHARD_IDS:
-                    yield shard()
-                    docs_held = ids_held = 0
+                doc_ids = some.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                for a in range(0, len(doc_ids), 512):
+                    b = min(a + 512, len(doc_ids))
+                    held.append((doc_ids[a:b], null[a:b], ids[cut[a] : cut[b]], np.diff(cut[a : b + 1])))
+                    docs_held, ids_held = docs_held + b - a, ids_held + int(cut[b] - cut[a])
+                    if docs_held >= SHARD_DOCS or ids_held >= SHARD_IDS:
+                        yield shard()
+                        docs_held = ids_held = 0
         if held:
             yield shard()
 
     plain = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     (
-        plain.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(32)))
+        plain.repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(write, "part int, before long, n_ids long, n_docs long, n_null long, first_id long, last_id long, shard binary")
         .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)

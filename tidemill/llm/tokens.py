@@ -17,8 +17,12 @@ import pyarrow.compute as pc
 CACHE_PIECES = 700_000
 #: Bytes of text handled at once.
 CHUNK_CHARS = 10_000_000
+#: New pieces that go to the library as one text, and what stands between them.
+ROW_PIECES, _MARK = 1000, "<|endoftext|>"
 
 _CUT = "\x01"
+#: A stop between a letter and white space or the end, as texts are when they are cut.
+_STOP = r"([A-Za-z])([.,!?;:])([ \x01]|$)"
 #: White space other than single blanks and line feeds, doubled white space, and special-token marks.
 _UNSAFE = (
     r"[ \n][ \n]|[\x01\t\x0B-\r\x1C-\x1F]|[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
@@ -38,14 +42,41 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._encoded(texts)]
+
+    def _encoded(self, texts: list[str]) -> list:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+        return encode(texts, add_special_tokens=False)
+
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """As _ids(), of many short pieces: they go to the library in rows, with a special token between two.
+
+        The library cuts a text at special tokens before anything else, so each piece is encoded by itself.
+        """
+        mark_id = self.tokenizer.token_to_id(_MARK)
+        if mark_id is None or len(pieces) < 8 or any("<|" in p for p in pieces):
+            return self._ids(pieces)
+        groups, out = [pieces[i : i + ROW_PIECES] for i in range(0, len(pieces), ROW_PIECES)], []
+        for group, found in zip(groups, self._encoded([_MARK.join(g) for g in groups]), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(ids == mark_id)
+            if len(cuts) != len(group) - 1:  # a piece holds the mark's id
+                out += self._ids(group)
+                continue
+            raw, begin = memoryview(ids.tobytes()), 0
+            for end in [*cuts.tolist(), len(ids)]:
+                out.append(bytes(raw[4 * begin : 4 * end]))
+                begin = end + 1
+        return out
 
     def _pieces(self, texts: pa.Array) -> pa.ListArray:
+        # Both vocabularies also cut between a letter and a stop; there are fewer words than words with stops.
         if self.kind == "word":
-            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            texts = pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), _STOP, r"\1 \2\3")
+            return pc.split_pattern(texts, " ")
         marked = pc.replace_substring(texts, " ", _CUT + " ")
-        return pc.split_pattern(pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}"), _CUT)
+        marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
+        return pc.split_pattern(pc.replace_substring_regex(marked, _STOP, rf"\1{_CUT}\2\3"), _CUT)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = np.zeros(len(texts), bool)
@@ -56,10 +87,10 @@ class PieceEncoder:
             texts = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
         lists = self._pieces(texts)
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         cache = self.cache
         if new := [p for p in pieces if p not in cache]:
-            fresh = dict(zip(new, self._ids(new), strict=True))
+            fresh = dict(zip(new, self._ids_of_pieces(new), strict=True))
             arrays = [fresh[p] if p in fresh else cache[p] for p in pieces]
             if len(cache) + len(new) > CACHE_PIECES:
                 self.cache = {"": b""} | dict(zip(pieces[:CACHE_PIECES], arrays, strict=False))
