@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, jaccard_join, licenses, mixing, packing, quality_rules, secrets, substring_dedup, token_files
+from . import classifier, fingerprints, infill, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, resampling, secrets, substring_dedup, token_files
 from .common import table
 
 
@@ -57,5 +57,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_packing, op4_mixing, op5_quality_rules, op6_jaccard_join, op7_licenses, op8_secrets, op9_token_files, op10_substring_dedup)}
-ORACLE_SQL = {"op4_mixing": mixing.MIX_SQL, "op5_quality_rules": quality_rules.RULES_SQL}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_packing, op4_mixing, op5_quality_rules, op6_jaccard_join, op7_licenses, op8_secrets, op9_token_files, op10_substring_dedup, op11_resampling, op12_infill, op13_line_dedup)}
+ORACLE_SQL = {
+    "op4_mixing": mixing.MIX_SQL, "op5_quality_rules": quality_rules.RULES_SQL,
+    "op11_resampling": resampling.RESAMPLE_SQL, "op12_infill": infill.INFILL_SQL, "op13_line_dedup": line_dedup.LINES_SQL,
+}
