@@ -335,6 +335,19 @@ def test_tokens_are_those_of_whole_texts():
             assert ids[cut[i] : cut[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_tokens_of_texts_made_of_odd_atoms():
+    from tokenizers import Tokenizer
+
+    r = random.Random(11)
+    atoms = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTofTEXT|>", "<|", "|>", "<", "|", "Hello", "WORLD", "don't", "ÉÈ", "İ", "ß", " ", "  ", "\n", "\t", ".", ", ", "12", "日本", "́", "Σ", "’s", "\u00a0"]
+    texts = ["".join(r.choice(atoms) for _ in range(r.randrange(1, 14))) for _ in range(4000)]
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        ids, cut = PieceEncoder(tokenizer_path(name), kind).encode(pa.array(texts))
+        wrong = [t for i, t in enumerate(texts) if ids[cut[i] : cut[i + 1]].tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+        assert not wrong, (name, len(wrong), wrong[:5])
+
+
 def test_token_files(spark, docs, odd):
     from tokenizers import Tokenizer
 

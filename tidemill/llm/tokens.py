@@ -79,9 +79,9 @@ class PieceEncoder:
         return pc.split_pattern(pc.replace_substring_regex(marked, _STOP, rf"\1{_CUT}\2\3"), _CUT)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.zeros(len(texts), bool)
-        if self.kind == "byte":
-            whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        # Special tokens are found before letters are made small, so a text that may have one is left as it is.
+        unsafe = _UNSAFE if self.kind == "byte" else r"<\|"
+        whole = pc.match_substring_regex(texts, unsafe).to_numpy(zero_copy_only=False)
         if whole.any():
             found = self._ids(texts.filter(pa.array(whole)).to_pylist())
             texts = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
