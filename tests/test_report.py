@@ -94,3 +94,66 @@ def test_resolution_summary(spark):
     assert "Total companies: 6" in text and "- Resolved (real vendor): 3 (50.0%)" in text and "- New (never attempted): 2 (33.3%)" in text
     assert "- lever: 2\n- ashby: 1" in text and "scraper)\n\n- c — https://c.test/jobs\n" in text and "found nothing)\n\n(none)\n" in text and text.endswith("- b — https://b.test\n- e — https://e.test\n")
     assert report.shares(report.bucket_counts(rows.limit(0), "ats")).first()["resolved_percent"] == 0.0
+
+
+def marks(spark, ids, title="t"):
+    return spark.createDataFrame([(i, title, "c") for i in ids], "job_id string, title string, company string")
+
+
+def test_seen_table_reads_only_partitions_asked_for(spark, tmp_path):
+    table = SeenTable(spark, str(tmp_path / "seen"))
+    ids = spark.range(400).select(F.sha2(F.col("id").cast("string"), 256).alias("job_id"), F.lit("t").alias("title"), F.lit("c").alias("company"))
+    table.mark(ids)
+    asked = ids.where("job_id like 'a%'").select("job_id").unionAll(spark.createDataFrame([("a" * 64,), ("b" * 64,), (None,)], "job_id string"))
+    left = table.unseen(asked)
+    assert sorted((r["job_id"] for r in left.collect()), key=str) == sorted(["a" * 64, "b" * 64, None], key=str)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan and "= a)" in plan  # b is in no bitmap, so its partition is not read
+    assert not table.unseen(spark.createDataFrame([("c" * 64,)], "job_id string"))._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+
+def test_two_marks_at_once_leave_one_row_an_id(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    ids = [f"{i:064x}" for i in range(40)]
+    tables = [SeenTable(spark, str(tmp_path / "seen")) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: tables[k].mark(marks(spark, ids[k * 5 : k * 5 + 30], f"run {k}"), F.lit("2024-01-01")), range(3)))
+    rows = tables[0].read().collect()
+    assert sorted(r["job_id"] for r in rows) == ids and tables[0].versions.number() in (2, 3)  # the middle run may find nothing new
+
+
+def test_versions_are_taken_once(spark, tmp_path, monkeypatch):
+    from tidemill.operators.versions import Versions
+
+    log = Versions(spark, str(tmp_path / "table"))
+    assert (log.number(), log.entry()) == (0, {}) and log.commit(1, {"a": 1}) and not log.commit(1, {"a": 2}) and log.entry() == {"a": 1}
+    tried = []
+
+    def work(entry):
+        tried.append(entry)
+        if len(tried) == 1:
+            assert log.commit(2, {"a": "other"})
+        return {"a": [entry["a"], "mine"]}
+
+    assert log.change(work) == 3 and tried == [{"a": 1}, {"a": "other"}] and log.entry(3) == {"a": ["other", "mine"]}
+    assert log.change(lambda entry: None) == 3 and sorted(p.name for p in (tmp_path / "table" / "_log").glob("[!.]*")) == [f"{i:010d}.json" for i in (1, 2, 3)]
+
+
+def test_versions_in_a_store_that_only_spark_reads(spark):
+    from tidemill.operators.staging import scratch
+    from tidemill.operators.versions import Versions
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.versions.link./shared", scratch(spark, "linked").rsplit("/", 1)[0])
+    log = Versions(spark, f"viewfs://versions/shared/{scratch(spark, 'table').rsplit('/', 1)[1]}")
+    assert log.commit(1, {"a": 1}) and not log.commit(1, {"a": 2}) and log.entry() == {"a": 1}
+
+
+def test_young_folders_are_merged(spark, tmp_path):
+    table = SeenTable(spark, str(tmp_path / "seen"))
+    table.MOST_FOLDERS = 2
+    for k in range(5):
+        table.mark(marks(spark, [f"{i:064x}" for i in range(k * 10, k * 10 + (30 if k == 0 else 11))]))
+    entry = table.versions.entry()
+    assert table.read().count() == table.read().distinct().count() == 51 and len(entry["rows"]) <= 2 and sum(entry["counts"]) == 51
+    assert table.unseen(marks(spark, [f"{i:064x}" for i in range(60)])).count() == 9

@@ -1,4 +1,4 @@
-"""Page and offset limits, per-key limits, keyed maps."""
+"""Page and offset limits by bitsets of pages, per-key limits, keyed maps."""
 
 from __future__ import annotations
 
@@ -6,10 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Pages in a word of a bitset.
+WORD = 62
+
+
+def _bits(n: Column) -> Column:
+    """A long with one bit set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+
+def _lowest(bits: Column) -> Column:
+    """The place of the lowest set bit (WORD or more of none)."""
+    return F.bit_count(bits.bitwiseAND(-bits) - 1)
+
+
+def stops(pages: DataFrame, key: list[str], page: str, last: Column, cap: int | Column) -> DataFrame:
+    """Per key, how many pages count: up to the first that is the last or before the first that is missing, and at most cap.
+
+    last: whether no page is asked for after this one; null is no. Of a page captured twice, one that is the
+    last will do. A key's pages meet as bitsets, WORD pages in a long, so a key with any number of captures
+    sends a row per task and word. Keys without a page 1 have no pages that count.
+    """
+    cap = F.lit(cap) if isinstance(cap, int) else cap
+    n = F.col(page).cast("int")
+    each = pages.where((n >= 1) & (n <= cap)).select(*key, F.floor((n - 1) / WORD).cast("int").alias("__w"), _bits((n - 1) % WORD).alias("__bit"), F.coalesce(last, F.lit(False)).alias("__last"), cap.cast("int").alias("__cap"))
+    words = each.groupBy(*key, "__w").agg(F.bit_or("__bit").alias("__there"), F.coalesce(F.bit_or(F.when(F.col("__last"), F.col("__bit"))), F.lit(0)).alias("__last"), F.max("__cap").alias("__cap"))
+    gap = F.least(_lowest(F.bitwise_not("__there")), F.lit(WORD))
+    taken = F.least(gap, F.when(F.col("__last") != 0, _lowest(F.col("__last")) + 1).otherwise(WORD))
+    ends = words.withColumn("__end", F.when((gap < WORD) | (F.col("__last") != 0), F.col("__w") * WORD + taken))
+    held = ends.groupBy(*key).agg(F.min("__end").alias("__end"), F.collect_set("__w").alias("__ws"), F.max("__w").alias("__top"), F.max("__cap").alias("__cap"))
+    missing = F.array_min(F.array_except(F.sequence(F.lit(0), F.col("__top") + 1), F.col("__ws")))  # words: no more than cap / WORD
+    return held.select(*key, F.least(F.coalesce("__end", F.col("__cap")), missing * WORD, "__cap").alias("__stop"))
+
+
+def until_last(pages: DataFrame, key: list[str], page: str, last: Column, cap: int | Column, paged: Column | None = None) -> DataFrame:
+    """The pages that stops() counts.
+
+    paged: of which rows this holds; the others all stay, and meet nothing. The stops are a row per key: where
+    Spark knows or finds them small, they go to the pages. pages is read twice.
+    """
+    mine = pages if paged is None else pages.where(paged)
+    ends = stops(mine, key, page, last, cap)
+    ends = ends.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), "__stop")
+    same = F.col(page) <= F.col("__stop")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    taken = mine.where(F.col(page) >= 1).join(ends, same, "left_semi")
+    return taken if paged is None else taken.unionByName(pages.where(~paged))
+
+
 def until_empty(pages: DataFrame, key: list[str], page: str, empty: Column, cap: int | Column, paged: Column | None = None) -> DataFrame:
     """Pages before their key's first empty or missing one, and at most cap of them; pages count from 1.
 
-    paged: of which rows this holds; the others all stay.
+    paged: of which rows this holds; the others all stay. A page that is there twice is the last that counts.
+    For that, rows are numbered by key; where keys may be hot, stops() needs no key's rows together.
     """
     own, end = Window.partitionBy(*key), (F.lit(cap) if isinstance(cap, int) else cap) + 1
     bad = F.min(F.when(empty, F.col(page))).over(own)

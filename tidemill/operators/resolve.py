@@ -107,18 +107,18 @@ def page_links(url: Column, body: Column) -> Column:
 def crawl(companies: DataFrame, pages: DataFrame) -> DataFrame:
     """The pages looked at for each company, in order, out of captured ones.
 
-    pages: request_url, url (where it led), body (null: not reached). Returned: name, stage (0 the home
-    page, 1 career pages and what they link to), cand_ord, hop_ord (0 the career page, from 1 the listings
-    it links to), url, body. No page is looked at twice: what an earlier page led to is no career page any
-    more. Without a home page there is nothing else.
+    companies: name, url and ord, which is a company's key. pages: request_url, url (where it led), body (null:
+    not reached). Returned: key, name, stage (0 the home page, 1 career pages and what they link to), cand_ord,
+    hop_ord (0 the career page, from 1 the listings it links to), url, body. No page is looked at twice: what an
+    earlier page led to is no career page any more. Without a home page there is nothing else.
     """
     got = pages.where("body is not null").select(F.col("request_url").alias("asked"), F.coalesce("url", "request_url").alias("url"), "body")
     # Career pages are read for their links to listings, home pages for those to career pages: once each.
     linked = got.withColumn("links", page_links(F.col("url"), F.col("body")))
-    home = companies.select("name", F.col("url").alias("company_url")).join(linked.withColumnRenamed("asked", "company_url"), "company_url")
-    candidates = home.select("name", F.col("url").alias("home"), F.posexplode(career_urls(F.col("company_url"), F.col("links"))).alias("cand_ord", "asked"))
+    home = companies.select(F.col("ord").alias("key"), "name", F.col("url").alias("company_url")).join(linked.withColumnRenamed("asked", "company_url"), "company_url")
+    candidates = home.select("key", "name", F.col("url").alias("home"), F.posexplode(career_urls(F.col("company_url"), F.col("links"))).alias("cand_ord", "asked"))
     deeper = linked.select("asked", matching_links(F.col("links"), rules.LISTING_LINK).alias("deeper"))
-    each = candidates.join(deeper, "asked", "left").groupBy("name", "home").agg(F.array_sort(F.collect_list(F.struct("cand_ord", "asked", "deeper"))).alias("candidates"))
+    each = candidates.join(deeper, "asked", "left").groupBy("key", "name", "home").agg(F.array_sort(F.collect_list(F.struct("cand_ord", "asked", "deeper"))).alias("candidates"))
     visit = "array<struct<cand_ord:int,hop_ord:int,asked:string>>"
     start = F.struct(F.array("home").alias("seen"), F.array().cast(visit).alias("visits"))
 
@@ -128,34 +128,40 @@ def crawl(companies: DataFrame, pages: DataFrame) -> DataFrame:
         visits = F.concat(acc["visits"], F.array(F.struct(c["cand_ord"].alias("cand_ord"), F.lit(0).alias("hop_ord"), c["asked"].alias("asked"))).cast(visit), hops.cast(visit))
         return F.when(F.array_contains(acc["seen"], c["asked"]), acc).otherwise(F.struct(F.concat(acc["seen"], F.array(c["asked"]), new).alias("seen"), visits.alias("visits")))
 
-    visits = each.select("name", F.explode(F.aggregate("candidates", start, step, lambda acc: acc["visits"])).alias("v")).select("name", "v.*")
-    found = visits.join(got, "asked").select("name", F.lit(1).alias("stage"), "cand_ord", "hop_ord", "url", "body")
-    return home.select("name", F.lit(0).alias("stage"), F.lit(0).alias("cand_ord"), F.lit(0).alias("hop_ord"), "url", "body").unionByName(found)
+    visits = each.select("key", "name", F.explode(F.aggregate("candidates", start, step, lambda acc: acc["visits"])).alias("v")).select("key", "name", "v.*")
+    found = visits.join(got, "asked").select("key", "name", F.lit(1).alias("stage"), "cand_ord", "hop_ord", "url", "body")
+    return home.select("key", "name", F.lit(0).alias("stage"), F.lit(0).alias("cand_ord"), F.lit(0).alias("hop_ord"), "url", "body").unionByName(found)
+
+
+def _keyed(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """rows with their company's key; where they have none they find it by name, which then must be one company's."""
+    return rows if "key" in rows.columns else rows.join(companies.select("name", F.col("ord").alias("key")), "name")
 
 
 def resolved(companies: DataFrame, pages: DataFrame, probes: DataFrame) -> DataFrame:
-    """name with ats, identifier, identifier_workday, careers_url and match_method, by the best evidence captured.
+    """key and name with ats, identifier, identifier_workday, careers_url and match_method, by the best evidence captured.
 
-    pages: as crawl() returns them. probes: name, slug_ord, probe_ord, ats, slug, ok. Pages come before
+    pages: as crawl() returns them. probes: key, slug_ord, probe_ord, ats, slug, ok. Pages come before
     probes, each in order, and career pages count only if the home page was reached. A probe tells no
     careers_url. Without a vendor, a career page that was reached makes a company custom; else it is
-    unresolved.
+    unresolved. Companies of one name are apart.
     """
-    read = pages.join(companies.select("name"), "name").where("body is not null").withColumn("m", scan_page(F.col("url"), F.col("body"), F.col("name")))
+    pages, probes, known = _keyed(pages, companies), _keyed(probes, companies), companies.select(F.col("ord").alias("key"), "name")
+    read = pages.drop("name").join(known, "key").where("body is not null").withColumn("m", scan_page(F.col("url"), F.col("body"), F.col("name")))
     order = F.struct("stage", "cand_ord", "hop_ord")
     hit, career = F.col("m").isNotNull(), (F.col("stage") > 0) & (F.col("hop_ord") == 0)
-    by_page = read.groupBy("name").agg(
+    by_page = read.groupBy("key").agg(
         F.min_by(F.when(hit, F.struct("m", "url")), F.when(hit, order)).alias("page"),
         F.min_by(F.when(career, F.col("url")), F.when(career, order)).alias("reached"), F.bool_or(F.col("stage") == 0).alias("home"),
     )
     by_page = by_page.where("home").drop("home")
-    by_probe = probes.where("ok").groupBy("name").agg(F.min_by(F.struct("ats", "slug"), F.struct("slug_ord", "probe_ord")).alias("probe"))
-    both = companies.select("name").join(by_page, "name", "left").join(by_probe, "name", "left")
+    by_probe = probes.where("ok").groupBy("key").agg(F.min_by(F.struct("ats", "slug"), F.struct("slug_ord", "probe_ord")).alias("probe"))
+    both = known.join(by_page, "key", "left").join(by_probe, "key", "left")
     page, probe = F.col("page.m"), F.col("probe")
     ats = F.coalesce(page["ats"], probe["ats"], F.when(F.col("reached").isNotNull(), F.lit("custom")), F.lit("unresolved"))
     method = F.coalesce(page["match_method"], F.when(probe.isNotNull(), F.lit("api_probe")))
     return both.select(
-        "name", ats.alias("ats"), F.when(page.isNotNull(), page["identifier"]).otherwise(probe["slug"]).alias("identifier"), page["identifier_workday"].alias("identifier_workday"),
+        "key", "name", ats.alias("ats"), F.when(page.isNotNull(), page["identifier"]).otherwise(probe["slug"]).alias("identifier"), page["identifier_workday"].alias("identifier_workday"),
         F.when(page.isNotNull(), F.col("page.url")).when(probe.isNull(), F.col("reached")).alias("careers_url"), method.alias("match_method"),
     )
 
@@ -171,14 +177,27 @@ def pending(companies: DataFrame, force: str = "new") -> DataFrame:
     return companies.where(test)
 
 
+#: What resolution says of a company.
+FIELDS = ("ats", "identifier", "identifier_workday", "careers_url", "match_method")
+
+
+def changed(companies: DataFrame, found: DataFrame) -> DataFrame:
+    """ord, FIELDS and resolved_at (now) of the companies of which found says something else than they do."""
+    new = found.select("key", F.struct(*FIELDS).alias("__new"))
+    both = companies.join(new, companies["ord"] == new["key"])
+    differs = ~F.struct(*FIELDS).eqNullSafe(F.col("__new"))
+    return both.where(differs).select("ord", *(F.col(f"__new.{f}").alias(f) for f in FIELDS), F.current_timestamp().alias("resolved_at"))
+
+
 def updated(companies: DataFrame, found: DataFrame) -> DataFrame:
-    """companies with the five resolution columns replaced where found has the name."""
-    fields = ["ats", "identifier", "identifier_workday", "careers_url", "match_method"]
-    new = found.select("name", F.struct(*fields).alias("__new"))
-    joined = companies.join(new, "name", "left")
-    for f in fields:
+    """companies with FIELDS and resolved_at replaced where found has the key."""
+    at = found["resolved_at"] if "resolved_at" in found.columns else F.current_timestamp()
+    key = found["key"] if "key" in found.columns else found["ord"]
+    new = found.select(key.alias("__key"), F.struct(*(found[f] for f in FIELDS), at.alias("resolved_at")).alias("__new"))
+    joined = companies.join(new, companies["ord"] == new["__key"], "left")
+    for f in (*FIELDS, "resolved_at"):
         joined = joined.withColumn(f, F.when(F.col("__new").isNotNull(), F.col(f"__new.{f}")).otherwise(F.col(f)))
-    return joined.withColumn("resolved_at", F.when(F.col("__new").isNotNull(), F.current_timestamp()).otherwise(F.col("resolved_at"))).select(*companies.columns)
+    return joined.select(*companies.columns)
 
 
 #: Vendors whose answer to a guessed slug is looked at, in this order for each slug.
@@ -200,7 +219,7 @@ def probe_ok(ats: Column, body: Column, name: Column) -> Column:
 
 
 def probes_of(companies: DataFrame, answers: DataFrame) -> DataFrame:
-    """name, slug_ord, probe_ord, ats, slug and ok of every captured answer (slug, ats, body) to a company's slugs."""
-    slugs = companies.select("name", F.posexplode(slug_candidates(F.col("url"), F.col("name"))).alias("slug_ord", "slug"))
+    """key, name, slug_ord, probe_ord, ats, slug and ok of every captured answer (slug, ats, body) to a company's slugs."""
+    slugs = companies.select(F.col("ord").alias("key"), "name", F.posexplode(slug_candidates(F.col("url"), F.col("name"))).alias("slug_ord", "slug"))
     order = F.array_position(F.array(*map(F.lit, PROBES)), F.col("ats")) - 1
-    return slugs.join(answers, "slug").where(F.col("ats").isin(*PROBES)).select("name", "slug_ord", order.alias("probe_ord"), "ats", "slug", probe_ok(F.col("ats"), F.col("body"), F.col("name")).alias("ok"))
+    return slugs.join(answers, "slug").where(F.col("ats").isin(*PROBES)).select("key", "name", "slug_ord", order.alias("probe_ord"), "ats", "slug", probe_ok(F.col("ats"), F.col("body"), F.col("name")).alias("ok"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import report as messages
 from ..operators.dedup import SeenTable, job_id, last_value_first_position, unseen
 from ..operators.predicates import german_required, in_scope_city, in_scope_remote, title_matches
+from ..operators.staging import staged
 
 
 def _counts(stage: str) -> dict[str, Column]:
@@ -21,12 +22,13 @@ def _counts(stage: str) -> dict[str, Column]:
     }[stage]
 
 
-def build_report(postings: DataFrame, seen: DataFrame, terms: list[str] | None = None, metrics: dict[str, Observation] | None = None) -> DataFrame:
+def build_report(postings: DataFrame, seen: DataFrame | SeenTable, terms: list[str] | None = None, metrics: dict[str, Observation] | None = None) -> DataFrame:
     """New postings in scope whose title matches, with job_id, german and ord.
 
     postings: source_id, title, company, url, location, description, ord. Rows of both scopes come as
     (0, ord) for the city, then (1, ord) for remote; of equal urls the last row counts, at the place of
-    the first. The scopes are worked out once per row. metrics: gets an observation for each stage, which
+    the first. The scopes are worked out once per row. seen: reported job_ids, or the table of them, of which
+    only the partitions of matched rows are read then. metrics: gets an observation for each stage, which
     the next action over the report fills in passing.
     """
 
@@ -40,14 +42,16 @@ def build_report(postings: DataFrame, seen: DataFrame, terms: list[str] | None =
     placed = counted(flagged, "scanned").select("*", F.posexplode("__scopes").alias("__scope", "__in")).where("__in")
     placed = placed.withColumn("pos", F.struct(F.col("__scope").alias("scope"), F.col("ord").alias("ord"))).drop("__scopes", "__scope", "__in", "ord")
     merged = last_value_first_position(placed, ["url"], "pos")
-    matched = merged.where(title_matches(F.col("title"), terms)).withColumn("job_id", job_id(F.col("source_id"), F.col("url")))
-    new = unseen(counted(matched, "matched"), seen).withColumn("german", german_required(F.col("description"))).withColumnRenamed("pos", "ord")
+    matched = counted(merged.where(title_matches(F.col("title"), terms)).withColumn("job_id", job_id(F.col("source_id"), F.col("url"))), "matched")
+    # The table is asked for the matched rows only, so those are worked out first.
+    left = seen.unseen(staged(matched, "matched")) if isinstance(seen, SeenTable) else unseen(matched, seen)
+    new = left.withColumn("german", german_required(F.col("description"))).withColumnRenamed("pos", "ord")
     return counted(new, "new")
 
 
 def run(postings: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False) -> list[str]:
     """Sends the report and marks what was sent; a dry run only hands the messages to send and leaves the table alone."""
-    rows = build_report(postings, seen.read(), terms).cache()
+    rows = build_report(postings, seen, terms).cache()
     try:
         parts = messages.chunks(messages.blocks(rows, F.current_date() if day is None else day))
         sent = messages.deliver(parts, send)

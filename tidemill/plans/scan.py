@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,59 +12,98 @@ from pyspark.sql import functions as F
 from ..operators import report as messages
 from ..operators import resolve
 from ..operators.dedup import SeenTable
-from ..sources.boards import scan_boards
+from ..operators.staging import staged
+from ..operators.versions import Versions
+from ..sources import boards, vendors
 from ..sources.schema import COMPANY
-from ..sources.vendors import scan_companies
 from . import report
 
 
 class CompaniesTable:
-    """The companies with what is resolved of them: numbered versions in a folder, of which the newest counts.
+    """The companies with what is resolved of them, in versions; ord is a company's key, names may repeat.
 
-    A new version is written whole under another name and then renamed, so readers see the old or the new.
+    A version is a whole table and the deltas since: what runs resolved, by key. They are merged when the table
+    is read, so a run writes what it found out and not the table. After MOST_DELTAS the next one is written whole.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    MOST_DELTAS = 16
+    _DELTA = "ord long, ats string, identifier string, identifier_workday struct<tenant:string,wd_host:string,site:string>, careers_url string, match_method string, resolved_at timestamp"
 
-    def _files(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.versions = spark, Versions(spark, path)
 
     def version(self) -> int:
-        files, path = self._files()
-        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
-        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
+        return self.versions.number()
+
+    def _read(self, entry: dict) -> DataFrame:
+        if not entry:
+            return self.spark.createDataFrame([], COMPANY)
+        whole = self.spark.read.schema(COMPANY).parquet(entry["whole"])
+        if not entry["deltas"]:
+            return whole
+        deltas = [self.spark.read.schema(self._DELTA).parquet(d).withColumn("__nth", F.lit(i)) for i, d in enumerate(entry["deltas"])]
+        every = reduce(DataFrame.unionByName, deltas)
+        fields = [c for c in every.columns if c not in ("ord", "__nth")]
+        last = every.groupBy("ord").agg(F.max_by(F.struct(*fields), "__nth").alias("last")).select("ord", "last.*")
+        return resolve.updated(whole, last)
 
     def read(self) -> DataFrame:
-        at = self.version()
-        return self.spark.read.schema(COMPANY).parquet(f"{self.path}/v{at}") if at else self.spark.createDataFrame([], COMPANY)
+        return self._read(self.versions.entry())
 
     def write(self, companies: DataFrame) -> None:
-        files, _ = self._files()
-        to, aside = f"{self.path}/v{self.version() + 1}", f"{self.path}/.new-{uuid.uuid4().hex}"
-        companies.write.parquet(aside)
-        of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        if not files.rename(of(aside), of(to)):
-            raise OSError(f"{to} was written by another run")
+        """Makes companies the table; an error if a key is missing or repeats."""
+        folder = self.versions.new_folder()
+        companies.write.parquet(folder)
+        held = self.spark.read.schema(COMPANY).parquet(folder)
+        if not held.where("ord is null").isEmpty() or not held.groupBy("ord").count().where("count > 1").isEmpty():
+            raise ValueError("ord is a company's key: it is there and unique")
+        self.versions.change(lambda entry: {"whole": folder, "deltas": []})
 
     def resolve(self, pages: DataFrame, answers: DataFrame, force: str = "new") -> DataFrame:
-        """Resolves the companies that force says from captures and writes them back; those that were resolved.
+        """Resolves the companies that force says from captures and writes back what changed; those that were resolved.
 
-        With none to resolve nothing is written.
+        With none to resolve, or none of which anything else is known now, nothing is written.
         """
-        now = self.read()
-        todo = resolve.pending(now, force)
-        if todo.isEmpty():
-            return todo
-        names = todo.select("name")
-        self.write(resolve.updated(now, resolve.resolve(todo, pages, answers)))
-        return self.read().join(names, "name", "left_semi")
+        keys: list[DataFrame] = []
+
+        def work(entry: dict) -> dict | None:
+            now = self._read(entry)
+            todo = resolve.pending(now, force)
+            keys[:] = [todo.select("ord")]
+            if todo.isEmpty():
+                return None
+            delta = staged(resolve.changed(todo, resolve.resolve(todo, pages, answers)), "resolved")
+            if delta.isEmpty():
+                return None
+            folder = self.versions.new_folder()
+            if len(entry["deltas"]) < self.MOST_DELTAS:
+                delta.write.parquet(folder)
+                return entry | {"deltas": [*entry["deltas"], folder]}
+            resolve.updated(now, delta).write.parquet(folder)
+            return {"whole": folder, "deltas": []}
+
+        self.versions.change(work)
+        return self.read().join(keys[0], "ord", "left_semi").select(*self.spark.createDataFrame([], COMPANY).columns)
+
+
+@dataclass(frozen=True)
+class Reported:
+    """Postings, what could not be read, and what was counted while responses were read."""
+
+    postings: DataFrame
+    failures: DataFrame
+    counts: dict[str, int]
+
+
+def scan_reported(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> Reported:
+    """All postings, those of boards before those of companies, with the failures of both."""
+    found = boards.scan_reported(payloads, sources, active, terms)
+    return Reported(found.postings.unionByName(vendors.scan_companies(payloads, companies, terms)), found.failures.unionByName(vendors.failures(payloads, companies)), found.counts)
 
 
 def scan(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """All postings, those of boards before those of companies; one ord for both."""
-    return scan_boards(payloads, sources, active, terms).unionByName(scan_companies(payloads, companies, terms))
+    return boards.scan_boards(payloads, sources, active, terms).unionByName(vendors.scan_companies(payloads, companies, terms))
 
 
 def run(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False) -> list[str]:

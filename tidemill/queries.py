@@ -238,6 +238,15 @@ def q_page_until_total(spark, sf_dir):
     return paging.until_total(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_quantity", 10, 4).select("l_orderkey", "l_linenumber")
 
 
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber AS n, bool_or(l_quantity > 45) AS last FROM lineitem WHERE l_linenumber BETWEEN 1 AND 5 GROUP BY ALL),
+g AS (SELECT l_orderkey, least(coalesce(min(n) FILTER (last), 5), coalesce(min(n + 1) FILTER (NOT EXISTS (SELECT 1 FROM p q WHERE q.l_orderkey = p.l_orderkey AND q.n = p.n + 1)), 6) - 1, CASE WHEN min(n) = 1 THEN 5 ELSE 0 END) AS stop FROM p GROUP BY l_orderkey)
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN g USING (l_orderkey) WHERE l_linenumber BETWEEN 1 AND stop""")
+def q_page_until_last(spark, sf_dir):
+    """L1, L2: pages up to the one after which none is asked for, or before a missing one, by bitsets of pages."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return paging.until_last(lines, ["l_orderkey"], "l_linenumber", F.col("l_quantity") > 45, 5)
+
+
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
 def q_topk_per_key(spark, sf_dir):
     """L3: a fixed number of rows per key."""

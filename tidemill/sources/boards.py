@@ -1,8 +1,10 @@
 """Job boards: captured responses to postings.
 
 Each board has a parser of its listing pages, perhaps one of its detail pages, and rules for how details
-count. A parser turns one response into rows; everything between (paging, merging by url, joining
-details, dropping what is confirmed as foreign) is DataFrame work, the same for all.
+count. JSON and XML are read by built-in functions (feeds.py), HTML by the parsers here, one response at a
+time. Every response is read once, into a table of what it holds or why it can't be read; everything after
+that (paging, merging by url, joining details, dropping what is confirmed as foreign) is DataFrame work, the
+same for all.
 """
 
 from __future__ import annotations
@@ -14,19 +16,21 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import TITLE_TERMS
+from ..functions.text import text_of
 from ..operators import dedup, lookups, paging
 from ..operators.predicates import title_matches, with_url
+from ..operators.staging import staged
+from . import feeds
 from .html import Node, parse
 from .schema import packed_ord
 
 Row = tuple[str, str, str, str, str]  # title, company, url, location, description
-#: Umlauts as slugs write them; a feed's title, its company and tag; what a board adds to places; a title in a description.
+#: Umlauts as slugs write them; what a board adds to places; a title in a description. So are the selectors and urls of the parsers below.
 _UMLAUTS = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss"})
-TITLE_AT_COMPANY = r"^(.+?)\s*@\s*(.+?)(?:\s*\[.*\])?$"
 MORE_PLACES = r"\s*\+\s*\d+\s*weitere\s*$"
 TITLE_IN_TEXT = r"^html\s*<title>.*?</title>\s*"
 JSON_LD = r'<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>'
@@ -59,11 +63,6 @@ def named(items, *path) -> str:
     return ", ".join(x for x in (dig(i, *path) for i in items or []) if x)
 
 
-def next_data(body: str) -> dict:
-    node = parse(body).first("script#__NEXT_DATA__")
-    return json_of(node.text() if node else None)
-
-
 def job_posting(body: str) -> dict:
     """The first JSON-LD block that is a job posting."""
     for node in parse(body).select('script[type="application/ld+json"]'):
@@ -73,22 +72,11 @@ def job_posting(body: str) -> dict:
 
 
 def arbeitnow(body: str) -> Iterator[Row]:
-    for card in parse(dig(json_of(body), "data")).select("div[data-link]"):
+    data = json.loads(body)
+    for card in parse(dig(data, "data")).select("div[data-link]"):
         yield tight(card.first('h3[itemprop="title"] a')), tight(card.first('a[itemprop="hiringOrganization"]')), card.get("data-link"), tight(card.first("span.text-gray-600")), ""
 
 
-def rss(body: str) -> Iterator[Row]:
-    try:
-        root = ElementTree.fromstring(body)
-    except ElementTree.ParseError:
-        return
-    for item in root.findall("./channel/item"):
-        raw = (item.findtext("title") or "").strip()
-        split = re.match(TITLE_AT_COMPANY, raw)
-        title, company = (split[1].strip(), split[2].strip()) if split else (raw, "Unknown")
-        yield title, company, (item.findtext("link") or "").strip(), "Germany", item.findtext("description") or ""
-
-
 def stepstone(body: str) -> Iterator[Row]:
     for card in parse(body).select('[data-testid="job-item"]'):
         title = card.first('[data-testid="job-item-title"]')
@@ -146,12 +134,6 @@ def xing(body: str) -> Iterator[Row]:
         yield tight(card.first('[data-testid="job-teaser-list-title"]')), tight(card.first('p[class*="Company"]')), href if href.startswith("http") else href and "https://www.xing.com" + href, where, ""
 
 
-def get_in_it(body: str) -> Iterator[Row]:
-    for job in dig(next_data(body), "props", "initialState", "jobSearchJobs", "jobs") or []:
-        url = job.get("url") or ""
-        yield job.get("title") or "", dig(job, "company", "title") or "", url and "https://www.get-in-it.de" + url, named(job.get("locations"), "name"), ""
-
-
 #: The sitemap's namespace, where its English pages start, and the id at a slug's end.
 SITEMAP = "{http://www.sitemaps.org/schemas/sitemap/0.9}loc"
 SITEMAP_PAGES = "https://jobs.instaffo.com/en/job/"
@@ -193,37 +175,6 @@ def instaffo(body: str) -> Iterator[Row]:
         yield data.get("title") or "", dig(data, "hiringOrganization", "name") or "", "", named(data.get("jobLocation"), "address", "addressLocality"), data.get("description") or ""
 
 
-def agency(body: str) -> Iterator[Row]:
-    for job in json_of(body).get("ergebnisliste") or []:
-        here = [x for x in job.get("stellenlokationen") or [] if dig(x, "adresse", "land") == "DEUTSCHLAND"]
-        if job.get("referenznummer") and here:
-            yield job.get("stellenangebotsTitel") or "", job.get("firma") or "", f"https://www.arbeitsagentur.de/jobsuche/jobdetail/{job['referenznummer']}", named(here, "adresse", "ort"), ""
-
-
-def _app_data(body: str) -> dict:
-    """The object literal assigned in a script, whatever follows it."""
-    at = body.find("App.Data = {")
-    try:
-        data, _ = json.JSONDecoder().raw_decode(body, at + len("App.Data = ")) if at >= 0 else ({}, 0)
-    except ValueError:
-        return {}
-    return dig(data, "ControllerResponse", "Data") or {}
-
-
-def ferchau(body: str) -> Iterator[Row]:
-    soft = lambda text: text.replace("\xad", "")
-    for job in _app_data(body).get("Offers") or []:
-        if (job.get("locationCountryCode") or "").strip().upper() != "DE" or not job.get("slug"):
-            continue
-        parts = [f"<p>{job.get(k + 'Headline') or ''}</p>{job[k]}" for k in ("tasks", "requirements", "benefits") if job.get(k)]
-        place = ", ".join(job[k] for k in ("locationCity", "locationRegion", "locationCountry") if job.get(k))
-        yield soft(job.get("title") or ""), soft(job.get("contactPersonOrganizationName") or "FERCHAU"), f"https://touch.ferchau.com{job['slug']}", soft(place) or "Germany", soft((job.get("intro") or "") + "".join(parts))
-
-
-def ferchau_total(body: str) -> int:
-    return dig(_app_data(body), "OffersCount", "total") or 0
-
-
 def munich_startup(body: str) -> Iterator[Row]:
     for card in parse(body).select('a[href^="/jobs/anzeige/"]'):
         if title := card.first(".text-card-title"):
@@ -258,14 +209,6 @@ def xing_detail(body: str) -> tuple[str, str]:
     return inner(page.first('[data-testid="expandable-content"]')), country or ""
 
 
-def get_in_it_detail(body: str) -> tuple[str, str]:
-    return dig(next_data(body), "props", "initialState", "jobJob", "job", "content") or "", ""
-
-
-def agency_detail(body: str) -> tuple[str, str]:
-    return job_posting(body).get("description") or "", ""
-
-
 def stellenanzeigen_detail(body: str) -> tuple[str, str]:
     found = re.search(JSON_LD, body, re.DOTALL)
     data = json_of(found[1] if found else None)
@@ -276,18 +219,19 @@ def stellenanzeigen_detail(body: str) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class Board:
-    listing: Callable[[str], Iterator[Row]]
+    """listing, detail: parsers of HTML; a board without a listing parser is one of feeds.FEEDS."""
+
+    listing: Callable[[str], Iterator[Row]] | None = None
     detail: Callable[[str], tuple[str, str]] | None = None
     overwrite: bool = False  # an empty detail counts as well
-    page_cap: int = 0  # pages until the first empty one, at most so many
-    total: Callable[[str], int] | None = None  # offset paging by the response's own total
+    page_cap: int = 0  # at most so many pages, until the one that ends them
     details_of: str = ""  # only urls that start so have details
     own_url: bool = False  # a listing response is one posting's page
 
 
 BOARDS = {
     "arbeitnow": Board(arbeitnow, picked('[itemprop="description"]'), overwrite=True),
-    "germantechjobs": Board(rss),
+    "germantechjobs": Board(),
     "stepstone": Board(stepstone, picked('[data-at="job-ad-content"]')),
     "devjobs": Board(devjobs, picked('div[class*="md:-mt-2"]'), page_cap=30),
     "testdevjobs": Board(testdevjobs, picked('[itemprop="description"]'), page_cap=10),
@@ -295,10 +239,10 @@ BOARDS = {
     "englishjobs": Board(englishjobs),
     "builtin": Board(builtin, picked("div.job-post-item"), page_cap=10),
     "xing": Board(xing, xing_detail, details_of="https://www.xing.com/jobs/"),
-    "get_in_it": Board(get_in_it, get_in_it_detail),
+    "get_in_it": Board(),
     "instaffo": Board(instaffo, own_url=True),
-    "bundesagentur": Board(agency, agency_detail),
-    "ferchau": Board(ferchau, page_cap=4, total=ferchau_total),
+    "bundesagentur": Board(),
+    "ferchau": Board(page_cap=4),
     "munich_startup": Board(munich_startup, picked(".pinboard-prose"), overwrite=True),
     "stellenanzeigen": Board(stellenanzeigen, stellenanzeigen_detail, overwrite=True),
 }
@@ -309,7 +253,6 @@ ADAPTERS = {
 }
 _ROWS = "array<struct<title:string,company:string,url:string,location:string,description:string>>"
 _FIELDS = ("title", "company", "url", "location", "description")
-FERCHAU_PAGE = 25
 
 
 def board_of(adapter: Column) -> Column:
@@ -328,67 +271,138 @@ def requests(sources: DataFrame, terms: list[str]) -> DataFrame:
     return each.select("source_id", "adapter", "term", request_key(board_of(F.col("adapter")), F.col("term")).alias("request_key"), "ord")
 
 
-def read_listing(name: str, body: str | None) -> tuple[list[dict], int]:
-    """A response's rows and its total; a response of another shape has none, whatever is wrong with it."""
-    board = BOARDS[name]
+def _why(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"[:200]
+
+
+def read_listing(name: str, body: str | None) -> tuple[list[dict], str | None]:
+    """A response's rows, and why it has none if it can't be read, whatever is wrong with it."""
+    listing = BOARDS[name].listing
+    if listing is None:
+        return [], None
     try:
-        rows = [dict(zip(_FIELDS, map(str, r), strict=True)) for r in board.listing(body or "")]
-        return rows, int(board.total(body or "")) if board.total else 0
-    except Exception:  # noqa: BLE001  one bad response costs its own rows only
-        return [], 0
+        return [dict(zip(_FIELDS, map(str, r), strict=True)) for r in listing(body or "")], None
+    except Exception as error:  # noqa: BLE001  one bad response costs its own rows only
+        return [], _why(error)
 
 
-def read_detail(name: str, body: str | None) -> tuple[str, str]:
-    """A detail page's description and country; of a page of another shape, none."""
+def _detail(name: str, body: str | None) -> tuple[str, str, str | None]:
     try:
         description, country = BOARDS[name].detail(body or "")
-        return str(description), str(country)
-    except Exception:  # noqa: BLE001
-        return "", ""
+        return str(description), str(country), None
+    except Exception as error:  # noqa: BLE001
+        return "", "", _why(error)
+
+
+def read_detail(name: str, body: str | None) -> tuple[str, str]:
+    """A detail page's description and country; of a page of another shape, none."""
+    return _detail(name, body)[:2]
+
+
+def has_detail(name: str) -> bool:
+    return BOARDS[name].detail is not None or name in feeds.DETAILS
 
 
 def _boards(spark) -> DataFrame:
     """What differs between boards, a row each."""
-    rows = [(k, b.detail is not None, b.overwrite, b.page_cap, b.total is not None, b.details_of, b.own_url) for k, b in BOARDS.items()]
-    return F.broadcast(spark.createDataFrame(rows, "board string, has_detail boolean, overwrite boolean, page_cap int, by_total boolean, details_of string, own_url boolean"))
+    rows = [(k, has_detail(k), b.overwrite, b.page_cap, b.details_of, b.own_url) for k, b in BOARDS.items()]
+    return F.broadcast(spark.createDataFrame(rows, "board string, has_detail boolean, overwrite boolean, page_cap int, details_of string, own_url boolean"))
 
 
-def _read(payloads: DataFrame, kind: str) -> DataFrame:
-    @F.pandas_udf(f"struct<rows:{_ROWS},total:int,description:string,country:string>")
+FAILURE = "source_id string, kind string, request_key string, page int, url string, reason string, ord long"
+
+
+def _listings(mine: DataFrame) -> DataFrame:
+    """Every listing response with rows, ends (no page is asked for after it) and reason (null: it was read)."""
+
+    @F.pandas_udf(f"struct<rows:{_ROWS},reason:string>")
     def read(names: pd.Series, bodies: pd.Series) -> pd.DataFrame:
-        if kind == "detail":
-            found = [read_detail(n, b) for n, b in zip(names, bodies, strict=True)]
-            return pd.DataFrame({"rows": [[] for _ in found], "total": 0, "description": [f[0] for f in found], "country": [f[1] for f in found]})
         found = [read_listing(n, b) for n, b in zip(names, bodies, strict=True)]
-        return pd.DataFrame({"rows": [f[0] for f in found], "total": [f[1] for f in found], "description": "", "country": ""})
+        return pd.DataFrame({"rows": [f[0] for f in found], "reason": [f[1] for f in found]})
+
+    ok = F.col("status") == 200
+    pages = feeds.documents(mine.where("kind = 'listing'").withColumn("body", F.when(ok, F.col("body"))))
+    html = read("board", F.when(~F.col("board").isin(list(feeds.FEEDS)), F.col("body")))
+    pages = pages.withColumn("html", html).withColumn("feed", feeds.listing_of(F.col("page")))
+    rows = F.coalesce("feed.rows", "html.rows")
+    reason = F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("status "), text_of(F.col("status")))).otherwise(F.coalesce("feed.reason", "html.reason"))
+    ends = F.coalesce(F.col("feed.ends"), F.size("html.rows") == 0)
+    columns = ("source_id", "request_key", "page", "kind", "url", "ord", "board", "rank", "has_detail", "overwrite", "page_cap", "details_of", "own_url")
+    return pages.select(*columns, F.when(reason.isNull(), rows).otherwise(F.array().cast(_ROWS)).alias("rows"), ends.alias("ends"), reason.alias("reason"))
 
-    return payloads.where((F.col("kind") == kind) & (F.col("status") == 200)).withColumn("read", read("board", "body"))
 
+def _details(mine: DataFrame) -> DataFrame:
+    """Every detail response that was looked at, with description, country and reason; of those of one url the first that was answered."""
+
+    @F.pandas_udf("struct<description:string,country:string,reason:string>")
+    def read(names: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        found = [("", "", None) if n in feeds.DETAILS else _detail(n, b) for n, b in zip(names, bodies, strict=True)]
+        return pd.DataFrame(found, columns=["description", "country", "reason"])
+
+    columns = ("source_id", "url", "kind", "request_key", "page", "ord", "board", "status", "body")
+    pages = mine.where("kind = 'detail' and has_detail").select(*columns)
+    good = dedup.first_wins(pages.where("status = 200"), ["source_id", "url"], "ord").select(*columns)
+    built_in = F.col("board").isin(list(feeds.DETAILS))
+    good = good.withColumn("html", read("board", F.when(~built_in, F.col("body"))))
+    found = feeds.pick(F.col("board"), list(feeds.DETAILS), lambda n: feeds.DETAILS[n](F.col("body")), F.col("html.description"))
+    kept = columns[:-2]
+    good = good.select(*kept, found.alias("description"), F.col("html.country").alias("country"), F.col("html.reason").alias("reason"))
+    bad = pages.where("status is null or status <> 200").select(*kept, F.lit("").alias("description"), F.lit("").alias("country"), F.concat(F.lit("status "), text_of(F.col("status"))).alias("reason"))
+    return good.unionByName(bad)
 
-def _scan(payloads: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings of payloads with board and rank: one pass over the listings, and one over the details."""
+
+@dataclass(frozen=True)
+class Scan:
+    """What a scan gave: postings; failures (FAILURE), a row for each response, id or adapter that has none; counts of the same pass."""
+
+    postings: DataFrame
+    failures: DataFrame
+    counts: dict[str, int]
+
+
+def _counted(rows: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, int]]:
+    """rows as a written table, and what was counted while it was written."""
+    seen = Observation()
+    held = staged(rows.observe(seen, *(c.alias(k) for k, c in counts.items())), name)
+    return held, {k: int(v or 0) for k, v in seen.get.items()}
+
+
+def _scan(payloads: DataFrame, terms: list[str], names: list[str]) -> Scan:
+    """Postings of payloads with board and rank: every response is read once.
+
+    What it holds is written, so that pages can be counted before their rows are moved. A source's pages end by
+    bitsets of its requests; rows of boards without pages pass by.
+    """
     mine = payloads.join(_boards(payloads.sparkSession), "board")
-    pages = _read(mine, "listing").select("*", "read.rows", "read.total").drop("read", "body")
-    paged, cap = (F.col("page_cap") > 0) & ~F.col("by_total"), F.col("page_cap")
-    pages = paging.until_empty(pages, ["source_id", "request_key"], "page", F.size("rows") == 0, cap, paged)
-    pages = pages.where(~F.col("by_total") | paging.below_total(F.col("page"), F.col("total"), FERCHAU_PAGE, cap))
+    failed = F.count_if(F.col("reason").isNotNull())
+    listings, counts = _counted(_listings(mine), "listings", n_listings=F.count(F.lit(1)), n_failed_listings=failed, n_rows=F.sum(F.size("rows")))
+    pages = listings.where("reason is null")
+    if any(BOARDS[n].page_cap for n in names):
+        pages = paging.until_last(pages, ["source_id", "request_key"], "page", F.col("ends"), F.col("page_cap"), F.col("page_cap") > 0)
     each = pages.select("source_id", "board", "rank", "has_detail", "overwrite", "details_of", "own_url", F.col("url").alias("page_url"), F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r"))
     url = F.when(F.col("own_url"), F.col("page_url")).otherwise(F.col("r.url"))
     rows = each.select(
         "source_id", F.col("r.title").alias("title"), F.col("r.company").alias("company"), url.alias("url"), F.col("r.location").alias("location"), F.col("r.description").alias("description"),
         "board", "has_detail", "overwrite", "details_of", packed_ord(0, F.col("rank"), F.col("req"), F.col("i")).alias("ord"),
     )
-    rows = with_url(_of_sitemaps(rows, mine, terms))
-    rows = dedup.last_value_first_position(rows, ["source_id", "url"], "ord")
-    pages = dedup.first_wins(mine.where((F.col("kind") == "detail") & (F.col("status") == 200) & F.col("has_detail")).select("source_id", "url", "board", "kind", "status", "body", "ord"), ["source_id", "url"], "ord")
-    details = _read(pages, "detail").select("source_id", "url", "read.description", "read.country")
+    if "instaffo" in names:
+        rows = _of_sitemaps(rows, mine, terms)
+    rows = dedup.last_value_first_position(with_url(rows), ["source_id", "url"], "ord")
+    what = ("source_id", "kind", "request_key", "page", "url", "reason", "ord")
+    failures = listings.where("reason is not null").select(*what)
+    if not any(map(has_detail, names)):
+        return Scan(rows.select("source_id", *_FIELDS, "ord"), failures, counts)
+    read, more = _counted(_details(mine), "details", n_details=F.count(F.lit(1)), n_failed_details=failed)
+    failures = failures.unionByName(read.where("reason is not null").select(*what))
+    details = read.where("reason is null or reason not like 'status %'").select("source_id", "url", "description", "country")
     asked = F.col("has_detail") & title_matches(F.col("title"), terms) & F.col("url").startswith(F.col("details_of"))
     other = details.select(F.col("source_id").alias("__s"), F.col("url").alias("__u"), F.col("description").alias("__detail"), F.col("country").alias("__country"))
     both = rows.withColumn("asked", asked).join(other, F.col("asked") & (F.col("source_id") == F.col("__s")) & (F.col("url") == F.col("__u")), "left")
     use = F.col("__s").isNotNull() & (F.col("overwrite") | (F.col("__detail") != ""))
     both = both.withColumn("description", F.when(use, F.col("__detail")).otherwise(F.col("description")))
     # What a detail places abroad goes.
-    return both.where(F.coalesce("__country", F.lit("")).isin("", "DE")).select("source_id", *_FIELDS, "ord")
+    here = both.where(F.coalesce("__country", F.lit("")).isin("", "DE")).select("source_id", *_FIELDS, "ord")
+    return Scan(here, failures, counts | more)
 
 
 def _of_sitemaps(rows: DataFrame, payloads: DataFrame, terms: list[str]) -> DataFrame:
@@ -406,16 +420,28 @@ def _of_sitemaps(rows: DataFrame, payloads: DataFrame, terms: list[str]) -> Data
 
 
 def scan_board(payloads: DataFrame, name: str, terms: list[str] | None = None) -> DataFrame:
-    """One board's postings with ord from its captured responses."""
-    return _scan(payloads.withColumn("board", F.lit(name)).withColumn("rank", F.lit(0)), TITLE_TERMS if terms is None else terms)
+    """One board's postings with ord from its captured responses, which are read at once."""
+    return _scan(payloads.withColumn("board", F.lit(name)).withColumn("rank", F.lit(0)), TITLE_TERMS if terms is None else terms, [name]).postings
 
 
-def scan_boards(payloads: DataFrame, sources: DataFrame, active: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """All active sources' postings; ord follows the order of the sources' ids, then of the responses.
+def scan_reported(payloads: DataFrame, sources: DataFrame, active: DataFrame, terms: list[str] | None = None) -> Scan:
+    """All active sources' postings, and what could not be read.
 
-    active: id. Sources without a board of that adapter, and ids without a source, have no rows; a bad
-    response costs its own rows only.
+    active: id. ord follows the order of the sources' ids, then of the responses. Ids without a source, and
+    sources without a board of that adapter, have no rows and a failure each (kind source); a bad response costs
+    its own rows only.
     """
-    known = lookups.looked_up(active.select("id").distinct(), sources.select("id", "adapter"), ["id"])
-    known = known.select(F.col("id").alias("source_id"), board_of(F.col("adapter")).alias("board"), (F.row_number().over(Window.orderBy("id")) - 1).alias("rank"))  # a configuration's rows
-    return _scan(payloads.join(known, "source_id"), TITLE_TERMS if terms is None else terms)
+    ids = active.select("id").distinct()
+    known = lookups.looked_up(ids, sources.select("id", "adapter"), ["id"])
+    known = known.select(F.col("id").alias("source_id"), "adapter", board_of(F.col("adapter")).alias("board"), (F.row_number().over(Window.orderBy("id")) - 1).alias("rank"))  # a configuration's rows
+    found = _scan(payloads.join(known.drop("adapter"), "source_id"), TITLE_TERMS if terms is None else terms, list(BOARDS))
+    lost = lookups.missing(ids, sources, ["id"]).select(F.col("id").alias("source_id"), F.lit("source not found").alias("reason"))
+    lost = lost.unionByName(known.where(~F.coalesce(F.col("board").isin(list(BOARDS)), F.lit(False))).select("source_id", F.concat(F.lit("no board for adapter "), text_of(F.col("adapter"))).alias("reason")))
+    no = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    lost = lost.select("source_id", F.lit("source").alias("kind"), no("string", "request_key"), no("int", "page"), no("string", "url"), "reason", no("bigint", "ord"))
+    return Scan(found.postings, found.failures.unionByName(lost), found.counts)
+
+
+def scan_boards(payloads: DataFrame, sources: DataFrame, active: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """The postings of scan_reported()."""
+    return scan_reported(payloads, sources, active, terms).postings

@@ -1,6 +1,6 @@
 """Company-direct sources: captured vendor responses to postings, by built-in JSON and XML functions.
 
-A payload's source_id is the company's name here; kind is listing, detail or facets. Each vendor has a
+A payload's source_id is the company's name here, or '#' and its ord where names repeat; kind is listing, detail or facets. Each vendor has a
 schema, the path of its rows, and columns; country rules differ and stand with each.
 """
 
@@ -19,9 +19,11 @@ from ..functions.rules import TITLE_TERMS
 from ..functions.text import join_filled, strip, text_of
 from ..operators import dedup, lookups, paging
 from ..operators.predicates import CountryPolicy, maybe_in_germany, surely_in_germany, title_matches, with_url
+from ..operators.staging import staged
 from .html import parse
 from .schema import packed_ord
 
+
 def late_udf(schema: str):
     """A pandas UDF made where it is used, as its type needs a session to be read."""
     return lambda f: lambda *columns: F.pandas_udf(f, schema)(*columns)
@@ -213,9 +215,20 @@ _FACETS = "facets array<struct<values:array<struct<facetParameter:string,values:
 _FOUND = "total int, jobPostings array<struct<title:string,externalPath:string,locationsText:string>>"
 
 
+def named(companies: DataFrame) -> DataFrame:
+    """companies with source: what a payload's source_id says of each, its name, or '#' and its ord where names repeat.
+
+    ord is a company's key: it is unique, and a name or url may change or repeat. A payload that gives a
+    repeated name is no company's, as nothing tells whose it is.
+    """
+    often = companies.groupBy(F.col("name").alias("__name")).agg((F.count(F.lit(1)) > 1).alias("__often"))
+    both = companies.join(often, F.col("name").eqNullSafe(F.col("__name")))
+    return both.withColumn("source", F.when(F.col("__often"), F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.col("name"))).drop("__name", "__often")
+
+
 def workday_facets(payloads: DataFrame) -> DataFrame:
     """Per company, the ids by parameter of the location facets that lie in Germany, in order."""
-    groups = payloads.where("kind = 'facets'").select("source_id", F.explode(F.from_json("body", _FACETS)["facets"]).alias("g"))
+    groups = payloads.where("kind = 'facets' and status = 200").select("source_id", F.explode(F.from_json("body", _FACETS)["facets"]).alias("g"))
     subs = groups.select("source_id", F.posexplode(F.col("g.values")).alias("i", "s")).where("s.facetParameter <> ''")
     each = subs.select("source_id", F.col("s.facetParameter").alias("param"), "i", F.posexplode(F.col("s.values")).alias("j", "v"))
     here = each.where(surely_in_germany(F.col("v.descriptor"))).select("source_id", "param", F.struct("i", "j").alias("at"), F.col("v.id").alias("id"))
@@ -223,16 +236,22 @@ def workday_facets(payloads: DataFrame) -> DataFrame:
 
 
 def scan_workday(payloads: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """Workday postings; companies without a facet in Germany have none, and what a detail places elsewhere goes."""
+    """Workday postings; companies without a facet in Germany have none, and what a detail places elsewhere goes.
+
+    A search's pages end with an empty one, or where a page's own total is reached. Listings are read once,
+    into a written table, so pages are counted before their rows are moved.
+    """
     here = workday_facets(payloads).select("source_id")
-    known = companies.where("ats = 'workday'").select(F.col("name").alias("source_id"), F.col("identifier_workday").alias("w"), F.col("ord").alias("rank"))
+    known = named(companies.where("ats = 'workday'")).select(F.col("source").alias("source_id"), F.col("name").alias("company"), F.col("identifier_workday").alias("w"), F.col("ord").alias("rank"))
     mine = payloads.join(here, "source_id", "left_semi").join(known, "source_id").where("status = 200")
-    pages = mine.where("kind = 'listing'").withColumn("found", F.from_json("body", _FOUND)).withColumn("total", F.coalesce("found.total", F.lit(0)))
-    pages = paging.until_total(pages, "page", "total", WORKDAY_PAGE, WORKDAY_PAGES)
-    each = pages.select("source_id", "w", "rank", F.col("ord").alias("req"), F.posexplode("found.jobPostings").alias("i", "r"))
+    read = mine.where("kind = 'listing'").withColumn("found", F.from_json("body", _FOUND))
+    read = staged(read.select("source_id", "request_key", "page", "company", "w", "rank", F.col("ord").alias("req"), "found.total", "found.jobPostings"), "workday")
+    ends = (F.coalesce(F.array_size("jobPostings"), F.lit(0)) == 0) | (F.col("page") * WORKDAY_PAGE >= F.coalesce("total", F.lit(0)))
+    pages = paging.until_last(read, ["source_id", "request_key"], "page", ends, WORKDAY_PAGES)
+    each = pages.select("company", "w", "rank", "req", F.posexplode("jobPostings").alias("i", "r"))
     base = F.concat(F.lit("https://"), F.col("w.tenant"), F.lit("."), F.col("w.wd_host"), F.lit(".myworkdayjobs.com/"), F.col("w.site"))
     rows = each.where((text_of(F.col("r.externalPath")) != "") & (_text(F.col("r.title")) != "")).select(
-        F.concat(F.lit("workday:"), "w.tenant", F.lit("/"), "w.site").alias("source_id"), _text(F.col("r.title")).alias("title"), F.col("source_id").alias("company"),
+        F.concat(F.lit("workday:"), "w.tenant", F.lit("/"), "w.site").alias("source_id"), _text(F.col("r.title")).alias("title"), "company",
         F.concat(base, F.col("r.externalPath")).alias("url"), text_of(F.col("r.locationsText")).alias("location"), F.lit("").alias("description"), packed_ord(1, F.col("rank"), F.col("req"), F.col("i")).alias("ord"),
     )
     rows = dedup.last_value_first_position(rows, ["source_id", "url"], "ord")
@@ -258,10 +277,10 @@ def _rows_of(name: str) -> Column:
 
 def _scan(payloads: DataFrame, companies: DataFrame, names: list[str], terms: list[str]) -> DataFrame:
     """Postings of some vendors: one pass over the listings, and one over the details."""
-    known = companies.where(F.col("ats").isin(names)).select(F.col("name").alias("company"), "ats", "identifier", F.col("ord").alias("rank"))
-    mine = payloads.join(known, payloads.source_id == F.col("company")).where("status = 200")
+    known = named(companies.where(F.col("ats").isin(names))).select("source", F.col("name").alias("company"), "ats", "identifier", F.col("ord").alias("rank"))
+    mine = payloads.join(known, payloads.source_id == F.col("source")).where("status = 200")
     listings = mine.where("kind = 'listing'").withColumnRenamed("url", "page_url").withColumn("rows", F.coalesce(*(F.when(F.col("ats") == n, _rows_of(n)) for n in names)))
-    each = listings.select("ats", F.col("company").alias("asked_of"), "rank", F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r"))
+    each = listings.select("ats", F.col("source").alias("asked_of"), "rank", F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r"))
     rows = each.select("ats", "asked_of", "r.*", packed_ord(1, F.col("rank"), F.col("req"), F.col("i")).alias("ord"))
     if any(VENDORS[n].escaped for n in names):
         is_ = F.col("ats").isin([n for n in names if VENDORS[n].escaped])
@@ -273,7 +292,7 @@ def _scan(payloads: DataFrame, companies: DataFrame, names: list[str], terms: li
     detailed = [n for n in names if VENDORS[n].detail]
     if not detailed:
         return rows.select(*columns)
-    pages = dedup.first_wins(mine.where(F.col("ats").isin(detailed) & (F.col("kind") == "detail")).select(F.col("company").alias("asked_of"), "url", "ats", "body", "ord"), ["asked_of", "url"], "ord")
+    pages = dedup.first_wins(mine.where(F.col("ats").isin(detailed) & (F.col("kind") == "detail")).select(F.col("source").alias("asked_of"), "url", "ats", "body", "ord"), ["asked_of", "url"], "ord")
     of = F.coalesce(*(F.when(F.col("ats") == n, VENDORS[n].detail(F.when(F.col("ats") == n, F.col("body")))) for n in detailed))
     details = pages.select("asked_of", "url", of.alias("description"))
     for_titles = F.col("ats").isin([n for n in detailed if VENDORS[n].detail_for_titles])
@@ -289,3 +308,24 @@ def scan_vendor(payloads: DataFrame, companies: DataFrame, name: str, terms: lis
 def scan_companies(payloads: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """All companies' postings; those of an unregistered vendor have none. ord follows the companies' order, after all boards."""
     return _scan(payloads, companies, list(VENDORS), TITLE_TERMS if terms is None else terms).unionByName(scan_workday(payloads, companies, terms))
+
+
+def failures(payloads: DataFrame, companies: DataFrame) -> DataFrame:
+    """What companies' scans can't read: responses of another status or shape, vendors without a reader, payloads of a repeated name.
+
+    source_id, kind, request_key, page, url, reason, ord. It is worked out when it is read, in a pass of its own.
+    """
+    known = named(companies)
+    mine = payloads.join(known.select("source", F.col("name").alias("company"), "ats", "identifier"), payloads.source_id == F.col("source"))
+    names, listing = list(VENDORS), F.col("kind") == "listing"
+    read = F.coalesce(*(F.when(F.col("ats") == n, VENDORS[n].rows(F.when(listing, F.col("body"))).isNotNull()) for n in names), F.when(F.col("ats") == "workday", F.from_json("body", _FOUND)["jobPostings"].isNotNull()), F.lit(True))
+    status = F.coalesce(F.col("status") == 200, F.lit(False))
+    reason = F.when(~status, F.concat(F.lit("status "), text_of(F.col("status")))).when(listing & ~read, "no readable postings")
+    what = ("source_id", "kind", "request_key", "page", "url", "reason", "ord")
+    bad = mine.where(F.col("ats").isin([*names, "workday"])).withColumn("reason", reason).where("reason is not null").select(*what)
+    shared = known.where(F.col("source") != F.col("name")).select(F.col("name").alias("source_id")).distinct()
+    whose = payloads.join(shared, "source_id", "left_semi").withColumn("reason", F.lit("several companies have this name")).select(*what)
+    no = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    other = known.where(F.col("ats").isNotNull() & ~F.col("ats").isin([*names, "workday", "custom", "unresolved", ""]))
+    other = other.select(F.col("source").alias("source_id"), F.lit("source").alias("kind"), no("string", "request_key"), no("int", "page"), no("string", "url"), F.concat(F.lit("no reader for vendor "), "ats").alias("reason"), no("bigint", "ord"))
+    return bad.unionByName(whose).unionByName(other)
