@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import dedup, report
@@ -157,3 +158,37 @@ def test_young_folders_are_merged(spark, tmp_path):
     entry = table.versions.entry()
     assert table.read().count() == table.read().distinct().count() == 51 and len(entry["rows"]) <= 2 and sum(entry["counts"]) == 51
     assert table.unseen(marks(spark, [f"{i:064x}" for i in range(60)])).count() == 9
+
+
+def packed_plainly(sizes, limit, gap):
+    out, chunk, used = [], -1, 0
+    for size in sizes:
+        new = chunk < 0 or used + size + gap > limit
+        chunk, used = chunk + new, size + gap if new else used + size + gap
+        out.append(chunk)
+    return out
+
+
+@pytest.mark.parametrize(("limit", "gap", "most"), [(100, 2, 30), (100, 2, 160), (10, 1, 3), (50, 0, 60)])
+def test_packing_over_ranges(spark, limit, gap, most):
+    import random
+
+    r = random.Random(limit + most)
+    sizes = [r.randrange(0 if gap else 1, most) for _ in range(900)]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").repartition(7)
+    plain = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 13)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = sorted(map(tuple, report.packed(rows, "size", ["id"], limit, gap).select("id", "i", "chunk").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", plain[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", plain[1])
+    assert out == [(i, i, c) for i, c in enumerate(packed_plainly(sizes, limit, gap))]
+    assert report.packed(rows.limit(0), "size", ["id"], limit, gap).count() == 0
+
+
+def test_numbers_and_chunks_have_no_window_and_no_single_task(spark):
+    rows = spark.range(50).select((F.col("id") % 2 == 0).alias("german"), F.col("id").alias("ord"), F.lit(5).cast("long").alias("size"))
+    plans = [report.numbered(rows, "german", "ord")._jdf.queryExecution().executedPlan().toString(), report.packed(rows, "size", ["ord"])._jdf.queryExecution().executedPlan().toString()]
+    assert all("Window" not in p and "SinglePartition" not in p for p in plans)

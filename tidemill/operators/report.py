@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.rules import EMPTY_REPORT, MESSAGE_LIMIT
+from . import ranking
 
 GAP = "\n\n"
 
 
 def numbered(rows: DataFrame, section: str, order: str) -> DataFrame:
-    """n (from 1) and section_size of each row in its section. Meant for a report, not for a corpus."""
-    own = Window.partitionBy(section)
-    return rows.withColumn("n", F.row_number().over(own.orderBy(order))).withColumn("section_size", F.count(F.lit(1)).over(own))
+    """n (from 1) and section_size of each row in its section, by ranks over sorted ranges: no section meets in a task."""
+    return ranking.numbered(rows, [F.col(order)], [section], "n", "section_size")
 
 
 def entry_text() -> Column:
@@ -43,27 +44,73 @@ def blocks(report: DataFrame, day: Column) -> DataFrame:
     return top.unionByName(heads).unionByName(entries)
 
 
+def _next(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks in a row: their lengths up to each one's end, and where the chunk after one that begins there begins."""
+    ends = np.cumsum(sizes)
+    return ends, np.maximum(np.searchsorted(ends, ends - sizes + limit, "right"), np.arange(len(sizes)) + 1)
+
+
+def _passage(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a range of blocks does to a chunk that is open before it.
+
+    Of each block that may be the first to open a chunk: the lengths up to its end, the chunks that are opened
+    from there on, and the length in the last of them (limit + 1 where nothing fits any more). Pointers to next
+    chunks are doubled until all lead out of the range.
+    """
+    ends, to = _next(sizes, limit)
+    n = len(sizes)
+    to, opened = np.append(to, n), np.append(np.ones(n, np.int64), 0)
+    last = np.append(np.arange(n), n)  # the last chunk's first block
+    while (to[:n] < n).any():
+        opened, last = opened + opened[to], np.where(to < n, last[to], last)
+        to = to[to]
+    first = int(np.searchsorted(ends, limit, "right")) + 1
+    left = np.minimum(ends[-1] - (ends - sizes)[last[:n]], limit + 1)
+    return ends[:first], opened[:n][:first], left[:first]
+
+
 def packed(rows: DataFrame, length: str, order: list[str], limit: int = MESSAGE_LIMIT, gap: int = len(GAP)) -> DataFrame:
     """rows with i (from 0) and the chunk of each: one opens a chunk if it would pass the limit and the open one isn't empty.
 
-    Where a chunk starts depends on all before it, so one task streams over the sorted rows; it holds none
-    of them.
+    Rows are sorted over ranges. Where a range's first chunk opens depends on the ranges before it, so each
+    range first tells what it makes of any chunk that it finds open (at most limit / gap cases); the driver
+    walks through these, a step per range, and then the ranges number their chunks, all at once. Only lengths
+    are gathered, and only those of one range in a task.
     """
-    schema = StructType([*rows.schema.fields, StructField("i", LongType()), StructField("chunk", IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, used, i = -1, 0, 0
-        for batch in batches:
-            out = []
-            for size in batch.column(length).to_pylist():
-                new = chunk < 0 or used + size + gap > limit
-                chunk, used = chunk + new, size + gap if new else used + size + gap
-                out.append(chunk)
-            places = pa.array(range(i, i + len(out)), pa.int64())
-            i += len(out)
-            yield pa.RecordBatch.from_arrays([*batch.columns, places, pa.array(out, pa.int32())], names=[*batch.schema.names, "i", "chunk"])
-
-    return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, schema)
+    held = ranking.in_ranges(rows, [F.col(c) for c in order], "blocks")
+    lengths = held.select("__part", "__at", (F.col(length) + gap).cast("long").alias("__size"))
+
+    def sizes_of(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        table = table.sort_by("__at")
+        return table, table.column("__size").to_numpy()
+
+    def passage(table: pa.Table) -> pa.Table:
+        table, sizes = sizes_of(table)
+        found = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in _passage(sizes, limit)]
+        return pa.table([table.column("__part").combine_chunks().slice(0, 1), pa.array([len(sizes)]), pa.array([int(sizes.sum())]), *found], names=["part", "n", "total", "ends", "opened", "left"])
+
+    steps = lengths.groupBy("__part").applyInArrow(passage, "part long, n long, total long, ends array<long>, opened array<long>, left array<long>")
+    used, chunk, i, begins = limit + 1, -1, 0, []
+    for step in sorted(steps.collect(), key=lambda s: s["part"]):  # a row per range
+        begins.append((step["part"], used, chunk, i))
+        at = bisect_right(step["ends"], limit - used)
+        used, chunk = (used + step["total"], chunk) if at == len(step["ends"]) else (step["left"][at], chunk + step["opened"][at])
+        i += step["n"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(begins, "__p long, __used long, __chunk long, __first long"))
+
+    def number(table: pa.Table) -> pa.Table:
+        table, sizes = sizes_of(table)
+        ends, to = _next(sizes, limit)
+        opens, at = np.zeros(len(sizes), np.int64), int(np.searchsorted(ends, limit - table.column("__used")[0].as_py(), "right"))
+        while at < len(sizes):
+            opens[at] = 1
+            at = int(to[at])
+        chunks_ = np.cumsum(opens) + table.column("__chunk")[0].as_py()
+        return pa.table([table.column("__part"), table.column("__at"), pa.array(chunks_.astype(np.int32))], names=["p", "a", "chunk"])
+
+    placed = lengths.join(starts, F.col("__part") == F.col("__p")).groupBy("__part").applyInArrow(number, "p long, a long, chunk int")
+    both = held.join(starts.select("__p", "__first"), F.col("__part") == F.col("__p")).join(placed, (F.col("__part") == F.col("p")) & (F.col("__at") == F.col("a")))
+    return both.select(*rows.columns, (F.col("__first") + F.col("__at")).alias("i"), "chunk")
 
 
 def chunks(parts: DataFrame, limit: int = MESSAGE_LIMIT) -> DataFrame:

@@ -276,12 +276,103 @@ def q_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.shiftright("ord", 62) == 1).alias("of_company")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("n_ord"), F.count_if(F.col("description") != "").alias("n_described"))
 
 
+def _variant(jobs: DataFrame, name: str, case: Case, source: Column, nth: int, page: Column, body: Column | None = None) -> DataFrame:
+    """One more listing page a group, of postings of its own (their ids above those of the parts), or with a body of its own."""
+    more = jobs.withColumn("id", F.col("id") + 10_000_000 * nth)
+    listing = _payloads(more, name, case, source).where("kind = 'listing'")
+    group = F.col("ord")
+    return listing.withColumn("request_key", group.cast("string")).withColumn("page", page).withColumn("body", F.col("body") if body is None else F.coalesce(body, F.col("body"))).withColumn("ord", group * 8 + nth)
+
+
+def q_scan_workday_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: by company, a second page that is empty, full, beyond the total or missing; what counts of the third and fourth."""
+    jobs, case, source = _jobs(spark, sf_dir), VENDORS["workday"], F.concat(F.lit("Company"), "g")
+    g, none = F.col("ord"), '{"total": 100, "jobPostings": []}'
+    total = lambda n: F.replace(F.col("body"), F.lit('"total": 20'), F.lit(f'"total": {n}'))
+    first = _payloads(jobs, "workday", case, source)
+    first = first.withColumn("request_key", F.when(F.col("kind") == "listing", g.cast("string")).otherwise("")).withColumn("body", F.when((F.col("kind") == "listing") & (g % 4 != 2), total(100)).otherwise(F.col("body"))).withColumn("ord", F.when(F.col("kind") == "listing", g * 8).otherwise(g))
+    second = _variant(jobs, "workday", case, source, 1, F.lit(2), F.when(g % 4 == 0, F.lit(none)).otherwise(total(100))).where("cast(request_key as long) % 4 <> 3")
+    third = _variant(jobs, "workday", case, source, 2, F.lit(3), total(60))
+    fourth = _variant(jobs, "workday", case, source, 3, F.lit(4), total(100))
+    payloads = first.unionByName(second).unionByName(third).unionByName(fourth)
+    return vendors.scan_workday(payloads, _companies(jobs, F.lit("workday")), TERMS).select("source_id", "url", "company")
+
+
+def q_scan_ferchau_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1, L2: an offer-less page that does not end a search, one without data that does, a repeated page, and the cap of four."""
+    jobs, case, source = _jobs(spark, sf_dir), BOARDS["ferchau"], F.lit("ferchau")
+    g = F.col("ord")
+    many = F.replace(F.col("body"), F.lit('"total": 60'), F.lit('"total": 500'))
+    empty = F.lit('App.Data = {"ControllerResponse": {"Data": {"Offers": [], "OffersCount": {"total": 500}}}}')
+    payloads = _variant(jobs, "ferchau", case, source, 0, F.lit(1), many).unionByName(_variant(jobs, "ferchau", case, source, 1, F.lit(2), F.when(g % 3 == 0, empty).when(g % 3 == 1, F.lit("<html>sorry</html>")).otherwise(many)))
+    payloads = payloads.unionByName(_variant(jobs, "ferchau", case, source, 2, F.lit(3), many)).unionByName(_variant(jobs, "ferchau", case, source, 3, F.lit(3), many))
+    payloads = payloads.unionByName(_variant(jobs, "ferchau", case, source, 4, F.lit(4), many)).unionByName(_variant(jobs, "ferchau", case, source, 5, F.lit(5), many))
+    return boards.scan_board(payloads, "ferchau", TERMS).select("url", "company")
+
+
+_BROKEN = ["", "{broken", "[]", "<rss><channel>", "<html>", '{"ergebnisliste": 3}']
+
+
+def _with_broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Payloads of the boards that built-in functions read, and of one that Python does, a good one and a broken one a group; their names."""
+    jobs, names = _jobs(spark, sf_dir), ["bundesagentur", "ferchau", "germantechjobs", "arbeitnow"]
+    broken = F.get(F.array(*map(F.lit, _BROKEN)), (F.col("ord") % len(_BROKEN)).cast("int"))
+    out = None
+    for name in names:
+        good = _payloads(jobs, name, BOARDS[name], F.lit(name)).where("kind = 'listing'").withColumn("page", F.lit(1)).withColumn("request_key", F.concat(F.lit("good "), "ord"))
+        bad = good.withColumn("status", F.when(F.col("ord") % 5 == 4, 503).otherwise(200)).withColumn("body", broken).withColumn("request_key", F.concat(F.lit("bad "), "ord")).withColumn("ord", F.col("ord") + 1_000_000)
+        both = good.unionByName(bad)
+        out = both if out is None else out.unionByName(both)
+    return out, spark.createDataFrame([(n, n) for n in names] + [("todo", "no such board")], "id string, adapter string")
+
+
+def q_scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of good bodies, failures of broken ones and of sources that can't be asked, and the counts of the same pass."""
+    payloads, sources = _with_broken(spark, sf_dir)
+    active = sources.select("id").unionByName(spark.createDataFrame([("missing",)], "id string"))
+    found = boards.scan_reported(payloads, sources, active, TERMS)
+    sides = found.failures.groupBy("source_id", F.regexp_replace("reason", "^[A-Za-z]+Error: .*", "error").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    rows = found.postings.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).select("source_id", F.lit("read").alias("reason"), "n")
+    counts = F.array(*(F.struct(F.lit(k).alias("reason"), F.lit(found.counts[k]).cast("long").alias("n")) for k in ("n_listings", "n_failed_listings")))
+    passed = spark.range(1).select(F.explode(counts).alias("c")).select(F.lit("all").alias("source_id"), "c.*")
+    return sides.unionByName(rows).unionByName(passed)
+
+
+def q_scan_companies_of_one_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies of one name are apart by key, and a payload that gives the name alone is no one's."""
+    jobs = _jobs(spark, sf_dir)
+    companies = _companies(jobs, F.lit("lever")).withColumn("name", F.concat(F.lit("Twin"), F.floor(F.col("ord") / 2)))
+    keyed = _payloads(jobs, "lever", VENDORS["lever"], F.concat(F.lit("#"), "g"))
+    named = _payloads(jobs.withColumn("id", F.col("id") + 10_000_000), "lever", VENDORS["lever"], F.concat(F.lit("Twin"), F.floor(F.col("g") / 2)))
+    payloads = keyed.unionByName(named)
+    lost = vendors.failures(payloads, companies).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    read = vendors.scan_companies(payloads, companies, TERMS).groupBy(F.col("source_id").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return read.unionByName(lost)
+
+
 _BOARD_ROWS = " UNION ALL ".join(f"({_sql(n, c)})" for n, c in BOARDS.items())
 _COMPANY_ROWS = " UNION ALL ".join(f"({_sql(n, c, f'g % {len(VENDORS)} = {i}')})" for i, (n, c) in enumerate(VENDORS.items()))
 QUERIES = {f"q_scan_{n}": _board_query(n) for n in BOARDS} | {f"q_scan_{n}": _vendor_query(n) for n in VENDORS}
-QUERIES |= {f.__name__: f for f in (q_scan_boards, q_scan_companies, q_scan_all)}
+QUERIES |= {f.__name__: f for f in (q_scan_boards, q_scan_companies, q_scan_all, q_scan_workday_pages, q_scan_ferchau_pages, q_scan_failures, q_scan_companies_of_one_name)}
 ORACLE_SQL = {f"q_scan_{n}": f"WITH {_JOBS} {_sql(n, c)}" for n, c in (BOARDS | VENDORS).items()} | {
     "q_scan_boards": f"WITH {_JOBS}, r AS ({_BOARD_ROWS}) SELECT source_id, count(*) AS n, (list_position(list_sort([{', '.join(repr(n) for n in [*BOARDS, 'other'])}]), source_id) - 1)::BIGINT AS rank FROM r GROUP BY source_id",
     "q_scan_companies": f"WITH {_JOBS} {_COMPANY_ROWS}",
     "q_scan_all": f"WITH {_JOBS}, r AS (SELECT *, false AS of_company FROM ({_BOARD_ROWS}) UNION ALL SELECT *, true FROM ({_COMPANY_ROWS})) SELECT of_company, count(*) AS n, count(*) AS n_ord, count(*) FILTER (description <> '') AS n_described FROM r GROUP BY of_company",
+    "q_scan_workday_pages": f"""WITH {_JOBS}, v AS (SELECT *, unnest([0, 1, 2, 3]) AS p FROM j)
+SELECT 'workday:t' || g || '/s' AS source_id, 'https://t' || g || '.wd3.myworkdayjobs.com/s/job/' || (id + 10000000 * p) AS url, {_OWN} AS company FROM v
+WHERE g % 3 <> 0 AND {_ABROAD} AND NOT (p = 0 AND hit AND has_detail AND far = 'Norway')
+  AND (p = 0 OR (p < 3 AND g % 4 = 1))""",
+    "q_scan_ferchau_pages": f"""WITH {_JOBS}, v AS (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS p FROM j)
+SELECT 'https://touch.ferchau.com/s' || (id + 10000000 * p) AS url, company FROM v
+WHERE upper(de) = 'DE' AND (p = 0 OR (p = 1 AND g % 3 = 2) OR (p IN (2, 3, 4) AND g % 3 <> 1))""",
+    "q_scan_failures": f"""WITH {_JOBS}, g AS (SELECT DISTINCT g FROM j), s AS (SELECT unnest(['bundesagentur', 'ferchau', 'germantechjobs', 'arbeitnow']) AS source_id),
+f AS (SELECT source_id, CASE WHEN g % 5 = 4 THEN 'status 503' WHEN source_id = 'germantechjobs' THEN 'no readable XML' WHEN source_id = 'ferchau' THEN 'no readable JSON'
+  WHEN source_id = 'bundesagentur' AND g % 6 NOT IN (2, 5) THEN 'no readable JSON' WHEN source_id = 'arbeitnow' AND g % 6 NOT IN (2, 5) THEN 'error' END AS reason FROM g, s)
+SELECT source_id, reason, count(*) AS n FROM f WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'missing', 'source not found', 1 UNION ALL SELECT 'todo', 'no board for adapter no such board', 1
+UNION ALL SELECT source_id, 'read', count(*) FROM j, s WHERE source_id NOT IN ('bundesagentur', 'ferchau') OR (source_id = 'bundesagentur' AND land = 'DEUTSCHLAND') OR (source_id = 'ferchau' AND upper(de) = 'DE') GROUP BY ALL
+UNION ALL SELECT 'all', 'n_listings', (SELECT 2 * count(*) FROM g, s) UNION ALL SELECT 'all', 'n_failed_listings', (SELECT count(reason) FROM f)""",
+    "q_scan_companies_of_one_name": f"""WITH {_JOBS}, c AS (SELECT g, count(*) OVER (PARTITION BY g // 2) > 1 AS twin FROM (SELECT DISTINCT g FROM j)), w AS (SELECT j.*, twin FROM j JOIN c USING (g))
+SELECT 'lever:c' || g AS reason, count(*) AS n FROM w WHERE (CASE WHEN de <> '' THEN upper(de) = 'DE' ELSE {_ABROAD} END) GROUP BY g
+UNION ALL SELECT 'several companies have this name', count(*) FROM c WHERE twin HAVING count(*) > 0""",
 }

@@ -316,7 +316,7 @@ def failures(payloads: DataFrame, companies: DataFrame) -> DataFrame:
     source_id, kind, request_key, page, url, reason, ord. It is worked out when it is read, in a pass of its own.
     """
     known = named(companies)
-    mine = payloads.join(known.select("source", F.col("name").alias("company"), "ats", "identifier"), payloads.source_id == F.col("source"))
+    mine = payloads.join(known.select("source", F.col("name").alias("company"), "ats", "identifier"), payloads.source_id == F.col("source")).withColumn("page_url", F.col("url"))
     names, listing = list(VENDORS), F.col("kind") == "listing"
     read = F.coalesce(*(F.when(F.col("ats") == n, VENDORS[n].rows(F.when(listing, F.col("body"))).isNotNull()) for n in names), F.when(F.col("ats") == "workday", F.from_json("body", _FOUND)["jobPostings"].isNotNull()), F.lit(True))
     status = F.coalesce(F.col("status") == 200, F.lit(False))
