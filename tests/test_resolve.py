@@ -108,3 +108,29 @@ def test_write_back_and_report(spark, tmp_path):
         "- Unresolved (attempted, no careers page found): 1 (33.3%)\n- New (never attempted): 0 (0.0%)\n\n## Resolved by vendor\n\n- lever: 1\n\n## Unresolved companies (attempted, found nothing)\n\n- C — https://c.test\n\n"
         "## Custom (candidate for a future generic scraper)\n\n- B — https://b.test/jobs\n\n## New (never attempted)\n\n(none)\n")
     assert table.resolve(pages, answers, "needs").count() == 2 and table.version() == 3
+
+
+def test_literals_of_patterns():
+    from tidemill.functions import rules
+
+    cases = {r"a|bcd": "", r"x?abc+d": "abc", r"(abc)": "", r"ab{2}cd": "cd", r"\bfoo\d+bars": "bars", r"[a\]]xy[^]z]": "xy", r"A\.b": "a.b", r"(?:x|y)?q": "q", r"[x]*": ""}
+    assert {p: resolve.literal_of(p) for p in cases} == cases
+    patterns = [p for _, ps in rules.SIGNATURES for p in ps] + [p for _, p in rules.DATA_ATTRIBUTES]
+    assert all(len(resolve.literal_of(p)) > 9 or "io" in resolve.literal_of(p) for p in patterns)
+
+
+def test_prefiltered_signatures_find_what_plain_ones_find(spark):
+    import random
+    import re
+
+    from tidemill.functions import rules
+
+    r = random.Random(2)
+    parts = ["https://boards.greenhouse.io/embed/job_board/js?a=1&for=acme ", "JOBS.LEVER.CO/Acme", "x.jobs.personio.de", " acme.career.softgarden.io ", "job-boards.eu.greenhouse.io/acme", "t.wd5.myworkdayjobs.com/site", "join.com/companies/", "acme", "İ.recruitee.com", "-", ".teamtailor.com", "D-Vinci.de", "\n", "apply.workable.com/a_1"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 6))) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", resolve.first_match(F.col("t"), rules.SIGNATURES, F.lit("")).alias("m")).collect()
+    for x in got:
+        want = next(((a, re.search("(?i)" + p, texts[x["i"]], re.ASCII)) for a, ps in rules.SIGNATURES for p in ps if re.search("(?i)" + p, texts[x["i"]], re.ASCII)), None)
+        assert (x["m"] and x["m"]["ats"]) == (want and want[0])
+        if want and want[1].re.groups == 1:
+            assert x["m"]["identifier"] == want[1][1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -11,17 +13,60 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import UNICODE, names_match, strip, text_of
 
+
 def page_text(url: Column, body: Column) -> Column:
     """What signatures are looked for in: escaped slashes of embedded JSON count as slashes."""
     return F.replace(F.replace(F.concat(text_of(url), F.lit("\n"), text_of(body)), F.lit("\\u002F"), F.lit("/")), F.lit("\\/"), F.lit("/"))
 
 
+def literal_of(pattern: str) -> str:
+    """The longest text that every match of a pattern has in it, in lower case; "" if none is sure.
+
+    Groups, classes and what may be left out count as unknown, and so does a pattern of alternatives.
+    """
+    pieces, piece, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        step, plain = 1, c
+        if c == "\\":
+            step, plain = 2, pattern[i + 1] if not pattern[i + 1].isalnum() else ""
+        elif c == "[":  # to its end, past a first or escaped bracket
+            step, plain = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[i:]).end(), ""
+        elif c == "{":
+            step, plain = pattern.index("}", i) + 1 - i, ""
+        elif c in "()":
+            depth, plain = depth + (1 if c == "(" else -1), ""
+        elif c in ".^$|?*+{}":
+            if c == "|" and not depth:
+                return ""
+            plain = ""
+        i += step
+        if depth or not plain or pattern[i : i + 1] in ("?", "*", "{"):
+            pieces, piece = [*pieces, piece], ""
+        else:
+            piece += plain
+            if pattern[i : i + 1] == "+":
+                pieces, piece = [*pieces, piece], ""
+    return max([*pieces, piece], key=len).lower()
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_match(haystack: Column, table: list[tuple[str, list[str]]], name: Column) -> Column:
     """struct(ats, identifier, identifier_workday) by the first vendor, and of it the first pattern, that matches; else null.
 
-    Of several identifiers the first that fits the name counts, or else the first.
+    Of several identifiers the first that fits the name counts, or else the first. A pattern is tried only on a
+    text that has its literal: that is a search for bytes, while most patterns begin with a group and would be
+    tried at every word.
     """
-    branches = []
+    return _let(F.struct(haystack.alias("text"), F.lower(haystack).alias("small"), name.alias("name")), lambda x: _first_match(x, table))
+
+
+def _first_match(x: Column, table: list[tuple[str, list[str]]]) -> Column:
+    branches, text = [], x["text"]
     for ats, patterns in table:
         for pattern in patterns:
             regex = "(?i)" + pattern
@@ -29,14 +74,17 @@ def first_match(haystack: Column, table: list[tuple[str, list[str]]], name: Colu
             none = F.lit(None).cast("string")
             workday = F.lit(None).cast("struct<tenant:string,wd_host:string,site:string>")
             if groups == 3:
-                workday = F.struct(*(F.regexp_extract(haystack, regex, i).alias(k) for i, k in enumerate(("tenant", "wd_host", "site"), 1)))
+                workday = F.struct(*(F.regexp_extract(text, regex, i).alias(k) for i, k in enumerate(("tenant", "wd_host", "site"), 1)))
                 found = none
             elif groups:
-                each = F.array_distinct(F.regexp_extract_all(haystack, F.lit(regex), 1))
-                found = F.coalesce(F.get(F.filter(each, lambda c: names_match(c, name)), F.lit(0)), F.get(each, F.lit(0)))
+                each = F.array_distinct(F.regexp_extract_all(text, F.lit(regex), 1))
+                found = _let(each, lambda e: F.coalesce(F.get(F.filter(e, lambda c: names_match(c, x["name"])), F.lit(0)), F.get(e, F.lit(0))))
             else:
                 found = none
-            branches.append(F.when(haystack.rlike(regex), F.struct(F.lit(ats).alias("ats"), found.alias("identifier"), workday.alias("identifier_workday"))))
+            there = text.rlike(regex)
+            if literal := literal_of(pattern):
+                there = F.contains(x["small"], F.lit(literal)) & there
+            branches.append(F.when(there, F.struct(F.lit(ats).alias("ats"), found.alias("identifier"), workday.alias("identifier_workday"))))
     return F.coalesce(*branches)
 
 
@@ -44,7 +92,7 @@ def scan_page(url: Column, body: Column, name: Column) -> Column:
     """struct(ats, identifier, identifier_workday, match_method) of a page: by signature, else by a data attribute; else null."""
     by_url = first_match(page_text(url, body), rules.SIGNATURES, name)
     by_attribute = first_match(text_of(body), [(a, [p]) for a, p in rules.DATA_ATTRIBUTES], F.lit(""))
-    full = lambda m, how: F.when(m.isNotNull(), F.struct(m["ats"].alias("ats"), m["identifier"].alias("identifier"), m["identifier_workday"].alias("identifier_workday"), F.lit(how).alias("match_method")))
+    full = lambda match, how: _let(match, lambda m: F.when(m.isNotNull(), F.struct(m["ats"].alias("ats"), m["identifier"].alias("identifier"), m["identifier_workday"].alias("identifier_workday"), F.lit(how).alias("match_method"))))
     return F.coalesce(full(by_url, "page_scan"), full(by_attribute, "data_attr"))
 
 
