@@ -192,3 +192,57 @@ def test_numbers_and_chunks_have_no_window_and_no_single_task(spark):
     rows = spark.range(50).select((F.col("id") % 2 == 0).alias("german"), F.col("id").alias("ord"), F.lit(5).cast("long").alias("size"))
     plans = [report.numbered(rows, "german", "ord")._jdf.queryExecution().executedPlan().toString(), report.packed(rows, "size", ["ord"])._jdf.queryExecution().executedPlan().toString()]
     assert all("Window" not in p and "SinglePartition" not in p for p in plans)
+
+
+def test_a_run_that_broke_off_sends_nothing_twice(spark, postings, tmp_path):
+    from tidemill.operators.outbox import Outbox
+
+    seen, box, out = SeenTable(spark, str(tmp_path / "seen")), Outbox(spark, str(tmp_path / "box")), []
+    rows = postings(*({"location": "Munich", "title": "QA Engineer " + "x" * 2000} for _ in range(5)))
+
+    class Broken(SeenTable):
+        def mark(self, rows, at=None):
+            raise RuntimeError("no disk")
+
+    with pytest.raises(RuntimeError, match="no disk"):
+        run(rows, Broken(spark, str(tmp_path / "seen")), out.append, outbox=box, name="monday")
+    first = len(out)
+    assert first > 2 and seen.read().count() == 0 and box.state("monday")["sent"] == first and not box.state("monday")["done"]
+    assert len(run(rows, seen, out.append, outbox=box, name="monday")) == 5 and len(out) == first and seen.read().count() == 5
+    assert run(rows, seen, out.append, outbox=box, name="monday") == [] and len(out) == first  # it is done
+    run(rows, seen, out.append, outbox=box, name="tuesday")
+    assert out[first:] == ["No new QA jobs today."]
+
+
+def test_a_run_that_dies_while_sending_goes_on(spark, postings, tmp_path):
+    from tidemill.operators.outbox import Outbox
+
+    seen, box, out = SeenTable(spark, str(tmp_path / "seen")), Outbox(spark, str(tmp_path / "box")), []
+    rows = postings(*({"location": "Munich", "title": "QA Engineer " + "x" * 2000} for _ in range(5)))
+
+    def send(text):
+        if len(out) == 2:
+            raise KeyboardInterrupt
+        out.append(text)
+
+    with pytest.raises(KeyboardInterrupt):
+        run(rows, seen, send, outbox=box, name="monday")
+    assert len(out) == 2 and box.state("monday")["sent"] == 2
+    assert len(run(rows, seen, out.append, outbox=box, name="monday")) == 5 and len(set(out)) == len(out) > 2
+    some = []
+
+    def full(text):
+        if some:
+            raise OSError
+        some.append(text)
+
+    more = postings(*({"location": "Munich", "title": "QA Engineer " + "y" * 2000, "url": f"https://more.test/{i}"} for i in range(4)))
+    sent = run(more, seen, full, outbox=box, name="tuesday")
+    assert len(some) == 1 and 0 < len(sent) < 4 and seen.read().count() == 5 + len(sent) and box.state("tuesday")["done"]
+
+
+def test_texts_stay_where_they_are_until_rows_are_chosen(spark, postings):
+    rows = postings({"location": "Munich"}, {"location": "Munich", "url": "https://example.test/0", "title": "QA Engineer"})
+    plan = build_report(rows, spark.createDataFrame([], SEEN_SCHEMA))
+    assert [(r["title"], r["ord"]["ord"]) for r in plan.collect()] == [("QA Engineer", 0)]
+    assert all("description" not in line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in line)

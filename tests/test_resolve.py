@@ -134,3 +134,67 @@ def test_prefiltered_signatures_find_what_plain_ones_find(spark):
         assert (x["m"] and x["m"]["ats"]) == (want and want[0])
         if want and want[1].re.groups == 1:
             assert x["m"]["identifier"] == want[1][1]
+
+
+def companies_of(spark, *rows):
+    return spark.createDataFrame([(name, url, ats, None, None, None, None, None, i) for i, (name, url, ats) in enumerate(rows)], COMPANY)
+
+
+def test_companies_of_one_name_are_resolved_apart(spark, tmp_path):
+    from tidemill.plans.scan import CompaniesTable
+
+    table = CompaniesTable(spark, str(tmp_path / "companies"))
+    table.write(companies_of(spark, ("Acme", "https://a.test", None), ("Acme", "https://b.test", None), ("Acme", "https://c.test", "custom")))
+    pages = spark.createDataFrame([(u, u, b) for u, b in (("https://a.test", "jobs.lever.co/a"), ("https://b.test", "jobs.ashbyhq.com/b"))], "request_url string, url string, body string")
+    answers = spark.createDataFrame([], "slug string, ats string, body string")
+    assert table.resolve(pages, answers).count() == 2
+    assert [(r["ord"], r["ats"], r["identifier"]) for r in table.read().orderBy("ord").collect()] == [(0, "lever", "a"), (1, "ashby", "b"), (2, "custom", None)]
+    assert table.resolve(pages, answers, "all").count() == 3 and table.version() == 3  # the third is unresolved now
+    assert table.resolve(pages, answers, "all").count() == 3 and table.version() == 3  # nothing changed
+    assert [len(table.versions.entry(n)["deltas"]) for n in (1, 2, 3)] == [0, 1, 2]
+    assert spark.read.parquet(*table.versions.entry()["deltas"]).count() == 3
+    with pytest.raises(ValueError, match="key"):
+        table.write(companies_of(spark, ("A", "u", None)).unionAll(companies_of(spark, ("B", "u", None))))
+
+
+def test_deltas_are_written_whole_after_a_while(spark, tmp_path):
+    from tidemill.plans.scan import CompaniesTable
+
+    table = CompaniesTable(spark, str(tmp_path / "companies"))
+    table.MOST_DELTAS = 1
+    table.write(companies_of(spark, ("A", "https://a.test", None)))
+    answers = spark.createDataFrame([], "slug string, ats string, body string")
+    for body in ("jobs.lever.co/a", "jobs.lever.co/b", "jobs.lever.co/c"):
+        table.resolve(spark.createDataFrame([("https://a.test", "https://a.test", body)], "request_url string, url string, body string"), answers, "all")
+    assert table.read().first()["identifier"] == "c" and len(table.versions.entry()["deltas"]) == 1 and table.version() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemill.plans import scan
+
+    table = scan.CompaniesTable(spark, str(tmp_path / "companies"))
+    table.write(companies_of(spark, ("A", "https://a.test", None), ("B", "https://b.test", "lever")))
+    spark.createDataFrame([("https://a.test", "https://a.test", "jobs.lever.co/a")], "request_url string, url string, body string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([], "slug string, ats string, body string").write.parquet(str(tmp_path / "answers"))
+    where = [str(tmp_path / n) for n in ("companies", "pages", "answers", "report")]
+    scan.main(where)
+    assert "2 companies resolved" in capsys.readouterr().out  # B has no identifier
+    lines = [r["value"] for r in spark.read.text(where[3]).collect()]
+    assert lines[0] == "# ATS resolution report" and "- lever: 1" in lines and "- B — https://b.test" in lines
+    scan.main([*where, "--force"])
+    assert "2 companies resolved" in capsys.readouterr().out and table.version() == 2
+
+
+def test_a_day_resolves_before_it_scans(spark, tmp_path):
+    from tidemill.operators.dedup import SeenTable
+    from tidemill.plans.scan import CompaniesTable, run_daily
+    from tidemill.sources.schema import PAYLOAD
+
+    table, out = CompaniesTable(spark, str(tmp_path / "companies")), []
+    table.write(companies_of(spark, ("Acme", "https://a.test", None)))
+    pages = spark.createDataFrame([("https://a.test", "https://a.test", "jobs.lever.co/a")], "request_url string, url string, body string")
+    body = '[{"text": "SDET", "hostedUrl": "u", "categories": {"location": "Munich"}, "country": "DE"}]'
+    payloads = spark.createDataFrame([("Acme", "k", 1, "listing", "x", 200, body, 0)], PAYLOAD)
+    none = spark.createDataFrame([], "id string, adapter string")
+    sent = run_daily(payloads, none, none.select("id"), table, pages, spark.createDataFrame([], "slug string, ats string, body string"), SeenTable(spark, str(tmp_path / "seen")), out.append)
+    assert len(sent) == 1 and "SDET — Acme (Munich)" in out[0]

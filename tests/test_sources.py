@@ -159,3 +159,59 @@ def test_requests_and_sitemaps(spark, payloads):
     xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">%s</urlset>' % "".join(f"<url><loc>https://jobs.instaffo.com/en/job/{s}</loc></url>" for s in ("sdet-0123456789ab", "baker-0123456789ab"))
     found = boards.scan_board(payloads({"kind": "sitemap", "body": xml}, page("sdet-0123456789ab"), page("baker-0123456789ab"), page("sdet-of-another-map")), "instaffo")
     assert [r[2].rsplit("/", 1)[1] for r in scanned(found)] == ["sdet-0123456789ab"]
+
+
+def test_feeds_of_odd_shapes(payloads):
+    jobs = lambda *x: json.dumps({"ergebnisliste": list(x)})
+    good = {"referenznummer": "r", "stellenangebotsTitel": "SDET", "firma": 7, "stellenlokationen": [{"adresse": {"land": "DEUTSCHLAND", "ort": "Ulm"}}, 3, None]}
+    rows = payloads({"body": jobs(5, None, good, {"referenznummer": "x", "stellenlokationen": "DEUTSCHLAND"}, {"referenznummer": 9, "stellenlokationen": [{"adresse": {"land": "DEUTSCHLAND", "ort": None}}]})}, {"body": '{"ergebnisliste": 3}'}, {"body": None}, {"body": "[]"})
+    base = "https://www.arbeitsagentur.de/jobsuche/jobdetail/"
+    assert scanned(boards.scan_board(rows, "bundesagentur")) == [("SDET", "7", base + "r", "Ulm", ""), ("", "", base + "9", "", "")]
+    feed = "<rss><channel><title>t</title><item><title> SDET@A &amp; B </title><link>l1</link></item><item><title>no company</title><link> l2 </link><description><![CDATA[ <p>d</p> ]]></description></item><item/></channel></rss>"
+    assert scanned(boards.scan_board(payloads({"body": feed}, {"body": "<rss><channel>"}), "germantechjobs")) == [("SDET", "A & B", "l1", "Germany", ""), ("no company", "Unknown", "l2", "Germany", " <p>d</p> ")]
+    page = "<script defer id=\"__NEXT_DATA__\">" + json.dumps({"props": {"initialState": {"jobSearchJobs": {"jobs": [{"title": "SDET", "url": "/a", "locations": 4}, 8]}}}}) + "</script>"
+    detail = {"kind": "detail", "url": "https://www.get-in-it.de/a", "body": NEXT % json.dumps({"props": {"initialState": {"jobJob": {"job": {"content": "<p>full</p>"}}}}})}
+    assert scanned(boards.scan_board(payloads({"body": page}, {"body": NEXT % "{"}, detail), "get_in_it")) == [("SDET", "", "https://www.get-in-it.de/a", "", "<p>full</p>")]
+    jobs_page = [{"kind": "detail", "url": base + "r", "body": LD % '{"@type": "Organization"}' + LD % "{" + LD % '{"@type": "JobPosting", "description": "full"}'}]
+    assert scanned(boards.scan_board(payloads({"body": jobs(good)}, *jobs_page), "bundesagentur"))[0][4] == "full"
+
+
+def test_what_could_not_be_read(spark, payloads):
+    sources = spark.createDataFrame([("a", "bundesagentur"), ("b", "stepstone"), ("c", "arbeitnow_api"), ("z", "nothing_todo")], "id string, adapter string")
+    active = spark.createDataFrame([("a",), ("b",), ("c",), ("missing",), ("z",), ("a",)], "id string")
+    rows = payloads(
+        {"source_id": "a", "body": BOARD_CASES["bundesagentur"][0]}, {"source_id": "a", "body": "<html>", "page": 2}, {"source_id": "a", "status": 503, "page": 3}, {"source_id": "b", "body": BOARD_CASES["stepstone"][0]}, {"source_id": "b", "kind": "detail", "status": 404, "url": "u"},
+        {"source_id": "c", "body": "{"}, {"source_id": "b", "kind": "detail", "url": "https://www.stepstone.de/j1", "body": '<div data-at="job-ad-content">full</div>'}, {"source_id": "gone", "body": "x"},
+    )
+    found = boards.scan_reported(rows, sources, active)
+    assert [r["source_id"] for r in found.postings.orderBy("ord").collect()] == ["a", "b"]
+    got = sorted((r["source_id"], r["kind"], r["page"], r["reason"].split(":")[0]) for r in found.failures.collect() if r["page"]) + sorted((r["source_id"], r["kind"], r["reason"]) for r in found.failures.collect() if not r["page"])
+    assert got == [("a", "listing", 2, "no readable JSON"), ("a", "listing", 3, "status 503"), ("b", "detail", 1, "status 404"), ("c", "listing", 1, "JSONDecodeError"), ("missing", "source", "source not found"), ("z", "source", "no board for adapter nothing_todo")]
+    assert found.counts == {"n_listings": 5, "n_failed_listings": 3, "n_rows": 2, "n_details": 2, "n_failed_details": 1}
+    none = boards.scan_reported(rows.limit(0), sources.limit(0), active.limit(0))
+    assert none.postings.count() == 0 and none.failures.count() == 0 and none.counts["n_listings"] == 0
+
+
+def test_no_window_over_pages(payloads):
+    card = '<a href="/job/%s"><h2>SDET</h2></a>'
+    found = boards.scan_board(payloads(*({"page": p, "body": card % p} for p in (1, 2, 4))), "devjobs")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString() and len(scanned(found)) == 2
+
+
+def test_companies_of_one_name(spark, payloads):
+    twins = spark.createDataFrame([("Acme", "https://a.test", "lever", "one", None, None, None, None, 0), ("Acme", "https://b.test", "lever", "two", None, None, None, None, 1), ("Other", "https://c.test", "no vendor", "x", None, None, None, None, 2), ("Solo", "https://d.test", "lever", "solo", None, None, None, None, 3)], COMPANY)
+    body = VENDOR_CASES["lever"][0]
+    rows = payloads({"source_id": "#0", "body": body}, {"source_id": "Acme", "body": body}, {"source_id": "Solo", "body": "{broken"}, {"source_id": "Solo", "status": 500, "kind": "detail"}, {"source_id": "Other", "body": "x"})
+    assert [(r["source_id"], r["company"]) for r in vendors.scan_companies(rows, twins).collect()] == [("lever:one", "Acme")]
+    assert sorted((r["source_id"], r["reason"]) for r in vendors.failures(rows, twins).collect()) == [("Acme", "several companies have this name"), ("Other", "no reader for vendor no vendor"), ("Solo", "no readable postings"), ("Solo", "status 500")]
+
+
+def test_workday_pages(payloads, company):
+    facets = {"source_id": "Acme", "kind": "facets", "body": json.dumps({"facets": [{"values": [{"facetParameter": "loc", "values": [{"descriptor": "Berlin", "id": "1"}]}]}]})}
+    page = lambda key, n, total, *ids: {"source_id": "Acme", "request_key": key, "page": n, "body": json.dumps({"total": total, "jobPostings": [{"title": "Baker", "externalPath": f"/{i}", "locationsText": "Berlin"} for i in ids]})}
+    rows = payloads(
+        facets, facets | {"status": 500, "body": "{"}, page("empty", 1, 99, "a1"), page("empty", 2, 99), page("empty", 3, 99, "a3"), page("total", 1, 30, "b1"), page("total", 2, 30, "b2"), page("total", 3, 30, "b3"),
+        page("gap", 1, 99, "c1"), page("gap", 3, 99, "c3"), *(page("cap", n, 999, f"d{n}") for n in range(1, 8)), page("none", 1, None, "e1"), page("none", 2, None, "e2"),
+    )
+    found = {r[2].rsplit("/", 1)[1] for r in scanned(vendors.scan_workday(rows, company("workday", ("t", "wd3", "s"))))}
+    assert found == {"a1", "b1", "b2", "c1", "d1", "d2", "d3", "d4", "d5", "e1"}

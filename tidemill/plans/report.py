@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import report as messages
-from ..operators.dedup import SeenTable, job_id, last_value_first_position, unseen
+from ..operators.dedup import SeenTable, job_id, unseen
+from ..operators.outbox import Outbox
 from ..operators.predicates import german_required, in_scope_city, in_scope_remote, title_matches
-from ..operators.staging import staged
+from ..operators.staging import scratch, staged
 
 
 def _counts(stage: str) -> dict[str, Column]:
@@ -27,7 +28,7 @@ def build_report(postings: DataFrame, seen: DataFrame | SeenTable, terms: list[s
 
     postings: source_id, title, company, url, location, description, ord. Rows of both scopes come as
     (0, ord) for the city, then (1, ord) for remote; of equal urls the last row counts, at the place of
-    the first. The scopes are worked out once per row. seen: reported job_ids, or the table of them, of which
+    the first. The scopes are worked out once per row. ord is a posting's own, so it finds the row again. seen: reported job_ids, or the table of them, of which
     only the partitions of matched rows are read then. metrics: gets an observation for each stage, which
     the next action over the report fills in passing.
     """
@@ -39,24 +40,41 @@ def build_report(postings: DataFrame, seen: DataFrame | SeenTable, terms: list[s
         return rows.observe(metrics[stage], *(c.alias(k) for k, c in _counts(stage).items()))
 
     flagged = postings.withColumn("__scopes", F.array(in_scope_city(F.col("location"), F.col("description")), in_scope_remote(F.col("location"), F.col("description"))))
-    placed = counted(flagged, "scanned").select("*", F.posexplode("__scopes").alias("__scope", "__in")).where("__in")
-    placed = placed.withColumn("pos", F.struct(F.col("__scope").alias("scope"), F.col("ord").alias("ord"))).drop("__scopes", "__scope", "__in", "ord")
-    merged = last_value_first_position(placed, ["url"], "pos")
-    matched = counted(merged.where(title_matches(F.col("title"), terms)).withColumn("job_id", job_id(F.col("source_id"), F.col("url"))), "matched")
+    narrow = counted(flagged, "scanned").select("url", "source_id", "ord", title_matches(F.col("title"), terms).alias("hit"), F.posexplode("__scopes").alias("scope", "in")).where("in")
+    placed = narrow.withColumn("pos", F.struct("scope", "ord"))
+    # Which row counts is settled without the texts; only the rows that are left are fetched with theirs.
+    last = placed.groupBy("url").agg(F.max_by(F.struct("source_id", "hit", "ord"), "pos").alias("last"), F.min("pos").alias("pos")).where("last.hit")
+    matched = counted(last.select("url", F.col("last.source_id").alias("source_id"), F.col("last.ord").alias("row"), "pos", job_id(F.col("last.source_id"), F.col("url")).alias("job_id")), "matched")
     # The table is asked for the matched rows only, so those are worked out first.
     left = seen.unseen(staged(matched, "matched")) if isinstance(seen, SeenTable) else unseen(matched, seen)
-    new = left.withColumn("german", german_required(F.col("description"))).withColumnRenamed("pos", "ord")
-    return counted(new, "new")
-
-
-def run(postings: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False) -> list[str]:
-    """Sends the report and marks what was sent; a dry run only hands the messages to send and leaves the table alone."""
-    rows = build_report(postings, seen, terms).cache()
-    try:
-        parts = messages.chunks(messages.blocks(rows, F.current_date() if day is None else day))
-        sent = messages.deliver(parts, send)
-        if not dry_run and sent:
-            seen.mark(rows.where(F.col("job_id").isin(sent)))
-        return sent
-    finally:
-        rows.unpersist()
+    winners = staged(left.select(F.col("url").alias("__url"), F.col("source_id").alias("__source"), "row", "pos", "job_id"), "winners")
+    same = (F.col("ord") == F.col("row")) & F.col("url").eqNullSafe(F.col("__url")) & F.col("source_id").eqNullSafe(F.col("__source"))
+    fetched = postings.join(winners, same).select(*(c for c in postings.columns if c != "ord"), F.col("pos").alias("ord"), "job_id")
+    return counted(fetched.withColumn("german", german_required(F.col("description"))), "new")
+
+
+def run(postings: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False, outbox: Outbox | None = None, name: str | None = None) -> list[str]:
+    """Sends the report and marks what was sent, of which the job_ids are returned; a dry run only hands the messages to send and leaves the table alone.
+
+    outbox, name: where the run is kept, and its name. A run of a name that broke off sends what is left of it
+    and marks all it has sent; one that is done does nothing. Without an outbox, a scratch folder keeps it.
+    """
+    box = Outbox(postings.sparkSession, scratch(postings.sparkSession, "outbox")) if outbox is None or dry_run else outbox
+    name = "run" if name is None else name
+    state = box.state(name)
+    if state.get("done"):
+        return []
+    if not state:
+        rows = build_report(postings, seen, terms).persist()
+        try:
+            parts = messages.chunks(messages.blocks(rows, F.current_date() if day is None else day))
+            box.put(name, parts.select("chunk", "text", "job_ids", "oversize"), rows.select("job_id", "title", "company"))
+        finally:
+            rows.unpersist()
+    if not box.deliver(name, send):
+        box.close(name)
+        return []
+    if not dry_run:
+        seen.mark(box.rows(name).join(box.sent_ids(name), "job_id", "left_semi"))
+    box.close(name)
+    return [r["job_id"] for r in box.sent_ids(name).collect()]  # of one report

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import report as messages
 from ..operators import resolve
 from ..operators.dedup import SeenTable
+from ..operators.outbox import Outbox
 from ..operators.staging import staged
 from ..operators.versions import Versions
 from ..sources import boards, vendors
@@ -106,9 +107,15 @@ def scan(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies:
     return boards.scan_boards(payloads, sources, active, terms).unionByName(vendors.scan_companies(payloads, companies, terms))
 
 
-def run(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False) -> list[str]:
+def run(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False, outbox: Outbox | None = None, name: str | None = None) -> list[str]:
     """Scans, reports what is new, and marks what was sent; the job_ids of that."""
-    return report.run(scan(payloads, sources, active, companies, terms), seen, send, day, terms, dry_run)
+    return report.run(scan(payloads, sources, active, companies, terms), seen, send, day, terms, dry_run, outbox, name)
+
+
+def run_daily(payloads: DataFrame, sources: DataFrame, active: DataFrame, table: CompaniesTable, pages: DataFrame, answers: DataFrame, seen: SeenTable, send: Callable[[str], None], day: Column | None = None, terms: list[str] | None = None, dry_run: bool = False, outbox: Outbox | None = None, name: str | None = None) -> list[str]:
+    """A whole day's run: new companies are resolved first, so their vendors' payloads count already, then run()."""
+    table.resolve(pages, answers, "new")
+    return run(payloads, sources, active, table.read(), seen, send, day, terms, dry_run, outbox, name)
 
 
 def main(argv: list[str] | None = None) -> None:
