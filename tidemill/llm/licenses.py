@@ -239,11 +239,22 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _texts(values) -> Column:
+    """An array of texts, handed to Spark as one, which folds it into a literal before the query runs."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
+def _numbers(values, kind: str) -> Column:
+    """An array of numbers, likewise."""
+    return _texts(map(repr, values)).cast(f"array<{kind}>")
+
+
 def classify(paragraph: Column) -> Column:
     """struct(family, probability, share) of a paragraph: family by the classifier, share of its best template's 3-grams, or 1 if it holds a short name."""
     weights, bias, temperature = train()
-    table = F.create_map(*(x for g, w in sorted(weights.items()) for x in (F.lit(g), F.array(*map(F.lit, w)))))
-    zeros = F.array(*[F.lit(0.0)] * len(FAMILIES))
+    # Each table is one literal: n-grams, their weights end to end, biases, and the numbers of the classes.
+    vocabulary = _texts(sorted(weights))
+    table, biases, classes = _numbers((w for g in sorted(weights) for w in weights[g]), "double"), _numbers(bias, "double"), _numbers(range(len(FAMILIES)), "int")
     # Words that no n-gram, template or name holds become one mark for each run of them: what is left is short.
     clean = F.regexp_replace(F.regexp_replace(F.lower(paragraph), _WORD, " "), r"(?<![^ ])\.+|\.+(?![^ ])", "")
     known = F.regexp_replace(F.regexp_replace(clean, f"(?<![^ ])(?!{one_of(known_words())}(?![^ ]))[^ ]+", "~"), "~(?: +~)+", "~")
@@ -256,16 +267,16 @@ def classify(paragraph: Column) -> Column:
         of_size = lambda n: F.transform(upto(n), lambda i: join(t, i, n))
         each = F.array_distinct(F.concat(*map(of_size, (1, 2, 3))))
         threes = F.array_distinct(F.transform(upto(3), lambda i: join(t, i, 3)))
-        # An intersection hashes, a map is searched from end to end.
-        each = F.array_intersect(each, F.array(*map(F.lit, sorted(weights))))
-        total = F.aggregate(F.transform(each, lambda g: F.coalesce(F.try_element_at(table, g), zeros)), zeros, lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
-        scores = F.zip_with(total, F.array(*map(F.lit, bias)), lambda s, b: (s / F.sqrt(v["n"].cast("double")) + b) / temperature)
+        # An intersection hashes; only the few n-grams that are left are looked up from end to end.
+        rows = F.transform(F.array_intersect(each, vocabulary), lambda g: ((F.array_position(vocabulary, g) - 1) * len(FAMILIES)).cast("int"))
+        total = lambda at, k: F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get(table, i + k))
+        scores = let(rows, lambda at: F.transform(classes, lambda k: (total(at, k) / F.sqrt(v["n"].cast("double")) + F.get(biases, k)) / temperature))
         return let(F.struct(scores.alias("scores"), threes.alias("threes"), F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")).alias("line")), decide)
 
     def decide(v: Column) -> Column:
         top = F.array_max(v["scores"])
         total = F.aggregate(v["scores"], F.lit(0.0), lambda a, s: a + F.exp(s - top))
-        family = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(v["scores"], top).cast("int"))
+        family = F.element_at(_texts(FAMILIES), F.array_position(v["scores"], top).cast("int"))
         shares = [
             F.when((family == name) & v["line"].rlike(named(name)), F.lit(1.0)).when(family == name, F.greatest(*(_share(v["threes"], t) for t in (*TEMPLATES[name], TEMPLATES[name][0]))))
             for name in TEMPLATES
@@ -310,7 +321,7 @@ def named(family: str) -> str:
 def _share(threes: Column, template: str) -> Column:
     """The share of a template's 3-grams that a paragraph holds."""
     own = sorted(set(grams(template.split(), (3,))))
-    return F.size(F.array_intersect(threes, F.array(*map(F.lit, own)))).cast("double") / len(own)
+    return F.size(F.array_intersect(threes, _texts(own))).cast("double") / len(own)
 
 
 def paragraphs(text: Column) -> Column:
