@@ -73,7 +73,8 @@ def gains(spark, all_: DataFrame, target: DataFrame) -> np.ndarray:
 
 def weight_of(buckets: Column, gain: np.ndarray) -> Column:
     """The floored mean of the gains of a document's buckets; 0 of none."""
-    held = F.lit(gain)
+    # One literal of all gains: handed over as a text, which Spark folds into an array before the query runs.
+    held = F.split(F.lit(",".join(map(str, gain.tolist()))), ",").cast("array<bigint>")
     total = F.aggregate(buckets, F.lit(0).cast("long"), lambda a, b: a + F.element_at(held, b + 1))
     return _floored(total, F.size(buckets).cast("long"))
 
