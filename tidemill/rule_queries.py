@@ -6,13 +6,16 @@ its key, and the SQL either works the rule out again or lists what each case com
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rules
 from .functions.text import collapse, join_filled, squeeze_name, strip, text_of
-from .operators import dedup, predicates, report, resolve
+from .operators import containment, dedup, predicates, report, resolve
 from .operators.dedup import SeenTable
+from .operators.outbox import Outbox
 from .operators.predicates import CountryPolicy
 from .operators.staging import scratch
 from .plans.report import build_report
@@ -458,6 +461,46 @@ def q_connector_dedup(spark, sf_dir):
     return dedup.last_value_first_position(docs, ["source_id", "url"], "ord")
 
 
+_FIRMS = "SELECT 'Firm ' || c_custkey AS l FROM customer UNION ALL SELECT p_name FROM part"
+_BOARDS = "SELECT 'firm ' || s_suppkey || '!' AS r FROM supplier UNION ALL SELECT DISTINCT split_part(p_name, ' ', 1) FROM part UNION ALL SELECT n_name || ' firm ' || n_nationkey FROM nation UNION ALL SELECT ' - ' UNION ALL SELECT 'm'"
+
+
+@query(f"""WITH l AS (SELECT l, regexp_replace(lower(l), '[^a-z0-9]', '', 'g') AS a FROM ({_FIRMS})), r AS (SELECT r, regexp_replace(lower(r), '[^a-z0-9]', '', 'g') AS b FROM ({_BOARDS}))
+SELECT l, r, count(*) AS n FROM l, r WHERE a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) GROUP BY l, r""")
+def q_names_held(spark, sf_dir):
+    """Firms and boards whose names hold one another, by a gram index."""
+    part, one = table(spark, sf_dir, "part"), lambda text: spark.range(1).select(F.lit(text).alias("r"))
+    firms = table(spark, sf_dir, "customer").select(F.concat(F.lit("Firm "), "c_custkey").alias("l")).unionAll(part.select("p_name"))
+    names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("firm "), "s_suppkey", F.lit("!")).alias("r")).unionAll(part.select(F.split_part("p_name", F.lit(" "), F.lit(1))).distinct())
+    names = names.unionAll(table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(" firm "), "n_nationkey"))).unionAll(one(" - ")).unionAll(one("m"))
+    return containment.containing(firms, names, "l", "r").groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT 1 AS n_first, (SELECT max(chunk) + 1 FROM r)::INTEGER AS n_sent, (SELECT count(k) FROM r) AS n_ids, 0::BIGINT AS n_twice, 0 AS n_again")
+def q_outbox(spark, sf_dir):
+    """K7, K2: a run that dies after one message goes on with the second; a run that is done sends nothing."""
+    box, out, rows = Outbox(spark, scratch(spark, "box")), [], _entries(spark, sf_dir)
+
+    def dies(text: str) -> None:
+        if out:
+            raise KeyboardInterrupt
+        out.append(text)
+
+    def put(day: str) -> None:
+        box.put("day", report.chunks(report.blocks(rows, F.lit(day).cast("date"))), rows.select("job_id", "title", "company"))
+
+    put("2024-03-02")
+    with suppress(KeyboardInterrupt):
+        box.deliver("day", dies)
+    first = len(out)
+    put("2024-03-03")  # what was put first stays
+    sent = box.deliver("day", out.append)
+    box.close("day")
+    again = box.deliver("day", out.append) - sent
+    ids = box.sent_ids("day").agg(F.count(F.lit(1)).alias("n_ids"))
+    return ids.select(F.lit(first).alias("n_first"), F.lit(sent).alias("n_sent"), "n_ids", F.lit(len(out) - len(set(out))).cast("long").alias("n_twice"), F.lit(again).alias("n_again"))
+
+
 # ---- requests and configuration
 
 
