@@ -13,7 +13,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' policy keeps."""
+    """Documents that the rules' policy keeps.
+
+    Null and empty texts have no words and go; null doc_ids are judged by their texts; rows alike stay or go together.
+    """
     return quality_rules.filter_documents(docs)
 
 
@@ -29,12 +32,19 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Documents without words have no share and go; null sources are a source of their own; rows that share a
+    doc_id (or have none) are taken each by itself. Copies are equal in all columns.
+    """
     return mixing.repeat_documents(docs)
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of at most 2048 tokens."""
+    """The pieces of all documents, in sequences of at most 2048 tokens.
+
+    A null or empty text is the end id alone; rows that share a doc_id (copies of the mix) have pieces each.
+    """
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

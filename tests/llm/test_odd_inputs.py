@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import fingerprints, infill, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, resampling, secrets, substring_dedup, token_files
+from tidemill.llm import classifier, fingerprints, infill, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, resampling, secrets, substring_dedup, token_files
 from tidemill.llm.queries import tokenizer_path
 
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, __id string, __own string, carry string, __key int, __maybe boolean, place int, bits string, gone int, __times int"
 OPERATORS = {
-    "op1": fingerprints.compare_edits, "op3": lambda d: packing.pack_documents(d, tokenizer_path("word_bpe_49k.json")), "op4": mixing.mix_documents, "op5": lambda d: quality_rules.judged(quality_rules.ledger(d)),
+    "op1": fingerprints.compare_edits, "op2": lambda d: classifier.score_documents(d, d.sparkSession.createDataFrame([(2, 1), (5, 0), (6, 1)], "doc_id long, quality int")), "op3": lambda d: packing.pack_documents(d, tokenizer_path("word_bpe_49k.json")), "op4": mixing.mix_documents, "op5": lambda d: quality_rules.judged(quality_rules.ledger(d)),
     "op6": jaccard_join.link_documents, "op7": licenses.find_licenses, "op8": secrets.find_secrets, "op9": lambda d: token_files.token_files(d, tokenizer_path("byte_bpe_50k.json")), "op10": substring_dedup.dedup_substrings,
     "op11": lambda d: resampling.resample(d, d), "op12": infill.fill_in_middle, "op13": line_dedup.dedup_lines,
 }
