@@ -107,7 +107,7 @@ def test_every_document_against_plain_python(spark):
             words = [w if r.random() > 0.08 else r.choice(["river", "stone"]) for w in t.split()]
             made += [t, "\n".join(textwrap.wrap(" ".join(words), r.randrange(30, 80))), prose(r, 40) + "\n# " + " ".join(words).capitalize() + ".\n" + prose(r, 30)]
     names = [f"{prose(r, 5)} {n} {prose(r, 5)}\n\n" for ns in licenses.NAMES.values() for n in ns]
-    texts = [*docs, *made, *names, None, "", "License: MIT", "SPDX-License-Identifier: GPL-3.0-or-later", "licensed\n" * 60]
+    texts = [*docs, *made, *names, None, "", "License: MIT", "SPDX-License-Identifier: GPL-3.0-or-later", "licensed\n" * 60, "License: MIT " + "zebra . lion  " * 60_000]
     rows = licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for x in rows:
         n, families, best = plainly(texts[x["doc_id"]])

@@ -257,7 +257,7 @@ def classify(paragraph: Column) -> Column:
     table, biases, classes = _numbers((w for g in sorted(weights) for w in weights[g]), "double"), _numbers(bias, "double"), _numbers(range(len(FAMILIES)), "int")
     # Words that no n-gram, template or name holds become one mark for each run of them: what is left is short.
     clean = F.regexp_replace(F.regexp_replace(F.lower(paragraph), _WORD, " "), r"(?<![^ ])\.+|\.+(?![^ ])", "")
-    known = F.regexp_replace(F.regexp_replace(clean, f"(?<![^ ])(?!{one_of(known_words())}(?![^ ]))[^ ]+", "~"), "~(?: +~)+", "~")
+    known = F.regexp_replace(F.regexp_replace(clean, f"(?<![^ ])(?!{one_of(known_words())}(?![^ ]))[^ ]+", "~"), "~(?: ++~)++", "~")  # possessive: a plain loop over a long text would overflow the stack
     given = F.struct(F.filter(F.split(known, " +"), lambda w: w != "").alias("tokens"), F.greatest(F.regexp_count(clean, F.lit("[^ ]+")), F.lit(1)).alias("n"))
     join = lambda t, i, n: F.array_join(F.slice(t, i, n), " ")
 
