@@ -241,6 +241,30 @@ def test_a_run_that_dies_while_sending_goes_on(spark, postings, tmp_path):
     assert len(some) == 1 and 0 < len(sent) < 4 and seen.read().count() == 5 + len(sent) and box.state("tuesday")["done"]
 
 
+def test_acknowledging_costs_the_same_whatever_was_sent_before(spark, tmp_path, monkeypatch):
+    from tidemill.operators import versions
+    from tidemill.operators.outbox import Outbox
+
+    box, out, asked = Outbox(spark, str(tmp_path / "box")), [], []
+    rows = spark.range(40).select(F.lit("T").alias("title"), F.lit("C").alias("company"), F.col("id").cast("string").alias("job_id"))
+    number = versions.Versions.number
+    monkeypatch.setattr(versions.Versions, "number", lambda self: asked.append(1) or number(self))
+    messages = spark.range(40).select(F.col("id").cast("int").alias("chunk"), F.concat(F.lit("m"), "id").alias("text"), F.array(F.col("id").cast("string")).alias("job_ids"), F.lit(False).alias("oversize"))
+    box.put("monday", messages, rows)
+
+    def send(text):
+        if len(out) == 30:
+            raise OSError
+        out.append(text)
+
+    assert box.deliver("monday", send) == 30 == box.state("monday")["sent"] and box.sent_ids("monday").count() == 30
+    assert box.deliver("monday", out.append) == 40 and out == [f"m{i}" for i in range(40)]
+    box.close("monday")
+    box.close("monday")
+    assert box.state("monday")["sent"] == 40 and box.state("monday")["done"] and not (tmp_path / "box" / "monday" / "sent").exists()
+    assert len(asked) < 20  # the log isn't asked for each message
+
+
 def test_texts_stay_where_they_are_until_rows_are_chosen(spark, postings):
     rows = postings({"location": "Munich"}, {"location": "Munich", "url": "https://example.test/0", "title": "QA Engineer"})
     plan = build_report(rows, spark.createDataFrame([], SEEN_SCHEMA))

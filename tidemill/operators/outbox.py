@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import hadoop_path
 from .versions import Versions
 
 MESSAGE = "chunk int, text string, job_ids array<string>, oversize boolean"
 
 
 class Outbox:
-    """Runs by name, in versions each: its messages and rows are written first, then how many messages were sent.
+    """Runs by name, in versions each: its messages and rows are written first, then that they are done.
 
-    A message is acknowledged as soon as it is sent. Only a run that dies between these two sends one message
-    again; whatever happens after the acknowledgement, such as marking, sends none twice.
+    A message is acknowledged as soon as it is sent, by an empty file of its number: one step, whatever was sent
+    before. Closing a run writes the number of them into its entry and deletes the files. Only a run that dies
+    between sending and acknowledging sends one message again; whatever happens after the acknowledgement, such
+    as marking, sends none twice.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -25,9 +28,18 @@ class Outbox:
     def _of(self, run: str) -> Versions:
         return Versions(self.spark, f"{self.path}/{run}")
 
+    def _acknowledged(self, run: str):
+        """The folder of a run's acknowledgements, and its file system."""
+        return hadoop_path(self.spark, f"{self.path}/{run}/sent")
+
     def state(self, run: str) -> dict:
         """messages, rows (folders), sent and done; {} of a run not put yet."""
-        return self._of(run).entry()
+        entry = self._of(run).entry()
+        if entry and not entry["done"]:
+            folder, files = self._acknowledged(run)
+            names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+            entry["sent"] = max((int(n) + 1 for n in names if n.isdigit()), default=entry["sent"])
+        return entry
 
     def put(self, run: str, messages: DataFrame, rows: DataFrame) -> None:
         """Writes a run's messages and the rows that they are about; if another put them first, that one's count."""
@@ -38,10 +50,10 @@ class Outbox:
         of.change(lambda entry: None if entry else {"messages": folders[0], "rows": folders[1], "sent": 0, "done": False})
 
     def messages(self, run: str) -> DataFrame:
-        return self.spark.read.schema(MESSAGE).parquet(self.state(run)["messages"])
+        return self.spark.read.schema(MESSAGE).parquet(self._of(run).entry()["messages"])
 
     def rows(self, run: str) -> DataFrame:
-        return self.spark.read.parquet(self.state(run)["rows"])
+        return self.spark.read.parquet(self._of(run).entry()["rows"])
 
     def sent_ids(self, run: str) -> DataFrame:
         """job_id of what was sent."""
@@ -49,17 +61,21 @@ class Outbox:
 
     def deliver(self, run: str, send: Callable[[str], None], failures: tuple[type[Exception], ...] = (OSError,)) -> int:
         """Sends what is left of a run in order, up to the first failure; the number sent by now."""
-        of = self._of(run)
-        n = of.entry()["sent"]
+        state = self.state(run)
+        n, (folder, files) = state["sent"], self._acknowledged(run)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for row in self.messages(run).where(F.col("chunk") >= n).select("chunk", "text").orderBy("chunk").toLocalIterator():
             try:
                 send(row["text"])
             except failures:
                 break
+            files.create(path(folder, f"{row['chunk']:010d}"), True).close()
             n = row["chunk"] + 1
-            of.change(lambda entry, n=n: entry | {"sent": n})
         return n
 
     def close(self, run: str) -> None:
         """Nothing of the run is left to do; what was not sent is no later run's debt."""
-        self._of(run).change(lambda entry: None if entry["done"] else entry | {"done": True})
+        sent = self.state(run)["sent"]
+        self._of(run).change(lambda entry: None if entry["done"] else entry | {"sent": max(sent, entry["sent"]), "done": True})
+        folder, files = self._acknowledged(run)
+        files.delete(folder, True)
