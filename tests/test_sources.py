@@ -29,6 +29,28 @@ def test_html():
     assert page.first("b").above("div").get("id") == "x" and page.first("p i") is None
 
 
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    from tidemill.sources import html
+
+    dump = lambda n: (n.tag, n.attrs, [c if isinstance(c, str) else dump(c) for c in n.children])
+    plain = ["", "a &amp; b", '<p class="x">1<br>2<br/></p></q>', "<a x='1' y=\"2\" x=\"3\">t", '<script type="j">{"a&amp;b"}</script>&lt;', "<i><b></i>c</b>"]
+    other = ["<P>", "<p x=1>", '<p x="&amp;">', "a < b", "<!-- c -->", "<script>if (a<b)</script>", "<script>x", "<title><b></title>", "</p >", "<p\tx='1'>", "<a b>"]
+    assert all(dump(html._plain(t)) == dump(html._parsed(t)) for t in plain) and not any(html._plain(t) for t in other)
+
+
+def test_rows_leave_the_worker_in_slices(spark, payloads, monkeypatch):
+    monkeypatch.setattr(boards, "SLICE", 3)
+    card = '<article data-testid="job-item"><a data-testid="job-item-title" href="/%s">SDET</a></article>'
+    odd = {"source_id": "i", "url": "u", "body": LD % '{"@type": "JobPosting", "title": "SDET \\ud800"}'}
+    rows = payloads(*({"source_id": "s", "page": i, "body": "".join(card % f"{i}-{k}" for k in range(i % 4))} for i in range(20)), odd, {"source_id": "s", "status": 500, "body": card % "no"})
+    names = spark.createDataFrame([("s", "stepstone"), ("i", "instaffo")], "id string, adapter string")
+    found = boards.scan_boards(rows, names, names).orderBy("ord").collect()
+    assert [r["url"] for r in found] == ["u"] + [f"https://www.stepstone.de/{i}-{k}" for i in range(20) for k in range(i % 4)] and found[0]["title"] == "SDET ?"
+    assert boards._listed([[], None, [dict.fromkeys(boards._FIELDS, "x")]]).to_pylist() == [[], None, [dict.fromkeys(boards._FIELDS, "x")]]
+    plan = boards._listings(rows.withColumn("board", F.lit("stepstone")).withColumn("rank", F.lit(0)).join(boards._boards(spark), "board"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # a batch's rows aren't held until the last is read
+
+
 NEXT = '<script id="__NEXT_DATA__" type="application/json">%s</script>'
 LD = '<script type="application/ld+json">%s</script>'
 BOARD_CASES = {

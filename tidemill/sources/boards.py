@@ -16,8 +16,10 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.rules import TITLE_TERMS
 from ..functions.text import text_of
@@ -309,44 +311,84 @@ def _boards(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "board string, has_detail boolean, overwrite boolean, page_cap int, details_of string, own_url boolean"))
 
 
+#: Responses that are parsed before their rows leave the Python worker.
+SLICE = 128
+
+
+def _texts(values: list[str | None]) -> pa.Array:
+    """An array of texts; what UTF-8 has no bytes for (half a surrogate pair, out of JSON) becomes a question mark."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode(errors="replace").decode() for v in values], pa.string())
+
+
+def _listed(rows: list[list[dict] | None]) -> pa.Array:
+    """An array of each response's rows (null of one that has none to read)."""
+    flat, offsets = [r for some in rows for r in some or ()], [0]
+    for some in rows:
+        offsets.append(offsets[-1] + len(some or ()))
+    each = pa.StructArray.from_arrays([_texts([r[f] for r in flat]) for f in _FIELDS], _FIELDS)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each, mask=pa.array([some is None for some in rows]))
+
+
+def _with_read(pages: DataFrame, skip: list[str], read: Callable[[list[str], list[str | None]], list[pa.Array]], made: str) -> DataFrame:
+    """pages (with board and body) with what read() makes of names and bodies of boards that aren't skipped; those bodies go, the others stay.
+
+    A batch leaves the worker in slices, so its memory holds a batch of bodies and the rows of a slice, not the
+    rows of a batch.
+    """
+    schema = StructType(pages.schema.fields + pages.sparkSession.createDataFrame([], made).schema.fields)
+    names, left = schema.names, pages.columns.index("body")
+    at = pages.columns.index("board")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                columns = batch.slice(start, SLICE).columns
+                boards_, bodies = columns[at].to_pylist(), columns[left].to_pylist()
+                found = read(boards_, bodies)
+                columns[left] = pa.array([b if n in skip else None for n, b in zip(boards_, bodies, strict=True)], columns[left].type)
+                yield pa.RecordBatch.from_arrays([*columns, *found], names)
+
+    return pages.mapInArrow(run, schema)
+
+
 FAILURE = "source_id string, kind string, request_key string, page int, url string, reason string, ord long"
 
 
 def _listings(mine: DataFrame) -> DataFrame:
     """Every listing response with rows, ends (no page is asked for after it) and reason (null: it was read)."""
 
-    @F.pandas_udf(f"struct<rows:{_ROWS},reason:string>")
-    def read(names: pd.Series, bodies: pd.Series) -> pd.DataFrame:
-        found = [read_listing(n, b) for n, b in zip(names, bodies, strict=True)]
-        return pd.DataFrame({"rows": [f[0] for f in found], "reason": [f[1] for f in found]})
+    def read(names: list[str], bodies: list[str | None]) -> list[pa.Array]:
+        found = [(None, None) if n in feeds.FEEDS else read_listing(n, b) for n, b in zip(names, bodies, strict=True)]
+        return [_listed([f[0] for f in found]), _texts([f[1] for f in found])]
 
     ok = F.col("status") == 200
-    pages = feeds.documents(mine.where("kind = 'listing'").withColumn("body", F.when(ok, F.col("body"))))
-    html = read("board", F.when(~F.col("board").isin(list(feeds.FEEDS)), F.col("body")))
-    pages = pages.withColumn("html", html).withColumn("feed", feeds.listing_of(F.col("page")))
-    rows = F.coalesce("feed.rows", "html.rows")
-    reason = F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("status "), text_of(F.col("status")))).otherwise(F.coalesce("feed.reason", "html.reason"))
-    ends = F.coalesce(F.col("feed.ends"), F.size("html.rows") == 0)
     columns = ("source_id", "request_key", "page", "kind", "url", "ord", "board", "rank", "has_detail", "overwrite", "page_cap", "details_of", "own_url")
+    asked = mine.where("kind = 'listing'").select(*columns, "status", F.when(ok, F.col("body")).alias("body"))
+    pages = feeds.documents(_with_read(asked, list(feeds.FEEDS), read, f"html_rows {_ROWS}, html_reason string"))
+    pages = pages.withColumn("feed", feeds.listing_of(F.col("page")))
+    rows = F.coalesce("feed.rows", "html_rows")
+    reason = F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("status "), text_of(F.col("status")))).otherwise(F.coalesce("feed.reason", "html_reason"))
+    ends = F.coalesce(F.col("feed.ends"), F.size("html_rows") == 0)
     return pages.select(*columns, F.when(reason.isNull(), rows).otherwise(F.array().cast(_ROWS)).alias("rows"), ends.alias("ends"), reason.alias("reason"))
 
 
 def _details(mine: DataFrame) -> DataFrame:
     """Every detail response that was looked at, with description, country and reason; of those of one url the first that was answered."""
 
-    @F.pandas_udf("struct<description:string,country:string,reason:string>")
-    def read(names: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+    def read(names: list[str], bodies: list[str | None]) -> list[pa.Array]:
         found = [("", "", None) if n in feeds.DETAILS else _detail(n, b) for n, b in zip(names, bodies, strict=True)]
-        return pd.DataFrame(found, columns=["description", "country", "reason"])
+        return [_texts([f[i] for f in found]) for i in range(3)]
 
     columns = ("source_id", "url", "kind", "request_key", "page", "ord", "board", "status", "body")
     pages = mine.where("kind = 'detail' and has_detail").select(*columns)
     good = dedup.first_wins(pages.where("status = 200"), ["source_id", "url"], "ord").select(*columns)
-    built_in = F.col("board").isin(list(feeds.DETAILS))
-    good = good.withColumn("html", read("board", F.when(~built_in, F.col("body"))))
-    found = feeds.pick(F.col("board"), list(feeds.DETAILS), lambda n: feeds.DETAILS[n](F.col("body")), F.col("html.description"))
+    good = _with_read(good, list(feeds.DETAILS), read, "html_description string, html_country string, html_reason string")
+    found = feeds.pick(F.col("board"), list(feeds.DETAILS), lambda n: feeds.DETAILS[n](F.col("body")), F.col("html_description"))
     kept = columns[:-2]
-    good = good.select(*kept, found.alias("description"), F.col("html.country").alias("country"), F.col("html.reason").alias("reason"))
+    good = good.select(*kept, found.alias("description"), F.col("html_country").alias("country"), F.col("html_reason").alias("reason"))
     bad = pages.where("status is null or status <> 200").select(*kept, F.lit("").alias("description"), F.lit("").alias("country"), F.concat(F.lit("status "), text_of(F.col("status"))).alias("reason"))
     return good.unionByName(bad)
 
