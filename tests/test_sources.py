@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.sources import boards, vendors
+from tidemill.sources import boards, reading, vendors
 from tidemill.sources.html import parse
 from tidemill.sources.schema import COMPANY, PAYLOAD
 
@@ -39,14 +39,14 @@ def test_plain_markup_is_read_as_the_parser_reads_it():
 
 
 def test_rows_leave_the_worker_in_slices(spark, payloads, monkeypatch):
-    monkeypatch.setattr(boards, "SLICE", 3)
+    monkeypatch.setattr(reading, "SLICE", 3)
     card = '<article data-testid="job-item"><a data-testid="job-item-title" href="/%s">SDET</a></article>'
     odd = {"source_id": "i", "url": "u", "body": LD % '{"@type": "JobPosting", "title": "SDET \\ud800"}'}
     rows = payloads(*({"source_id": "s", "page": i, "body": "".join(card % f"{i}-{k}" for k in range(i % 4))} for i in range(20)), odd, {"source_id": "s", "status": 500, "body": card % "no"})
     names = spark.createDataFrame([("s", "stepstone"), ("i", "instaffo")], "id string, adapter string")
     found = boards.scan_boards(rows, names, names).orderBy("ord").collect()
     assert [r["url"] for r in found] == ["u"] + [f"https://www.stepstone.de/{i}-{k}" for i in range(20) for k in range(i % 4)] and found[0]["title"] == "SDET ?"
-    assert boards._listed([[], None, [dict.fromkeys(boards._FIELDS, "x")]]).to_pylist() == [[], None, [dict.fromkeys(boards._FIELDS, "x")]]
+    assert reading.listed([[], None, [dict.fromkeys(boards._FIELDS, "x")]], boards._FIELDS).to_pylist() == [[], None, [dict.fromkeys(boards._FIELDS, "x")]]
     plan = boards._listings(rows.withColumn("board", F.lit("stepstone")).withColumn("rank", F.lit(0)).join(boards._boards(spark), "board"))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # a batch's rows aren't held until the last is read
 
@@ -135,6 +135,13 @@ def company(spark):
     return lambda ats, workday=None: spark.createDataFrame([("Acme", "https://acme.test", ats, "acme", workday, None, None, None, 0)], COMPANY)
 
 
+def test_vendors_rows_leave_the_worker_in_slices(payloads, company):
+    for name in vendors.READ:
+        plan = vendors.scan_vendor(payloads({"source_id": "Acme", "body": VENDOR_CASES[name][0]}), company(name), name)._jdf.queryExecution()
+        optimized = plan.optimizedPlan().toString()
+        assert optimized.count("MapInArrow") == 1 and "_links(" not in optimized and "_cards(" not in optimized and "xml_positions(" not in optimized
+
+
 def test_every_vendor_reads_its_listing(spark, payloads, company):
     assert set(VENDOR_CASES) == set(vendors.VENDORS)
     rows = payloads(*({"source_id": source, "body": body} for name, (own, _) in VENDOR_CASES.items() for source, body in ((name, own), (name, "{broken"), ("Other", own))))

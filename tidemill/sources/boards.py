@@ -15,11 +15,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.rules import TITLE_TERMS
 from ..functions.text import text_of
@@ -28,6 +26,7 @@ from ..operators.predicates import title_matches, with_url
 from ..operators.staging import staged
 from . import feeds
 from .html import Node, parse
+from .reading import listed, texts, with_read
 from .schema import packed_ord
 
 Row = tuple[str, str, str, str, str]  # title, company, url, location, description
@@ -143,12 +142,33 @@ SLUG_ID = "-[0-9a-f]{12}$"
 
 
 def sitemap_urls(body: str | None) -> list[str]:
-    """A sitemap's English job pages, in order; none if it can't be read."""
+    """A sitemap's English job pages, in order; none if it can't be read. Elements go when they are closed, so no tree of it is held."""
+    reader, found = ElementTree.XMLPullParser(("start", "end")), []
+    open_: list[ElementTree.Element] = []
     try:
-        root = ElementTree.fromstring(body or "")
+        for start in range(0, len(body or ""), _PIECE):
+            reader.feed(body[start : start + _PIECE])
+            _take(reader, open_, found)
+        reader.close()
+        _take(reader, open_, found)
     except ElementTree.ParseError:
         return []
-    return [u.text for u in root.iter(SITEMAP) if u.text and u.text.startswith(SITEMAP_PAGES)]
+    return [u for u in found if u and u.startswith(SITEMAP_PAGES)]
+
+
+_PIECE = 1 << 16
+
+
+def _take(reader: ElementTree.XMLPullParser, open_: list[ElementTree.Element], found: list[str | None]) -> None:
+    for what, element in reader.read_events():
+        if what == "start":
+            open_.append(element)
+        else:
+            open_.pop()
+            if element.tag == SITEMAP:
+                found.append(element.text)
+            if open_:
+                open_[-1].remove(element)
 
 
 def plain_letters(text: Column) -> Column:
@@ -311,63 +331,20 @@ def _boards(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "board string, has_detail boolean, overwrite boolean, page_cap int, details_of string, own_url boolean"))
 
 
-#: Responses that are parsed before their rows leave the Python worker.
-SLICE = 128
-
-
-def _texts(values: list[str | None]) -> pa.Array:
-    """An array of texts; what UTF-8 has no bytes for (half a surrogate pair, out of JSON) becomes a question mark."""
-    try:
-        return pa.array(values, pa.string())
-    except UnicodeEncodeError:
-        return pa.array([v if v is None else v.encode(errors="replace").decode() for v in values], pa.string())
-
-
-def _listed(rows: list[list[dict] | None]) -> pa.Array:
-    """An array of each response's rows (null of one that has none to read)."""
-    flat, offsets = [r for some in rows for r in some or ()], [0]
-    for some in rows:
-        offsets.append(offsets[-1] + len(some or ()))
-    each = pa.StructArray.from_arrays([_texts([r[f] for r in flat]) for f in _FIELDS], _FIELDS)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each, mask=pa.array([some is None for some in rows]))
-
-
-def _with_read(pages: DataFrame, skip: list[str], read: Callable[[list[str], list[str | None]], list[pa.Array]], made: str) -> DataFrame:
-    """pages (with board and body) with what read() makes of names and bodies of boards that aren't skipped; those bodies go, the others stay.
-
-    A batch leaves the worker in slices, so its memory holds a batch of bodies and the rows of a slice, not the
-    rows of a batch.
-    """
-    schema = StructType(pages.schema.fields + pages.sparkSession.createDataFrame([], made).schema.fields)
-    names, left = schema.names, pages.columns.index("body")
-    at = pages.columns.index("board")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                columns = batch.slice(start, SLICE).columns
-                boards_, bodies = columns[at].to_pylist(), columns[left].to_pylist()
-                found = read(boards_, bodies)
-                columns[left] = pa.array([b if n in skip else None for n, b in zip(boards_, bodies, strict=True)], columns[left].type)
-                yield pa.RecordBatch.from_arrays([*columns, *found], names)
-
-    return pages.mapInArrow(run, schema)
-
-
 FAILURE = "source_id string, kind string, request_key string, page int, url string, reason string, ord long"
 
 
 def _listings(mine: DataFrame) -> DataFrame:
     """Every listing response with rows, ends (no page is asked for after it) and reason (null: it was read)."""
 
-    def read(names: list[str], bodies: list[str | None]) -> list[pa.Array]:
-        found = [(None, None) if n in feeds.FEEDS else read_listing(n, b) for n, b in zip(names, bodies, strict=True)]
-        return [_listed([f[0] for f in found]), _texts([f[1] for f in found])]
+    def read(batch: dict[str, list]) -> list[pa.Array]:
+        found = [(None, None) if n in feeds.FEEDS else read_listing(n, b) for n, b in zip(batch["board"], batch["body"], strict=True)]
+        return [listed([f[0] for f in found], _FIELDS), texts([f[1] for f in found])]
 
     ok = F.col("status") == 200
     columns = ("source_id", "request_key", "page", "kind", "url", "ord", "board", "rank", "has_detail", "overwrite", "page_cap", "details_of", "own_url")
     asked = mine.where("kind = 'listing'").select(*columns, "status", F.when(ok, F.col("body")).alias("body"))
-    pages = feeds.documents(_with_read(asked, list(feeds.FEEDS), read, f"html_rows {_ROWS}, html_reason string"))
+    pages = feeds.documents(with_read(asked, "board", list(feeds.FEEDS), ("board", "body"), read, f"html_rows {_ROWS}, html_reason string"))
     pages = pages.withColumn("feed", feeds.listing_of(F.col("page")))
     rows = F.coalesce("feed.rows", "html_rows")
     reason = F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("status "), text_of(F.col("status")))).otherwise(F.coalesce("feed.reason", "html_reason"))
@@ -378,14 +355,14 @@ def _listings(mine: DataFrame) -> DataFrame:
 def _details(mine: DataFrame) -> DataFrame:
     """Every detail response that was looked at, with description, country and reason; of those of one url the first that was answered."""
 
-    def read(names: list[str], bodies: list[str | None]) -> list[pa.Array]:
-        found = [("", "", None) if n in feeds.DETAILS else _detail(n, b) for n, b in zip(names, bodies, strict=True)]
-        return [_texts([f[i] for f in found]) for i in range(3)]
+    def read(batch: dict[str, list]) -> list[pa.Array]:
+        found = [("", "", None) if n in feeds.DETAILS else _detail(n, b) for n, b in zip(batch["board"], batch["body"], strict=True)]
+        return [texts([f[i] for f in found]) for i in range(3)]
 
     columns = ("source_id", "url", "kind", "request_key", "page", "ord", "board", "status", "body")
     pages = mine.where("kind = 'detail' and has_detail").select(*columns)
     good = dedup.first_wins(pages.where("status = 200"), ["source_id", "url"], "ord").select(*columns)
-    good = _with_read(good, list(feeds.DETAILS), read, "html_description string, html_country string, html_reason string")
+    good = with_read(good, "board", list(feeds.DETAILS), ("board", "body"), read, "html_description string, html_country string, html_reason string")
     found = feeds.pick(F.col("board"), list(feeds.DETAILS), lambda n: feeds.DETAILS[n](F.col("body")), F.col("html_description"))
     kept = columns[:-2]
     good = good.select(*kept, found.alias("description"), F.col("html_country").alias("country"), F.col("html_reason").alias("reason"))
@@ -450,11 +427,13 @@ def _scan(payloads: DataFrame, terms: list[str], names: list[str]) -> Scan:
 def _of_sitemaps(rows: DataFrame, payloads: DataFrame, terms: list[str]) -> DataFrame:
     """Where a source's sitemap was captured, only its pages whose slug holds a term."""
 
-    @F.pandas_udf("array<string>")
-    def read(bodies: pd.Series) -> pd.Series:
-        return bodies.map(sitemap_urls)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, body in zip(*batch.columns, strict=True):
+                urls = sitemap_urls(body.as_py()) or [None]  # a map without pages is a map still
+                yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(urls), pa.string()), texts(urls)], ["source_id", "url"])
 
-    maps = payloads.where("kind = 'sitemap' and status = 200").select("source_id", F.explode_outer(read("body")).alias("url"))
+    maps = payloads.where("kind = 'sitemap' and status = 200").select("source_id", "body").mapInArrow(read, "source_id string, url string")
     sources = maps.select(F.col("source_id").alias("__m")).distinct()
     wanted = maps.where(slug_matches(F.col("url"), terms)).select(F.col("source_id").alias("__s"), F.col("url").alias("__u")).distinct()
     both = rows.join(sources, F.col("source_id") == F.col("__m"), "left").join(wanted, (F.col("source_id") == F.col("__s")) & (F.col("url") == F.col("__u")), "left")

@@ -10,8 +10,10 @@ import html
 from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import urljoin
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from ..operators import dedup, lookups, paging
 from ..operators.predicates import CountryPolicy, maybe_in_germany, surely_in_germany, title_matches, with_url
 from ..operators.staging import staged
 from .html import parse
+from .reading import listed, with_read
 from .schema import packed_ord
 
 
@@ -86,17 +89,18 @@ def _bamboo_city(r: Column) -> Column:
     return strip(or_else(r["location"]["city"], r["atsLocation"]["city"]))
 
 
+def _links(body: str | None, base: str | None) -> list[dict]:
+    found: dict[str, str] = {}
+    for a in parse(body).select("a[href]"):
+        title = " ".join(a.text().split())
+        if "/job/" in a.get("href") and title:
+            found.setdefault(urljoin(base or "", a.get("href")), title)
+    return [{"title": t, "url": u} for u, t in found.items()]
+
+
 @late_udf("array<struct<title:string,url:string>>")
 def _softgarden_links(bodies: pd.Series, bases: pd.Series) -> pd.Series:
-    def links(body: str, base: str) -> list[dict]:
-        found: dict[str, str] = {}
-        for a in parse(body).select("a[href]"):
-            title = " ".join(a.text().split())
-            if "/job/" in a.get("href") and title:
-                found.setdefault(urljoin(base or "", a.get("href")), title)
-        return [{"title": t, "url": u} for u, t in found.items()]
-
-    return pd.Series([links(b, u) for b, u in zip(bodies, bases, strict=True)])
+    return pd.Series([_links(b, u) for b, u in zip(bodies, bases, strict=True)])
 
 
 @late_udf("string")
@@ -110,17 +114,18 @@ def page_words(bodies: pd.Series) -> pd.Series:
     return bodies.map(words)
 
 
+def _cards(body: str | None) -> list[dict]:
+    out = []
+    for card in parse(body).select('a[data-testid="job-card"][href]'):
+        title, info = card.first('[data-testid="job-title"]'), card.first('[data-testid="job-more-info"]')
+        if title and title.tight():
+            out.append({"title": title.tight(), "url": card.get("href"), "city": (info.tight() if info else "").split("|")[0].strip()})
+    return out
+
+
 @late_udf("array<struct<title:string,url:string,city:string>>")
 def _onlyfy_cards(bodies: pd.Series) -> pd.Series:
-    def cards(body: str) -> list[dict]:
-        out = []
-        for card in parse(body).select('a[data-testid="job-card"][href]'):
-            title, info = card.first('[data-testid="job-title"]'), card.first('[data-testid="job-more-info"]')
-            if title and title.tight():
-                out.append({"title": title.tight(), "url": card.get("href"), "city": (info.tight() if info else "").split("|")[0].strip()})
-        return out
-
-    return bodies.map(cards)
+    return bodies.map(_cards)
 
 
 def _onlyfy_url(r: Column) -> Column:
@@ -130,18 +135,17 @@ def _onlyfy_url(r: Column) -> Column:
 _POSITION = "id string, name string, office string, additionalOffices struct<office:array<string>>, jobDescriptions struct<jobDescription:array<struct<name:string,value:string>>>"
 
 
+def _positions(body: str | None) -> list[str]:
+    try:
+        return [ElementTree.tostring(p, encoding="unicode") for p in ElementTree.fromstring(body or "").findall("./position")]
+    except ElementTree.ParseError:
+        return []
+
+
 @late_udf("array<string>")
 def xml_positions(bodies: pd.Series) -> pd.Series:
     """The position elements of a feed; a feed that can't be read has none."""
-    from xml.etree import ElementTree
-
-    def positions(body: str) -> list[str]:
-        try:
-            return [ElementTree.tostring(p, encoding="unicode") for p in ElementTree.fromstring(body or "").findall("./position")]
-        except ElementTree.ParseError:
-            return []
-
-    return bodies.map(positions)
+    return bodies.map(_positions)
 
 
 def _offices(r: Column) -> Column:
@@ -267,19 +271,43 @@ def scan_workday(payloads: DataFrame, companies: DataFrame, terms: list[str] | N
 _ROW = "array<struct<source_id:string,title:string,company:string,url:string,location:string,description:string>>"
 
 
+#: Vendors whose responses Python reads: what it makes of a body and its url, and the rows in that.
+READ: dict[str, tuple[Callable[[str | None, str | None], list[dict]], Callable[[Column], Column]]] = {
+    "personio": (lambda body, url: [{"xml": x} for x in _positions(body)], lambda found: F.transform(found, lambda x: F.from_xml(x["xml"], _POSITION))),
+    "softgarden": (_links, lambda found: found),
+    "onlyfy": (lambda body, url: _cards(body), lambda found: found),
+}
+_FOUND_FIELDS = ("title", "url", "city", "xml")
+
+
+def _with_found(listings: DataFrame, names: list[str]) -> DataFrame:
+    """listings (ats, page_url, body) with found, what Python makes of the bodies that it reads, in one pass; other bodies stay."""
+    mine = [n for n in names if n in READ]
+    if not mine:
+        return listings
+
+    def read(batch: dict[str, list]) -> list[pa.Array]:
+        rows = [READ[a][0](b, u) if a in mine else None for a, b, u in zip(batch["ats"], batch["body"], batch["page_url"], strict=True)]
+        return [listed(rows, _FOUND_FIELDS)]
+
+    return with_read(listings, "ats", [n for n in names if n not in READ], ("ats", "body", "page_url"), read, "found array<struct<title:string,url:string,city:string,xml:string>>")
+
+
 def _rows_of(name: str) -> Column:
     """A vendor's postings in a response; what its rules drop is left out. Other vendors' bodies are not parsed."""
     vendor = VENDORS[name]
+    rows = READ[name][1](F.when(F.col("ats") == name, F.col("found"))) if name in READ else vendor.rows(F.when(F.col("ats") == name, F.col("body")))
     source = vendor.source_id or (lambda r: F.concat(F.lit(f"{name}:"), _id()))
     row = lambda r: F.struct(source(r).alias("source_id"), vendor.title(r).alias("title"), vendor.company(r).alias("company"), vendor.url(r).alias("url"), vendor.location(r).alias("location"), vendor.description(r).alias("description"))
-    return F.transform(F.filter(vendor.rows(F.when(F.col("ats") == name, F.col("body"))), vendor.keep), row).cast(_ROW)
+    return F.transform(F.filter(rows, vendor.keep), row).cast(_ROW)
 
 
 def _scan(payloads: DataFrame, companies: DataFrame, names: list[str], terms: list[str]) -> DataFrame:
     """Postings of some vendors: one pass over the listings, and one over the details."""
     known = named(companies.where(F.col("ats").isin(names))).select("source", F.col("name").alias("company"), "ats", "identifier", F.col("ord").alias("rank"))
     mine = payloads.join(known, payloads.source_id == F.col("source")).where("status = 200")
-    listings = mine.where("kind = 'listing'").withColumnRenamed("url", "page_url").withColumn("rows", F.coalesce(*(F.when(F.col("ats") == n, _rows_of(n)) for n in names)))
+    listings = mine.where("kind = 'listing'").select("source", "company", "ats", "identifier", "rank", "ord", F.col("url").alias("page_url"), "body")
+    listings = _with_found(listings, names).withColumn("rows", F.coalesce(*(F.when(F.col("ats") == n, _rows_of(n)) for n in names)))
     each = listings.select("ats", F.col("source").alias("asked_of"), "rank", F.col("ord").alias("req"), F.posexplode("rows").alias("i", "r"))
     rows = each.select("ats", "asked_of", "r.*", packed_ord(1, F.col("rank"), F.col("req"), F.col("i")).alias("ord"))
     if any(VENDORS[n].escaped for n in names):
