@@ -6,6 +6,7 @@ markup of one posting and of its detail page, and says in SQL what comes out.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,10 @@ from .sources import boards, vendors
 from .sources.schema import COMPANY
 
 TERMS = ["ring", "bolt"]
+#: Parts whose responses a task writes.
+TASK_ROWS = 10_000
+#: Urls of a sitemap: its protocol allows 50,000 at most, so a site with more has several.
+SITEMAP_URLS = 20_000
 #: Values by the remainder of a part's key, for fields the parts don't have.
 VALUES = {
     "city": ["Berlin", "Madrid", "Ulm", "", "München"], "de": ["DE", "de", "US", ""], "german": ["Germany", "germany", "Spain", ""],
@@ -160,18 +165,23 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     values = [F.get(F.array(*map(F.lit, v)), (key % len(v)).cast("int")).alias(k) for k, v in VALUES.items()]
     slug = F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("slug")
-    return part.select(key.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.floor(key / 20).cast("int").alias("g"), slug, F.lpad(key.cast("string"), 12, "0").alias("hex"), *values)
+    jobs = part.select(key.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.floor(key / 20).cast("int").alias("g"), slug, F.lpad(key.cast("string"), 12, "0").alias("hex"), *values)
+    # Rows are small and their responses are not, so tasks go by the number of rows; by bytes, Spark would take one for all.
+    return jobs.repartition(max(1, math.ceil(part.count() / TASK_ROWS)), "g")
 
 
-def _written(template: str) -> Column:
-    """A template with the fields of a posting in it."""
-    parts, names = [], ["id", "title", "company", "g", "slug", "hex", *VALUES]
+_NAMES = ["id", "title", "company", "g", "slug", "hex", *VALUES]
+
+
+def _written(template: str, of: Column | None = None) -> Column:
+    """A template with the fields of a posting (of: a struct of them) in it."""
+    parts, names = [], _NAMES
     rest = template
     while rest:
         at, name = min(((rest.find("{" + n + "}"), n) for n in names if "{" + n + "}" in rest), default=(len(rest), None))
         parts.append(F.lit(rest[:at]))
         if name is not None:
-            parts.append(F.col(name).cast("string"))
+            parts.append((F.col(name) if of is None else of[name]).cast("string"))
         rest = rest[at + len(name) + 2 :] if name else ""
     return F.concat(*parts)
 
@@ -184,10 +194,13 @@ def _payloads(jobs: DataFrame, name: str, case: Case, source: Column) -> DataFra
     base = "https://x.test/" if paged else f"https://c%s.{name}.io/"
     if case.extra.get("single"):
         listings = jobs.select(source.alias("source_id"), F.lit("").alias("request_key"), F.lit(1).alias("page"), F.lit("listing").alias("kind"), _written(case.url).alias("url"), F.lit(200).alias("status"), _written(case.card).alias("body"), F.col("id").cast("long").alias("ord"))
-        urls = jobs.agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), _written(case.url), F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("body"))
+        maps = jobs.groupBy(F.floor(F.col("id") / SITEMAP_URLS).alias("map"))
+        urls = maps.agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), _written(case.url), F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("body"))
         return listings.unionByName(urls.select(source.alias("source_id"), F.lit("").alias("request_key"), F.lit(1).alias("page"), F.lit("sitemap").alias("kind"), F.lit("").alias("url"), F.lit(200).alias("status"), "body", F.lit(0).cast("long").alias("ord")))
-    cards = jobs.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", _written(case.card).alias("card")))).alias("cards"))
-    text = F.array_join(F.transform("cards", lambda c: c["card"]), case.sep)
+    # What a card is written of is grouped, not its markup: tasks that sort by group hold less, and less is shuffled.
+    needed = [n for n in _NAMES if n != "id" and "{" + n + "}" in case.card]
+    cards = jobs.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", *needed))).alias("cards"))
+    text = F.array_join(F.transform("cards", lambda c: _written(case.card, c)), case.sep)
     if empty is not None:
         text = F.when(F.col("g") % 10 == empty, F.lit("")).otherwise(text)
     key, page = request(F.col("g"))
