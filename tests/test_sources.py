@@ -110,6 +110,20 @@ def test_boards_by_active_source(spark, payloads):
     assert [r["source_id"] for r in boards.scan_boards(rows, sources, active).orderBy("ord").collect()] == ["a", "b"]
 
 
+def test_a_sources_responses_are_read_where_they_are(spark, payloads, monkeypatch):
+    """By the source's id they would all meet in one task."""
+    rows = payloads(*[{"source_id": "a"}] * 8).repartition(8, "ord").withColumn("at", F.spark_partition_id())
+    names = spark.createDataFrame([("a", "arbeitnow")], "id string, adapter string")
+    held = []
+    monkeypatch.setattr(boards, "_scan", lambda mine, *_: held.append(mine) or boards.Scan(mine, spark.createDataFrame([], boards.FAILURE), {}))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        boards.scan_reported(rows, names, names)
+        assert held[0].where(F.col("at") != F.spark_partition_id()).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sitemap():
     xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://jobs.instaffo.com/en/job/qualitatsingenieur-0123456789ab</loc></url><url><loc>https://jobs.instaffo.com/de/job/sdet-0123456789ab</loc></url></urlset>'
     assert len(boards.instaffo_urls(xml, ["Qualitätsingenieur", "SDET"])) == 1 and boards.instaffo_urls("<broken", ["x"]) == []

@@ -17,8 +17,8 @@ from .sources import boards, vendors
 from .sources.schema import COMPANY
 
 TERMS = ["ring", "bolt"]
-#: Parts whose responses a task writes.
-TASK_ROWS = 10_000
+#: Parts whose responses a task writes: of one board or vendor, and where a task for each of all of them has its share.
+TASK_ROWS, SHARED_TASK_ROWS = 10_000, 40_000
 #: Urls of a sitemap: its protocol allows 50,000 at most, so a site with more has several.
 SITEMAP_URLS = 20_000
 #: Values by the remainder of a part's key, for fields the parts don't have.
@@ -160,14 +160,14 @@ VENDORS = {
 }
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _jobs(spark: SparkSession, sf_dir: str, task_rows: int = TASK_ROWS) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey")
     values = [F.get(F.array(*map(F.lit, v)), (key % len(v)).cast("int")).alias(k) for k, v in VALUES.items()]
     slug = F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("slug")
     jobs = part.select(key.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.floor(key / 20).cast("int").alias("g"), slug, F.lpad(key.cast("string"), 12, "0").alias("hex"), *values)
     # Rows are small and their responses are not, so tasks go by the number of rows; by bytes, Spark would take one for all.
-    return jobs.repartition(max(1, math.ceil(part.count() / TASK_ROWS)), "g")
+    return jobs.repartition(max(1, math.ceil(part.count() / task_rows)), "g")
 
 
 _NAMES = ["id", "title", "company", "g", "slug", "hex", *VALUES]
@@ -256,7 +256,7 @@ def _vendor_query(name: str):
 
 def _everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """payloads, sources, active, companies: all boards about all parts, and each vendor about the companies that are its own."""
-    jobs, names = _jobs(spark, sf_dir), list(VENDORS)
+    jobs, names = _jobs(spark, sf_dir, SHARED_TASK_ROWS), list(VENDORS)
     payloads = None
     for name, case in BOARDS.items():
         some = _payloads(jobs, name, case, F.lit(name))

@@ -455,7 +455,8 @@ def scan_reported(payloads: DataFrame, sources: DataFrame, active: DataFrame, te
     ids = active.select("id").distinct()
     known = lookups.looked_up(ids, sources.select("id", "adapter"), ["id"])
     known = known.select(F.col("id").alias("source_id"), "adapter", board_of(F.col("adapter")).alias("board"), (F.row_number().over(Window.orderBy("id")) - 1).alias("rank"))  # a configuration's rows
-    found = _scan(payloads.join(known.drop("adapter"), "source_id"), TITLE_TERMS if terms is None else terms, list(BOARDS))
+    # A configuration's rows go to the responses; by the few ids, all responses of a source would meet in one task.
+    found = _scan(payloads.join(F.broadcast(known.drop("adapter")), "source_id"), TITLE_TERMS if terms is None else terms, list(BOARDS))
     lost = lookups.missing(ids, sources, ["id"]).select(F.col("id").alias("source_id"), F.lit("source not found").alias("reason"))
     lost = lost.unionByName(known.where(~F.coalesce(F.col("board").isin(list(BOARDS)), F.lit(False))).select("source_id", F.concat(F.lit("no board for adapter "), text_of(F.col("adapter"))).alias("reason")))
     no = lambda kind, name: F.lit(None).cast(kind).alias(name)

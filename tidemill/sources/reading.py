@@ -37,15 +37,16 @@ def with_read(pages: DataFrame, reader: str, skip: list[str], asked: tuple[str,
     """
     held = [StructField(f.name, f.dataType) for f in pages.schema.fields]  # a body may be null now
     schema = StructType(held + pages.sparkSession.createDataFrame([], made).schema.fields)
-    names, body, of = schema.names, pages.columns.index("body"), pages.columns.index(reader)
-    places = {name: pages.columns.index(name) for name in asked}
+    names, body = schema.names, pages.columns.index("body")
+    places = {name: pages.columns.index(name) for name in {*asked, reader, "body"}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 columns = batch.slice(start, SLICE).columns
-                found = read({name: columns[at].to_pylist() for name, at in places.items()})
-                kept = [b if n in skip else None for n, b in zip(columns[of].to_pylist(), columns[body].to_pylist(), strict=True)]
+                slices = {name: columns[at].to_pylist() for name, at in places.items()}
+                found = read(slices)
+                kept = [b if n in skip else None for n, b in zip(slices[reader], slices["body"], strict=True)]
                 columns[body] = pa.array(kept, columns[body].type)
                 yield pa.RecordBatch.from_arrays([*columns, *found], names)
 
