@@ -270,3 +270,19 @@ def test_texts_stay_where_they_are_until_rows_are_chosen(spark, postings):
     plan = build_report(rows, spark.createDataFrame([], SEEN_SCHEMA))
     assert [(r["title"], r["ord"]["ord"]) for r in plan.collect()] == [("QA Engineer", 0)]
     assert all("description" not in line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in line)
+
+
+def test_a_run_that_is_put_already_is_not_worked_out_again(spark, tmp_path):
+    from tidemill.operators.outbox import MESSAGE, Outbox
+
+    box, out = Outbox(spark, str(tmp_path / "box")), []
+    messages = spark.createDataFrame([(i, f"m{i}", [f"j{i}"], False) for i in range(3)], MESSAGE)
+    box.put("day", messages, messages.select("chunk"))
+    folders = sorted(p.name for p in (tmp_path / "box" / "day").glob("data-*"))
+    broken = messages.withColumn("text", F.raise_error(F.lit("worked out")).cast("string"))
+    box.put("day", broken, broken)
+    assert sorted(p.name for p in (tmp_path / "box" / "day").glob("data-*")) == folders and len(folders) == 2
+    assert box.deliver("day", out.append) == 3 and out == ["m0", "m1", "m2"]
+    assert sorted(p.name for p in (tmp_path / "box" / "day" / "sent").iterdir()) == [f"{i:010d}" for i in range(3)]  # no checksums beside them
+    box.close("day")
+    assert box.deliver("day", out.append) == 3 and len(out) == 3 and box.sent_ids("day").count() == 3

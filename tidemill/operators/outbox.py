@@ -42,8 +42,10 @@ class Outbox:
         return entry
 
     def put(self, run: str, messages: DataFrame, rows: DataFrame) -> None:
-        """Writes a run's messages and the rows that they are about; if another put them first, that one's count."""
+        """Writes a run's messages and the rows that they are about; if another put them first, that one's count and nothing is worked out."""
         of = self._of(run)
+        if of.number():
+            return
         folders = of.new_folder(), of.new_folder()
         messages.write.parquet(folders[0])
         rows.write.parquet(folders[1])
@@ -63,16 +65,29 @@ class Outbox:
         """Sends what is left of a run in order, up to the first failure; the number sent by now."""
         state = self.state(run)
         n, (folder, files) = state["sent"], self._acknowledged(run)
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        acknowledge = self._acknowledging(folder, files)
         for row in self.messages(run).where(F.col("chunk") >= n).select("chunk", "text").orderBy("chunk").toLocalIterator():
             try:
                 send(row["text"])
             except failures:
                 break
-            files.create(path(folder, f"{row['chunk']:010d}"), True).close()
+            acknowledge(f"{row['chunk']:010d}")
             n = row["chunk"] + 1
         return n
 
+    def _acknowledging(self, folder, files) -> Callable[[str], None]:
+        """What puts an empty file of a name into the folder. On a local file system Hadoop would start a process for its mode and one for its checksum's."""
+        jvm = self.spark.sparkContext._jvm
+        if files.getScheme() != "file":
+            return lambda name: files.create(jvm.org.apache.hadoop.fs.Path(folder, name), True).close()
+        local = folder.toUri().getPath()
+
+        def acknowledge(name: str) -> None:
+            jvm.java.io.File(local).mkdirs()  # another run may have closed this one
+            jvm.java.io.FileOutputStream(f"{local}/{name}").close()
+
+        return acknowledge
+
     def close(self, run: str) -> None:
         """Nothing of the run is left to do; what was not sent is no later run's debt."""
         sent = self.state(run)["sent"]
