@@ -166,6 +166,18 @@ def test_every_vendor_reads_its_listing(spark, payloads, company):
     assert scanned(vendors.scan_vendor(payloads({"source_id": "Acme", "body": body}), company("lever"), "lever")) == [expected]
 
 
+def test_a_boards_responses_do_not_meet_where_companies_are_looked_up(spark, payloads, company, monkeypatch):
+    """By the board's id they would all go to one task of the join, with their bodies, and fall out there."""
+    body, expected = VENDOR_CASES["lever"]
+    rows = payloads(*[{"source_id": "a", "body": "x"}] * 8, {"source_id": "Acme", "body": body}, {"source_id": "#0", "body": body}, {"source_id": None}, {"source_id": "b"}, {"source_id": "b"}, {"source_id": "c"})
+    real, held = vendors._scan, []
+    monkeypatch.setattr(vendors, "_scan", lambda mine, *more: held.append(mine) or real(mine, *more))
+    monkeypatch.setattr(vendors, "MOST_STRANGERS", 2)
+    assert scanned(vendors.scan_companies(rows, company("lever"))) == [expected]
+    assert vendors.failures(rows, company("lever")).isEmpty()
+    assert sorted(r["source_id"] for r in held[0].collect()) == ["#0", "Acme", "c"]
+
+
 def test_vendor_details(payloads, company):
     detail = {"jobAd": {"sections": {"qualifications": {"text": "q"}, "companyDescription": {"text": "c"}, "jobDescription": {"text": ""}}}}
     rows = payloads({"source_id": "Acme", "body": VENDOR_CASES["smartrecruiters"][0]}, {"source_id": "Acme", "kind": "detail", "url": "https://jobs.smartrecruiters.com/acme/1", "body": json.dumps(detail)})

@@ -99,7 +99,8 @@ class Reported:
 def scan_reported(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> Reported:
     """All postings, those of boards before those of companies, with the failures of both."""
     found = boards.scan_reported(payloads, sources, active, terms)
-    return Reported(found.postings.unionByName(vendors.scan_companies(payloads, companies, terms)), found.failures.unionByName(vendors.failures(payloads, companies)), found.counts)
+    postings, failures = vendors.scan_reported(payloads, companies, terms)
+    return Reported(found.postings.unionByName(postings), found.failures.unionByName(failures), found.counts)
 
 
 def scan(payloads: DataFrame, sources: DataFrame, active: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> DataFrame:

@@ -230,6 +230,22 @@ def named(companies: DataFrame) -> DataFrame:
     return both.withColumn("source", F.when(F.col("__often"), F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.col("name"))).drop("__name", "__often")
 
 
+#: Source ids of no company that are dropped where payloads are read; any other one has less than a thousandth of the payloads.
+MOST_STRANGERS = 1000
+
+
+def of_companies(payloads: DataFrame, companies: DataFrame) -> DataFrame:
+    """payloads without those of the commonest ids that no company has, which no join with the companies would keep.
+
+    A board has a single id: by it, all its responses would go to one task, only to fall out there. Ids are counted in
+    a pass of their own, without the bodies.
+    """
+    known = companies.select(F.explode(F.array("name", F.concat(F.lit("#"), F.col("ord").cast("string")))).alias("source_id"))
+    there = payloads.where("source_id is not null")
+    strangers = there.groupBy("source_id").count().join(known, "source_id", "left_anti").orderBy(F.desc("count"), "source_id").limit(MOST_STRANGERS)
+    return there.where(~F.col("source_id").isin([r["source_id"] for r in strangers.collect()]))
+
+
 def workday_facets(payloads: DataFrame) -> DataFrame:
     """Per company, the ids by parameter of the location facets that lie in Germany, in order."""
     groups = payloads.where("kind = 'facets' and status = 200").select("source_id", F.explode(F.from_json("body", _FACETS)["facets"]).alias("g"))
@@ -335,7 +351,17 @@ def scan_vendor(payloads: DataFrame, companies: DataFrame, name: str, terms: lis
 
 def scan_companies(payloads: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """All companies' postings; those of an unregistered vendor have none. ord follows the companies' order, after all boards."""
-    return _scan(payloads, companies, list(VENDORS), TITLE_TERMS if terms is None else terms).unionByName(scan_workday(payloads, companies, terms))
+    return _scan_all(of_companies(payloads, companies), companies, terms)
+
+
+def _scan_all(mine: DataFrame, companies: DataFrame, terms: list[str] | None) -> DataFrame:
+    return _scan(mine, companies, list(VENDORS), TITLE_TERMS if terms is None else terms).unionByName(scan_workday(mine, companies, terms))
+
+
+def scan_reported(payloads: DataFrame, companies: DataFrame, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """scan_companies() and failures(); the ids of payloads are counted once for both."""
+    mine = of_companies(payloads, companies)
+    return _scan_all(mine, companies, terms), _failures(mine, companies)
 
 
 def failures(payloads: DataFrame, companies: DataFrame) -> DataFrame:
@@ -343,6 +369,10 @@ def failures(payloads: DataFrame, companies: DataFrame) -> DataFrame:
 
     source_id, kind, request_key, page, url, reason, ord. It is worked out when it is read, in a pass of its own.
     """
+    return _failures(of_companies(payloads, companies), companies)
+
+
+def _failures(payloads: DataFrame, companies: DataFrame) -> DataFrame:
     known = named(companies)
     mine = payloads.join(known.select("source", F.col("name").alias("company"), "ats", "identifier"), payloads.source_id == F.col("source")).withColumn("page_url", F.col("url"))
     names, listing = list(VENDORS), F.col("kind") == "listing"
